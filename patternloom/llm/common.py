@@ -48,8 +48,9 @@ def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of long documents must fit beside the heap."""
+    """Small Arrow batches: a batch of long documents, or of blocks of them, must fit beside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Table, list[bytes]]]:
