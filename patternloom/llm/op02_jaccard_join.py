@@ -212,7 +212,8 @@ def verify(hashed: DataFrame, need: DataFrame, blocks: DataFrame, k: int, bound:
 
         return step
 
-    texts = hashed.select("th", "text").join(need, "th")
+    # as many rows as there are candidates: never a side to broadcast
+    texts = hashed.select("th", "text").join(need.hint("shuffle_merge"), "th")
     sets = map_chunks(texts, "text", None, "id long, shingles binary", once=sets_once).dropDuplicates(["id"])
 
     def compare(t: pa.Table, side: np.ndarray, across: bool) -> pa.Table | None:
