@@ -36,7 +36,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, found, of = np.zeros(len(joined), np.uint64), [], []
     for n in range(1, max(NGRAMS) + 1):
         code = code * np.uint64(0x100000001B3)
-        code[: len(joined) - n + 1] += joined[n - 1 :] + np.uint64(1)
+        code[: max(0, len(joined) - n + 1)] += joined[n - 1 :] + np.uint64(1)
         if n in NGRAMS:
             at = np.flatnonzero(left >= n)
         elif n < min(NGRAMS):

@@ -98,6 +98,7 @@ def mask_live(docs: DataFrame, text: str = "text", mask: str = "<secret>", **opt
     Overlapping spans are masked as one. The column n_chars, where there is one, follows the text.
     """
     own = docs.columns
+    docs = docs.select(*(F.col(f"`{c}`").alias(c.replace("__", "\x01", 1) if c.startswith("__") else c) for c in own))
     spans = F.coalesce("__live", F.array().cast("array<struct<start:int,end:int,kind:string>>"))
     # parts of the text before each span that begins after all former ones have ended
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -110,8 +111,8 @@ def mask_live(docs: DataFrame, text: str = "text", mask: str = "<secret>", **opt
     out = scan(docs, text, **options)
     has = F.size(spans) > 0
     out = out.withColumn("__text", F.when(has, masked).otherwise(whole))
-    cols = [F.col("__text").alias(text) if c == text else F.when(has, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in own]
-    return out.select(*cols)
+    cols = [F.col("__text").alias(text) if c == text else F.when(has, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*cols).toDF(*own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
