@@ -20,7 +20,7 @@ def omni_eq(a: Column, b: Column) -> Column:
 def omni_keys(v: Column) -> Column:
     """Blocking keys: equal values share at least one. They hold the length and one representation of the first token."""
     first = F.element_at(v, 1)
-    return F.when(F.size(v) == 0, F.array(F.lit(""))).otherwise(F.transform(first, lambda t: F.concat(F.size(v).cast("string"), F.lit("|"), t)))
+    return F.when(F.size(v) == 0, F.array(F.lit(""))).otherwise(F.transform(F.array_distinct(first), lambda t: F.concat(F.size(v).cast("string"), F.lit("|"), t)))
 
 
 def omni_merge(bound: Column, value: Column) -> Column:
