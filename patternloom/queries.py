@@ -442,3 +442,95 @@ def row_text(spark, d):
     return t.rows.select("uid", t.text().alias("row_text"))
 
 
+
+
+@query("shouldhave_score", """
+SELECT 's' || s_suppkey AS supplier, r_name <> 'ASIA' AS executable, ((CASE WHEN r_name = 'EUROPE' THEN 1 ELSE 0 END) + (CASE WHEN r_name <> 'AFRICA' THEN 1 ELSE 0 END)) / 2.0::DOUBLE AS score
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def shouldhave_score(spark, d):
+    """musthave marks a solution as executable or not; shouldhave scores it; neither removes it."""
+    p = parse('inferencepattern p row s=[TABLE:"SUPPLIER", NATION:<n>] row t=[TABLE:"INREGION", NATION:<n>, REGION:<r>] musthave(<r> != "asia") shouldhave(<r> == "europe") shouldhave(<r> != "africa") endinferencepattern').patterns[0]
+    m = solve(geo_store(spark, d), p, None)
+    return m.select(F.col("uid_s").alias("supplier"), "executable", F.col("should_score").alias("score"))
+
+
+@query("self_join_same_variable", "SELECT 'n' || a.n_nationkey AS a, 'n' || b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def self_join_same_variable(spark, d):
+    p = parse('inferencepattern p row a=[TABLE:"INREGION", REGION:<r>] row b=[TABLE:"INREGION", REGION:<r>] endinferencepattern').patterns[0]
+    m = solve(geo_store(spark, d), p, None)
+    return m.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
+
+
+@query("or_options", "SELECT 'n' || n_nationkey AS nation FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+def or_options(spark, d):
+    p = parse('inferencepattern p row a=[TABLE:"INREGION", REGION:"asia" || "europe"] endinferencepattern').patterns[0]
+    return solve(geo_store(spark, d), p, None).select(F.col("uid_a").alias("nation"))
+
+
+@query("span_segmentation", """
+WITH w AS (SELECT p_partkey, list_filter(string_split(trim(p_name), ' '), lambda x: x <> '') AS w FROM part WHERE p_partkey <= 200)
+SELECT 'p' || p_partkey AS part, array_to_string(w[1:i], ' ') AS a, array_to_string(w[i + 1:], ' ') AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)""")
+def span_segmentation(spark, d):
+    """Two variables share a cell in every split."""
+    store = Store(spark)
+    store.add(from_frame("PART", read(spark, d, "part").where("p_partkey <= 200").select(F.concat(F.lit("p"), "p_partkey").alias("id"), "p_name"), "id", {"NAME": "p_name"}))
+    p = parse('inferencepattern p row r=[TABLE:"PART", NAME:<a> + <b>] endinferencepattern').patterns[0]
+    m = solve(store, p, None)
+    return m.select(F.col("uid_r").alias("part"), words(m, "a"), words(m, "b"))
+
+
+@query("category_counts", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
+def category_counts(spark, d):
+    return evaluation.category_counts(read(spark, d, "part"), "p_brand")
+
+
+@query("false_positive_share", "SELECT toxic AS predicted, round(count(*) FILTER (quality <> toxic) / count(*), 6) AS false_share FROM labels GROUP BY toxic")
+def false_positive_share(spark, d):
+    return evaluation.false_positive_share(read(spark, d, "labels"), "quality", "toxic").withColumn("false_share", F.round("false_share", 6))
+
+
+@query("set_accuracy", f"SELECT s.q AS question, CAST(s.sol AS BIGINT) AS solution, round(len(list_intersect(uids, gold)) / len(gold), 6) AS accuracy FROM ({_SETS}) s JOIN ({_GOLD}) g ON s.q = g.q")
+def set_accuracy(spark, d):
+    sols, gold = order_sets(spark, d)
+    out = sols.join(gold, "question")
+    return out.select("question", "solution", F.round(F.size(F.array_intersect("uids", "gold")) / F.size("gold"), 6).alias("accuracy"))
+
+
+@query("table_categories", "SELECT n_name, CASE n_regionkey WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'UNKNOWN' END AS category FROM nation")
+def table_categories(spark, d):
+    from patternloom.sources.readers import with_category
+
+    known = spark.createDataFrame([(0, "first"), (1, "second")], "name int, category string")
+    return with_category(read(spark, d, "nation"), known, "n_regionkey").select("n_name", "category")
+
+
+@query("populated_variables", "SELECT CASE WHEN s IS NULL THEN 1 ELSE 2 END AS bound, count(*) AS n FROM (SELECT n_nationkey, 1 AS s FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT n_nationkey, NULL FROM nation) GROUP BY 1")
+def populated_variables(spark, d):
+    p = parse('inferencepattern p row a=[TABLE:"INREGION", NATION:<n>] row *s=[TABLE:"SUPPLIER", NATION:<n>, NAME:<x>] endinferencepattern').patterns[0]
+    return evaluation.populated_variables(solve(geo_store(spark, d), p, None))
+
+
+@query("mean_average_precision", f"""
+WITH r AS ({_RANKS}), g AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS uid FROM lineitem WHERE l_quantity > 25),
+h AS (SELECT r.q, rank, row_number() OVER (PARTITION BY r.q ORDER BY rank) AS i FROM r JOIN g ON r.q = g.q AND r.uid = g.uid)
+SELECT round(avg(ap), 6) AS map, count(*) AS questions FROM (SELECT q, sum(i / rank) / count(*) AS ap FROM h GROUP BY q)""")
+def mean_average_precision(spark, d):
+    return evaluation.mean_average_precision(*line_scores(spark, d)).withColumn("map", F.round("map", 6))
+
+
+@query("content_lemma_counts", """
+SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(list_filter(string_split(lower(trim(p_brand || ' ' || p_type)), ' '), lambda x: x <> '')) AS word FROM part) GROUP BY word""")
+def content_lemma_counts(spark, d):
+    """In how many rows each word stands."""
+    each = read(spark, d, "part").select(F.explode(F.array_distinct(S.tokens(F.lower(F.concat_ws(" ", "p_brand", "p_type"))))).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("catalog_roles", "SELECT * FROM (VALUES ('SUPPLIER', 'NAME', 'DATA'), ('SUPPLIER', 'NATION', 'DATA'), ('SUPPLIER', '[SKIP] UID', 'UID'), ('CUSTOMER', 'NAME', 'DATA'), ('CUSTOMER', 'NATION', 'DATA'), ('CUSTOMER', '[SKIP] UID', 'UID'), ('INREGION', 'NATION', 'DATA'), ('INREGION', 'REGION', 'DATA'), ('INREGION', '[SKIP] UID', 'UID')) t(tbl, col, role)")
+def catalog_roles(spark, d):
+    return geo_store(spark, d).catalog().select(F.col("table").alias("tbl"), "col", "role")
+
+
+@query("cells_long_form", "SELECT 'SUPPLIER' AS tbl, 's' || s_suppkey AS uid, 'NAME' AS col, s_name AS text FROM supplier UNION ALL SELECT 'SUPPLIER', 's' || s_suppkey, 'NATION', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def cells_long_form(spark, d):
+    return geo_store(spark, d).cells().where("table = 'SUPPLIER' and role = 'DATA'").select(F.col("table").alias("tbl"), "uid", "col", "text")
