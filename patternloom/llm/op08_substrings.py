@@ -6,17 +6,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import WordHashes, binaries, mix, offsets, prepare, read, runs, save, starts_mask, text_bytes
+from patternloom.llm.common import Lexicon, binaries, mix, offsets, prepare, read, runs, save, starts_mask, text_bytes
 
 WINDOW = 35
 #: Rows of the sketch, and counters of a row for each byte of text: about two for a window.
 DEPTH, COUNTERS_PER_BYTE = 2, 0.5
 #: Counters of a slice of a sketch row, merged in one task; hashes of a slice of the exact grouping.
 SLICE_BITS, SLICE_HASHES = 23, 2_000_000
+#: Bits of a counter's number at most, which leaves as many for a place in a block as any text needs; beyond that size
+#: the sketch only rules out fewer windows.
+BITS = 38
 #: Text of one block of documents, which is read and held at once.
 BLOCK_BYTES = 8 << 20
 _ODD = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
@@ -35,16 +39,45 @@ def rolling(h: np.ndarray, k: int, odd: int) -> np.ndarray:
         return mix((total[k:] - total[:-k]) * up[: n - k + 1])
 
 
+class Block:
+    """The words of some documents: the distinct ones, and the index of each word of all texts."""
+
+    def __init__(self, words: list[bytes], index: np.ndarray, lens: np.ndarray) -> None:
+        self.words, self.index, self.lens = words, index, lens
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Block:
+        lexicon = Lexicon()
+        index, lens = lexicon.index([t.split() for t in texts])
+        return cls(lexicon.fresh, index, lens)
+
+    def pack(self) -> bytes:
+        """Words hold no space, so spaces part them. Indexes go byte plane by byte plane, which squeezes better."""
+        joined = b" ".join(self.words)
+        head = np.array([len(self.lens), len(self.index), len(joined)], np.int64)
+        planes = np.ascontiguousarray(self.index.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        return zstandard.compress(head.tobytes() + self.lens.astype("<i8").tobytes() + planes.tobytes() + joined, 3)
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Block:
+        b = zstandard.decompress(blob)
+        docs, n, size = np.frombuffer(b, np.int64, 3).tolist()
+        lens = np.frombuffer(b, "<i8", docs, 24)
+        at = 24 + 8 * docs
+        index = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n, at).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        return cls(b[at + 4 * n : at + 4 * n + size].split(b" ") if size else [], index, lens)
+
+
 class Windows:
-    """All whole windows of a block of documents: two hashes of each, its place, and the documents' words."""
+    """All whole windows of a block of documents: two hashes of each, and its place among the block's words."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int) -> None:
-        self.words = [t.split() for t in texts]
-        h, self.lens = hashes.of(self.words)
-        whole = np.flatnonzero(starts_mask(self.lens, window))
-        self.place = whole
-        self.h0 = rolling(h[:, 0], window, _ODD[0][0])[whole] if len(whole) else np.zeros(0, np.uint64)
-        self.h1 = rolling(h[:, 1], window, _ODD[0][1])[whole] if len(whole) else np.zeros(0, np.uint64)
+    def __init__(self, block: Block, window: int) -> None:
+        self.lens = block.lens
+        digests = b"".join(map(xxhash.xxh3_128_digest, block.words))
+        h = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+        self.place = np.flatnonzero(starts_mask(self.lens, window))
+        each = [rolling(h[block.index, j], window, _ODD[0][j])[self.place] if len(self.place) else np.zeros(0, np.uint64) for j in (0, 1)]
+        self.h0, self.h1 = each
 
     def counters(self, row: int, bits: int) -> np.ndarray:
         """The counter of each window in a row of the sketch, which has 2**bits."""
@@ -67,25 +100,15 @@ def unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values ascending, whether each stands more than once, and the index of each input's."""
-    order = np.argsort(values, kind="stable")
-    edge = runs(values[order])
+    """Distinct values (below 2**BITS) ascending, whether each stands more than once, and the index of each input's."""
+    low = max(1, len(values).bit_length())
+    place = np.sort((values << np.uint64(low)) | np.arange(len(values), dtype=np.uint64))
+    values, order = place >> np.uint64(low), (place & np.uint64((1 << low) - 1)).astype(np.int64)
+    edge = runs(values)
     n = np.diff(edge)
     inverse = np.empty(len(values), np.int64)
     inverse[order] = np.repeat(np.arange(len(n)), n)
-    return values[order][edge[:-1]], n > 1, inverse
-
-
-def pack_texts(texts: list[bytes]) -> bytes:
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    return zstandard.compress(len(texts).to_bytes(8, "little") + lens.tobytes() + b"".join(texts), 3)
-
-
-def unpack_texts(blob: bytes) -> list[bytes]:
-    b = zstandard.decompress(blob)
-    n = int.from_bytes(b[:8], "little")
-    off = 8 + 8 * n + offsets(np.frombuffer(b, np.int64, n, 8))
-    return [b[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]
+    return values[edge[:-1]], n > 1, inverse
 
 
 def slices(values: np.ndarray, shift: int) -> list[tuple[int, slice]]:
@@ -96,16 +119,16 @@ def slices(values: np.ndarray, shift: int) -> list[tuple[int, slice]]:
 
 
 def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
-    """block, ids, texts (packed), and hits: bits of the windows of the block that occur elsewhere too."""
+    """block, ids, texts (its words, packed), and hits: bits of the windows of the block that occur elsewhere too."""
     spark = docs.sparkSession
     prepare(spark)
     size = text_bytes(docs, text)
-    bits = max(SLICE_BITS - 4, int(size * COUNTERS_PER_BYTE).bit_length())
+    bits = min(BITS, max(SLICE_BITS - 4, int(size * COUNTERS_PER_BYTE).bit_length()))
     low = min(SLICE_BITS, bits)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sketch(batches):
-        hashes, held, ids, size, number = WordHashes(), [], [], 0, [0]
+        held, ids, size, number = [], [], 0, [0]
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
@@ -113,8 +136,9 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
         def flush():
             block = (task << 24) + number[0]
             number[0] += 1
-            rows = [(block, -1, pack_texts(held), list(ids))]
-            w = Windows(held, hashes, window)
+            words = Block.of(held)
+            rows = [(block, -1, words.pack(), list(ids))]
+            w = Windows(words, window)
             for row in range(DEPTH):
                 values, more, _ = marked(w.counters(row, bits))
                 for top, part in slices(values, low):
@@ -175,10 +199,9 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
         return at, edge, first, [(int(top[a]), slice(a, b)) for a, b in zip(cut[:-1], cut[1:], strict=True)] if len(first) else []
 
     def exact(batches):
-        hashes = WordHashes()
         for batch in batches:
             for row in batch.to_pylist():
-                w = Windows(unpack_texts(row["texts"]), hashes, window)
+                w = Windows(Block.unpack(row["texts"]), window)
                 _, edge, first, cuts = grouped_suspects(w, row["sketch"])
                 more = np.diff(edge) > 1
                 rows = [(row["block"], top, first[part].tobytes(), np.packbits(more[part]).tobytes()) for top, part in cuts]
@@ -203,9 +226,10 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
     grouped = save(asked.repartition(n, "slice").sortWithinPartitions("slice", "block").mapInArrow(group, answer), "substrings-exact")
     both = blocks.join(likely, "block", "left").join(collected(grouped, "exact"), "block", "left")
 
-    def covered(row: dict, hashes: WordHashes) -> tuple[Windows, np.ndarray]:
+    def covered(row: dict) -> tuple[Block, np.ndarray]:
         """The block's words, and which of them lie in a window that occurs elsewhere."""
-        w = Windows(unpack_texts(row["texts"]), hashes, window)
+        block = Block.unpack(row["texts"])
+        w = Windows(block, window)
         at, edge, first, cuts = grouped_suspects(w, row["sketch"])
         told = {a["slice"]: a["bits"] for a in row["exact"] or ()}
         hit = np.zeros(len(first), bool)
@@ -215,7 +239,7 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
         delta = np.zeros(int(w.lens.sum()) + 1, np.int32)
         np.add.at(delta, start, 1)
         np.add.at(delta, start + window, -1)
-        return w, np.cumsum(delta[:-1]) > 0
+        return block, np.cumsum(delta[:-1]) > 0
 
     return both, covered
 
@@ -247,20 +271,18 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
     both, covered = repeated(named, "text", window)
 
     def finish(batches):
-        hashes = WordHashes()
         for batch in batches:
             for row in batch.to_pylist():
-                w, gone = covered(row, hashes)
-                off = offsets(w.lens)
+                block, gone = covered(row)
+                lens, get = block.lens, block.words.__getitem__
+                off = offsets(lens)
                 lost = np.concatenate([[0], np.cumsum(gone)])
                 removed = lost[off[1:]] - lost[off[:-1]]
                 out = []
-                for k, words in enumerate(w.words):
-                    if removed[k]:
-                        keep = ~gone[off[k] : off[k + 1]]
-                        words = [x for x, y in zip(words, keep.tolist(), strict=True) if y]
-                    out.append(b" ".join(words))
-                cols = {"id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(w.lens), "n_removed": pa.array(removed.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out])}
+                for k in range(len(lens)):
+                    index = block.index[off[k] : off[k + 1]]
+                    out.append(b" ".join(map(get, (index[~gone[off[k] : off[k + 1]]] if removed[k] else index).tolist())))
+                cols = {"id": pa.array(row["ids"], pa.int64()), "n_words": pa.array(lens), "n_removed": pa.array(removed.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in out])}
                 if keep_text:
                     cols["kept"] = pa.array(out, pa.binary()).cast(pa.string())
                 t = pa.table(cols)
