@@ -198,7 +198,8 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     relaxed = lambda keep: sum((F.coalesce(F.col(f"s{i}_relaxed"), F.lit(0)) for i, c in enumerate(cands) if keep(c)), F.lit(0))
     unfilled = sum((F.col(u).isNull().cast("int") for u in uids), F.lit(0))
     out = out.withColumns({"n_opt_unfilled": unfilled.cast("int"), "relaxed_dyn": relaxed(lambda c: not c.static).cast("int"), "relaxed_total": relaxed(lambda c: True).cast("int")})
-    scope = Scope({v[2:]: omni_text(F.col(v)) for v in values} | {u[4:]: F.when(F.col(u).isNull(), F.lit("")).otherwise(F.concat(F.lit("UUID"), u)) for u in uids})
+    told = lambda c: c.replace("__", ".")  # noqa: E731  a component's names follow its own and a dot
+    scope = Scope({told(v[2:]): omni_text(F.col(v)) for v in values} | {told(u[4:]): F.when(F.col(u).isNull(), F.lit("")).otherwise(F.concat(F.lit("UUID"), u)) for u in uids})
     executable, score, shoulds = F.lit(True), F.lit(0.0), 0
     for kind, cond in pattern.constraints:
         got = evaluate(cond, scope)

@@ -195,15 +195,24 @@ class Runtime:
         else:
             found = []
             for r in rows.toLocalIterator():
-                local = {k: of_text(v) for k, v in r.asDict().items() if isinstance(v, str) and k not in ("hash",)}
+                local = {k.replace("__", "."): of_text(v) for k, v in r.asDict().items() if isinstance(v, str) and k != "hash"}
                 if all(self.truth(c, local) for c in how[1]):
                     found.append(r)
             got = sorted(found, key=lambda r: -sum(v not in (None, "") for v in r.asDict().values()))[:1]
         return got[0].asDict() if got else None
 
+    def component_match(self, var: str, of: str, match: dict[str, Any]) -> dict[str, Any] | None:
+        """The component's solution over the rows that it has in the composite's."""
+        rows = self.texts(of)
+        for c in rows.columns:
+            if f"{var}__{c}" in match:
+                rows = rows.where(F.col(f"`{c}`").eqNullSafe(match[f"{var}__{c}"]))
+        got = rows.limit(1).collect()
+        return got[0].asDict() if got else None
+
     def run_match(self, p: Pattern, match: dict[str, Any], remap: dict[str, str], blocks: frozenset[str], kind: str = "GEN") -> None:
         local = {k.removeprefix("v_").removeprefix("uid_"): v for k, v in match.items() if k not in ("hash", "executable", "n_opt_unfilled", "relaxed_dyn", "relaxed_total", "should_score")}
-        flat = {k: of_text(v if isinstance(v, str) else " ".join(x[-1] for x in v)) for k, v in local.items() if v is not None}
+        flat = {k.replace("__", "."): of_text(v if isinstance(v, str) else " ".join(x[-1] for x in v)) for k, v in local.items() if v is not None}
         old = self.scope, self.remap, self.enabled, getattr(self, "generated_kind", "GEN")
         self.scope, self.remap, self.enabled, self.generated_kind = self.scope.new_child(flat), {**self.remap, **remap}, blocks or None, kind
         try:
@@ -371,11 +380,12 @@ class Runtime:
         if m is None:
             raise ScriptError(f"executePattern({name}): no solution is meant")
         p = self.patterns[name]
-        pairs = dict(remap) or next(self.assignments(p), {}) if p.requires else dict(remap)
-        for n in self.required(name)[:-1]:
-            first = self.texts(n).limit(1).collect()
-            if first:
-                self.run_match(self.patterns[n], first[0].asDict(), pairs, frozenset(blocks))
+        pairs = dict(remap) or (next(self.assignments(p), {}) if p.requires else {})
+        for var, of in p.components:
+            part = self.component_match(var, of, m)
+            if part is not None:  # an instance of the component goes by the one that the composite maps to it
+                own = {**pairs, **{j: pairs.get(i, i) for i, a, j in p.instmaps if a == var}}
+                self.run_match(self.patterns[of], part, own, frozenset(blocks))
         self.run_match(p, m, pairs, frozenset(blocks))
         self.state.runs.append(name)
         self.do_incrementState()

@@ -190,3 +190,19 @@ def test_table_files(spark, tmp_path):
     assert [(r.uid, r.t) for r in rows] == [("u1", "a b x is y")]
     assert s.cells().where("role = 'DATA'").count() == 3
     assert sinks.store_documents(s).count() == 1
+
+
+def test_composite_runs_its_components_with_mapped_instances(spark):
+    text = """inferencepattern a require instance thing = [KINDOF:"cat"] row r=[TABLE:"PARTOF", PART:<p>, WHOLE:"cat"] thing."part" = <p> endinferencepattern
+      inferencepattern b row q=[TABLE:"PARTOF", PART:<p>] println("b " + <p>) endinferencepattern
+      inferencepattern c infpat u = a infpat v = b rowequiv u.r = v.q instmap pet = u.thing musthaveoromit(u.<p> == v.<p>) println("c " + u.<p>) endinferencepattern
+      instance felix = [KINDOF:"cat"]
+      executePattern(c, 0, [pet->felix])"""
+    run = Runtime(spark, store_of(spark), parse(text))
+    assert run.run() == 0
+    assert run.printed == ["b tail", "c tail"] and run.state.instances["felix"].props == {"part": "tail"}
+
+
+def test_missing_part_keeps_condition_open(spark):
+    m = solve(store_of(spark), one('inferencepattern p row *a=[TABLE:"PARTOF", PART:<x>] row b=[UUID:"k1"] musthaveoromit(<x> == "tail") endinferencepattern'))
+    assert {(r.uid_a, r.uid_b) for r in m.collect()} == {("p1", "k1"), (None, "k1")}
