@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import Lexicon, binaries, map_chunks, offsets, prepare, read, save
+from patternloom.llm.common import Lexicon, binaries, chunks, offsets, prepare, read, runs, save
 
 CONTEXT = 4096
 #: Tokens of one shard: its index is built and used in one task.
@@ -19,38 +22,101 @@ END = 2
 TERMS, K1, B = 12, 1.2, 0.75
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces between spaces whose ids a worker remembers.
-PIECES = 300_000
+PIECES = 700_000
+
+
+#: What no plain piece holds: other than visible ASCII and precomposed Latin-1 letters, or the start of a special token. A
+#: plain piece's normal form is its lower case.
+HARD = re.compile("[^\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\\|")
+#: The tokenizer's own cuts, restricted to plain pieces, one on each line.
+CUTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|\n|[^\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def visible_bytes() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is printable, else one beyond."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in keep]
+    return {b: b for b in keep} | {b: 256 + i for i, b in enumerate(rest)} | {10: 10}
+
+
+class Ids:
+    """Token ids of numbered entries, one after another."""
+
+    def __init__(self, kind: type) -> None:
+        self.ids, self.off = np.empty(0, kind), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lens)])
+
+    def of(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries in order, and where each entry's begin, with the end."""
+        n = self.off[index + 1] - self.off[index]
+        at = offsets(n)
+        return self.ids[np.repeat(self.off[index] - at[:-1], n) + np.arange(at[-1])], at
 
 
 class Encoder:
-    """The tokenizer's ids, computed once for each distinct piece between ASCII spaces: no token reaches over a space."""
+    """The tokenizer's ids, computed once for each distinct piece between ASCII spaces: no token reaches over a space.
+
+    Plain pieces are cut here, all new ones at once, and their parts, which many pieces share, go to the tokenizer's model;
+    any other piece goes through the whole tokenizer.
+    """
 
     def __init__(self, name: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are as many as its cores
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.plain = name == TOKENIZER
         self.size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.shown = visible_bytes()
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.ids, self.off = Lexicon(), np.empty(0, np.uint16 if self.size <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
+        self.words, self.ids = Lexicon(), Ids(self.kind)
+        self.parts, self.part_ids = Lexicon(), Ids(self.kind)
+        self.parts["\n"] = 0  # the end of a piece has no ids
+        self.part_ids.add(np.empty(0), np.zeros(1, np.int64))
+
+    def whole(self, pieces: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Ids of new pieces."""
+        lines = b"\n".join(pieces).decode() + "\n"
+        ends = np.cumsum(np.fromiter((len(x) + 1 for x in lines.split("\n")[:-1]), np.int64, len(pieces)))
+        hard = np.unique(np.searchsorted(ends, [m.start() for m in HARD.finditer(lines)], "right")) if self.plain else np.arange(len(pieces))
+        flat = CUTS.findall(lines.lower()) if self.plain else ["\n"] * len(pieces)
+        index = np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
+        if self.parts.fresh:
+            shown = "\n".join(self.parts.fresh).encode().decode("latin-1").translate(self.shown).split("\n")
+            got = [[t.id for t in toks] for toks in map(self.tokenizer.model.tokenize, shown)]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            self.part_ids.add(np.fromiter(itertools.chain.from_iterable(got), self.kind, int(n.sum())), n)
+            self.parts.fresh = []
+        ids, at = self.part_ids.of(index)
+        cut = np.concatenate([[0], at[1:][index == 0]])
+        if len(hard):
+            each = np.split(ids, cut[1:-1])
+            for k, got in zip(hard.tolist(), self.whole([pieces[k] for k in hard]), strict=True):
+                each[k] = np.array(got, self.kind)
+            ids, cut = np.concatenate(each), offsets(np.fromiter(map(len, each), np.int64, len(each)))
+        self.ids.add(ids, np.diff(cut))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array and the number of each text's."""
         if len(self.words) > PIECES:
             self.reset()
-        index, lens = self.words.index([t.split() for t in texts])
+        # normal forms are lower case, but a special token is not
+        index, lens = self.words.index([(t if b"<|" in t else t.lower()).split() for t in texts])
         if self.words.fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in self.words.fresh], add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), self.ids.dtype, int(n.sum()))])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(n)])
+            self.learn(self.words.fresh)
             self.words.fresh = []
-        n = self.off[index + 1] - self.off[index]
-        at = offsets(n)
-        place = np.repeat(self.off[index] - at[:-1], n) + np.arange(at[-1])
-        return self.ids[place], np.diff(at[offsets(lens)])
+        ids, at = self.ids.of(index)
+        return ids, np.diff(at[offsets(lens)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -129,39 +195,34 @@ def fill(lengths: np.ndarray, index: Index, context: int) -> list[tuple[int, int
 
 
 def tokenize(docs: DataFrame, id: str, text: str, name: str) -> DataFrame:
-    """id, tokens (ids as little-endian binary, END added), n: every row of docs; a null text is empty."""
+    """kind 0: id, tokens (ids as little-endian binary, END added), n for every row of docs, a null text being empty.
+    kind 1: id, n, in how many of a task's rows each token id occurs."""
     prepare(docs.sparkSession)
 
-    def once():
+    def run(batches):
         enc = encoder(name)
-
-        def step(t: pa.Table, texts: list[bytes]) -> pa.Table:
+        total = np.zeros(enc.size, np.int64)
+        end = np.array([END], enc.kind).tobytes()
+        for t, texts in chunks(batches, "text"):
             ids, n = enc.encode(texts)
             off = offsets(n)
-            end = np.array([END], ids.dtype).tobytes()
-            return pa.table({"id": t["id"], "n": pa.array(n + 1), "tokens": binaries([ids[a:b].tobytes() + end for a, b in zip(off[:-1], off[1:], strict=True)])})
-
-        return step
+            key = np.sort((np.repeat(np.arange(len(n)), n) << 32) | ids)
+            total += np.bincount(key[runs(key)[:-1]] & 0xFFFFFFFF, minlength=enc.size)
+            total[END] += len(n)
+            raw, w = ids.tobytes(), ids.itemsize
+            tokens = binaries([raw[w * a : w * b] + end for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            yield from pa.table({"id": t["id"], "n": pa.array(n + 1), "tokens": tokens, "kind": pa.array(np.zeros(len(n), np.int32))}).to_batches()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(total[used]), "tokens": pa.nulls(len(used), pa.binary()), "kind": pa.array(np.ones(len(used), np.int32))})
 
-    return map_chunks(docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), "text", None, "id long, n long, tokens binary", once=once)
+    return docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, n long, tokens binary, kind int")
 
 
-def frequencies(tokens: DataFrame, size: int) -> np.ndarray:
+def frequencies(counts: DataFrame, size: int) -> np.ndarray:
     """In how many documents each id occurs: a vector as long as the vocabulary, summed over all documents."""
-    width = 2 if size <= 1 << 16 else 4
-
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for b in batch.column(0).to_pylist():
-                total[np.unique(np.frombuffer(b, f"<u{width}"))] += 1
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(used), "df": pa.array(total[used])})
-
     df = np.zeros(size, np.int64)
-    rows = tokens.select("tokens").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    for r in rows.collect():  # at most a row for each id of the vocabulary
-        df[r.term] = r.df
+    for r in counts.groupBy("id").agg(F.sum("n").alias("df")).collect():  # at most a row for each id of the vocabulary
+        df[r.id] = r.df
     return df
 
 
@@ -176,9 +237,10 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     spark = docs.sparkSession
     size = encoder(tokenizer).size
     width = 2 if size <= 1 << 16 else 4
-    tokens = save(tokenize(docs, id, text, tokenizer), "packing-tokens")
+    both = save(tokenize(docs, id, text, tokenizer), "packing-tokens")
+    tokens = both.where("kind = 0").drop("kind")
     n_docs, n_tokens = tokens.agg(F.count("*"), F.sum("n")).first()
-    df = frequencies(tokens, size)
+    df = frequencies(both.where("kind = 1").select("id", "n"), size)
     idf = np.log(1 + ((n_docs or 0) - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = (n_tokens or 0) / max(n_docs or 0, 1)
     held = spark.sparkContext.broadcast((idf, mean))  # as long as the vocabulary
