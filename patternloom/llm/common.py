@@ -38,12 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+def save(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: later steps start from the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/patternloom/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -119,18 +119,18 @@ def joined_rows(docs: DataFrame, id: str, text: str, k: int, threshold: float) -
                     keys.append(got)
                     rows.append(np.full(len(got), cls[d]))
             whole = pa.array(cls, mask=sizes == 0)
-            yield pa.table({"id": t["id"], "cls": whole, "n": pa.array(sizes.astype(np.int64)), "th": t["th"], "kind": pa.array(np.zeros(len(texts), np.int32))})
-            if keys:
-                c, key = np.concatenate(rows), np.concatenate(keys).view(np.int64)
-                none = pa.nulls(len(c), pa.int64())
-                yield pa.table({"id": pa.array(key), "cls": pa.array(c), "n": none, "th": none, "kind": pa.array(np.ones(len(c), np.int32))})
+            yield pa.table({"id": t["id"], "cls": whole, "n": pa.array(sizes.astype(np.int64)), "th": t["th"], "keys": pa.nulls(len(texts), pa.binary())})
+            if keys:  # all of a chunk in one value, read by itself
+                both = np.stack([np.concatenate(keys).view(np.int64), np.concatenate(rows)])
+                none = pa.nulls(1, pa.int64())
+                yield pa.table({"id": none, "cls": none, "n": none, "th": none, "keys": binaries([both.tobytes()])})
 
         return step
 
     hashed = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    both = save(map_chunks(hashed, "text", None, "id long, cls long, n long, th long, kind int", once=digest_once), "jaccard", by="kind")
-    rows = both.where("kind = 0").drop("kind")
-    keys = both.where("kind = 1").select(F.col("id").alias("key"), "cls")
+    both = save(map_chunks(hashed, "text", None, "id long, cls long, n long, th long, keys binary", once=digest_once), "jaccard")
+    rows = both.where("n is not null").drop("keys")
+    keys = both.where("n is null").select("keys").mapInArrow(unfolded, "key long, cls long")
     cluster = save(components(star_pairs(keys)), "jaccard-clusters")
     classes = rows.where("cls is not null").groupBy(F.col("cls").alias("node")).agg(F.min("id").alias("low"), F.min("th").alias("th"), F.min("n").alias("n"), F.count("*").alias("copies"))
     classes = save(classes, "jaccard-classes")
@@ -164,6 +164,15 @@ def similarity_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     return joined_rows(docs, id, text, k, threshold).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
+def unfolded(batches):
+    """(key, cls) rows of the values in which chunks hold theirs."""
+    for batch in batches:
+        for b in batch.column(0).to_pylist():
+            both = np.frombuffer(b, np.int64).reshape(2, -1)
+            t = pa.table({"key": pa.array(both[0]), "cls": pa.array(both[1])})
+            yield from t.to_batches(max_chunksize=50_000)
+
+
 def star_pairs(keys: DataFrame) -> DataFrame:
     """keys(key, cls) -> (u, v) for every row of a run of equal keys but the first, with the run's first class."""
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -247,7 +247,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     shards = 1 + (n_tokens or 0) // shard_tokens
     # the row's place in the written table parts rows that agree in everything
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64(F.col("id"), F.monotonically_increasing_id()), F.lit(shards)))
-    n = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + shards // 4))  # a task has about four shards at most
     dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "id", "n")
 
     def run(batches):

@@ -137,16 +137,16 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
             block = (task << 24) + number[0]
             number[0] += 1
             words = Block.of(held)
-            rows = [(block, -1, words.pack(), list(ids))]
+            rows = [(block, -1, None, words.pack(), list(ids))]
             w = Windows(words, window)
             for row in range(DEPTH):
                 values, more, _ = marked(w.counters(row, bits))
                 for top, part in slices(values, low):
-                    rows.append((block, (row << 40) + top, squeeze(values[part] & np.uint64((1 << low) - 1), more[part]), None))
+                    rows.append((block, (row << 40) + top, squeeze(values[part] & np.uint64((1 << low) - 1), more[part]), None, None))
             held.clear()
             ids.clear()
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_pydict({"block": pa.array(cols[0], pa.int64()), "slice": pa.array(cols[1], pa.int64()), "blob": pa.array(cols[2], pa.binary()), "ids": pa.array(cols[3], pa.list_(pa.int64())), "kind": pa.array([int(s >= 0) for s in cols[1]], pa.int32())})
+            return pa.RecordBatch.from_pydict({"block": pa.array(cols[0], pa.int64()), "slice": pa.array(cols[1], pa.int64()), "blob": pa.array(cols[2], pa.binary()), "texts": pa.array(cols[3], pa.binary()), "ids": pa.array(cols[4], pa.list_(pa.int64()))})
 
         for batch in batches:
             for i, b in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
@@ -159,8 +159,8 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
         if held:
             yield flush()
 
-    made = save(docs.select(F.col("id").cast("long"), text).mapInArrow(sketch, "block long, slice long, blob binary, ids array<long>, kind int"), "substrings", by="kind")
-    blocks = made.where("kind = 0").select("block", "ids", F.col("blob").alias("texts"))
+    made = save(docs.select(F.col("id").cast("long"), text).mapInArrow(sketch, "block long, slice long, blob binary, texts binary, ids array<long>"), "substrings")
+    blocks = made.where("slice < 0").select("block", "ids", "texts")
 
     def merge(batches):
         for t in by_slice(batches):
@@ -171,7 +171,7 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
             yield from pa.table({"block": t["block"], "slice": t["slice"], "bits": binaries([np.packbits(total[at] > 1).tobytes() for at, _ in got])}).to_batches()
 
     answer = "block long, slice long, bits binary"
-    counted = save(made.where("kind = 1").select("block", "slice", "blob").repartition(n, "slice").sortWithinPartitions("slice", "block").mapInArrow(merge, answer), "substrings-sketch")
+    counted = save(made.where("slice >= 0").select("block", "slice", "blob").repartition(n, "slice").sortWithinPartitions("slice", "block").mapInArrow(merge, answer), "substrings-sketch")
     likely = collected(counted, "sketch")
     shift = 64 - max(0, int(size / 6 / SLICE_HASHES)).bit_length()
 
