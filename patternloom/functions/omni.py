@@ -49,3 +49,13 @@ def omni_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     if residual is not None:
         on = on & residual
     return a.join(b, on).drop("_ka", "_kb", "_k", "_kr")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, least: int = 1) -> DataFrame:
+    """(left_id, right_id, shared): pairs of rows whose word sets have at least `least` words in common.
+
+    An equi-join on single words, counted; words that stand in very many rows dominate its cost, so give content words.
+    """
+    a = left.select(left_id, F.explode(F.array_distinct(left_words)).alias("_w"))
+    b = right.select(right_id, F.explode(F.array_distinct(right_words)).alias("_w"))
+    return a.join(b, "_w").groupBy(left_id, right_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)

@@ -131,9 +131,9 @@ def distractors(candidates: DataFrame, question_words: DataFrame, n: int = 1, sk
     return scored.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).select(question, "uid", "shared")
 
 
-def tfidf(words: DataFrame, doc: str = "doc", word: str = "word") -> DataFrame:
-    """doc, word, weight: tf / log10(1 + df), scaled to unit length for each document."""
-    tf = words.groupBy(doc, word).agg(F.count("*").alias("tf"))
+def tfidf(words: DataFrame, doc: str = "doc", word: str = "word", binary: bool = False) -> DataFrame:
+    """doc, word, weight: tf / log10(1 + df), scaled to unit length for each document. binary counts a word once."""
+    tf = words.groupBy(doc, word).agg((F.lit(1) if binary else F.count("*")).alias("tf"))
     df = tf.groupBy(word).agg(F.count("*").alias("df"))
     w = tf.join(df, word).select(doc, word, (F.col("tf") / F.log10(1 + F.col("df"))).alias("w"))
     norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

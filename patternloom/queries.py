@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from patternloom.functions import annotate as A
 from patternloom.functions import scalar as S
-from patternloom.functions.omni import omni_join
+from patternloom.functions.omni import omni_join, overlap_join
 from patternloom.operators import closure, evaluation
 from patternloom.plans.compile import solve
 from patternloom.plans.parser import parse
@@ -215,13 +215,13 @@ def kind_of_semi_join(spark, d):
 
 
 @query("generate_rows_dedupe", """
-WITH have AS (SELECT DISTINCT lower(p_brand) AS b, lower(p_type) AS t FROM part WHERE p_partkey % 2 = 0)
-SELECT DISTINCT lower(p_brand) AS brand, lower(p_type) AS type FROM part WHERE p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM have WHERE b = lower(p_brand) AND t = lower(p_type))""")
+WITH have AS (SELECT DISTINCT lower(p_brand) AS b, lower(p_type) AS t FROM part WHERE p_size <= 25)
+SELECT DISTINCT lower(p_brand) AS brand, lower(p_type) AS type FROM part WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM have WHERE b = lower(p_brand) AND t = lower(p_type))""")
 def generate_rows_dedupe(spark, d):
     """Rows are added unless the table has their words already."""
     part, store = read(spark, d, "part"), Store(spark)
-    store.add(from_frame("KIND", part.where("p_partkey % 2 = 0"), "p_partkey", {"BRAND": "p_brand", "TYPE": "p_type"}))
-    got = store.insert("KIND", part.where("p_partkey % 2 = 1").select(F.array(F.lower("p_brand"), F.lower("p_type"), F.lit("")).alias("cells")))
+    store.add(from_frame("KIND", part.where("p_size <= 25"), "p_partkey", {"BRAND": "p_brand", "TYPE": "p_type"}))
+    got = store.insert("KIND", part.where("p_size > 25").select(F.array(F.lower("p_brand"), F.lower("p_type"), F.lit("")).alias("cells")))
     return got.where("added").select(F.col("cells")[0].alias("brand"), F.col("cells")[1].alias("type"))
 
 
@@ -429,10 +429,10 @@ def pattern_suggestions(spark, d):
     return evaluation.suggestions(missing, read(spark, d, "part").select(F.col("p_brand").alias("pattern"), F.col("p_partkey").alias("uid")))
 
 
-@query("leak_check", "SELECT 'q' || o_custkey AS id FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT 'q' || o_custkey FROM orders WHERE o_orderkey % 2 = 1")
+@query("leak_check", "SELECT 'q' || o_custkey AS id FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT 'q' || o_custkey FROM orders WHERE o_orderstatus <> 'O'")
 def leak_check(spark, d):
-    name = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("q"), "o_custkey", F.lit("_ENUM"), "o_orderkey").alias("id"))
-    return evaluation.leaked(name.where("o_orderkey % 2 = 0"), name.where("o_orderkey % 2 = 1"))
+    name = read(spark, d, "orders").select("o_orderstatus", F.concat(F.lit("q"), "o_custkey", F.lit("_ENUM"), "o_orderkey").alias("id"))
+    return evaluation.leaked(name.where("o_orderstatus = 'O'"), name.where("o_orderstatus <> 'O'"))
 
 
 @query("row_text", "SELECT CAST(s_suppkey AS VARCHAR) AS uid, s_name || ' ' || n_name AS row_text FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -468,12 +468,12 @@ def or_options(spark, d):
 
 
 @query("span_segmentation", """
-WITH w AS (SELECT p_partkey, list_filter(string_split(trim(p_name), ' '), lambda x: x <> '') AS w FROM part WHERE p_partkey <= 200)
+WITH w AS (SELECT p_partkey, list_filter(string_split(trim(p_name), ' '), lambda x: x <> '') AS w FROM part)
 SELECT 'p' || p_partkey AS part, array_to_string(w[1:i], ' ') AS a, array_to_string(w[i + 1:], ' ') AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)""")
 def span_segmentation(spark, d):
     """Two variables share a cell in every split."""
     store = Store(spark)
-    store.add(from_frame("PART", read(spark, d, "part").where("p_partkey <= 200").select(F.concat(F.lit("p"), "p_partkey").alias("id"), "p_name"), "id", {"NAME": "p_name"}))
+    store.add(from_frame("PART", read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), "p_name"), "id", {"NAME": "p_name"}))
     p = parse('inferencepattern p row r=[TABLE:"PART", NAME:<a> + <b>] endinferencepattern').patterns[0]
     m = solve(store, p, None)
     return m.select(F.col("uid_r").alias("part"), words(m, "a"), words(m, "b"))
@@ -534,3 +534,11 @@ def catalog_roles(spark, d):
 @query("cells_long_form", "SELECT 'SUPPLIER' AS tbl, 's' || s_suppkey AS uid, 'NAME' AS col, s_name AS text FROM supplier UNION ALL SELECT 'SUPPLIER', 's' || s_suppkey, 'NATION', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def cells_long_form(spark, d):
     return geo_store(spark, d).cells().where("table = 'SUPPLIER' and role = 'DATA'").select(F.col("table").alias("tbl"), "uid", "col", "text")
+
+
+@query("overlap_join", """
+WITH w AS (SELECT DISTINCT item_id, unnest(list_filter(string_split(lower(trim(text)), ' '), lambda x: x <> '')) AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w GROUP BY ALL HAVING count(*) >= 5""")
+def overlap_join_query(spark, d):
+    w = read(spark, d, "benchmark").select("item_id", S.tokens(F.lower("text")).alias("w"))
+    return overlap_join(w.toDF("a", "wa"), w.toDF("b", "wb"), "a", "b", "wa", "wb", 5)

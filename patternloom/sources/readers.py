@@ -94,6 +94,19 @@ def with_category(rows: DataFrame, categories: DataFrame, name: str = "table") -
     return rows.join(categories.withColumnRenamed("name", name), name, "left").withColumn("category", F.coalesce("category", F.lit("UNKNOWN")))
 
 
+def categories(spark: SparkSession, path: str) -> DataFrame:
+    """(name, category) from lines of table name, category; blank lines and those that begin with # are left out."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    return rows.select(F.trim(f[0]).alias("name"), F.coalesce(F.trim(F.try_element_at(f, F.lit(2))), F.lit("UNKNOWN")).alias("category"))
+
+
+def split_questions(df: DataFrame, path: str, n: int, id: str = "question") -> None:
+    """Write questions in files of n, in the order of their ids: a folder for each part."""
+    numbered = df.withColumn("part", F.floor((F.row_number().over(Window.orderBy(id)) - 1) / n))  # a question file is small
+    numbered.write.mode("overwrite").partitionBy("part").json(path)
+
+
 def lemma_dictionary(spark: SparkSession, path: str, limit: int = 200_000) -> F.Column | None:
     """A map column word -> lemma from lines of lemma, word; None for a file of more than limit lines."""
     rows = [r.value.split("\t") for r in spark.read.text(path).limit(limit + 1).collect()]
