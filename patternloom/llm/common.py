@@ -189,9 +189,5 @@ def binaries(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def table(schema: pa.Schema | list, **columns) -> pa.Table:
-    return pa.table(columns)
-
-
 def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
