@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.functions.annotate import annotate, omni_slots, omni_value
+from patternloom.shipping import ship
 
 DATA, FILL, SKIP, DEP, UID = "DATA", "FILL", "SKIP", "DEP", "UID"
 
@@ -89,6 +90,7 @@ class Store:
     """Tables by name, any case; edits replace a table's rows, so earlier DataFrames stay as they were."""
 
     def __init__(self, spark: SparkSession) -> None:
+        ship(spark)
         self.spark, self.tables = spark, {}
 
     def add(self, table: Table) -> None:
