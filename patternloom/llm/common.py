@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternloom.shipping import ship
+
 #: Text that a Python worker holds at once, in bytes; one longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 #: Distinct words that a worker remembers before it starts afresh.
@@ -48,6 +50,7 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of long documents, or of blocks of them, must fit beside the heap."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
 
