@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.blocks import forest, map_blocks, neighbour_blocks
+from patternloom.llm.blocks import forest, grouped, map_blocks, neighbour_blocks
 from patternloom.llm.common import WordHashes, binaries, grams, map_chunks, mix, offsets, prepare, read, runs, save
 from patternloom.llm.components import components
 
@@ -19,6 +20,10 @@ PART_BITS = 1024
 BAND = 1.5
 #: Parts besides those that the pigeonhole needs; each set leaves as many of its emptiest parts unused.
 SPARE = 0.12
+#: Bits at most of the bitmap of wanted texts that tasks get: 16 MB.
+BITMAP_BITS = 27
+#: Classes with an equal key up to which all their pairs are looked at.
+SMALL = 8
 #: Clusters of candidates up to this size are verified in one block.
 WHOLE = 256
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -117,37 +122,56 @@ def joined_rows(docs: DataFrame, id: str, text: str, k: int, threshold: float) -
                 for band in schemes(len(mine), threshold):
                     got = sketch_keys(mine, band, threshold)
                     keys.append(got)
-                    rows.append(np.full(len(got), cls[d]))
+                    rows.append(c)
             whole = pa.array(cls, mask=sizes == 0)
-            yield pa.table({"id": t["id"], "cls": whole, "n": pa.array(sizes.astype(np.int64)), "th": t["th"], "keys": pa.nulls(len(texts), pa.binary())})
-            if keys:  # all of a chunk in one value, read by itself
-                both = np.stack([np.concatenate(keys).view(np.int64), np.concatenate(rows)])
+            yield pa.table({"id": t["id"], "cls": whole, "n": pa.array(sizes.astype(np.int64)), "th": t["th"], "sketch": binaries([parity_sketch(s[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]), "keys": pa.nulls(len(texts), pa.binary())})
+            if keys:  # a chunk's in one value, which is read apart from the rows
+                held = b"".join([np.array([len(keys)], np.int64).tobytes(), np.array(rows, np.int64).tobytes(), np.array([len(x) for x in keys], np.int64).tobytes(), *(x.tobytes() for x in keys)])
                 none = pa.nulls(1, pa.int64())
-                yield pa.table({"id": none, "cls": none, "n": none, "th": none, "keys": binaries([both.tobytes()])})
+                yield pa.table({"id": none, "cls": none, "n": none, "th": none, "sketch": pa.nulls(1, pa.binary()), "keys": binaries([held])})
 
         return step
 
     hashed = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    both = save(map_chunks(hashed, "text", None, "id long, cls long, n long, th long, keys binary", once=digest_once), "jaccard")
-    rows = both.where("n is not null").drop("keys")
+    both = save(map_chunks(hashed, "text", None, "id long, cls long, n long, th long, sketch binary, keys binary", once=digest_once), "jaccard")
+    rows = both.where("n is not null").drop("keys")  # each use reads the columns that it needs
     keys = both.where("n is null").select("keys").mapInArrow(unfolded, "key long, cls long")
-    cluster = save(components(star_pairs(keys)), "jaccard-clusters")
-    classes = rows.where("cls is not null").groupBy(F.col("cls").alias("node")).agg(F.min("id").alias("low"), F.min("th").alias("th"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    classes = rows.where("cls is not null").groupBy(F.col("cls").alias("node")).agg(F.min("id").alias("low"), F.min("th").alias("th"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = save(classes, "jaccard-classes")
-    members = save(cluster.join(classes.drop("low"), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"), "th", "n", "copies"), "jaccard-members")
+    cluster = save(components(likely(candidate_pairs(keys), classes, threshold)), "jaccard-clusters")
+    members = save(cluster.join(classes.select("node", "th", "n", "copies"), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"), "th", "n", "copies"), "jaccard-members")
     sizes = members.groupBy("grp").agg(F.count("*").alias("rows"))
     banded = members.join(sizes, "grp").withColumn("band", F.when(F.col("rows") <= WHOLE, F.lit(0)).otherwise(F.floor(F.log(F.col("n") + 0.0) / F.lit(-math.log(threshold)) + 1e-9)).cast("int"))
     blocks = neighbour_blocks(banded.select("grp", "band", "id", "copies"), WHOLE)
     found = save(verify(hashed, members.select("th", "id"), blocks, k, bound), "jaccard-links")
     linked = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("deg").alias("deg"))
-    named = classes.join(linked, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("node", "low", "copies").join(linked, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = save(named.join(low, "component").select(F.col("node").alias("cls"), "component", "component_id", (F.col("copies") - 1 + F.coalesce("deg", F.lit(0))).alias("n_links")), "jaccard-named")
     out = rows.join(named, "cls", "left")
     return out.select("id", "th", "n", "component", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """One parity bit for each 2**k places that shingles hash to, with at least as many places as shingles."""
+    m = 1 << max(6, (len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((mix(shingles ^ np.uint64(_ODD[1])) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Different bits of two sketches, the longer folded to the shorter: at most the sets' symmetric difference."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = len(a), len(b)
+    while n > m:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & (1 << 8 * n) - 1)
+    while m > n:
+        m //= 2
+        y = (y >> 8 * m) ^ (y & (1 << 8 * m) - 1)
+    return (x ^ y).bit_count()
+
+
 def similarity_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs(id, text) -> id, n_shingles, component_id, n_links: one row per row of docs.
 
@@ -156,10 +180,11 @@ def similarity_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     similarity of their sets is at least threshold; equal sets always do. component_id is the smallest id reachable,
     null only where no row of the component has an id. Repeated rows are rows of their own.
 
-    Rows are first reduced to classes of equal sets, so copies cost nothing further. Sketch parts meet by sorting; each
-    run of equal parts links its members to one of them, and the components of that graph are the candidate clusters.
-    All pairs of a cluster are verified exactly on the shingle sets, in blocks of bounded size; only as many links as
-    connect the rows leave a block.
+    Rows are first reduced to classes of equal sets, so copies cost nothing further. Sketch parts meet by sorting. Pairs
+    with an equal part whose whole sketches differ in more bits than similar sets differ in shingles are dropped; classes
+    that share a part with very many others are linked to one of those. The components of what is left are the candidate
+    clusters, and all pairs of a cluster are verified exactly on the shingle sets, in blocks of bounded size; only as many
+    links as connect the rows leave a block.
     """
     return joined_rows(docs, id, text, k, threshold).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
@@ -168,41 +193,116 @@ def unfolded(batches):
     """(key, cls) rows of the values in which chunks hold theirs."""
     for batch in batches:
         for b in batch.column(0).to_pylist():
-            both = np.frombuffer(b, np.int64).reshape(2, -1)
-            t = pa.table({"key": pa.array(both[0]), "cls": pa.array(both[1])})
+            n = int(np.frombuffer(b, np.int64, 1)[0])
+            cls, lens = np.frombuffer(b, np.int64, 2 * n, 8).reshape(2, n)
+            t = pa.table({"key": pa.array(np.frombuffer(b, np.int64, -1, 8 + 16 * n)), "cls": pa.array(np.repeat(cls, lens))})
             yield from t.to_batches(max_chunksize=50_000)
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """keys(key, cls) -> (u, v) for every row of a run of equal keys but the first, with the run's first class."""
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """keys(key, cls) -> (u, v, hub): pairs of classes with an equal key.
+
+    A run of up to SMALL classes gives all its pairs. A longer one links each class to its first (hub true), which keeps
+    the run together: such a link stands for pairs that it doesn't name, so it mustn't be dropped.
+    """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartition(n, "key").sortWithinPartitions("key", "cls")
 
+    def pairs(k: np.ndarray, c: np.ndarray, long: np.ndarray | None):
+        """Of whole runs; long, the key of a run whose former part was long."""
+        edge = runs(k)
+        size = np.diff(edge)
+        first = edge[:-1]
+        many = size > SMALL
+        if long is not None and len(first) and k[0] == long[0]:
+            many[0] = True
+        u, v, hub = [], [], []
+        for g in range(2, SMALL + 1):
+            at = first[~many & (size == g)]
+            if len(at):
+                x, y = np.triu_indices(g, 1)
+                u.append(c[(at[:, None] + y).ravel()])
+                v.append(c[(at[:, None] + x).ravel()])
+                hub.append(np.zeros(len(u[-1]), bool))
+        for a, n in zip(first[many].tolist(), size[many].tolist(), strict=True):
+            u.append(c[a + 1 : a + n])
+            v.append(np.full(n - 1, c[a]))
+            hub.append(np.ones(n - 1, bool))
+        if u:
+            rows = np.stack([np.concatenate(u), np.concatenate(v), np.concatenate(hub).astype(np.int64)], axis=1)
+            rows = rows[np.lexsort(rows.T[::-1])]
+            rows = rows[runs(rows)[:-1]]
+            yield pa.RecordBatch.from_pydict({"u": rows[:, 0].copy(), "v": rows[:, 1].copy(), "hub": rows[:, 2] > 0})
+
     def run(batches):
-        key = hub = last = None
+        held, long = np.empty((0, 2), np.int64), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edge = runs(k)
-            n = np.diff(edge)
-            first = c[edge[:-1]].copy()
-            if key is not None and k[0] == key:
-                first[0] = hub
-            hubs = np.repeat(first, n)
-            fresh = hubs != c
-            fresh[1:] &= (c[1:] != c[:-1]) | (k[1:] != k[:-1])
-            if key == k[0] and last == c[0]:
-                fresh[0] = False
-            key, hub, last = k[-1], first[-1], c[-1]
-            u, v = c[fresh], hubs[fresh]
-            if len(u):
-                order = np.lexsort((v, u))
-                rows = np.stack([u[order], v[order]], axis=1)
-                rows = rows[runs(rows)[:-1]]
-                yield pa.RecordBatch.from_pydict({"u": rows[:, 0].copy(), "v": rows[:, 1].copy()})
-
-    return dealt.mapInArrow(run, "u long, v long")
+            rows = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
+            rows = rows[runs(rows)[:-1]]  # a class may stand in a run more than once
+            last = np.searchsorted(rows[:, 0], rows[-1, 0])
+            yield from pairs(rows[:last, 0], rows[:last, 1], long)
+            held = rows[last:]
+            if len(held) > SMALL:  # the run goes on by its first class
+                yield from pairs(held[:, 0], held[:, 1], held[0])
+                held, long = held[:1], held[0]
+            elif long is not None and held[0, 0] != long[0]:
+                long = None
+        if len(held):
+            yield from pairs(held[:, 0], held[:, 1], long)
+
+    found = dealt.mapInArrow(run, "u long, v long, hub boolean")
+    return found.groupBy("u", "v").agg(F.max("hub").alias("hub"))
+
+
+def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of pairs, without those whose sizes or sketches show that they differ too much."""
+    pairs = save(pairs, "jaccard-pairs")
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    named = pairs.where("not hub").join(side("u"), "u").join(side("v"), "v")
+    sized = named.where(F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v") - 1e-6)
+
+    def near(batches):
+        for batch in batches:
+            t = batch.to_pydict()
+            ok = [hamming(a, b) <= budget(min(x, y), threshold) for a, b, x, y in zip(t["s_u"], t["s_v"], t["n_u"], t["n_v"], strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+    kept = sized.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(near, "u long, v long")
+    return kept.unionByName(pairs.where("hub").select("u", "v"))
+
+
+def wanted(hashes: DataFrame):
+    """A test of a column of hashes that holds for all of hashes(th) and few others: a bitmap of bounded size.
+
+    What passes it still has to be joined; what fails need not be moved. With more hashes than bits it passes most.
+    """
+    spark = hashes.sparkSession
+    each = save(hashes.select("th").distinct(), "wanted")
+    bits = min(BITMAP_BITS, max(16, (16 * each.count()).bit_length()))
+    low = min(bits, 20)
+    place = F.pmod(F.xxhash64("th"), F.lit(1 << bits))
+    rows = each.select((place / (1 << low)).cast("long").alias("slice"), F.pmod(place, F.lit(1 << low)).alias("at"))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").sortWithinPartitions("slice")
+
+    def draw(batches):
+        for t in grouped(batches, ["slice"]):
+            part = np.zeros(1 << low, bool)
+            part[t["at"].to_numpy()] = True
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([t["slice"][0].as_py()], pa.int64()), "bits": binaries([np.packbits(part).tobytes()])})
+
+    whole = np.zeros((1 << bits - low, (1 << low) // 8), np.uint8)
+    for r in dealt.mapInArrow(draw, "slice long, bits binary").toLocalIterator():  # 2**bits bits at most
+        whole[r.slice] = np.frombuffer(r.bits, np.uint8)
+    held = spark.sparkContext.broadcast(whole.ravel())
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((held.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return lambda th: test(F.pmod(F.xxhash64(th), F.lit(1 << bits)))
 
 
 def verify(hashed: DataFrame, need: DataFrame, blocks: DataFrame, k: int, bound: int) -> DataFrame:
@@ -222,7 +322,7 @@ def verify(hashed: DataFrame, need: DataFrame, blocks: DataFrame, k: int, bound:
         return step
 
     # as many rows as there are candidates: never a side to broadcast
-    texts = hashed.select("th", "text").join(need.hint("shuffle_merge"), "th")
+    texts = hashed.select("th", "text").where(wanted(need)("th")).join(need.hint("shuffle_merge"), "th")
     sets = map_chunks(texts, "text", None, "id long, shingles binary", once=sets_once).dropDuplicates(["id"])
 
     def compare(t: pa.Table, side: np.ndarray, across: bool) -> pa.Table | None:
@@ -265,13 +365,20 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5
     """docs with one row of each group of similar rows: the one with the smallest id. Rows without words all stay."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     links = joined_rows(docs, id, text, k, threshold)
+    links = save(links.where("component is not null").select("id", "th", "component"), "jaccard-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    best = links.where("component is not null").groupBy("component").agg(F.min(order).alias("b")).select(F.xxhash64("b.id", "b.th").alias("_row"))
-    named = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    named = named.withColumn("_row", F.xxhash64(F.col(f"`{id}`").cast("long"), "_th"))
-    words = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    kept = named.where(words).join(best.distinct(), "_row").dropDuplicates(["_row"])  # repeated rows too are one group
-    return kept.select(*own).unionByName(named.where(~words).select(*own))
+    groups = links.groupBy("component").agg(F.min(order).alias("b"), F.count("*").alias("rows"))
+    best = groups.where("rows > 1").select(F.xxhash64("b.id", "b.th").alias("_row")).distinct()
+    crowded = links.join(groups.where("rows > 1"), "component")
+    rows = crowded.select(F.xxhash64("id", "th").alias("_row")).distinct()
+    given = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = docs.withColumn("_th", F.xxhash64(given)).withColumn("_row", F.xxhash64(F.col(f"`{id}`").cast("long"), "_th"))
+    named = named.withColumn("_near", wanted(crowded.select("th"))("_th"))
+    # most rows are in no group and stay where they are
+    verdict = rows.join(best.withColumn("_best", F.lit(True)), "_row", "left").select("_row", F.coalesce("_best", F.lit(False)).alias("_best"))
+    some = named.where("_near").join(verdict, "_row", "left")  # without a verdict a row is in no group
+    kept = some.where("_best").dropDuplicates(["_row"])  # repeated rows too are one group
+    return named.where("not _near").select(*own).unionByName(some.where("_best is null").select(*own)).unionByName(kept.select(*own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

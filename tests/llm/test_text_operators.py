@@ -319,3 +319,29 @@ def test_substrings(spark, monkeypatch, window):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == substring_brute(rows, window)
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert op8.dedup_substrings(frame(spark, [])).count() == 0
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (10, 70), (300, 280), (500, 4000)):
+        a, b = (np.unique(rng.integers(0, 5000, k)).astype(np.uint64) for k in (n, m))
+        assert op2.hamming(op2.parity_sketch(a), op2.parity_sketch(b)) <= len(np.setxor1d(a, b))
+        assert op2.hamming(op2.parity_sketch(a), op2.parity_sketch(a)) == 0
+
+
+def test_runs_of_equal_keys_stay_together(spark):
+    rng = random.Random(7)
+    rows = [(k, c) for k in range(40) for c in rng.sample(range(1000), rng.choice([1, 2, 3, 8, 9, 30]))] + [(99, c) for c in range(2000)] * 2
+    got = op2.candidate_pairs(spark.createDataFrame(rows, "key long, cls long")).collect()
+    groups = {}
+    for k, c in set(rows):
+        groups.setdefault(k, set()).add(c)
+    assert len({(r.u, r.v) for r in got}) == len(got) and all(r.u != r.v for r in got)
+    links = {frozenset((r.u, r.v)) for r in got}
+    for g in groups.values():
+        if len(g) <= op2.SMALL:
+            assert all(frozenset((a, b)) in links for a in g for b in g if a < b)
+        else:
+            assert all(frozenset((min(g), c)) in links for c in g if c != min(g))
