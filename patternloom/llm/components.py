@@ -12,22 +12,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges(u, v) -> (node, component), component being the smallest node reachable; u = v and nulls are ignored.
 
     Alternating large-star and small-star steps: each round hangs every node under the smallest neighbour known, so the
-    number of rounds follows the logarithm of the longest path, and no step gathers a component in one place. Minima are
-    taken with partial aggregation; the joins on a node with very many neighbours are ordinary skewed joins, which
-    adaptive execution splits. Every round is written to the shared folder.
+    number of rounds follows the logarithm of the longest path, and no step gathers a component in one place. The edges
+    of one node pass through one task, as two numbers each, in sorted order. Every round is written to the shared folder.
     """
+    few = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)  # edges are small beside what they come from
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = save(e, "edges")
+    e = save(e.coalesce(few), "edges")
     seen = None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # one shuffle serves both a node's minimum and the join with it
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition("u")
         # every edge now points from a node to a smaller one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = save(small.where("u <> v").distinct(), "edges")
+        e = save(small.where("u <> v").distinct().coalesce(few), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
