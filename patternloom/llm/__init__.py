@@ -1,0 +1 @@
+"""Operators for training corpora. Nothing else in the library imports this subpackage."""

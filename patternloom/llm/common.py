@@ -7,6 +7,9 @@ same schema.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,9 +23,9 @@ from pyspark.sql import functions as F
 from patternloom.shipping import ship
 
 #: Text that a Python worker holds at once, in bytes; one longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Distinct words that a worker remembers before it starts afresh.
-LEXICON_WORDS = 300_000
+LEXICON_WORDS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +58,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
 
 
+def tidy() -> None:
+    """Give memory back: a worker outlives its task, and the next one may be of another kind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Batches joined until they hold limit bytes of text: the table and its texts as UTF-8."""
     held: list[pa.RecordBatch] = []
@@ -90,6 +101,8 @@ def map_chunks(df: DataFrame, text: str, fn: Callable[[pa.Table, list[bytes]], p
             out = step(table, texts)
             for t in [out] if isinstance(out, pa.Table) else out:
                 yield from t.to_batches(max_chunksize=20_000)
+        step = table = texts = out = t = None
+        tidy()
 
     return df.mapInArrow(run, schema)
 

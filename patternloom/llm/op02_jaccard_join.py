@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.llm.blocks import forest, grouped, map_blocks, neighbour_blocks
-from patternloom.llm.common import WordHashes, binaries, grams, map_chunks, mix, offsets, prepare, read, runs, save
+from patternloom.llm.common import WordHashes, binaries, grams, map_chunks, mix, offsets, prepare, read, runs, save, tidy
 from patternloom.llm.components import components
 
 #: Bits of one part of a sketch. Only its fingerprint is kept, so that width costs nothing.
@@ -251,6 +251,7 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
                 long = None
         if len(held):
             yield from pairs(held[:, 0], held[:, 1], long)
+        tidy()
 
     found = dealt.mapInArrow(run, "u long, v long, hub boolean")
     return found.groupBy("u", "v").agg(F.max("hub").alias("hub"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import Lexicon, binaries, chunks, offsets, prepare, read, runs, save
+from patternloom.llm.common import Lexicon, binaries, chunks, offsets, prepare, read, runs, save, tidy
 
 CONTEXT = 4096
 #: Tokens of one shard: its index is built and used in one task.
@@ -212,7 +212,9 @@ def tokenize(docs: DataFrame, id: str, text: str, name: str) -> DataFrame:
             raw, w = ids.tobytes(), ids.itemsize
             tokens = binaries([raw[w * a : w * b] + end for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
             yield from pa.table({"id": t["id"], "n": pa.array(n + 1), "tokens": tokens, "kind": pa.array(np.zeros(len(n), np.int32))}).to_batches()
+            t = texts = ids = key = raw = tokens = None
         used = np.flatnonzero(total)
+        tidy()
         yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(total[used]), "tokens": pa.nulls(len(used), pa.binary()), "kind": pa.array(np.ones(len(used), np.int32))})
 
     return docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, n long, tokens binary, kind int")
@@ -289,6 +291,8 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
         if shard is not None:
             close(sequence)
             yield emit()
+        _encoders.clear()  # no other stage cuts tokens
+        tidy()
 
     packed = dealt.select("id", "shard", "tokens").mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long")
     return packed.withColumnRenamed("id", id)
