@@ -22,7 +22,7 @@ END = 2
 TERMS, K1, B = 12, 1.2, 0.75
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces between spaces whose ids a worker remembers.
-PIECES = 700_000
+PIECES = 600_000
 
 
 #: What no plain piece holds: other than visible ASCII and precomposed Latin-1 letters, or the start of a special token. A
@@ -253,6 +253,8 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "id", "n")
 
     def run(batches):
+        _encoders.clear()  # a worker that cut tokens cuts no more
+        tidy()
         idf, mean = held.value
         shard, out, tails, sequence = None, [], [], 0
 
@@ -291,7 +293,6 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
         if shard is not None:
             close(sequence)
             yield emit()
-        _encoders.clear()  # no other stage cuts tokens
         tidy()
 
     packed = dealt.select("id", "shard", "tokens").mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long")
