@@ -18,8 +18,8 @@ CONTEXT = 4096
 #: Tokens of one shard: its index is built and used in one task.
 SHARD_TOKENS = 1_000_000
 END = 2
-#: Terms of a query, BM25's k1 and b, and documents with a term beyond which only its rarer half of postings is scored.
-TERMS, K1, B = 12, 1.2, 0.75
+#: BM25's k1 and b.
+K1, B = 1.2, 0.75
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces between spaces whose ids a worker remembers.
 PIECES = 600_000
@@ -128,31 +128,40 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+def weighted(tokens: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms and their BM25 weights, with corpus-wide document frequencies."""
+    terms, tf = np.unique(tokens, return_counts=True)
+    return terms, (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / max(mean, 1)))).astype(np.float32)
+
+
 class Index:
-    """BM25 over the documents of a shard, with corpus-wide document frequencies."""
+    """BM25 over the documents of a shard."""
 
     def __init__(self, tokens: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        n = len(tokens)
-        lens = np.array([len(t) for t in tokens])
-        doc = np.repeat(np.arange(n), lens)
-        key = np.sort((np.concatenate(tokens).astype(np.int64) if n else np.zeros(0, np.int64)) * n + doc)
-        key, tf = np.unique(key, return_counts=True)
-        term, self.doc = key // max(n, 1), key % max(n, 1)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.doc] / max(mean, 1)))
-        self.weight = weight.astype(np.float32)
-        self.begin = np.searchsorted(term, np.arange(len(idf) + 1))
-        order = np.lexsort((-self.weight, self.doc))  # each document's terms, heaviest first
-        self.terms, self.at = term[order], np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.score = np.zeros(n, np.float32)
+        bags = [weighted(t, idf, mean) for t in tokens]
+        self.at = offsets(np.array([len(t) for t, _ in bags], np.int64))
+        self.terms = np.concatenate([t for t, _ in bags]) if bags else np.zeros(0, np.int64)
+        self.asked = np.zeros(len(idf), np.float32)
+        # what is scored: documents that were unused when it was last cut down, their terms and weights
+        self.docs, self.begin, self.held = np.arange(len(bags)), self.at[:-1], self.terms
+        self.weight = np.concatenate([w for _, w in bags]) if bags else np.zeros(0, np.float32)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, best first; ties by place."""
-        self.score[:] = 0
-        for term in self.terms[self.at[seed] : min(self.at[seed] + TERMS, self.at[seed + 1])]:
-            a, b = self.begin[term], self.begin[term + 1]
-            self.score[self.doc[a:b]] += self.weight[a:b]
-        found = np.flatnonzero((self.score > 0) & unused)
-        return found[np.argsort(-self.score[found], kind="stable")]
+        """Unused documents that share a term with the seed, best by all its terms first; ties by place."""
+        keep = unused[self.docs]
+        if 4 * np.count_nonzero(keep) < 3 * len(keep):
+            n = np.diff(np.append(self.begin, len(self.held)))
+            each = np.repeat(keep, n)
+            self.docs, self.begin, self.held, self.weight = self.docs[keep], offsets(n[keep])[:-1], self.held[each], self.weight[each]
+            keep = np.ones(len(self.docs), bool)
+        if not len(self.docs):
+            return self.docs
+        mine = self.terms[self.at[seed] : self.at[seed + 1]]
+        self.asked[mine] = 1
+        score = np.add.reduceat(self.weight * self.asked[self.held], self.begin)
+        self.asked[mine] = 0
+        found = np.flatnonzero((score > 0) & keep)
+        return self.docs[found[np.argsort(-score[found], kind="stable")]]
 
 
 def fill(lengths: np.ndarray, index: Index, context: int) -> list[tuple[int, int, int, int, int]]:
@@ -232,9 +241,9 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     """docs(id, text) -> id, start, length, ids_crc32, doc_tokens, sequence_id, offset, shard: a row for each piece.
 
     Each row of docs, repeated ones included, gives its ids and END to exactly one place each; a null or empty text gives
-    END alone. Documents are dealt to shards by a hash of their ids and places. A shard cuts the whole windows off its
-    long documents and packs what is left of each by retrieval, so it holds less than a window of any document; all its
-    sequences but the last are full. Statistics of terms are those of the whole table.
+    END alone. Documents are dealt to shards by a hash of their ids and places. A shard cuts the whole windows off its long documents and packs what is left of each by retrieval, for
+    which a document counts with all its terms; all its sequences but the last are full. Statistics of terms are those of
+    the whole table.
     """
     spark = docs.sparkSession
     size = encoder(tokenizer).size
@@ -268,10 +277,10 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
             return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(names, rows, strict=True)})
 
         def close(sequence: int) -> None:
-            seqs = [t for _, t, _ in tails]
-            for d, start, length, s, offset in fill(np.array([len(t) for t in seqs], np.int64), Index(seqs, idf, mean), context):
-                i, t, base = tails[d]
-                out.append((i, base + start, length, crc(t[start : start + length]), base + len(t), (shard << 32) + sequence + s, offset, shard))
+            lengths = np.array([len(t) - whole for _, t, whole in tails], np.int64)
+            for d, start, length, s, offset in fill(lengths, Index([t for _, t, _ in tails], idf, mean), context):
+                i, t, whole = tails[d]
+                out.append((i, whole + start, length, crc(t[whole + start : whole + start + length]), len(t), (shard << 32) + sequence + s, offset, shard))
             tails.clear()
 
         for batch in batches:
@@ -287,7 +296,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
                     out.append((i, a, context, crc(t[a : a + context]), len(t), (s << 32) + sequence, 0, s))
                     sequence += 1
                 if whole < len(t):
-                    tails.append((i, t[whole:].copy(), whole))
+                    tails.append((i, t, whole))
             if len(out) > 10_000:
                 yield emit()
         if shard is not None:

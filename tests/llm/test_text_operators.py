@@ -184,6 +184,23 @@ def test_retrieval_fills_windows_with_neighbours():
     assert order.index(2) == 1 and abs(order.index(1) - order.index(3)) == 1
 
 
+def test_all_terms_of_a_seed_find_neighbours():
+    import numpy as np
+
+    seed = np.arange(40)
+    seqs = [seed, np.array([90, 91, 92]), np.array([39, 39, 38, 95])]  # the last shares only the seed's lightest terms
+    idf = np.linspace(4, 1, 100).astype(np.float32)
+    assert op3.Index(seqs, idf, 20.0).neighbours(0, np.array([False, True, True])).tolist() == [2]
+
+
+def test_a_long_document_counts_with_all_its_terms(spark):
+    head, tail = "volcano magma basalt " * 100, "the of and " * 10
+    rows = [(0, head + tail), *((i, "the of and " * 9) for i in range(1, 9)), (9, "volcano magma basalt " * 9)]
+    got = op3.pack(frame(spark, rows), context=256).orderBy("sequence_id", "offset").collect()
+    at = max(k for k, r in enumerate(got) if r.doc_id == 0)
+    assert 0 < got[at].length < 256 and got[at + 1].doc_id == 9
+
+
 # 4
 
 def toxic_rows():
