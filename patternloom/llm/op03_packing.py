@@ -1,4 +1,4 @@
-"""Lexical retrieval packing: sharded BM25 indexes give each seed its unused neighbours, which fill its window."""
+"""Lexical retrieval packing: BM25 indexes of shards dealt by content give each seed its unused neighbours, which fill its window."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ SHARD_TOKENS = 1_000_000
 END = 2
 #: BM25's k1 and b.
 K1, B = 1.2, 0.75
+#: Dimensions of a document's sketch, and the documents sampled for each shard (and at least) to lay out the shards.
+DIMS, SAMPLED, LEAST = 64, 24, 2_000
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces between spaces whose ids a worker remembers.
 PIECES = 600_000
@@ -164,6 +166,72 @@ class Index:
         return self.docs[found[np.argsort(-score[found], kind="stable")]]
 
 
+class Sketcher:
+    """A document's weighted terms, projected to DIMS dimensions: related documents have sketches of like direction."""
+
+    def __init__(self, idf: np.ndarray, mean: float) -> None:
+        self.idf, self.mean = idf, mean
+        self.axes = np.random.default_rng(3).standard_normal((len(idf), DIMS), np.float32)
+
+    def of(self, tokens: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(tokens), DIMS), np.float32)
+        for k, t in enumerate(tokens):
+            terms, w = weighted(t, self.idf, self.mean)
+            out[k] = w @ self.axes[terms]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Layout:
+    """Shards by content: a tree of cuts across the widest direction of the sketches, each in proportion to its shards.
+
+    Documents that no cut parts (copies) and fill more than a shard are dealt over its shards by a hash.
+    """
+
+    def __init__(self, x: np.ndarray, n: np.ndarray, shards: int) -> None:
+        """x, n: sketches and tokens of sampled documents."""
+        self.shards = 0
+        axis, cut, sides, leaves = [], [], [], []
+
+        def grow(at: np.ndarray, k: int) -> int:
+            """The number of a node, or of a leaf as -1 - its number."""
+            if k > 1 and len(at) > 1:
+                mid = x[at] - x[at].mean(axis=0)
+                d = mid[np.argmax((mid**2).sum(axis=1))]
+                for _ in range(10):
+                    d = mid.T @ (mid @ d)
+                    d = d / max(float(np.linalg.norm(d)), 1e-12)
+                p = np.round(x[at] @ d, 4)  # copies agree, however their products are rounded
+                order = np.argsort(p, kind="stable")
+                total = np.cumsum(n[at][order])
+                values = np.unique(p)
+                if len(values) > 1:
+                    v = min(int(np.searchsorted(values, p[order[np.searchsorted(total, total[-1] * (k // 2) / k)]])), len(values) - 2)
+                    right = p > values[v]
+                    share = float(n[at][right].sum() / total[-1])
+                    me = len(axis)
+                    axis.append(d)
+                    cut.append((values[v] + values[v + 1]) / 2)
+                    sides.append([0, 0])
+                    sides[me][0] = grow(at[~right], max(1, round(k * (1 - share))))
+                    sides[me][1] = grow(at[right], max(1, round(k * share)))
+                    return me
+            leaves.append((self.shards, k))
+            self.shards += k
+            return -len(leaves)
+
+        self.root = grow(np.arange(len(x)), shards)
+        self.axis, self.cut, self.sides = np.array(axis, np.float32).reshape(-1, DIMS), np.array(cut), np.array(sides, np.int64).reshape(-1, 2)
+        self.leaves = np.array(leaves, np.int64)
+
+    def shard(self, x: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+        node = np.full(len(x), self.root)
+        while len(at := np.flatnonzero(node >= 0)):
+            k = node[at]
+            node[at] = self.sides[k, ((x[at] * self.axis[k]).sum(axis=1) > self.cut[k]).astype(np.int64)]
+        first, parts = self.leaves[-1 - node].T
+        return first + dealt % parts
+
+
 def fill(lengths: np.ndarray, index: Index, context: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset): windows are filled with a seed and its unused neighbours.
 
@@ -237,11 +305,30 @@ def frequencies(counts: DataFrame, size: int) -> np.ndarray:
     return df
 
 
+def lay_out(placed: DataFrame, idf: np.ndarray, mean: float, n_docs: int, shards: int, width: int) -> Layout:
+    """The shards by the sketches of SAMPLED documents for each, chosen by hash."""
+    if shards == 1:
+        return Layout(np.zeros((0, DIMS), np.float32), np.zeros(0), 1)
+
+    def run(batches):
+        sketcher = Sketcher(idf, mean)
+        for batch in batches:
+            x = sketcher.of([np.frombuffer(b, f"<u{width}") for b in batch.column("tokens").to_pylist()])
+            yield pa.RecordBatch.from_pydict({"n": batch.column("n"), "x": binaries([v.tobytes() for v in x])})
+        tidy()
+
+    part = min(1.0, max(SAMPLED * shards, LEAST) / max(n_docs, 1))
+    rows = placed.where(F.pmod("dealt", F.lit(1 << 30)) < int(part * (1 << 30))).select("n", "tokens").mapInArrow(run, "n long, x binary").collect()  # SAMPLED rows of 4 * DIMS bytes for each shard
+    rows.sort()
+    return Layout(np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, DIMS), np.array([r.n for r in rows], np.float64), shards)
+
+
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, context: int = CONTEXT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """docs(id, text) -> id, start, length, ids_crc32, doc_tokens, sequence_id, offset, shard: a row for each piece.
 
     Each row of docs, repeated ones included, gives its ids and END to exactly one place each; a null or empty text gives
-    END alone. Documents are dealt to shards by a hash of their ids and places. A shard cuts the whole windows off its long documents and packs what is left of each by retrieval, for
+    END alone. Documents are dealt to shards of about shard_tokens by their content, so that neighbours meet whatever the
+    number of shards. A shard cuts the whole windows off its long documents and packs what is left of each by retrieval, for
     which a document counts with all its terms; all its sequences but the last are full. Statistics of terms are those of
     the whole table.
     """
@@ -254,17 +341,29 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizer: str
     df = frequencies(both.where("kind = 1").select("id", "n"), size)
     idf = np.log(1 + ((n_docs or 0) - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean = (n_tokens or 0) / max(n_docs or 0, 1)
-    held = spark.sparkContext.broadcast((idf, mean))  # as long as the vocabulary
-    shards = 1 + (n_tokens or 0) // shard_tokens
     # the row's place in the written table parts rows that agree in everything
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64(F.col("id"), F.monotonically_increasing_id()), F.lit(shards)))
+    placed = tokens.select("id", "n", "tokens", F.xxhash64(F.col("id"), F.monotonically_increasing_id()).alias("dealt"))
+    layout = lay_out(placed, idf, mean, n_docs or 0, 1 + (n_tokens or 0) // shard_tokens, width)
+    shards = layout.shards
+    held = spark.sparkContext.broadcast((idf, mean, layout))  # as long as the vocabulary, and a sketch for each shard
+
+    def deal(batches):
+        idf, mean, layout = held.value
+        sketcher = Sketcher(idf, mean)
+        for batch in batches:
+            h = batch.column("dealt").to_numpy(zero_copy_only=False)
+            x = sketcher.of([np.frombuffer(b, f"<u{width}") for b in batch.column("tokens").to_pylist()])
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": batch.column("n"), "tokens": batch.column("tokens"), "shard": pa.array(layout.shard(x, h), pa.int64())})
+        tidy()
+
+    dealt = placed.mapInArrow(deal, "id long, n long, tokens binary, shard long") if shards > 1 else placed.withColumn("shard", F.lit(0).cast("long"))
     n = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + shards // 4))  # a task has about four shards at most
     dealt = dealt.repartition(n, "shard").sortWithinPartitions("shard", "id", "n")
 
     def run(batches):
         _encoders.clear()  # a worker that cut tokens cuts no more
         tidy()
-        idf, mean = held.value
+        idf, mean, _ = held.value
         shard, out, tails, sequence = None, [], [], 0
 
         def crc(a: np.ndarray) -> int:

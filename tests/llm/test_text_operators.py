@@ -201,6 +201,17 @@ def test_a_long_document_counts_with_all_its_terms(spark):
     assert 0 < got[at].length < 256 and got[at + 1].doc_id == 9
 
 
+def test_neighbours_meet_at_every_number_of_shards(spark):
+    rng = random.Random(12)
+    topics = [[f"{c}{d}{e}" for c in a for d in "aeiou" for e in "rstn"] for a in ("bcdf", "ghjk", "lmpq", "vwxz")]
+    rows = [(i, " ".join(rng.choice(topics[i % 4]) for _ in range(60))) for i in range(400)]
+    shards = {}
+    for r in op3.pack(frame(spark, rows), context=256, shard_tokens=8000).collect():
+        shards.setdefault(r.shard, []).append(r.doc_id % 4)
+    assert len(shards) >= 4
+    assert sum(max(Counter(x).values()) for x in shards.values()) > 0.8 * sum(map(len, shards.values()))
+
+
 # 4
 
 def toxic_rows():
