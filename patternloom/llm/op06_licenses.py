@@ -1,4 +1,4 @@
-"""License scans: rarest licence words of a text look up templates by relative position; key phrases decide."""
+"""License scans: each template's rarest key word looks up its places, all words around vote by relative position; key phrases decide."""
 
 from __future__ import annotations
 
@@ -28,22 +28,18 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("spdx", "spdx license identifier", "spdx license identifier"),
 )
-#: Rarest licence words of a text that are looked up, and the part of those that a template place must gather.
-RAREST, VOTES = 8, 2
+#: Places of a template that are compared at once.
+PLACES = 1_000
 
 
 class Rules:
-    """Word numbers, phrases, and the postings of each licence word: templates and positions in them."""
+    """Word numbers, phrases and templates."""
 
     def __init__(self) -> None:
         self.ids: dict[bytes, int] = {}
         number = lambda s: np.array([self.ids.setdefault(w.encode(), len(self.ids) + 1) for w in s.split()])
         self.base = [(number(p), label) for p, label in PHRASES]
         self.templates = [(label, number(t), number(key)) for label, t, key in TEMPLATES]
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in range(len(self.ids) + 1)]
-        for n, (_, words, _) in enumerate(self.templates):
-            for place, w in enumerate(words.tolist()):
-                self.postings[w].append((n, place))
 
 
 def numbered(rules: Rules, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +53,11 @@ def numbered(rules: Rules, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, lens
 
 
-def places(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    at = np.flatnonzero(words[: len(words) - 64] == phrase[0])
-    for j, w in enumerate(phrase[1:], 1):
+def places(words: np.ndarray, phrase: np.ndarray, first: int = 0) -> np.ndarray:
+    """Where the phrase starts; its word at first is looked up, the others are compared there."""
+    at = np.flatnonzero(words[: len(words) - 64] == phrase[first]) - first
+    at = at[at >= 0]
+    for j, w in enumerate(phrase):
         at = at[words[at + j] == w]
     return at
 
@@ -91,9 +89,9 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, dict[i
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __words, __base (places of base phrases), __first, __last, __base_labels, __labels and __score.
 
-    A null or empty text has no words and no labels. A text's licence words with the highest inverse document frequency
-    vote for template places relative to their own; a template whose best place gathers enough votes is told if its key
-    phrase stands there, and scores the part of its words that agree at that place.
+    A null or empty text has no words and no labels. Every place of a template's key phrase in the whole text, looked up by
+    the phrase's word with the highest inverse document frequency, tells its label. All words around vote for the places of
+    the template that hold the phrase; it scores the part of its words that agree at the best of them.
     """
     count, df = document_frequency(docs, text)
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema if not f.name.startswith("__")]
@@ -104,27 +102,17 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         for w in range(1, len(idf)):
             idf[w] = np.log((count + 1) / (df.get(w, 0) + 1))
 
-        def method(words: np.ndarray, a: int, b: int) -> dict[str, float]:
-            mine = words[a:b]
-            at = np.flatnonzero(mine)
-            kinds = np.unique(mine[at])
-            rare = kinds[np.argsort(-idf[kinds], kind="stable")[:RAREST]]
-            votes: dict[tuple[int, int], int] = {}
-            for p in at[np.isin(mine[at], rare)].tolist():
-                for n, q in rules.postings[mine[p]]:
-                    votes[n, p - q] = votes.get((n, p - q), 0) + 1
-            out: dict[str, float] = {}
-            for (n, base), v in votes.items():
-                label, t, key = rules.templates[n]
-                if v < min(VOTES, len(t)):
-                    continue
-                low, high = max(base, 0), min(base + len(t), b - a)
-                span = mine[low:high]
-                found = next((i for i in range(len(span) - len(key) + 1) if (span[i : i + len(key)] == key).all()), None)
-                if found is None:
-                    continue
-                score = float((span == t[low - base : high - base]).sum()) / len(t)
-                out[label] = max(out.get(label, 0.0), score)
+        rarest = [int(np.argmax(idf[key])) for _, _, key in rules.templates]
+
+        def scores_of(words: np.ndarray, off: np.ndarray, doc: np.ndarray, at: np.ndarray, t: np.ndarray, key: np.ndarray) -> np.ndarray:
+            """The best part of t's words that agree where the key phrase at each place is within t; texts end at their bounds."""
+            out = np.empty(len(at))
+            shift = np.arange(len(key) - len(t), 1)[:, None] + np.arange(len(t))
+            for k in range(0, len(at), PLACES):
+                d = doc[k : k + PLACES]
+                p = at[k : k + PLACES, None, None] + shift
+                inside = (p >= off[d][:, None, None]) & (p < off[d + 1][:, None, None])
+                out[k : k + PLACES] = ((words[np.clip(p, 0, len(words) - 1)] == t) & inside).sum(axis=2).max(axis=1) / len(t)
             return out
 
         def step(t: pa.Table, texts: list[bytes]) -> pa.Table:
@@ -141,13 +129,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 np.maximum.at(last, doc, at - off[doc])
                 for d in set(doc.tolist()):
                     base[d].add(label)
-            every = np.flatnonzero(words[:-64])
-            doc, licensed = np.unique(np.searchsorted(off, every, "right") - 1, return_counts=True)
             labels, scores = [set(x) for x in base], np.array([1.0 if x else 0.0 for x in base])
-            for d in doc[licensed >= 2].tolist():
-                for label, value in method(words, off[d], off[d + 1] - 1).items():
+            for (label, t_words, key), r in zip(rules.templates, rarest, strict=True):
+                at = places(words, key, r)
+                doc = np.searchsorted(off, at, "right") - 1
+                np.maximum.at(scores, doc, scores_of(words, off, doc, at, t_words, key))
+                for d in np.unique(doc).tolist():
                     labels[d].add(label)
-                    scores[d] = max(scores[d], value)
             none = total == 0
             for name, column in (("__words", pa.array(lens)), ("__base", pa.array(total)), ("__first", pa.array(first, mask=none)), ("__last", pa.array(last, mask=none)), ("__base_labels", pa.array([",".join(sorted(x)) for x in base])), ("__labels", pa.array([",".join(sorted(x)) for x in labels])), ("__score", pa.array(np.clip(scores, 0, 1)))):
                 t = t.append_column(name, column)

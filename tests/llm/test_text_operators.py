@@ -327,6 +327,16 @@ def test_licenses(spark):
     assert op6.scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_of_every_notice(spark):
+    t = {label: words for label, words, _ in op6.TEMPLATES if words != "released under the mit license"}
+    loose = " waived word redistribution word affero word hereby word mozilla word unencumbered word sharealike word spdx word isc word" * 200
+    rows = [(1, f"{t['mit']} and so on {t['bsd']}"), (2, loose + " released under the MIT license" + loose), (3, " ".join(t.values())), (4, loose), (5, "mit license"), (6, "mit"), (7, "license")]
+    got = {r.doc_id: r for r in op6.scan(frame(spark, rows)).collect()}
+    assert got[1]["__labels"] == "bsd,mit" and got[2]["__labels"] == "mit" and got[4]["__labels"] == "" == got[6]["__labels"]
+    assert got[1]["__score"] == got[2]["__score"] == 1.0 and got[5]["__score"] == 0.4
+    assert set(t) <= set(got[3]["__labels"].split(","))
+
+
 # 8
 
 def substring_brute(rows, window):
