@@ -18,13 +18,34 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the run of 20 or more that AKIA[A-Z0-9]+ takes
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE = ("assign", "access", "hex")
-#: Kinds besides: spans of the method's own, where no base kind has the same span.
+#: The lines that open and close a private key.
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
+#: What a key's body holds at least; and the body, after header lines, of a key whose end is missing.
+BODY = re.compile(r"[A-Za-z0-9+/=]{16}")
+CUT_BODY = re.compile(r"(?:\s*\n[A-Za-z0-9-]+: [^\n]*)*(?:\s+[A-Za-z0-9+/]{32,}={0,2})+(?:\s+[A-Za-z0-9+/]+={1,2})?")
+#: Kinds besides: spans of the method's own, where no base kind has the same span. Keys are found by their marks.
 MORE = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{16,8192}-----END [A-Z ]{0,40}PRIVATE KEY-----)?")),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("forge", re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})")),
 )
-KINDS = BASE + tuple(k for k, _ in MORE)
+KINDS = (*BASE, "pem", *(k for k, _ in MORE))
+
+
+def private_keys(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, value): from each opening line to the closing line of its name, whatever is between; its value is the
+    body without spaces. A key cut off before its closing line goes as far as its body; without a body it is none."""
+    if "PRIVATE KEY-----" not in text:
+        return []
+    out, marks = [], list(MARK.finditer(text))
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        if m[1] == "END":
+            continue
+        whole = after is not None and after[1] == "END" and after[2] == m[2]
+        if whole and BODY.search(text, m.end(), after.start()):
+            out.append((m.start(), after.end(), "".join(text[m.end() : after.start()].split())))
+        elif not whole and (body := CUT_BODY.match(text, m.end())):
+            out.append((m.start(), body.end(), "".join(body[0].split())))
+    return out
 
 
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
@@ -36,7 +57,8 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    for n, (_, pattern) in enumerate(MORE, len(BASE)):
+    out += [(a, len(BASE), b, value) for a, b, value in private_keys(text)]
+    for n, (_, pattern) in enumerate(MORE, len(BASE) + 1):
         out += [(m.start(), n, m.end(), m[0]) for m in pattern.finditer(text)]
     out.sort()
     return out

@@ -310,6 +310,20 @@ def test_secrets(spark):
     assert op5.scan(docs.limit(0)).count() == 0
 
 
+def test_private_keys_are_masked_whole(spark):
+    rng = random.Random(13)
+    line = lambda: "".join(rng.choice("ABCDEFGHxyz0189+/") for _ in range(64))
+    head, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----"
+    locked = lambda: head + "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,12AB\n\n" + "\n".join(line() for _ in range(12)) + "\n" + end
+    long = lambda: head + "\n".join(line() for _ in range(300)) + "\n" + end
+    copied = locked()
+    rows = [(i, f"a {locked()} b {long()} c", f"o{i}") for i in range(4)] + [(10 + i, f"a {copied} b", f"o{i}") for i in range(3)]
+    rows += [(20, f"a {head} b", "o0"), (21, f"a {head}{line()}\n{line()}", "o0"), (22, f"{head}; {end}", "o0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {i: "a <secret> b <secret> c" for i in range(4)} | {10 + i: rows[4][1] for i in range(3)} | {20: rows[7][1], 21: "a <secret>", 22: rows[9][1]}
+    assert {r.doc_id: r.text for r in op5.mask_live(docs).collect()} == want
+
+
 # 6
 
 def test_licenses(spark):
