@@ -10,7 +10,7 @@ from collections import ChainMap
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.functions.omni import omni_text
@@ -97,8 +97,8 @@ def compare(op: str, a: Dual, b: Dual) -> bool | None:
 class Runtime:
     """Runs a program over a store. states is the log of snapshots; the last is the current one."""
 
-    def __init__(self, spark: SparkSession, store: Store, program: Program, output: str | None = None, time_limit: float | None = None) -> None:
-        self.spark, self.store, self.program, self.output = spark, store, program, output
+    def __init__(self, spark: SparkSession, store: Store, program: Program, output: str | None = None, time_limit: float | None = None, lemmas: Column | None = None) -> None:
+        self.spark, self.store, self.program, self.output, self.lemmas = spark, store, program, output, lemmas
         self.patterns = {p.name: p for p in program.patterns}
         if len(self.patterns) < len(program.patterns):
             raise ScriptError("two patterns have the same name")
@@ -147,7 +147,7 @@ class Runtime:
         order = list(dict.fromkeys(x for n in (names or self.patterns) for x in self.required(n)))
         for n in order:
             self.tick()
-            self.matches[n] = solve(self.store, self.patterns[n], self.max_matches, solved=self.matches).cache()
+            self.matches[n] = solve(self.store, self.patterns[n], self.max_matches, self.lemmas, solved=self.matches).cache()
 
     def tick(self) -> None:
         if self.ends and time.monotonic() > self.ends:
@@ -492,7 +492,7 @@ class Runtime:
         sinks.write_matches_html(self.path(name, "matches.html"), self.found(), self.store)
 
     def do_exportInfPatDebugHTML(self, name: str | None) -> None:
-        sinks.write_matches_html(self.path(name, "debug.html"), self.found(), self.store)
+        sinks.write_candidates_html(self.path(name, "debug.html"), self.found(), self.store, self.lemmas)
 
     def do_exportTableStoreHTML(self, name: str | None) -> None:
         sinks.write_store_html(self.path(name, "tables.html"), self.store)
@@ -542,10 +542,11 @@ def enumerate_patterns(spark: SparkSession, store: Store, program: Program, max_
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Command line: --script, --tablestoreIndex, --outputPath, --timeLimit, --twolineHeader."""
+    """Command line: --script, --tablestoreIndex, --outputPath, --timeLimit, --twolineHeader, --lemmas."""
     import argparse
 
     from patternloom.plans.parser import load
+    from patternloom.sources.readers import lemma_dictionary
     from patternloom.sources.tablestore import load_store
 
     a = argparse.ArgumentParser(prog="patternloom")
@@ -554,9 +555,10 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--outputPath")
     a.add_argument("--timeLimit", type=float)
     a.add_argument("--twolineHeader", action="store_true")
+    a.add_argument("--lemmas")
     args = a.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    run = Runtime(spark, load_store(spark, args.tablestoreIndex, args.twolineHeader), load(args.script), args.outputPath, args.timeLimit)
+    run = Runtime(spark, load_store(spark, args.tablestoreIndex, args.twolineHeader), load(args.script), args.outputPath, args.timeLimit, lemma_dictionary(spark, args.lemmas) if args.lemmas else None)
     code = run.run()
     print("\n".join(run.printed))
     return code

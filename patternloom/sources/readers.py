@@ -108,10 +108,10 @@ def split_questions(df: DataFrame, path: str, n: int, id: str = "question") -> N
 
 
 def lemma_dictionary(spark: SparkSession, path: str, limit: int = 200_000) -> F.Column | None:
-    """A map column word -> lemma from lines of lemma, word; None for a file of more than limit lines."""
+    """A map column word -> lemma from lines of lemma, word; None for a file without any, an error beyond limit lines."""
     rows = [r.value.split("\t") for r in spark.read.text(path).limit(limit + 1).collect()]
     if len(rows) > limit:
-        return None
+        raise ValueError(f"{path}: a lemma dictionary of more than {limit} lines is not supported")
     pairs = {w.strip().lower(): lemma.strip() for lemma, w, *_ in (r for r in rows if len(r) >= 2)}
     return F.map_from_arrays(F.lit(list(pairs)), F.lit(list(pairs.values()))) if pairs else None
 

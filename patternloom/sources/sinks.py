@@ -13,6 +13,7 @@ from patternloom.functions.omni import omni_text
 from patternloom.plans.ast import Pattern
 from patternloom.sources.tablestore import DATA, FILL, Store, sanitise
 
+#: Solutions of a pattern on a page.
 HTML_ROWS = 200
 
 
@@ -75,24 +76,58 @@ def html_table(header: list[str], rows: list[list]) -> str:
     return "<table border=1><tr>" + "".join(cell("th", h) for h in header) + "</tr>" + "".join("<tr>" + "".join(cell("td", x) for x in r) + "</tr>" for r in rows) + "</table>"
 
 
+def solutions(pattern: Pattern, matches: DataFrame, store: Store, limit: int) -> str:
+    rows = [json.loads(r.json) for r in match_documents(pattern, matches.limit(limit), store).orderBy("_id").collect()]
+    return "".join(html_table(["slot", "uid", "text"], [[s["rowSlotName"], s["uuid"], s["rowText"]] for s in r["slots"]]) + html_table(["variable", "value"], [[v["name"], v["value"]] for v in r["variables"]]) for r in rows)
+
+
 def write_matches_html(path: str, found: list[tuple[Pattern, DataFrame]], store: Store, limit: int = HTML_ROWS) -> None:
     """The first solutions of each pattern as tables of slots and variables."""
-    body = []
-    for p, m in found:
-        rows = [json.loads(r.json) for r in match_documents(p, m.limit(limit), store).orderBy("_id").collect()]
-        body.append(f"<h2>{html.escape(p.name)}</h2><p>{html.escape(p.description)}</p>")
-        body += [html_table(["slot", "uid", "text"], [[s["rowSlotName"], s["uuid"], s["rowText"]] for s in r["slots"]]) + html_table(["variable", "value"], [[v["name"], v["value"]] for v in r["variables"]]) for r in rows]
+    body = [f"<h2>{html.escape(p.name)}</h2><p>{html.escape(p.description)}</p>" + solutions(p, m, store, limit) for p, m in found]
     Path(path).write_text(page("Solutions", "".join(body)), encoding="utf-8")
 
 
-def write_store_html(path: str, store: Store, mode: str = "RAW", limit: int = HTML_ROWS) -> None:
-    """The first rows of each table. mode: RAW, WORDS, LEMMAS, TWORDS or TLEMMAS."""
+def stream_table(out, header: list[str], rows: DataFrame) -> None:
+    """Every row of a table, one after another into an open file."""
+    head, foot = html_table(header, []), "</table>"
+    out.write(head.removesuffix(foot))
+    for r in rows.toLocalIterator():
+        out.write(html_table([], [list(r)]).removeprefix("<table border=1><tr></tr>").removesuffix(foot))
+    out.write(foot)
+
+
+def write_candidates_html(path: str, found: list[tuple[Pattern, DataFrame]], store: Store, lemmas: F.Column | None = None, limit: int = HTML_ROWS) -> None:
+    """For each pattern every row that fits a slot by itself with the slot's variables, then the first solutions."""
+    from patternloom.plans.compile import candidates, lowered
+
+    start, end = page("Candidates", "\0").split("\0")
+    text = store.rows().select("uid", "row_text")
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write(start)
+        for p, m in found:
+            out.write(f"<h2>{html.escape(p.name)}</h2>")
+            for k, slot in enumerate(p.slots):
+                c = candidates(store, lowered(slot, p.constants), k, lemmas=lemmas)
+                rows = c.rows.join(text.withColumnRenamed("uid", f"s{k}_uid"), f"s{k}_uid", "left")
+                out.write(f"<h3>Candidates of {html.escape(slot.name)}</h3>")
+                stream_table(out, ["uid", "text", "relaxed", *(o.var for o in c.occurrences)], rows.select(f"s{k}_uid", "row_text", f"s{k}_relaxed", *(omni_text(F.col(o.column)) for o in c.occurrences)))
+            out.write(solutions(p, m, store, limit))
+        out.write(end)
+
+
+def write_store_html(path: str, store: Store, mode: str = "RAW") -> None:
+    """All rows of each table. mode: RAW, WORDS, LEMMAS, TWORDS or TLEMMAS."""
     from patternloom.functions.annotate import annotate
 
     name = {"WORDS": "word", "LEMMAS": "lemma", "TWORDS": "tword", "TLEMMAS": "tlemma"}.get(mode.upper())
     shown = lambda i: F.element_at("cells", i + 1) if name is None else F.array_join(F.transform(annotate(F.element_at("cells", i + 1), content_only=False), lambda ts: F.array_join(F.transform(ts, lambda x: x[name]), " ")), " ; ")
-    body = [f"<h2>{html.escape(t.name)}</h2>" + html_table(t.header, [list(r) for r in t.rows.select(*(shown(i).alias(f"c{i}") for i in range(len(t.header)))).limit(limit).collect()]) for t in store.tables.values()]
-    Path(path).write_text(page("Tables", "".join(body)), encoding="utf-8")
+    start, end = page("Tables", "\0").split("\0")
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write(start)
+        for t in store.tables.values():
+            out.write(f"<h2>{html.escape(t.name)}</h2>")
+            stream_table(out, t.header, t.rows.select(*(shown(i).alias(f"c{i}") for i in range(len(t.header)))))
+        out.write(end)
 
 
 def write_states_html(path: str, states: list[dict]) -> None:

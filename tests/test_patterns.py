@@ -161,6 +161,31 @@ def test_script(spark, tmp_path):
     assert run.states_frame().where("state_idx = 0 and property = 'temperature'").first().value == "38"
 
 
+def test_exports_hold_every_row(spark, tmp_path):
+    store = Store(spark)
+    store.add(from_rows(spark, "PARTOF", ["PART", "WHOLE", "[SKIP] UID"], [[f"part{i}", "<whole>", f"p{i}"] for i in range(450)]))
+    text = """inferencepattern p row a=[TABLE:"PARTOF", PART:<x>, WHOLE:<y>] row b=[TABLE:"PARTOF", PART:<y>, WHOLE:<z>] endinferencepattern
+      populateInfPatMatches exportTableStoreHTML() exportInfPatDebugHTML()"""
+    Runtime(spark, store, parse(text), str(tmp_path)).run()
+    tables, debug = ((tmp_path / f).read_text() for f in ("tables.html", "debug.html"))
+    assert all(f"<td>part{i}</td>" in tables for i in range(450)) and tables.count("<tr>") == 451 and "&lt;whole&gt;" in tables
+    assert all(debug.count(f"<td>p{i}</td>") == 2 for i in range(450)) and tables.endswith("</html>")
+
+
+def test_a_lemma_dictionary_is_used_or_refused(spark, tmp_path):
+    from patternloom.sources.readers import lemma_dictionary
+
+    (tmp_path / "lemmas.txt").write_text("lemma\tword\ntree\tarbor\n")
+    with pytest.raises(ValueError, match="not supported"):
+        lemma_dictionary(spark, str(tmp_path / "lemmas.txt"), limit=1)
+    store = Store(spark)
+    store.add(from_rows(spark, "PARTOF", ["PART", "WHOLE", "[SKIP] UID"], [["leaf", "arbor", "p1"], ["tree", "wood", "p2"]]))
+    text = 'inferencepattern p row a=[TABLE:"PARTOF", PART:<x>, WHOLE:<y>] row b=[TABLE:"PARTOF", PART:<y>, WHOLE:<z>] endinferencepattern populateInfPatMatches'
+    run = Runtime(spark, store, parse(text), lemmas=lemma_dictionary(spark, str(tmp_path / "lemmas.txt")))
+    run.run()
+    assert [(r.uid_a, r.uid_b) for r in run.matches["p"].collect()] == [("p1", "p2")]
+
+
 def test_failed_answer(spark):
     assert Runtime(spark, store_of(spark), parse("verifyAnswer(1 == 2)")).run() == -10
 
