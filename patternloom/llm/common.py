@@ -2,7 +2,7 @@
 
 Row-level contract used everywhere: a null text counts as empty, repeated rows are rows of their own, columns that an
 operator does not name are passed on or left out, never interpreted, and an empty table gives an empty result with the
-same schema.
+same schema. Operators that return their input's columns work under neutral names, so no name can clash.
 """
 
 from __future__ import annotations
@@ -48,7 +48,28 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/patternloom/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*saved: DataFrame) -> None:
+    """Delete the files of saved tables that no later result reads."""
+    for df in saved:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def neutral(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1 ... by place; .toDF(*docs.columns) gives them their names back."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def neutral_name(docs: DataFrame, name: str) -> str:
+    """What neutral() calls a column: the one of exactly this name, else of this name in other case."""
+    cols = docs.columns
+    return f"c{cols.index(name) if name in cols else [c.lower() for c in cols].index(name.lower())}"
 
 
 def prepare(spark: SparkSession) -> None:

@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import ALNUM, map_chunks, offsets, prepare, read, runs, save
+from patternloom.llm.common import ALNUM, map_chunks, neutral, neutral_name, offsets, prepare, read, runs, save
 
 WINDOW = 13
 #: Bytes of benchmark text that are searched in one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
-#: Word ids are packed three to a 64-bit key.
+#: Word ids are packed three to a 64-bit key; two where one item alone has more different words than fit.
 BITS, PER_KEY = 21, 3
+WIDE_BITS, WIDE_PER_KEY = 31, 2
 FOUND = "__words long, __spans array<int>, __items array<string>, __longest struct<length:int,item_id:string,item_start:int,doc_start:int>"
 
 
@@ -26,8 +27,9 @@ class Suffixes:
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         self.window, self.ids = window, {}
         self.names = [name for name, _ in items]
+        self.rank = np.unique(np.array([n.encode() for n in self.names] or [b""], object), return_inverse=True)[1]
         rows = [[self.ids.setdefault(w, len(self.ids) + 1) for w in text.translate(ALNUM).split()] for _, text in items]
-        assert len(self.ids) < 1 << BITS, "BLOCK_BYTES holds too many different words"
+        self.bits, self.per_key = (BITS, PER_KEY) if len(self.ids) < 1 << BITS else (WIDE_BITS, WIDE_PER_KEY)
         self.len = np.array([len(r) for r in rows], np.int64)
         self.off = offsets(self.len + 1)  # a zero, which is no word, ends each item
         self.words = np.zeros(int(self.off[-1]) + window, np.int64)
@@ -46,24 +48,29 @@ class Suffixes:
         self.first = runs(grid)  # origins of distinct window q: first[q] to first[q + 1]
         self.grid = grid[self.first[:-1]]
         self.size = (self.grid > 0).sum(axis=1)
-        top = np.where(self.grid > 0, self.grid, (1 << BITS) - 1)
-        self.low, self.high = pack(self.grid), pack(top)
+        top = np.where(self.grid > 0, self.grid, (1 << self.bits) - 1)
+        self.low, self.high = self.pack(self.grid), self.pack(top)
         self.begin = np.zeros(1 << 20, bool)
         self.begin[pair(self.grid[:, 0], self.grid[:, 1] if window > 1 else 0 * self.grid[:, 0])] = True
         self.single = np.zeros(len(self.ids) + 1, bool)
         self.single[self.grid[self.size == 1, 0]] = True
 
+    def pack(self, grid: np.ndarray) -> list[np.ndarray]:
+        """Rows of word ids as few 64-bit keys, which sort like the rows."""
+        grid = np.pad(grid, ((0, 0), (0, -grid.shape[1] % self.per_key)))
+        out = []
+        for j in range(0, grid.shape[1], self.per_key):
+            key = grid[:, j]
+            for k in range(1, self.per_key):
+                key = (key << self.bits) | grid[:, j + k]
+            out.append(key)
+        return out
+
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * 0x9E3779B1 + b * 0x85EBCA77) >> 7 & (1 << 20) - 1
 
 
-def pack(grid: np.ndarray) -> list[np.ndarray]:
-    pad = -grid.shape[1] % PER_KEY
-    grid = np.pad(grid, ((0, 0), (0, pad)))
-    return [(grid[:, j] << 2 * BITS) | (grid[:, j + 1] << BITS) | grid[:, j + 2] for j in range(0, grid.shape[1], PER_KEY)]
-
-
 def bisect(key: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
     """For each query the insertion place of want in its own slice low:high of key."""
     low, high = low.copy(), high.copy()
@@ -90,7 +97,7 @@ def search(s: Suffixes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(at) or not len(s.grid):
         return nothing, nothing
     padded = np.append(words, np.zeros(s.window + PER_KEY, np.int64))
-    keys = pack(padded[at[:, None] + np.arange(s.window)])
+    keys = s.pack(padded[at[:, None] + np.arange(s.window)])
     order = np.lexsort(keys[::-1])
     array, keys = at[order], [k[order] for k in keys]
     edges = []
@@ -156,16 +163,17 @@ def scan(s: Suffixes, texts: list[bytes], before: dict | None) -> dict[str, list
     if len(at):
         place, row, length = longest(s, words, at, which)
         d = np.searchsorted(off, place, "right") - 1
-        order = np.lexsort((s.at[row], place, -length, d))
+        item = s.owner[row]
+        order = np.lexsort((s.at[row] - s.off[item], s.rank[item], place, -length, d))
         for i in order[runs(d[order])[:-1]].tolist():
-            k, o = int(d[i]), int(s.owner[row[i]])
+            k, o = int(d[i]), int(item[i])
             best[k] = {"length": int(length[i]), "item_id": s.names[o], "item_start": int(s.at[row[i]] - s.off[o]), "doc_start": int(place[i] - off[k])}
     for k in range(len(texts)):
         mine, names, top = spans.get(k, []), {s.names[i] for i in items.get(k, ())}, best.get(k)
         if before:
             mine, names = joined(before["__spans"][k], mine), names | set(before["__items"][k])
             old = before["__longest"][k]
-            top = max((x for x in (old, top) if x), key=lambda x: x["length"], default=None)
+            top = min((x for x in (old, top) if x), key=lambda x: (-x["length"], x["doc_start"], x["item_id"], x["item_start"]), default=None)
         out["__words"].append(int(lens[k]))
         out["__spans"].append(mine)
         out["__items"].append(sorted(names))
@@ -188,7 +196,8 @@ _ready: dict[str, Suffixes] = {}
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __words, __spans (hit word spans), __items (ids as strings) and __longest (longest verbatim match).
+    """docs with __words, __spans (hit word spans), __items (ids as strings) and __longest (longest verbatim match: of equal
+    ones the first in the document, then of the first item by name, then the first in the item).
 
     A null text or item text has no words; an item without an id is named "". A shard is what a task holds at once; the
     benchmark goes to all tasks in blocks of bounded size, one pass over the documents for each.
@@ -236,16 +245,21 @@ def contaminated() -> F.Column:
     return (hit_words() > 0) & (20 * hit_words() >= F.col("__words"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return find_matches(docs, benchmark, **options).where(~contaminated()).select(*(F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")))
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, with their own columns, whatever these are called."""
+    plain = neutral(docs)
+    found = find_matches(plain, benchmark, neutral_name(docs, text), **options)
+    return found.where(~contaminated()).select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    longest = F.col("__longest")
     return found.select(
         "doc_id", F.col("__words").alias("n_words"), hit_words().alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+        F.coalesce(longest["length"].cast("long"), F.lit(0).cast("long")).alias("longest_words"), longest["item_id"].alias("longest_item"),
+        longest["item_start"].cast("long").alias("longest_item_start"), longest["doc_start"].cast("long").alias("longest_doc_start"),
     )
 
 

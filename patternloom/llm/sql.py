@@ -16,10 +16,18 @@ place AS (
   FROM (SELECT doc_id, w, l, unnest(range(len(w) - l + 1)) AS i FROM d, lens WHERE len(w) >= l)),
 hit AS (SELECT place.doc_id, win.item_id, place.i, place.l FROM place JOIN win ON place.g = win.g AND place.l = win.l),
 words AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
+grams AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, least(len(w), 13) AS l, j, array_to_string(list_slice(w, j + 1, j + 13), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(greatest(1, len(w) - 12))) AS j FROM b WHERE len(w) > 0)),
+pairs AS (SELECT DISTINCT place.doc_id, grams.item, place.i, grams.j, place.l FROM place JOIN grams ON place.g = grams.g AND place.l = grams.l),
+stretch AS (SELECT doc_id, item, min(i) AS i, min(j) AS j, any_value(l) + count(*) - 1 AS n FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS block FROM pairs) GROUP BY doc_id, item, i - j, block),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i, item, j) AS k FROM stretch) WHERE k = 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items.names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(items.names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(d.w) AS contaminated,
+  CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_words, longest.item AS longest_item, CAST(longest.j AS BIGINT) AS longest_item_start, CAST(longest.i AS BIGINT) AS longest_doc_start
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 JACCARD = rf"""
