@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.llm.blocks import forest, grouped, map_blocks, neighbour_blocks
-from patternloom.llm.common import WordHashes, binaries, grams, map_chunks, mix, offsets, prepare, read, runs, save, tidy
+from patternloom.llm.common import WordHashes, binaries, forget, grams, map_chunks, mix, neutral, neutral_name, offsets, prepare, read, runs, save, tidy
 from patternloom.llm.components import components
 
 #: Bits of one part of a sketch. Only its fingerprint is kept, so that width costs nothing.
@@ -26,6 +26,8 @@ BITMAP_BITS = 27
 SMALL = 8
 #: Clusters of candidates up to this size are verified in one block.
 WHOLE = 256
+#: Keys that a task sorts at once before they are dealt.
+HELD = 1_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -135,10 +137,12 @@ def joined_rows(docs: DataFrame, id: str, text: str, k: int, threshold: float) -
     hashed = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     both = save(map_chunks(hashed, "text", None, "id long, cls long, n long, th long, sketch binary, keys binary", once=digest_once), "jaccard")
     rows = both.where("n is not null").drop("keys")  # each use reads the columns that it needs
-    keys = both.where("n is null").select("keys").mapInArrow(unfolded, "key long, cls long")
+    keys = both.where("n is null").select("keys").mapInArrow(unfolded, "key long, cls long, hub long")
     classes = rows.where("cls is not null").groupBy(F.col("cls").alias("node")).agg(F.min("id").alias("low"), F.min("th").alias("th"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = save(classes, "jaccard-classes")
-    cluster = save(components(likely(candidate_pairs(keys), classes, threshold)), "jaccard-clusters")
+    pairs = save(candidate_pairs(keys), "jaccard-pairs")
+    cluster = save(components(likely(pairs, classes, threshold)), "jaccard-clusters")
+    forget(pairs)
     members = save(cluster.join(classes.select("node", "th", "n", "copies"), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"), "th", "n", "copies"), "jaccard-members")
     sizes = members.groupBy("grp").agg(F.count("*").alias("rows"))
     banded = members.join(sizes, "grp").withColumn("band", F.when(F.col("rows") <= WHOLE, F.lit(0)).otherwise(F.floor(F.log(F.col("n") + 0.0) / F.lit(-math.log(threshold)) + 1e-9)).cast("int"))
@@ -149,6 +153,7 @@ def joined_rows(docs: DataFrame, id: str, text: str, k: int, threshold: float) -
     named = classes.select("node", "low", "copies").join(linked, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     named = save(named.join(low, "component").select(F.col("node").alias("cls"), "component", "component_id", (F.col("copies") - 1 + F.coalesce("deg", F.lit(0))).alias("n_links")), "jaccard-named")
+    forget(cluster, members, found, classes)
     out = rows.join(named, "cls", "left")
     return out.select("id", "th", "n", "component", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
@@ -190,23 +195,49 @@ def similarity_join(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
 
 
 def unfolded(batches):
-    """(key, cls) rows of the values in which chunks hold theirs."""
+    """(key, cls, hub) rows of the values in which chunks hold theirs; hub is null.
+
+    A key that more than SMALL classes of a task share goes on for the first of them alone, to which the others are linked
+    here (rows with hub): a key of very many classes reaches its task as a few rows from each task.
+    """
+
+    def flush(held: list[np.ndarray]):
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[runs(rows)[:-1]]
+        edge = runs(rows[:, 0])
+        size = np.diff(edge)
+        long = np.repeat(size > SMALL, size)
+        head = np.repeat(rows[edge[:-1], 1], size) if len(rows) else rows[:, 1]
+        first = np.zeros(len(rows), bool)
+        first[edge[:-1]] = True
+        tied = long & ~first
+        t = pa.table({"key": pa.array(rows[:, 0].copy()), "cls": pa.array(rows[:, 1].copy()), "hub": pa.array(head.copy(), mask=~tied)})
+        yield from t.to_batches(max_chunksize=50_000)
+
+    held, size = [], 0
     for batch in batches:
         for b in batch.column(0).to_pylist():
             n = int(np.frombuffer(b, np.int64, 1)[0])
             cls, lens = np.frombuffer(b, np.int64, 2 * n, 8).reshape(2, n)
-            t = pa.table({"key": pa.array(np.frombuffer(b, np.int64, -1, 8 + 16 * n)), "cls": pa.array(np.repeat(cls, lens))})
-            yield from t.to_batches(max_chunksize=50_000)
+            held.append(np.stack([np.frombuffer(b, np.int64, -1, 8 + 16 * n), np.repeat(cls, lens)], axis=1))
+            size += len(held[-1])
+            if size > HELD:
+                yield from flush(held)
+                held, size = [], 0
+    if held:
+        yield from flush(held)
+    tidy()
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """keys(key, cls) -> (u, v, hub): pairs of classes with an equal key.
+    """keys(key, cls, hub) -> (u, v, hub): pairs of classes with an equal key. Rows that have a hub are such pairs already.
 
     A run of up to SMALL classes gives all its pairs. A longer one links each class to its first (hub true), which keeps
     the run together: such a link stands for pairs that it doesn't name, so it mustn't be dropped.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(n, "key").sortWithinPartitions("key", "cls")
+    dealt = keys.repartition(n, F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.col("cls"))).sortWithinPartitions("key", "cls")
 
     def pairs(k: np.ndarray, c: np.ndarray, long: np.ndarray | None):
         """Of whole runs; long, the key of a run whose former part was long."""
@@ -237,6 +268,13 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     def run(batches):
         held, long = np.empty((0, 2), np.int64), None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            tied = batch.filter(batch.column(2).is_valid())
+            if tied.num_rows:
+                links = np.unique(np.stack([tied.column(1).to_numpy(), tied.column(2).to_numpy()], axis=1), axis=0)
+                yield pa.RecordBatch.from_pydict({"u": links[:, 0].copy(), "v": links[:, 1].copy(), "hub": np.ones(len(links), bool)})
+                batch = batch.filter(batch.column(2).is_null())
             if not batch.num_rows:
                 continue
             rows = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
@@ -259,7 +297,6 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """(u, v) of pairs, without those whose sizes or sketches show that they differ too much."""
-    pairs = save(pairs, "jaccard-pairs")
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     named = pairs.where("not hub").join(side("u"), "u").join(side("v"), "v")
     sized = named.where(F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v") - 1e-6)
@@ -297,6 +334,7 @@ def wanted(hashes: DataFrame):
     for r in dealt.mapInArrow(draw, "slice long, bits binary").toLocalIterator():  # 2**bits bits at most
         whole[r.slice] = np.frombuffer(r.bits, np.uint8)
     held = spark.sparkContext.broadcast(whole.ravel())
+    forget(each)
 
     @F.pandas_udf("boolean")
     def test(at: pd.Series) -> pd.Series:
@@ -363,23 +401,27 @@ def verify(hashed: DataFrame, need: DataFrame, blocks: DataFrame, k: int, bound:
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one row of each group of similar rows: the one with the smallest id. Rows without words all stay."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    links = joined_rows(docs, id, text, k, threshold)
+    """docs with one row of each group of similar rows: the one with the smallest id. Rows without words all stay.
+
+    All columns of docs are given back as they were, whatever they are called.
+    """
+    plain = neutral(docs)
+    i, t = neutral_name(docs, id), neutral_name(docs, text)
+    links = joined_rows(plain, i, t, k, threshold)
     links = save(links.where("component is not null").select("id", "th", "component"), "jaccard-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     groups = links.groupBy("component").agg(F.min(order).alias("b"), F.count("*").alias("rows"))
-    best = groups.where("rows > 1").select(F.xxhash64("b.id", "b.th").alias("_row")).distinct()
-    crowded = links.join(groups.where("rows > 1"), "component")
-    rows = crowded.select(F.xxhash64("id", "th").alias("_row")).distinct()
-    given = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    named = docs.withColumn("_th", F.xxhash64(given)).withColumn("_row", F.xxhash64(F.col(f"`{id}`").cast("long"), "_th"))
-    named = named.withColumn("_near", wanted(crowded.select("th"))("_th"))
+    best = groups.where("rows > 1").select(F.xxhash64("b.id", "b.th").alias("row")).distinct()
+    crowded = save(links.join(groups.where("rows > 1").select("component"), "component").select("id", "th"), "jaccard-crowded")
     # most rows are in no group and stay where they are
-    verdict = rows.join(best.withColumn("_best", F.lit(True)), "_row", "left").select("_row", F.coalesce("_best", F.lit(False)).alias("_best"))
-    some = named.where("_near").join(verdict, "_row", "left")  # without a verdict a row is in no group
-    kept = some.where("_best").dropDuplicates(["_row"])  # repeated rows too are one group
-    return named.where("not _near").select(*own).unionByName(some.where("_best is null").select(*own)).unionByName(kept.select(*own))
+    rows = crowded.select(F.xxhash64("id", "th").alias("row")).distinct()
+    verdict = rows.join(best.withColumn("best", F.lit(True)), "row", "left").select("row", F.coalesce("best", F.lit(False)).alias("best"))
+    named = plain.withColumn("th", F.xxhash64(F.coalesce(t, F.lit("")))).withColumn("row", F.xxhash64(F.col(i).cast("long"), "th"))
+    named = named.withColumn("near", wanted(crowded)("th"))
+    some = named.where("near").join(verdict, "row", "left")  # without a verdict a row is in no group
+    kept = some.where("best").dropDuplicates(["row"])  # repeated rows too are one group
+    out = named.where("not near").select(*plain.columns).unionByName(some.where("best is null").select(*plain.columns)).unionByName(kept.select(*plain.columns))
+    return out.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

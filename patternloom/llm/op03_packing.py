@@ -130,23 +130,36 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
-def weighted(tokens: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """A document's terms and their BM25 weights, with corpus-wide document frequencies."""
-    terms, tf = np.unique(tokens, return_counts=True)
-    return terms, (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / max(mean, 1)))).astype(np.float32)
+def weighted(tokens: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' terms one after another, where each document's begin (with the end), and their BM25 weights, with
+    corpus-wide document frequencies."""
+    terms, weights, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+    bits = len(idf).bit_length()
+    size = 1 << 32 - bits
+    for a in range(0, len(tokens), size):
+        part = tokens[a : a + size]
+        lens = np.fromiter(map(len, part), np.int64, len(part))
+        key = np.repeat(np.arange(len(part), dtype=np.uint32) << np.uint32(bits), lens)
+        key |= np.concatenate(part).astype(np.uint32)
+        key.sort()
+        edge = runs(key)
+        key = key[edge[:-1]]
+        doc, term, tf = (key >> np.uint32(bits)).astype(np.int64), (key & np.uint32((1 << bits) - 1)).astype(np.int64), np.diff(edge).astype(np.float32)
+        norm = (K1 * (1 - B + B * lens / max(mean, 1))).astype(np.float32)
+        terms.append(term)
+        weights.append(idf[term] * tf * np.float32(K1 + 1) / (tf + norm[doc]))
+        counts.append(np.bincount(doc, minlength=len(part)))
+    return np.concatenate(terms), offsets(np.concatenate(counts)), np.concatenate(weights)
 
 
 class Index:
     """BM25 over the documents of a shard."""
 
     def __init__(self, tokens: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        bags = [weighted(t, idf, mean) for t in tokens]
-        self.at = offsets(np.array([len(t) for t, _ in bags], np.int64))
-        self.terms = np.concatenate([t for t, _ in bags]) if bags else np.zeros(0, np.int64)
+        self.terms, self.at, self.weight = weighted(tokens, idf, mean)
         self.asked = np.zeros(len(idf), np.float32)
         # what is scored: documents that were unused when it was last cut down, their terms and weights
-        self.docs, self.begin, self.held = np.arange(len(bags)), self.at[:-1], self.terms
-        self.weight = np.concatenate([w for _, w in bags]) if bags else np.zeros(0, np.float32)
+        self.docs, self.begin, self.held = np.arange(len(tokens)), self.at[:-1], self.terms
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best by all its terms first; ties by place."""
@@ -175,9 +188,9 @@ class Sketcher:
 
     def of(self, tokens: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(tokens), DIMS), np.float32)
-        for k, t in enumerate(tokens):
-            terms, w = weighted(t, self.idf, self.mean)
-            out[k] = w @ self.axes[terms]
+        terms, at, w = weighted(tokens, self.idf, self.mean)
+        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            out[k] = w[a:b] @ self.axes[terms[a:b]]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 

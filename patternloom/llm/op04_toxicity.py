@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import LEXICON_WORDS, Lexicon, map_chunks, mix, offsets, prepare, read
+from patternloom.llm.common import LEXICON_WORDS, Lexicon, binaries, map_chunks, mix, neutral, neutral_name, offsets, prepare, read, tidy
 
 #: Words of a window and words from one window to the next: every word lies in a window, most in two.
 WIDTH, STRIDE = 40, 28
@@ -84,10 +84,13 @@ def windows(index: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = np.maximum(1, -(-(lens - (WIDTH - STRIDE)) // STRIDE))
     doc = np.repeat(np.arange(len(lens)), n)
     start = (np.arange(len(doc)) - np.repeat(offsets(n)[:-1], n)) * STRIDE
-    place = start[:, None] + np.arange(WIDTH)
-    inside = place < lens[doc][:, None]
-    at = np.where(inside, off[doc][:, None] + place, 0)
-    return np.where(inside, index[at] if len(index) else 0, 0), doc
+    win = np.zeros((len(doc), WIDTH), np.int32)
+    for a in range(0, len(doc) if len(index) else 0, 8192):
+        part = slice(a, a + 8192)
+        place = start[part, None] + np.arange(WIDTH)
+        inside = place < lens[doc[part]][:, None]
+        win[part] = np.where(inside, index[np.where(inside, off[doc[part]][:, None] + place, 0)], 0)
+    return win, doc
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -195,11 +198,11 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
         rng, step = np.random.default_rng(seed), 0
-        epochs = max(epochs, -(-STEPS * BATCH // len(texts)))  # a small sample is gone through more often
+        epochs = max(epochs, -(-STEPS // -(-len(texts) // BATCH)))  # a small sample is gone through more often
         edge = offsets(np.bincount(doc, minlength=len(texts)))
         for epoch in range(epochs):
             x = self.vectors(rows, grams, at)
-            logit = np.concatenate([self.run(x, win[i : i + 8192]) for i in range(0, len(win), 8192)])
+            logit = np.concatenate([self.run(x, win[i : i + 4096]) for i in range(0, len(win), 4096)])
             if epoch == 0:
                 logit = rng.random(len(logit))  # any window to begin with
             top = np.array([a + logit[a:b].argmax() for a, b in zip(edge[:-1], edge[1:], strict=True)])
@@ -263,18 +266,29 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """A network trained on at most `sample` rows of each class, those whose id hashes lowest among the labelled rows
     that are not held out and have at most sample_chars characters. Without labels it stays as it was made, and every
     score is the same low one."""
+    prepare(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~held_out(F.col(id))).select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
     ranked = [usable.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(2 * sample) for y in (0, 1)]
     drawn = ranked[0].unionByName(ranked[1])
     texts = docs.select(F.col(id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= sample_chars)
     both = texts.join(F.broadcast(drawn), "i")  # at most 4 * sample ids
-    rows = both.groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t")).collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.i)), r.i))
-    kept = [r for y in (0, 1) for r in [r for r in rows if r.y == y][:sample]]
+    rows = both.groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t"))
+
+    def train(batches):
+        rows = sorted(((xxhash.xxh64_intdigest(str(i)), i, y, t) for b in batches for i, y, t in zip(*b.to_pydict().values(), strict=True)), key=lambda r: r[:2])
+        kept = [r for y in (0, 1) for r in [r for r in rows if r[2] == y][:sample]]
+        net = Network()
+        if len({r[2] for r in kept}) == 2:
+            net.train([r[3].encode() for r in kept], [r[2] for r in kept])
+            yield pa.RecordBatch.from_pydict({"name": list(net.p), "value": binaries([v.tobytes() for v in net.p.values()])})
+        tidy()
+
     net = Network()
-    if len({r.y for r in kept}) == 2:
-        net.train([r.t.encode() for r in kept], [r.y for r in kept])
-    else:
+    # one task holds the bounded sample; the network it returns has about a megabyte
+    trained = rows.repartition(1).mapInArrow(train, "name string, value binary").collect()
+    for r in trained:
+        net.p[r.name] = np.frombuffer(r.value, np.float32).reshape(net.p[r.name].shape)
+    if not trained:
         net.p["w"][:] = 0
         net.p["b"][:] = -3
     return net
@@ -300,12 +314,12 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     return map_chunks(docs.select(*(F.col(f"`{n}`") for n, _ in fields)), text, None, ", ".join([*(f"`{n}` {t}" for n, t in fields), "score double"]), once=once, limit=2 << 20)
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The documents that score below threshold, with their own columns (a column named score is kept as it was)."""
-    own = docs.columns
-    named = docs.withColumnRenamed("score", "__score") if "score" in own else docs
-    kept = score(named, fit(docs, labels, **options), options.get("text", "text")).where(F.col("score") < threshold).drop("score")
-    return (kept.withColumnRenamed("__score", "score") if "score" in own else kept).select(*(F.col(f"`{c}`") for c in own))
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that score below threshold, with their own columns, whatever these are called."""
+    plain = neutral(docs)
+    i, t = neutral_name(docs, id), neutral_name(docs, text)
+    net = fit(plain.select(F.col(i).alias(id), F.col(t).alias(text)), labels, id, text, **options)
+    return score(plain, net, t).where(F.col("score") < threshold).select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,23 @@
-"""Secret scans: candidates of whole texts, told apart by how many owners and repositories share their value."""
+"""Secret scans: candidates of whole texts, told apart by how many repositories and owners share their value."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import map_chunks, prepare, read, save
+from patternloom.llm.common import map_chunks, neutral, neutral_name, prepare, read, save
 
-#: A value that at least so many different owners hold is an example that was copied, not a credential of any of them.
-EXAMPLE_OWNERS = 3
+#: A value that so many different owners hold is an example that was copied, not a credential of any of them. So is one of
+#: two owners that stands in so many repositories: too widely spread for a credential that two parties share.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
+#: A value in more rows than this, and than a thousandth of all spans, is looked up from a broadcast of at most 1,000 rows.
+HOT = 1_000
 #: The base kinds, in the order of their names in results; matches of assign with a value under 6 characters are dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the run of 20 or more that AKIA[A-Z0-9]+ takes
@@ -68,76 +73,125 @@ def joined(found: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, *_ in found)
 
 
-FOUND = "__n_assign long, __n_access long, __n_hex long, __base string, __spans string, __found array<struct<kind:string,start:int,end:int,value:string>>"
+FOUND = "__row long, __n long, __n_assign long, __n_access long, __n_hex long, __base string, __spans string, __found array<struct<kind:string,start:int,end:int,value:string>>"
+LIVE = "array<struct<start:int,end:int,kind:string>>"
 
 
-def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the spans of every whole text and a hash of each value; the value itself isn't kept."""
+def find_candidates(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with the spans of every whole text and a hash of each value; the value itself isn't kept. __row numbers rows."""
     prepare(docs.sparkSession)
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema if not f.name.startswith("__")]
+    own = [(n, t) for n, t in fields if keep_text or n != text]
 
-    def step(t: pa.Table, texts: list[bytes]) -> pa.Table:
-        rows = [candidates(x.decode("utf-8", "replace")) if x else [] for x in texts]
-        for n, name in enumerate(BASE):
-            t = t.append_column(f"__n_{name}", pa.array([sum(k == n for _, k, _, _ in r) for r in rows], pa.int64()))
-        t = t.append_column("__base", pa.array([hashlib.sha256(joined([x for x in r if x[1] < len(BASE)]).encode()).hexdigest() for r in rows]))
-        t = t.append_column("__spans", pa.array([joined(r) for r in rows]))
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-        return t.append_column("__found", pa.array([[{"kind": KINDS[k], "start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, k, b, v in r] for r in rows], kind))
+    def once():
+        task, seen = TaskContext.get().partitionId() << 40, [0]
 
-    return map_chunks(docs.select(*(F.col(f"`{n}`") for n, _ in fields)), text, step, ", ".join([*(f"`{n}` {t}" for n, t in fields), FOUND]))
+        def step(t: pa.Table, texts: list[bytes]) -> pa.Table:
+            rows = [candidates(x.decode("utf-8", "replace")) if x else [] for x in texts]
+            t = t.select([n for n, _ in own])
+            t = t.append_column("__row", pa.array(np.arange(len(rows)) + (task + seen[0])))
+            seen[0] += len(rows)
+            t = t.append_column("__n", pa.array([len(r) for r in rows], pa.int64()))
+            for n, name in enumerate(BASE):
+                t = t.append_column(f"__n_{name}", pa.array([sum(k == n for _, k, _, _ in r) for r in rows], pa.int64()))
+            t = t.append_column("__base", pa.array([hashlib.sha256(joined([x for x in r if x[1] < len(BASE)]).encode()).hexdigest() for r in rows]))
+            t = t.append_column("__spans", pa.array([joined(r) for r in rows]))
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+            return t.append_column("__found", pa.array([[{"kind": KINDS[k], "start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for a, k, b, v in r] for r in rows], kind))
+
+        return step
+
+    return map_chunks(docs.select(*(F.col(f"`{n}`") for n, _ in fields)), text, None, ", ".join([*(f"`{n}` {t}" for n, t in own), FOUND]), once=once)
 
 
 def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
-    """value -> owners, repositories: how many different ones hold it. A null owner or repository counts as one of its own.
+    """value -> owners, repositories: how many different ones hold it; spans: in how many spans it stands. A null owner or
+    repository counts as one of its own.
 
     Rows are first reduced to a row for each value, owner and repository, so a value in very many rows is counted by
     partial sums.
     """
-    each = found.select(F.explode("__found.value").alias("value"), F.col(owner).cast("string").alias("o"), F.col(repository).cast("string").alias("r"))
-    each = each.select("value", F.coalesce("o", F.lit("\x00")).alias("o"), F.coalesce("r", F.lit("\x00")).alias("r")).distinct()
-    owners = each.groupBy("value", "o").agg(F.count("*").alias("r"))
-    return owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
-
-
-def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """docs with, for every row, its spans and `__live`: those whose value fewer than example_owners owners hold.
-
-    A null or empty text has no spans. Repeated rows are rows of their own and count once as an owner.
+    each = found.where("__n > 0").select(F.explode("__found.value").alias("value"), F.coalesce(F.col(owner).cast("string"), F.lit("\x00")).alias("o"), F.coalesce(F.col(repository).cast("string"), F.lit("\x00")).alias("r"))
+    each = each.groupBy("value", "o", "r").agg(F.count("*").alias("n"))
+    owners = each.groupBy("value", "o").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
+    return owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"), F.sum("n").alias("spans"))
+
+
+def counted(found: DataFrame, owner: str, repository: str) -> DataFrame:
+    """__row, told: for each span of a row in order (pos, owners, repositories). Rows without spans are left out."""
+    values = save(ownership(found, owner, repository), "secret-values")
+    limit = max(HOT, (values.agg(F.sum("spans")).first()[0] or 0) // 1_000)
+    spans = found.where("__n > 0").select("__row", F.posexplode("__found.value").alias("pos", "value"))
+    hot = values.where(F.col("spans") > limit).select("value", "owners", "repositories")
+    first = spans.join(F.broadcast(hot), "value", "left")  # fewer than 1,000 rows
+    rest = first.where("owners is null").select("value", "__row", "pos").join(values.where(F.col("spans") <= limit).select("value", "owners", "repositories"), "value")
+    both = first.where("owners is not null").unionByName(rest)
+    return both.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "owners", "repositories"))).alias("told"))
+
+
+def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, keep_text: bool = True) -> DataFrame:
+    """docs with, for every row, its spans, how many owners and repositories hold the value of each, and `__live`: the spans
+    that are no copied examples.
+
+    A null or empty text has no spans. Repeated rows are rows of their own and count once as an owner. Only rows with spans
+    are shuffled.
     """
-    found = save(find_candidates(docs, text), "secrets")
-    values = ownership(found, owner, repository)
-    live = values.where(F.col("owners") < example_owners).select("value")
-    some = found.where(F.size("__found") > 0).select("__found").distinct()  # rows with the same spans and values share a verdict
-    each = some.withColumn("key", F.xxhash64("__found")).select("key", F.explode("__found").alias("f"))
-    verdict = each.join(live, F.col("f.value") == live["value"]).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("f.start", "f.end", "f.kind"))).alias("__live"))
-    return found.withColumn("key", F.when(F.size("__found") > 0, F.xxhash64("__found"))).join(verdict, "key", "left").drop("key")
+    found = save(find_candidates(docs, text, keep_text), "secrets")
+    example = lambda t: (t["owners"] >= example_owners) | ((t["owners"] > 1) & (t["repositories"] >= example_repositories))
+    live = F.filter(F.arrays_zip(F.col("__found").alias("f"), F.col("told").alias("t")), lambda x: ~example(x["t"]))
+    of = lambda name: F.array_join(F.transform("told", lambda x: x[name].cast("string")), ",")
+    some = found.where("__n > 0").join(counted(found, owner, repository), "__row")
+    some = some.withColumns({"__live": F.transform(live, lambda x: F.struct(x["f"]["start"].alias("start"), x["f"]["end"].alias("end"), x["f"]["kind"].alias("kind"))), "__owners": of("owners"), "__repositories": of("repositories")}).drop("told")
+    none = found.where("__n = 0").withColumns({"__live": F.array().cast(LIVE), "__owners": F.lit(""), "__repositories": F.lit("")})
+    return none.unionByName(some)
 
 
-def mask_live(docs: DataFrame, text: str = "text", mask: str = "<secret>", **options) -> DataFrame:
-    """docs with every live credential in their texts replaced by mask; no row is lost.
+def mask_live(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", mask: str = "<secret>", **options) -> DataFrame:
+    """docs with every live credential in their texts replaced by mask; no row is lost, and no other column is touched but
+    n_chars, which follows the text where there is one.
 
-    Overlapping spans are masked as one. The column n_chars, where there is one, follows the text.
+    Overlapping spans are masked as one.
     """
-    own = docs.columns
-    docs = docs.select(*(F.col(f"`{c}`").alias(c.replace("__", "\x01", 1) if c.startswith("__") else c) for c in own))
-    spans = F.coalesce("__live", F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    plain = neutral(docs)
+    t, o, r = (neutral_name(docs, c) for c in (text, owner, repository))
     # parts of the text before each span that begins after all former ones have ended
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    whole = F.col(f"`{text}`")
+    whole = F.col(t)
     cut = lambda a, s: F.struct(
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(whole, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at"),
     )
-    masked = F.aggregate(spans, start, cut, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, 2**31 - 1)))
-    out = scan(docs, text, **options)
-    has = F.size(spans) > 0
-    out = out.withColumn("__text", F.when(has, masked).otherwise(whole))
-    cols = [F.col("__text").alias(text) if c == text else F.when(has, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols).toDF(*own)
+    masked = F.aggregate("__live", start, cut, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, 2**31 - 1)))
+    has = F.size("__live") > 0
+    out = scan(plain, t, o, r, **options).withColumn("__text", F.when(has, masked).otherwise(whole))
+    new = {t: F.col("__text")}
+    if "n_chars" in docs.columns:
+        n = neutral_name(docs, "n_chars")
+        new[n] = F.when(has, F.length("__text")).otherwise(F.col(n)).cast(plain.schema[n].dataType)
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in plain.columns)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    live = F.coalesce(F.size("__live"), F.lit(0))
-    return out.select("doc_id", F.col("__n_assign").alias("n_assign"), F.col("__n_access").alias("n_access"), F.col("__n_hex").alias("n_hex"), F.col("__base").alias("base_sha256"), F.col("__spans").alias("spans"), F.greatest(live, F.lit(0)).cast("long").alias("n_live"), (F.size("__found") - F.greatest(live, F.lit(0))).cast("long").alias("n_example"))
+    out = scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
+    live = F.size("__live").cast("long")
+    return out.select(
+        "doc_id", F.col("__n_assign").alias("n_assign"), F.col("__n_access").alias("n_access"), F.col("__n_hex").alias("n_hex"), F.col("__base").alias("base_sha256"), F.col("__spans").alias("spans"),
+        live.alias("n_live"), (F.col("__n") - live).alias("n_example"), F.col("__owners").alias("owners"), F.col("__repositories").alias("repositories"),
+    )
+
+
+def brute(docs: list[tuple], example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> list[tuple]:
+    """(id, spans, n_live, owners, repositories) of (id, text, owner) by counting in memory, for tests."""
+    owners: dict[str, set] = {}
+    homes: dict[str, set] = {}
+    found = [(i, o, candidates(t or "")) for i, t, o in docs]
+    for i, o, spans in found:
+        for *_, value in spans:
+            owners.setdefault(value, set()).add(o)
+            homes.setdefault(value, set()).add((o, i))
+    out = []
+    for i, _, spans in found:
+        n = [(len(owners[v]), len(homes[v])) for *_, v in spans]
+        live = sum(not (a >= example_owners or a > 1 and b >= example_repositories) for a, b in n)
+        out.append((i, joined(spans), live, ",".join(str(a) for a, _ in n), ",".join(str(b) for _, b in n)))
+    return out

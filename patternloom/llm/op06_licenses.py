@@ -40,6 +40,9 @@ class Rules:
         number = lambda s: np.array([self.ids.setdefault(w.encode(), len(self.ids) + 1) for w in s.split()])
         self.base = [(number(p), label) for p, label in PHRASES]
         self.templates = [(label, number(t), number(key)) for label, t, key in TEMPLATES]
+        keys = [tuple(key.tolist()) for _, _, key in self.templates]
+        #: For each template the longer key phrases that begin with its own: a place of one of these is none of its own.
+        self.longer = [sorted({k for k in keys if len(k) > len(key) and k[: len(key)] == key}) for key in keys]
 
 
 def numbered(rules: Rules, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +93,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __words, __base (places of base phrases), __first, __last, __base_labels, __labels and __score.
 
     A null or empty text has no words and no labels. Every place of a template's key phrase in the whole text, looked up by
-    the phrase's word with the highest inverse document frequency, tells its label. All words around vote for the places of
+    the phrase's word with the highest inverse document frequency, tells its label, but for places where another template's
+    longer phrase begins with it. All words around vote for the places of
     the template that hold the phrase; it scores the part of its words that agree at the best of them.
     """
     count, df = document_frequency(docs, text)
@@ -130,8 +134,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 for d in set(doc.tolist()):
                     base[d].add(label)
             labels, scores = [set(x) for x in base], np.array([1.0 if x else 0.0 for x in base])
-            for (label, t_words, key), r in zip(rules.templates, rarest, strict=True):
+            for (label, t_words, key), r, longer in zip(rules.templates, rarest, rules.longer, strict=True):
                 at = places(words, key, r)
+                for k in longer:
+                    at = at[(words[at[:, None] + np.arange(len(k))] != k).any(axis=1)]
                 doc = np.searchsorted(off, at, "right") - 1
                 np.maximum.at(scores, doc, scores_of(words, off, doc, at, t_words, key))
                 for d in np.unique(doc).tolist():
@@ -150,3 +156,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *(F.col(a).alias(b) for a, b in (("__words", "n_words"), ("__base", "n_base"), ("__first", "first_word"), ("__last", "last_word"), ("__base_labels", "base_labels"), ("__labels", "labels"), ("__score", "score"))))
+
+
+def brute(text: str | None) -> tuple[int, int, str, str]:
+    """(words, places of base phrases, base labels, labels) by comparing slices, for tests."""
+    w = (text or "").encode().translate(ALNUM).decode().split()
+    at = lambda p: [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    found = [(label, len(at(p.split()))) for p, label in PHRASES]
+    base = {label for label, n in found if n}
+    keys = [key.split() for _, _, key in TEMPLATES]
+    more = {label for label, _, key in TEMPLATES for i in at(key.split()) if not any(len(k) > len(key.split()) and w[i : i + len(k)] == k and k[: len(key.split())] == key.split() for k in keys)}
+    return len(w), sum(n for _, n in found), ",".join(sorted(base)), ",".join(sorted(base | more))

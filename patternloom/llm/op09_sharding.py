@@ -50,9 +50,38 @@ def rebalance(current: list[int], sizes: list[tuple[int, int]], shards: int) ->
     return out
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """(version, vslot, shard): the map as it is stored, one row for each slot and version."""
-    return spark.createDataFrame([(v, s, k) for v, m in enumerate(versions, 1) for s, k in enumerate(m)], "version int, vslot int, shard int")
+def map_table(spark: SparkSession, version: int, assigned: list[int]) -> DataFrame:
+    """(version, vslot, shard): a version of the map as it is stored, one row for each slot."""
+    return spark.createDataFrame([(version, s, k) for s, k in enumerate(assigned)], "version int, vslot int, shard int")
+
+
+def last_version(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The number and the map of the latest version stored in a folder; 0 and an empty map where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0, []
+    stored = spark.read.schema("version int, vslot int, shard int").parquet(path)
+    version = stored.agg(F.max("version")).first()[0] or 0
+    return version, [r.shard for r in stored.where(F.col("version") == version).orderBy("vslot").collect()]  # a row for each slot
+
+
+def next_map(spark: SparkSession, path: str | None, sizes: list[tuple[int, int]], shards: int, slots: int) -> DataFrame:
+    """The map to use for slots of these sizes: the stored one, edited where it no longer fits, as the next version.
+
+    Versions are appended to the folder and never rewritten; without a folder the map is version 1 of one of its own. A map
+    that needs no edit stays the version that it is.
+    """
+    version, held = last_version(spark, path) if path else (0, [])
+    if held and len(held) != slots:
+        raise ValueError(f"the stored map has {len(held)} slots, not {slots}")
+    assigned = rebalance(held, sizes, shards) if held else assign(sizes, shards, slots)
+    if assigned == held:
+        return spark.read.schema("version int, vslot int, shard int").parquet(path).where(F.col("version") == version)
+    made = map_table(spark, version + 1, assigned)
+    if not path:
+        return save(made, "slot-map")
+    made.coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(made.schema).parquet(path).where(F.col("version") == version + 1)
 
 
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,25 +101,26 @@ def place(rows: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame,
     return named, slot_sizes(named)
 
 
-def shard(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """docs(id, text) -> id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
     Every row, repeated ones and those with nulls too, goes to one shard; sizes of shards are near equal (`bytes`). slot is
     the row's place in its shard, gapless from 0, in no particular order. Equal texts share a shard unless together they
     would fill half of one. Records are hashed into fixed virtual slots, whose bytes alone reach the driver; the map from
-    slots to shards is small, versioned and stored, and changes by editing it.
+    slots to shards is small, versioned and stored. With map_path the last version in that folder is rebalanced, and what
+    that changes is appended as the next one: a grown table, or another number of shards, moves as few slots as it needs.
     """
     spark = docs.sparkSession
     rows = save(sized(docs, id, text), "sharding")
     named, sizes = place(rows, shards, slots)
-    stored = save(map_table(spark, [assign(sizes, shards, slots)]), "slot-map")
+    stored = next_map(spark, map_path, sizes, shards, slots)
     # rows that agree in all that is returned are numbered as one, then dealt out again
     kinds = named.groupBy("vslot", "id", "size", "crc", "th").agg(F.count("*").alias("n")).withColumn("lot", F.pmod(F.xxhash64("id", "th"), F.lit(LOTS)).cast("int"))
     order = Window.partitionBy("vslot", "lot").orderBy("id", "th", "size")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kinds = kinds.withColumn("before", before)
     lots = named.withColumn("lot", F.pmod(F.xxhash64("id", "th"), F.lit(LOTS)).cast("int")).groupBy("vslot", "lot").agg(F.count("*").alias("m"))
-    lots = lots.join(F.broadcast(stored.where("version = 1")), "vslot")  # slots rows
+    lots = lots.join(F.broadcast(stored), "vslot")  # slots rows
     # at most slots * LOTS rows, numbered within each shard
     within = Window.partitionBy("shard").orderBy("vslot", "lot").rowsBetween(Window.unboundedPreceding, -1)
     lots = lots.withColumn("base", F.coalesce(F.sum("m").over(within), F.lit(0))).select("vslot", "lot", "shard", "version", "base")

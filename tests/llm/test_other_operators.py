@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patternloom.llm import components as stars
 from patternloom.llm import op07_embeddings as op7
 from patternloom.llm import op09_sharding as op9
 from patternloom.llm import op10_urls as op10
@@ -146,6 +147,79 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in op10.filter_urls(df, redirects=redirects).collect()}[13] == "block"
 
 
+def test_spellings_of_a_url_are_one(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://FREE.test/e", ""), (2, "http://other.test/", link("http://free.test/e")), (3, "http://third.test/", link("http://FREE.test:80/e#x") + link("http://b.org/es/1")),  # host case, port, fragment
+        (4, "http://q.test/?a=1&b=2", ""), (5, "http://q2.test", link("http://q.test?a=1&amp;b=2") + link("http://c.org/es/")),  # an encoded target, an empty path
+        (6, "https://r.test/dir/page", link("../up?x") + link("//d.org/es/2")), (7, "https://r.test/up?x", ""), (8, "https://r.test/dir/x", link("./page")), (9, "http://r.test/dir/x", ""),
+        (10, "http://s.test/a?b=/c/d", link("?z")), (11, "http://s.test/a?z", link("mailto:x@e.org") + link("#top")), (12, "http://s.test/free", link("javascript:void(0)")), (13, "http://s.test/a", link("/es/")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.component) for r in op10.filter_urls(df).collect()}
+    assert {i for i, (v, _) in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8}
+    assert got[10][1] == got[11][1] is not None and got[12][1] is None and got[13][1] == "http://s.test/a"
+
+
+def test_urls_spread_like_a_walk_over_links(spark):
+    """Random pages and links against a search from page to page; long chains, stars and cycles among them."""
+    rng = random.Random(4)
+    urls = [f"http://h{k}.test/{k}" for k in range(120)] + [f"http://h{k}.org/es/{k}" for k in range(4)] + ["http://example.com/en/7"]
+    links = {(urls[k], urls[k + 1]) for k in range(40)} | {(urls[50], urls[k]) for k in range(51, 70)} | {(rng.choice(urls[70:]), rng.choice(urls[70:])) for _ in range(30)}
+    rows = [(k, u, "".join(f"<link rel=canonical href='{b}'>" for a, b in sorted(links) if a == u)) for k, u in enumerate(urls)] + [(500, urls[0], ""), (501, None, "")]
+    near: dict = {u: set() for u in urls}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+
+    def verdict(u):
+        own = "allow" if u == "http://example.com/en/7" else "block" if ".org/es/" in u else None
+        seen, todo = {u}, [u]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        return own or ("allow" if "http://example.com/en/7" in seen else "block" if any(".org/es/" in x for x in seen) else "allow")
+
+    got = {(r.page_id, r.verdict) for r in op10.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(k, verdict(u) if u else "allow") for k, u, _ in rows}
+
+
+@pytest.mark.parametrize("hot", [1_000, 2])
+def test_components_of_stars_chains_and_cycles(spark, monkeypatch, hot):
+    monkeypatch.setattr(stars, "HOT", hot)
+    rng = random.Random(6)
+    pairs = [(1, k) for k in range(2, 60)] + [(900, k) for k in range(800, 860)] + [(200 + k, 201 + k) for k in range(70)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5), (None, 3), (270, 300)]
+    root = {x: x for p in pairs for x in p if None not in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if None not in (a, b):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "u long, v long").repartition(5)).collect()}
+    assert got == {x: top(x) for p in pairs for x in p if None not in p and p[0] != p[1]}
+
+
+def test_a_stored_map_is_edited_and_kept(spark, tmp_path):
+    """Three versions of one map: a grown table and another number of shards move few slots; the same table moves none."""
+    rng = random.Random(2)
+    rows = [(k, "x" * rng.randrange(400)) for k in range(900)]
+    df = lambda n: spark.createDataFrame(rows[:n], "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    placed = [{r.doc_id: (r.shard, r.map_version) for r in op9.shard(df(n), shards=s, slots=64, map_path=path).collect()} for n, s in ((500, 4), (500, 4), (900, 4), (900, 5))]
+    assert placed[0] == placed[1] and {v for _, v in placed[0].values()} == {1}
+    stored = {v: {r.vslot: r.shard for r in spark.read.parquet(path).where(f"version = {v}").collect()} for v in (1, 2, 3)}
+    moved = [sum(stored[a][k] != stored[b][k] for k in range(64)) for a, b in ((1, 2), (2, 3))]
+    assert 0 < moved[0] < 16 and 0 < moved[1] < 26
+    assert {v for _, v in placed[2].values()} == {2} and {v for _, v in placed[3].values()} == {3} and {s for s, _ in placed[3].values()} == set(range(5))
+    sizes = [sum(len(rows[i][1]) + 1 for i, (s, _) in placed[3].items() if s == k) for k in range(5)]
+    assert max(sizes) < 1.3 * min(sizes)
+
+
 def test_native_plans_run_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")

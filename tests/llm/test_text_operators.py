@@ -1,11 +1,13 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,21 @@ def clashing(df):
     return df.withColumns({c: F.lit(c) for c in ("n_words", "score", "id", "n", "shard", "__words", "value", "cls", "th", "component", "block")})
 
 
+AWKWARD = ("_th", "_row", "_near", "_best", "__x", "Score", "__score", "key", "a.b", "c0", "c1", "C2", "row", "near", "best", "told", "__live", "__row", "i", "t", "o", "r", "`x`", "a b", "th", "id", "n", "__spans")
+
+
+def test_stages_give_all_columns_back(spark):
+    """Every stage that returns documents: names, order and values of columns that it doesn't know, clashing or not."""
+    rows = [(k, "Some plain text of its own number " + str(k), "en", f"s{k}", 5) for k in range(6)] + [(9, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(f"{k}:{c}").alias(c) for k, c in enumerate(AWKWARD)))
+    benchmark = spark.createDataFrame([(1, "nothing like any of those")], "item_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(2)], "doc_id long, toxic int")
+    for out in (op1.remove_contaminated(docs, benchmark), op2.keep_one(docs), op4.remove_toxic(docs, labels.limit(0)), op5.mask_live(docs)):
+        assert out.columns == docs.columns
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, docs.collect())))
+
+
 # 1
 
 def bench(rows):
@@ -58,11 +75,34 @@ def test_decontamination(spark, monkeypatch, block_bytes):
     got = {r.doc_id: (r.doc_id, r["__words"], r.h, len(r["__items"]), hashlib.sha256(",".join(r["__items"]).encode()).hexdigest(), r.c) for r in found.select("*", op1.hit_words().alias("h"), op1.contaminated().alias("c")).collect()}
     want = {r[0]: r for r in op1.brute(rows, items)}
     assert got == want
+    for r in found.collect():
+        best, top = None, r["__longest"]
+        w = (r.text or "").encode().translate(op1.ALNUM).split()
+        for i, t in items:
+            v = (t or "").encode().translate(op1.ALNUM).split()
+            for a in range(len(w)):
+                for b in range(len(v)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                        n += 1
+                    if n >= min(13, len(v)):
+                        best = min(best or (0,), (-n, a, str(i), b))
+        assert best == (top and (-top["length"], top["doc_start"], top["item_id"], top["item_start"])), r.doc_id
     longest = {r.doc_id: r["__longest"] for r in found.collect()}
     assert all((x is None) == (want[k][3] == 0) for k, x in longest.items())
     assert max(x.length for x in longest.values() if x) >= 13
 
 
+def test_more_words_than_a_narrow_key_holds(monkeypatch):
+    rows = [(1, b"x " + b" ".join(b"w%d" % i for i in range(50)) + b" y"), (2, b"w1 w2 z")]
+    items = [("1", b" ".join(b"w%d" % i for i in range(40))), ("2", b"w1 w2")]
+    narrow = op1.scan(op1.Suffixes(items, 13), [t for _, t in rows], None)
+    monkeypatch.setattr(op1, "BITS", 4)
+    wide = op1.Suffixes(items, 13)
+    assert wide.per_key == 2 and op1.scan(wide, [t for _, t in rows], None) == narrow and narrow["__longest"][0]["length"] == 40
+
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, [(1, "a b"), (None, None), (1, "a b")])
@@ -212,6 +252,26 @@ def test_neighbours_meet_at_every_number_of_shards(spark):
     assert sum(max(Counter(x).values()) for x in shards.values()) > 0.8 * sum(map(len, shards.values()))
 
 
+def test_neighbours_are_those_of_plain_bm25():
+    """All 50 documents as seeds, against a score computed term by term."""
+    rng = random.Random(17)
+    docs = [np.array([min(199, int(rng.expovariate(0.03))) for _ in range(rng.randint(1, 120))], np.uint16) for _ in range(50)]
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    idf = np.array([math.log(1 + (50 - df[t] + 0.5) / (df[t] + 0.5)) for t in range(200)], np.float32)
+    mean = sum(map(len, docs)) / 50
+    index, unused = op3.Index(docs, idf, mean), np.array([rng.random() < 0.8 for _ in docs])
+    for seed, d in enumerate(docs):
+        want = {}
+        for k, other in enumerate(docs):
+            tf = Counter(other.tolist())
+            score = sum(float(idf[t]) * tf[t] * (op3.K1 + 1) / (tf[t] + op3.K1 * (1 - op3.B + op3.B * len(other) / mean)) for t in set(d.tolist()) if t in tf)
+            if score > 0 and unused[k]:
+                want[k] = score
+        got = index.neighbours(seed, unused).tolist()
+        assert set(got) == set(want)
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:], strict=False))
+
+
 # 4
 
 def toxic_rows():
@@ -310,6 +370,23 @@ def test_secrets(spark):
     assert op5.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_secrets_are_told_apart_as_by_counting(spark, monkeypatch, hot):
+    monkeypatch.setattr(op5, "HOT", hot)
+    rng = random.Random(3)
+    values = [f"value{k}abcdef" for k in range(12)]
+    rows = []
+    for i in range(150):
+        n = rng.choice([0, 1, 1, 2, 5])
+        rows.append((i // 2, " and ".join(f"token = {values[min(11, int(rng.expovariate(0.4)))]}" for _ in range(n)), rng.choice(["a", "b"]) if i % 3 else rng.choice(["a", "b", "c", None])))
+    rows += [(500 + i, "secret: onlyoftwo", "ab"[i % 2]) for i in range(25)] + [(600 + i, "secret: onlyofone", "a") for i in range(25)] + [(700, None, "a"), rows[5]]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    got = op5.scan(docs).select("doc_id", "__spans", F.size("__live"), "__owners", "__repositories").collect()
+    want = op5.brute(rows)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert {n for i, _, n, *_ in want if 500 <= i < 600} == {0} and {n for i, _, n, *_ in want if 600 <= i < 700} == {1}
+
+
 def test_private_keys_are_masked_whole(spark):
     rng = random.Random(13)
     line = lambda: "".join(rng.choice("ABCDEFGHxyz0189+/") for _ in range(64))
@@ -341,6 +418,16 @@ def test_licenses(spark):
     assert op6.scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_against_slices(spark):
+    rng = random.Random(8)
+    pieces = [w for _, t, k in op6.TEMPLATES for w in (t, k)] + [p for p, _ in op6.PHRASES] + ["filler words", "creative commons", "mit", "the license", "sharealike"]
+    rows = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choice(pieces).upper() if rng.random() < 0.2 else rng.choice(pieces) for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    rows += [(900, "creative commons attribution sharealike"), (901, "creative commons attribution, and creative commons attribution sharealike"), (902, None)]
+    got = {r.doc_id: (r["__words"], r["__base"], r["__base_labels"], r["__labels"]) for r in op6.scan(frame(spark, rows)).collect()}
+    assert got == {i: op6.brute(t) for i, t in rows}
+    assert got[900][3] == "cc-by-sa" and got[901][3] == "cc-by,cc-by-sa"
+
+
 def test_licenses_of_every_notice(spark):
     t = {label: words for label, words, _ in op6.TEMPLATES if words != "released under the mit license"}
     loose = " waived word redistribution word affero word hereby word mozilla word unencumbered word sharealike word spdx word isc word" * 200
@@ -386,7 +473,11 @@ def test_sketches_bound_the_difference():
 def test_runs_of_equal_keys_stay_together(spark):
     rng = random.Random(7)
     rows = [(k, c) for k in range(40) for c in rng.sample(range(1000), rng.choice([1, 2, 3, 8, 9, 30]))] + [(99, c) for c in range(2000)] * 2
-    got = op2.candidate_pairs(spark.createDataFrame(rows, "key long, cls long")).collect()
+    blob = lambda rs: np.array([len(rs)] + [c for _, c in rs] + [1] * len(rs) + [k for k, _ in rs], np.int64).tobytes()
+    blobs = spark.createDataFrame([(blob(rows[:len(rows) // 2]),), (blob(rows[len(rows) // 2 :]),)], "keys binary").coalesce(1)
+    keys = blobs.mapInArrow(op2.unfolded, "key long, cls long, hub long")
+    assert keys.where("key = 99 and hub is null").count() == 1 and keys.where("key = 99 and hub = 0").count() == 1999  # one row of a hot key is shuffled
+    got = op2.candidate_pairs(keys).collect()
     groups = {}
     for k, c in set(rows):
         groups.setdefault(k, set()).add(c)
