@@ -228,3 +228,19 @@ def binaries(parts: list[bytes]) -> pa.Array:
 
 def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+#: A key of more rows than this, and than a thousandth of all, is looked up from a broadcast of at most 1,000 rows.
+HOT = 1_000
+
+
+def join_counted(df: DataFrame, side: DataFrame, on: str, count: str) -> DataFrame:
+    """df joined (inner) with side, which has a row for each key and in `count` how many rows of df have it.
+
+    Rows of hot keys are not shuffled, so no task gets more than a thousandth of df for one key. side is read several
+    times: a saved table. The column count is left out.
+    """
+    limit = max(HOT, (side.agg(F.sum(count)).first()[0] or 0) // 1_000)
+    hot, cold = side.where(F.col(count) > limit).drop(count), side.where(F.col(count) <= limit).drop(count)
+    first = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    return first.where("_hot").drop("_hot").unionByName(first.where("_hot is null").select(*df.columns).join(cold, on))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.llm.blocks import forest, grouped, map_blocks, neighbour_blocks
-from patternloom.llm.common import WordHashes, binaries, forget, grams, map_chunks, mix, neutral, neutral_name, offsets, prepare, read, runs, save, tidy
+from patternloom.llm.common import WordHashes, binaries, forget, grams, join_counted, map_chunks, mix, neutral, neutral_name, offsets, prepare, read, runs, save, tidy
 from patternloom.llm.components import components
 
 #: Bits of one part of a sketch. Only its fingerprint is kept, so that width costs nothing.
@@ -151,10 +151,11 @@ def joined_rows(docs: DataFrame, id: str, text: str, k: int, threshold: float) -
     linked = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("deg").alias("deg"))
     named = classes.select("node", "low", "copies").join(linked, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = save(named.join(low, "component").select(F.col("node").alias("cls"), "component", "component_id", (F.col("copies") - 1 + F.coalesce("deg", F.lit(0))).alias("n_links")), "jaccard-named")
-    forget(cluster, members, found, classes)
-    out = rows.join(named, "cls", "left")
+    named = save(named.select(F.col("node").alias("cls"), "component", "low", (F.col("copies") - 1 + F.coalesce("deg", F.lit(0))).alias("n_links")), "jaccard-linked")
+    low = save(named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("classes")), "jaccard-low")
+    told = save(join_counted(named, low, "component", "classes").select("cls", "component", "component_id", "n_links"), "jaccard-named")
+    forget(cluster, members, found, classes, named, low)
+    out = rows.join(told, "cls", "left")
     return out.select("id", "th", "n", "component", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
@@ -410,9 +411,9 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5
     links = joined_rows(plain, i, t, k, threshold)
     links = save(links.where("component is not null").select("id", "th", "component"), "jaccard-rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    groups = links.groupBy("component").agg(F.min(order).alias("b"), F.count("*").alias("rows"))
-    best = groups.where("rows > 1").select(F.xxhash64("b.id", "b.th").alias("row")).distinct()
-    crowded = save(links.join(groups.where("rows > 1").select("component"), "component").select("id", "th"), "jaccard-crowded")
+    groups = save(links.groupBy("component").agg(F.min(order).alias("b"), F.count("*").alias("rows")).where("rows > 1"), "jaccard-groups")
+    best = groups.select(F.xxhash64("b.id", "b.th").alias("row")).distinct()
+    crowded = save(join_counted(links, groups.select("component", "rows"), "component", "rows").select("id", "th"), "jaccard-crowded")
     # most rows are in no group and stay where they are
     rows = crowded.select(F.xxhash64("id", "th").alias("row")).distinct()
     verdict = rows.join(best.withColumn("best", F.lit(True)), "row", "left").select("row", F.coalesce("best", F.lit(False)).alias("best"))

@@ -11,13 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import map_chunks, neutral, neutral_name, prepare, read, save
+from patternloom.llm.common import join_counted, map_chunks, neutral, neutral_name, prepare, read, save
 
 #: A value that so many different owners hold is an example that was copied, not a credential of any of them. So is one of
 #: two owners that stands in so many repositories: too widely spread for a credential that two parties share.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 20
-#: A value in more rows than this, and than a thousandth of all spans, is looked up from a broadcast of at most 1,000 rows.
-HOT = 1_000
 #: The base kinds, in the order of their names in results; matches of assign with a value under 6 characters are dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the run of 20 or more that AKIA[A-Z0-9]+ takes
@@ -120,12 +118,8 @@ def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
 def counted(found: DataFrame, owner: str, repository: str) -> DataFrame:
     """__row, told: for each span of a row in order (pos, owners, repositories). Rows without spans are left out."""
     values = save(ownership(found, owner, repository), "secret-values")
-    limit = max(HOT, (values.agg(F.sum("spans")).first()[0] or 0) // 1_000)
     spans = found.where("__n > 0").select("__row", F.posexplode("__found.value").alias("pos", "value"))
-    hot = values.where(F.col("spans") > limit).select("value", "owners", "repositories")
-    first = spans.join(F.broadcast(hot), "value", "left")  # fewer than 1,000 rows
-    rest = first.where("owners is null").select("value", "__row", "pos").join(values.where(F.col("spans") <= limit).select("value", "owners", "repositories"), "value")
-    both = first.where("owners is not null").unionByName(rest)
+    both = join_counted(spans, values, "value", "spans")
     return both.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "owners", "repositories"))).alias("told"))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patternloom.llm import common
 from patternloom.llm import op01_decontamination as op1
 from patternloom.llm import op02_jaccard_join as op2
 from patternloom.llm import op03_packing as op3
@@ -168,7 +169,9 @@ def test_pigeonhole_never_misses():
                     assert keys(a) & keys(b)
 
 
-def test_keep_one(spark):
+@pytest.mark.parametrize("hot", [1_000, 1])
+def test_keep_one(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     docs = clashing(frame(spark, [(3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (5, None), (5, None), (9, "other words"), (None, "A B C D E F"), (None, "x y"), (None, "x y")]))
     kept = op2.keep_one(docs)
     assert kept.columns == docs.columns
@@ -372,7 +375,7 @@ def test_secrets(spark):
 
 @pytest.mark.parametrize("hot", [1_000, 3])
 def test_secrets_are_told_apart_as_by_counting(spark, monkeypatch, hot):
-    monkeypatch.setattr(op5, "HOT", hot)
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(3)
     values = [f"value{k}abcdef" for k in range(12)]
     rows = []
