@@ -177,9 +177,40 @@ def false_positive_share(df: DataFrame, actual: str, predicted: str) -> DataFram
     return df.groupBy(F.col(predicted).alias("predicted")).agg((F.count_if(F.col(actual) != F.col(predicted)) / F.count("*")).alias("false_share"))
 
 
-def pattern_statistics(matches: dict[str, DataFrame]) -> list[tuple[str, int, int, int]]:
-    """(pattern, solutions, slots, variables)."""
-    return [(n, m.count(), sum(c.startswith("uid_") for c in m.columns), sum(c.startswith("v_") for c in m.columns)) for n, m in matches.items()]
+def coverage_histogram(overlaps: DataFrame, gold: DataFrame, question: str = "question") -> DataFrame:
+    """bin, low, high, n, proportion of questions by the part of their gold rows that their best solution holds; questions
+    without a solution have none of them. overlaps(question, hits), gold(question, gold)."""
+    return histogram(coverage(overlaps, gold, question), "coverage")
+
+
+def coverage(overlaps: DataFrame, gold: DataFrame, question: str = "question") -> DataFrame:
+    """question, coverage: the best solution's hits by the number of gold rows, 0 where there is no solution."""
+    best = overlaps.groupBy(question).agg(F.max("hits").alias("hits"))
+    return gold.join(best, question, "left").select(question, (F.coalesce("hits", F.lit(0)) / F.greatest(F.size("gold"), F.lit(1))).alias("coverage"))
+
+
+def coverage_averages(overlaps: DataFrame, gold: DataFrame, question: str = "question") -> DataFrame:
+    """questions, answered (with a solution that has a gold row), mean_coverage of all and of the answered, complete."""
+    c = coverage(overlaps, gold, question)
+    return c.agg(F.count("*").alias("questions"), F.count_if(F.col("coverage") > 0).alias("answered"), F.avg("coverage").alias("mean_coverage"), F.avg(F.when(F.col("coverage") > 0, F.col("coverage"))).alias("mean_answered"), F.count_if(F.col("coverage") >= 1).alias("complete"))
+
+
+def leftover_rows(solutions: DataFrame, gold: DataFrame, question: str = "question", rows: str = "uids") -> DataFrame:
+    """uid, n: gold rows that no solution of their question holds, and for how many questions."""
+    held = solutions.select(question, F.explode(rows).alias("uid")).distinct()
+    return gold.select(question, F.explode("gold").alias("uid")).join(held, [question, "uid"], "left_anti").groupBy("uid").agg(F.count("*").alias("n"))
+
+
+def pattern_statistics(matches: dict[str, DataFrame]) -> DataFrame:
+    """pattern, solutions, slots, variables, and of the solutions' rows those with and without a variable bound: one job."""
+    out = None
+    for name, m in matches.items():
+        slots, vs = [c for c in m.columns if c.startswith("uid_")], [c for c in m.columns if c.startswith("v_")]
+        bound = sum(((F.col(f"`{c}`").isNotNull() & (F.size(f"`{c}`") > 0)).cast("int") for c in vs), F.lit(0))
+        part = m.agg(F.count("*").alias("solutions"), F.count_if(bound > 0).alias("with_variables"), F.coalesce(F.avg(bound.cast("double")), F.lit(0.0)).alias("mean_bound"))
+        part = part.select(F.lit(name).alias("pattern"), "solutions", F.lit(len(slots)).alias("slots"), F.lit(len(vs)).alias("variables"), "with_variables", (F.col("solutions") - F.col("with_variables")).alias("without_variables"), "mean_bound")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def populated_variables(matches: DataFrame) -> DataFrame:

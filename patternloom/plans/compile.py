@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patternloom.functions.omni import VALUE, omni_eq, omni_keys, omni_merge, omni_text
 from patternloom.functions.scalar import match_hash, row_hash
 from patternloom.operators.segment import segments
-from patternloom.plans.ast import Element, Pattern, Slot
+from patternloom.plans.ast import Element, Expr, Pattern, Slot
 from patternloom.plans.conditions import Scope, evaluate
 from patternloom.sources.tablestore import Store
 
@@ -51,10 +51,7 @@ def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, s
     ref, p = slot.ref, f"s{number}_"
     name = ref.table
     if name is None:
-        name = (tables_of_uid or {}).get(ref.uuid or "")
-        if name is None:
-            found = store.row(ref.uuid).select("table").head()
-            name = found[0] if found else None
+        name = (tables_of_uid if tables_of_uid is not None else store.locate([ref.uuid]))[ref.uuid]
     occurrences: list[Occurrence] = []
     wanted = [(store[name].column(c), options) for c, options in ref.cells] if name is not None else []
     if name is None:  # a static row that no table holds
@@ -175,14 +172,53 @@ def bind(out: DataFrame, cands: list[Candidates]) -> DataFrame:
     return out
 
 
+def static_uids(pattern: Pattern) -> list[str]:
+    """The rows that a pattern names without their tables."""
+    return [s.ref.uuid for s in pattern.slots if s.ref.table is None and s.ref.uuid is not None]
+
+
+def names_in(e) -> set[str] | None:
+    """The variables of a condition; None where it also reads anything else than variables and literals."""
+    if not isinstance(e, Expr):
+        return set()
+    if e.op == "var":
+        return {e.args[0]}
+    if e.op in ("path", "prop", "stated", "meets", "generate", "change"):
+        return None
+    found = [names_in(a) for a in e.args]
+    return None if None in found else set().union(*found)
+
+
+def filter_early(cands: list[Candidates], cond: Expr) -> None:
+    """Filter a slot's rows by a condition that they alone decide: all its variables are bound there for good."""
+    names = names_in(cond)
+    if not names:
+        return
+    bound: dict[str, Occurrence] = {}
+    for o in (o for c in cands for o in c.occurrences):
+        first = bound.setdefault(o.var, o)
+        if o.element.relaxable or first.element.optional:
+            return
+    if names <= bound.keys() and len({bound[n].slot for n in names}) == 1:
+        c = cands[bound[next(iter(names))].slot]
+        if not c.slot.optional:
+            c.rows = c.rows.where(F.coalesce(evaluate(cond, Scope({n: omni_text(F.col(bound[n].column)) for n in names})), F.lit(True)))
+
+
 def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None) -> DataFrame:
     """The solutions of a pattern: uid_<slot>, v_<variable>, n_opt_unfilled, relaxed_dyn, relaxed_total, executable,
-    should_score, hash; ordered and limited, without duplicates (same rows and same lemma text of all bindings).
+    should_score, hash; without duplicates (same rows and same lemma text of all bindings), and ordered where there is a limit.
+    A solution is executable if its conditions could all be evaluated and each musthave holds; conditions on instances can't
+    be evaluated here, but once instances are mapped.
 
     Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x.
     """
     slots = [lowered(s, pattern.constants) for s in pattern.slots]
-    cands = [candidates(store, s, i, lemmas=lemmas) for i, s in enumerate(slots)]
+    where = store.locate(static_uids(pattern))
+    cands = [candidates(store, s, i, where, lemmas) for i, s in enumerate(slots)]
+    for kind, cond in pattern.constraints:
+        if kind == "musthaveoromit":
+            filter_early(cands, cond)
     out = bind(joined(cands), cands) if cands else None
     if out is not None:
         for c, i in zip(cands, range(len(cands)), strict=True):
@@ -203,6 +239,7 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     executable, score, shoulds = F.lit(True), F.lit(0.0), 0
     for kind, cond in pattern.constraints:
         got = evaluate(cond, scope)
+        executable = executable & got.isNotNull()
         if kind == "musthaveoromit":
             out = out.where(F.coalesce(got, F.lit(True)))
         elif kind == "musthave":
@@ -214,6 +251,6 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     out = out.select(*uids, *values, "n_opt_unfilled", "relaxed_dyn", "relaxed_total", "executable", "should_score", "hash")
     texts = {f"_t{i}": F.coalesce(omni_text(F.col(v)), F.lit("\x00")) for i, v in enumerate(values)}
     out = out.withColumns(texts).dropDuplicates([*uids, *texts]) if uids or texts else out
-    order = ["n_opt_unfilled", "relaxed_dyn", "relaxed_total", *uids, *texts]
-    out = out.orderBy(*order)
-    return (out.limit(max_matches) if max_matches is not None else out).drop(*texts)
+    if max_matches is not None:
+        out = out.orderBy("n_opt_unfilled", "relaxed_dyn", "relaxed_total", *uids, *texts).limit(max_matches)
+    return out.drop(*texts)

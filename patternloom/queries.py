@@ -83,13 +83,14 @@ def lexical_span(spark, d):
 @query("lexical_relaxed", """
 WITH w AS (SELECT p_partkey, list_filter(string_split(lower(trim(p_name)), ' '), lambda x: x <> '') AS w FROM part),
 s AS (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-f AS (SELECT p_partkey, i, list_position(w[i:], 'part') AS a, list_position(w[i:], w[len(w)]) AS b FROM s)
-SELECT p_partkey, CAST(count(*) AS BIGINT) AS n_spans FROM f WHERE a > 0 GROUP BY p_partkey""")
+f AS (SELECT p_partkey, i, list_position(w[i:], 'widget') AS a, list_position(w[i:], 'red') AS b FROM s)
+SELECT p_partkey, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(i - 1 + greatest(a, b)) AS BIGINT) AS ends FROM f WHERE a > 0 AND b > 0 GROUP BY p_partkey""")
 def lexical_relaxed(spark, d):
     """Spans from each start to the place by which all words of a relaxable literal were seen."""
     w = S.tokens(F.lower(F.col("p_name")))
     parts = read(spark, d, "part").select("p_partkey", F.transform(w, lambda x: F.array(x)).alias("slots"))
-    return parts.select("p_partkey", F.size(A.relaxed_spans(F.col("slots"), ["part"])).cast("long").alias("n_spans")).where("n_spans > 0")
+    spans = parts.select("p_partkey", A.relaxed_spans(F.col("slots"), ["widget", "red"]).alias("s")).where(F.size("s") > 0)
+    return spans.select("p_partkey", F.size("s").cast("long").alias("n_spans"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["until"]).alias("ends"))
 
 
 # -- pattern joins
@@ -178,14 +179,16 @@ def composite_rowequiv(spark, d):
 
 
 @query("match_hash", """
-WITH RECURSIVE u AS (SELECT s_suppkey, 's' || s_suppkey AS t FROM supplier),
-h AS (SELECT s_suppkey, t, 0 AS i, CAST(0 AS BIGINT) AS h FROM u
-  UNION ALL SELECT s_suppkey, t, i + 1,
-    CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END FROM (
-    SELECT s_suppkey, t, i, xor(xor((((h & 4294967295) << 5) & 4294967295), ((h >> 27) & 4294967295)), ascii(t[i + 1])) AS v FROM h WHERE i < length(t)))
-SELECT s_suppkey, CAST(h % 1000000 AS INTEGER) AS hash FROM h WHERE i = length(t)""")
+WITH RECURSIVE u AS (SELECT 's' || s_suppkey AS t FROM supplier UNION SELECT 'n' || n_nationkey FROM nation),
+h AS (SELECT t, 0 AS i, CAST(0 AS BIGINT) AS h FROM u
+  UNION ALL SELECT t, i + 1, CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END FROM (
+    SELECT t, i, xor(xor((((h & 4294967295) << 5) & 4294967295), ((h >> 27) & 4294967295)), ascii(t[i + 1])) AS v FROM h WHERE i < length(t))),
+r AS (SELECT t, h % 1000000 AS h FROM h WHERE i = length(t))
+SELECT 's' || s_suppkey AS supplier, lower(to_hex(abs((a.h + b.h) % 1000000))) AS hash FROM supplier JOIN r a ON a.t = 's' || s_suppkey JOIN r b ON b.t = 'n' || s_nationkey""")
 def match_hash_query(spark, d):
-    return read(spark, d, "supplier").select("s_suppkey", S.row_hash(F.concat(F.lit("s"), "s_suppkey")).alias("hash"))
+    """The solution's hash: the sum of its rows' hashes."""
+    p = parse('inferencepattern p row s=[TABLE:"SUPPLIER", NATION:<n>] row t=[TABLE:"INREGION", NATION:<n>] endinferencepattern').patterns[0]
+    return solve(geo_store(spark, d), p, None).select(F.col("uid_s").alias("supplier"), "hash")
 
 
 # -- fixpoints and edits
@@ -492,8 +495,8 @@ def false_positive_share(spark, d):
 @query("set_accuracy", f"SELECT s.q AS question, CAST(s.sol AS BIGINT) AS solution, round(len(list_intersect(uids, gold)) / len(gold), 6) AS accuracy FROM ({_SETS}) s JOIN ({_GOLD}) g ON s.q = g.q")
 def set_accuracy(spark, d):
     sols, gold = order_sets(spark, d)
-    out = sols.join(gold, "question")
-    return out.select("question", "solution", F.round(F.size(F.array_intersect("uids", "gold")) / F.size("gold"), 6).alias("accuracy"))
+    sols = sols.withColumn("set", F.struct("question", "solution"))
+    return evaluation.accuracy(sols.select("set", "question", "uids").join(gold, "question").select("set", "uids"), sols.join(gold, "question").select("set", "gold"), "set").select("set.question", "set.solution", F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("table_categories", "SELECT n_name, CASE n_regionkey WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'UNKNOWN' END AS category FROM nation")
@@ -519,10 +522,11 @@ def mean_average_precision(spark, d):
 
 
 @query("content_lemma_counts", """
-SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(list_filter(string_split(lower(trim(p_brand || ' ' || p_type)), ' '), lambda x: x <> '')) AS word FROM part) GROUP BY word""")
+SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(list_filter(string_split(lower(trim('the ' || p_brand)), ' '), lambda x: x NOT IN ('', 'the'))) AS word FROM part) GROUP BY word""")
 def content_lemma_counts(spark, d):
     """In how many rows each word stands."""
-    each = read(spark, d, "part").select(F.explode(F.array_distinct(S.tokens(F.lower(F.concat_ws(" ", "p_brand", "p_type"))))).alias("word"))
+    alts = A.annotate(F.concat(F.lit("the "), F.col("p_brand")))
+    each = read(spark, d, "part").select(F.explode(A.content_lemmas(alts)).alias("word"))
     return each.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -542,3 +546,173 @@ SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM w a JOIN w b ON a
 def overlap_join_query(spark, d):
     w = read(spark, d, "benchmark").select("item_id", S.tokens(F.lower("text")).alias("w"))
     return overlap_join(w.toDF("a", "wa"), w.toDF("b", "wb"), "a", "b", "wa", "wb", 5)
+
+
+@query("cooccurrence_shared_words", """
+WITH m AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS u FROM lineitem),
+w AS (SELECT p_partkey AS u, list_filter(string_split(lower(trim(p_name)), ' '), lambda x: x <> '') AS w FROM part)
+SELECT x.u AS a, y.u AS b, count(*) AS n FROM m x JOIN m y ON x.s = y.s AND x.u <> y.u JOIN w wx ON wx.u = x.u JOIN w wy ON wy.u = y.u WHERE list_has_any(wx.w, wy.w) GROUP BY ALL""")
+def cooccurrence_shared_words(spark, d):
+    words_of = read(spark, d, "part").select(F.col("p_partkey").alias("uid"), S.tokens(F.lower("p_name")).alias("words"))
+    return evaluation.cooccurrence(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("solution"), F.col("l_partkey").alias("uid")), words_of)
+
+
+_OVERLAPS = f"SELECT s.q, s.sol, len(list_intersect(uids, gold)) AS hits FROM ({_SETS}) s JOIN ({_GOLD}) g ON s.q = g.q"
+_COVER = f"SELECT g.q, coalesce(max(o.hits), 0) / any_value(len(g.gold)) AS c FROM ({_GOLD}) g LEFT JOIN ({_OVERLAPS}) o ON o.q = g.q GROUP BY g.q"
+
+
+@query("best_by_score", f"""
+WITH s AS (SELECT o.q, o.sol, s.uids, g.gold, CAST(s.sol + 1 AS DOUBLE) AS score FROM ({_OVERLAPS}) o JOIN ({_SETS}) s ON s.q = o.q AND s.sol = o.sol JOIN ({_GOLD}) g ON g.q = o.q WHERE o.hits > 0),
+p AS (SELECT a.q, a.gold, list_distinct(list_concat(list_concat(a.uids, b.uids), c.uids)) AS u, a.score + CASE WHEN b.sol = a.sol THEN 0 ELSE b.score END + CASE WHEN c.sol = b.sol THEN 0 ELSE c.score END AS score
+  FROM s a JOIN s b ON a.q = b.q AND a.sol <= b.sol JOIN s c ON c.q = a.q AND b.sol <= c.sol),
+x AS (SELECT q, CAST(len(list_intersect(u, gold)) AS INTEGER) AS hits, CAST(len(u) - len(list_intersect(u, gold)) AS INTEGER) AS extras, score FROM p)
+SELECT question, hits, score FROM (SELECT q AS question, hits, score, row_number() OVER (PARTITION BY q ORDER BY hits DESC, score DESC, extras) AS k FROM x) WHERE k = 1""")
+def best_by_score(spark, d):
+    """Combinations of up to three solutions, the highest sum of scores first."""
+    sols, gold = order_sets(spark, d)
+    return evaluation.best_combination(sols.withColumn("points", (F.col("solution") + 1).cast("double")), gold, k=3, by_score="points").select("question", "hits", "score")
+
+
+@query("coverage_histogram", f"""
+WITH b AS (SELECT unnest(range(0, 10)) AS bin), v AS ({_COVER}),
+e AS (SELECT bin, CAST(CASE WHEN bin = 0 THEN 0.0 ELSE bin / 10.0 END AS DOUBLE) AS low, CAST(CASE WHEN bin = 9 THEN 1.01 ELSE (bin + 1) / 10.0 END AS DOUBLE) AS high FROM b)
+SELECT CAST(bin AS INTEGER) AS bin, count(c) AS n, round(count(c) / (SELECT count(*) FROM v), 6) AS proportion FROM e LEFT JOIN v ON c >= low AND c < high GROUP BY bin""")
+def coverage_histogram(spark, d):
+    sols, gold = order_sets(spark, d)
+    return evaluation.coverage_histogram(evaluation.overlap(sols, gold), gold).select("bin", "n", F.round("proportion", 6).alias("proportion"))
+
+
+@query("coverage_averages", f"""
+SELECT count(*) AS questions, count(*) FILTER (c > 0) AS answered, round(avg(c), 6) AS mean_coverage, round(avg(c) FILTER (c > 0), 6) AS mean_answered, count(*) FILTER (c >= 1) AS complete FROM ({_COVER})""")
+def coverage_averages(spark, d):
+    sols, gold = order_sets(spark, d)
+    out = evaluation.coverage_averages(evaluation.overlap(sols, gold), gold)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_coverage", "mean_answered")})
+
+
+@query("leftover_rows", f"""
+WITH s AS (SELECT l_orderkey AS q, l_partkey AS u FROM lineitem WHERE l_suppkey % 3 = 0), g AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS u FROM lineitem WHERE l_quantity > 25)
+SELECT u AS uid, count(*) AS n FROM g ANTI JOIN s USING (q, u) GROUP BY u""")
+def leftover_rows(spark, d):
+    sols, gold = order_sets(spark, d)
+    return evaluation.leftover_rows(sols.where("solution = 0"), gold)
+
+
+@query("pattern_statistics", """
+SELECT 'p' AS pattern, count(*) AS solutions, 2 AS slots, 2 AS variables, count(*) AS with_variables, CAST(0 AS BIGINT) AS without_variables, round(avg(b), 6) AS mean_bound FROM (
+  SELECT 2.0 AS b FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT 1.0 FROM nation)""")
+def pattern_statistics(spark, d):
+    p = parse('inferencepattern p row a=[TABLE:"INREGION", NATION:<n>] row *s=[TABLE:"SUPPLIER", NATION:<n>, NAME:<x>] endinferencepattern').patterns[0]
+    return evaluation.pattern_statistics({"p": solve(geo_store(spark, d), p, None)}).withColumn("mean_bound", F.round("mean_bound", 6))
+
+
+@query("arithmetic_and_logic", """
+SELECT event_id, CAST(a + b AS BIGINT) AS plus, CAST(a - b AS BIGINT) AS minus, CAST(a * b AS BIGINT) AS times, CASE WHEN b = 0 THEN NULL ELSE CAST(a - b * trunc(a / b) AS BIGINT) END AS rest, event_type || '-' || event_id AS joined,
+  a = b AS eq, a <> b AS ne, a < b AS lt, a <= b AS le, a >= b AS ge, CASE WHEN a = 0 OR b = 0 THEN NULL ELSE a > 0 AND b > 0 END AS both, CASE WHEN a = 0 OR b = 0 THEN NULL ELSE a > 0 OR b > 0 END AS either
+FROM (SELECT event_id, event_type, CAST(event_id % 7 - 3 AS DOUBLE) AS a, CAST(event_id % 5 - 2 AS DOUBLE) AS b FROM events)""")
+def arithmetic_and_logic(spark, d):
+    """Dual-typed values: numbers, texts where one side is none, and conditions that fail if either side does."""
+    num = lambda n, k: S.dual((F.col("event_id") % n - k).cast("double"))
+    a, b = num(7, 3), num(5, 2)
+    whole = lambda op: S.dual_arithmetic(op, a, b)["d"]
+    yes = lambda x: F.when(x["d"] == 0, F.lit(None).cast("boolean")).otherwise(x["d"] > 0)
+    text = S.dual_arithmetic("+", S.dual_arithmetic("+", S.dual_text(F.col("event_type")), S.dual_text(F.lit("-"))), S.dual_text(F.col("event_id").cast("string")))
+    rest = whole("%")
+    return read(spark, d, "events").select(
+        "event_id", whole("+").cast("long").alias("plus"), whole("-").cast("long").alias("minus"), whole("*").cast("long").alias("times"), F.when(~F.isnan(rest), rest.cast("long")).alias("rest"), text["s"].alias("joined"),
+        *(S.dual_compare(op, a, b).alias(n) for op, n in (("==", "eq"), ("!=", "ne"), ("<", "lt"), ("<=", "le"), (">=", "ge"))), S.strict_and(yes(a), yes(b)).alias("both"), S.strict_or(yes(a), yes(b)).alias("either"),
+    )
+
+
+@query("sanitised_names", "SELECT p_partkey, regexp_replace(trim(regexp_replace(upper(p_type || ' / ' || p_brand || '#'), '[^A-Z0-9]+', ' ', 'g')), ' +', '_', 'g') AS name FROM part")
+def sanitised_names(spark, d):
+    return read(spark, d, "part").select("p_partkey", S.sanitised(F.concat("p_type", F.lit(" / "), "p_brand", F.lit("#"))).alias("name"))
+
+
+@query("roles_and_flags", """
+SELECT o_orderkey, CAST(count(*) FILTER (l_linenumber = 1) AS INTEGER) AS n_central, any_value(o_orderpriority) LIKE '1-%' AS urgent
+FROM orders JOIN (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def roles_and_flags(spark, d):
+    """Explanations filtered by role, questions by flag."""
+    word = F.concat(F.lit("p"), "l_partkey", F.lit("|"), F.when(F.col("l_linenumber") == 1, "central").otherwise("grounding"))
+    made = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", word.alias("w")))), lambda x: x["w"]), " ").alias("e"))
+    both = read(spark, d, "orders").join(made, F.col("o_orderkey") == F.col("l_orderkey"))
+    flags = F.concat(F.lit("success "), F.replace("o_orderpriority", F.lit("-"), F.lit(" flag ")))
+    return both.select("o_orderkey", F.size(S.with_roles(S.explanation(F.col("e")), ["CENTRAL"])).alias("n_central"), S.has_flag(flags, "1").alias("urgent"))
+
+
+@query("distractor_choice", """
+WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(trim(text)), ' '), lambda x: x <> '')) AS w FROM benchmark WHERE text IS NOT NULL),
+c AS (SELECT a.item_id AS question, b.item_id AS uid, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared FROM q a JOIN q b ON a.item_id <> b.item_id AND (a.item_id + b.item_id) % 7 = 0)
+SELECT question, uid, shared FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY shared DESC, uid) AS k FROM c) WHERE k <= 2""")
+def distractor_choice(spark, d):
+    """The two rows of each question, out of those ranked beyond the skipped ones, that share most words with it."""
+    w = read(spark, d, "benchmark").where("text is not null").select("item_id", F.array_distinct(S.tokens(F.lower("text"))).alias("words"))
+    a, b = w.select(F.col("item_id").alias("question"), F.col("words").alias("question_words")), w.withColumnRenamed("item_id", "uid")
+    pairs = a.join(b, (F.col("question") != F.col("uid")) & (F.pmod(F.col("question") + F.col("uid"), F.lit(7)) == 0))
+    return evaluation.distractors(pairs.select("question", "uid", "words", F.lit(101).alias("rank")), a, n=2, skip=100, tries=1_000_000)
+
+
+@query("tfidf_binary", """
+WITH tf AS (SELECT DISTINCT item_id AS doc, unnest(list_filter(string_split(lower(trim(text)), ' '), lambda x: x <> '')) AS word FROM benchmark),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), x AS (SELECT doc, tf.word, 1 / log10(1 + df) AS w FROM tf JOIN df ON tf.word = df.word)
+SELECT doc, word, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS weight FROM x""")
+def tfidf_binary(spark, d):
+    w = read(spark, d, "benchmark").select(F.col("item_id").alias("doc"), F.explode(S.tokens(F.lower("text"))).alias("word"))
+    return evaluation.tfidf(w, binary=True).select("doc", "word", F.round("weight", 6).alias("weight"))
+
+
+@query("relaxable_variable", "SELECT 's' || s_suppkey AS supplier, 'n' || n_nationkey AS nation FROM supplier CROSS JOIN nation")
+def relaxable_variable(spark, d):
+    """A relaxable occurrence never rules a row out, so every pair is a solution."""
+    p = parse('inferencepattern p row s=[TABLE:"SUPPLIER", NATION:<n>] row t=[TABLE:"INREGION", NATION:<~n>] endinferencepattern').patterns[0]
+    return solve(geo_store(spark, d), p, None).select(F.col("uid_s").alias("supplier"), F.col("uid_t").alias("nation"))
+
+
+@query("cross_product", "SELECT 's' || s_suppkey AS supplier, r_name AS r FROM supplier CROSS JOIN (SELECT DISTINCT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3)")
+def cross_product(spark, d):
+    """Slots without a common variable: a product with one static row."""
+    p = parse('inferencepattern p row t=[UUID:"n3", REGION:<r>] row s=[TABLE:"SUPPLIER", NAME:<x>] endinferencepattern').patterns[0]
+    m = solve(geo_store(spark, d), p, None)
+    return m.select(F.col("uid_s").alias("supplier"), words(m, "r"))
+
+
+@query("part_of_speech_slots", "SELECT 'o' || o_orderkey AS row FROM orders WHERE regexp_matches(o_orderpriority, '^[0-9]')")
+def part_of_speech_slots(spark, d):
+    """A literal that is a tag fits tokens of that tag: here cardinal numbers."""
+    store = Store(spark)
+    o = read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).alias("level"), "o_orderstatus")
+    store.add(from_frame("ORDERS", o, "id", {"LEVEL": "level", "STATUS": "o_orderstatus"}))
+    p = parse('inferencepattern p row r=[TABLE:"ORDERS", LEVEL:"POS:CD"] endinferencepattern').patterns[0]
+    return solve(store, p, None).select(F.col("uid_r").alias("row"))
+
+
+@query("constants_and_change", """
+SELECT 'p' || p_partkey AS part, p_size > 25 AS executable FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)""")
+def constants_and_change(spark, d):
+    """A constant stands for its literal; CHANGE compares with a threshold."""
+    part, store = read(spark, d, "part"), Store(spark)
+    brand = part.agg(F.min("p_brand")).first()[0]
+    store.add(from_frame("PART", part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), "p_brand", "p_size"), "id", {"BRAND": "p_brand", "SIZE": "p_size"}))
+    p = parse(f'inferencepattern p const <b> = "{brand}" row r=[TABLE:"PART", BRAND:<b>, SIZE:<s>] musthave(<s> CHANGE [threshold: 25, direction: increase]) endinferencepattern').patterns[0]
+    return solve(store, p, None).select(F.col("uid_r").alias("part"), "executable")
+
+
+@query("auto_fixpoint", """
+WITH RECURSIVE e AS (SELECT n_name AS part, r_name AS whole FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'WORLD' FROM region
+  UNION SELECT 'WORLD', 'SPACE'),
+c AS (SELECT lower(part) AS part, lower(whole) AS whole FROM e UNION SELECT c.part, lower(e.whole) FROM c JOIN e ON c.whole = lower(e.part))
+SELECT part, whole FROM c""")
+def auto_fixpoint(spark, d):
+    """A rule that generates rows runs until no row is added."""
+    from patternloom.runtime import Runtime
+
+    nation, region = read(spark, d, "nation"), read(spark, d, "region")
+    e = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_name", "r_name").union(region.select("r_name", F.lit("WORLD"))).union(spark.range(1).select(F.lit("WORLD"), F.lit("SPACE"))).toDF("part", "whole")
+    store = Store(spark)
+    store.add(from_frame("PARTOF", e.withColumn("id", F.concat(F.lit("e-"), "part", F.lit("-"), "whole")), "id", {"PART": "part", "WHOLE": "whole"}))
+    run = Runtime(spark, store, parse("""inferencepattern chain executionmode = "AUTO" row a=[TABLE:"PARTOF", PART:<x>, WHOLE:<y>] row b=[TABLE:"PARTOF", PART:<y>, WHOLE:<z>]
+        generateRow([TABLE:"PARTOF", PART:<x>, WHOLE:<z>]) endinferencepattern executeAutoPatterns"""))
+    run.run()
+    cell = lambda k: F.lower(F.element_at("cells", k))
+    return store["PARTOF"].rows.select(cell(1).alias("part"), cell(2).alias("whole"))

@@ -7,18 +7,25 @@ import itertools
 import math
 import time
 from collections import ChainMap
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternloom.checkpoints import checkpoint
 from patternloom.functions.omni import omni_text
 from patternloom.operators.closure import ROUNDS, complete_taxonomy
 from patternloom.plans.ast import Expr, Pattern, Program, Statement
-from patternloom.plans.compile import MAX_MATCHES, solve
+from patternloom.plans.compile import MAX_MATCHES, solve, static_uids
+from patternloom.plans.conditions import Scope
+from patternloom.plans.conditions import value as expression
 from patternloom.sources import sinks
-from patternloom.sources.tablestore import Store
+from patternloom.sources.readers import Config
+from patternloom.sources.tablestore import Store, Table
 
 LOOPS = 25
 AUTO = ("AUTO", "AUTOREGEN")
@@ -94,6 +101,16 @@ def compare(op: str, a: Dual, b: Dual) -> bool | None:
     return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
 
+def plain(e: Expr) -> bool:
+    """Whether an expression is made of literals, variables and arithmetic alone."""
+    return e.op in ("lit", "num", "var", "path") or e.op in ("+", "-", "*", "/", "%") and all(plain(a) for a in e.args)
+
+
+def names_of(match: dict[str, Any]) -> dict[str, Dual]:
+    """A solution's variables and row names as conditions see them."""
+    return {k.replace("__", "."): of_text(v) for k, v in match.items() if isinstance(v, str) and k != "hash"}
+
+
 class Runtime:
     """Runs a program over a store. states is the log of snapshots; the last is the current one."""
 
@@ -104,6 +121,8 @@ class Runtime:
             raise ScriptError("two patterns have the same name")
         self.max_matches = MAX_MATCHES
         self.states, self.matches, self.printed = [State()], {}, []
+        self.solved_at: dict[str, tuple[int, int]] = {}
+        self.kinds_known: dict[tuple[int, str, str], bool] = {}
         self.scope: ChainMap = ChainMap({})
         self.remap: dict[str, str] = {}
         self.enabled: frozenset[str] | None = None
@@ -145,9 +164,15 @@ class Runtime:
     def populate(self, names: list[str] | None = None) -> None:
         """Solve all patterns, or those named with their components."""
         order = list(dict.fromkeys(x for n in (names or self.patterns) for x in self.required(n)))
+        self.store.locate([u for n in order for u in static_uids(self.patterns[n])])
         for n in order:
             self.tick()
-            self.matches[n] = solve(self.store, self.patterns[n], self.max_matches, self.lemmas, solved=self.matches).cache()
+            now = self.store.version, self.max_matches
+            if self.solved_at.get(n) == now:  # no table has changed since
+                continue
+            if n in self.matches:
+                self.matches[n].unpersist()
+            self.matches[n], self.solved_at[n] = solve(self.store, self.patterns[n], self.max_matches, self.lemmas, solved=self.matches).cache(), now
 
     def tick(self) -> None:
         if self.ends and time.monotonic() > self.ends:
@@ -166,14 +191,32 @@ class Runtime:
         for k in range(ROUNDS):
             self.populate([p.name for p in autos])
             for p in autos:
+                kind = "TEMPGEN" if p.mode == "AUTOREGEN" else "GEN"
+                if all(s.kind == "generate" and all(plain(e) for _, e in s.args[0][1]) for s in p.code):
+                    self.generate_all(p, kind)
+                    continue
                 for row in self.matches[p.name].where("executable").toLocalIterator():
-                    self.run_match(p, row.asDict(), {}, frozenset(), kind="TEMPGEN" if p.mode == "AUTOREGEN" else "GEN")
+                    self.run_match(p, row.asDict(), {}, frozenset(), kind=kind)
             now = self.row_count()
             if now == before:
                 return k + 1
             before = now
         return ROUNDS
 
+    def generate_all(self, p: Pattern, kind: str) -> None:
+        """The rows that a pattern's code generates for all its executable solutions, added in one step for each statement."""
+        rows = self.texts(p.name).where("executable")
+        names = {c.replace("__", "."): F.col(f"`{c}`") for c in rows.columns if c not in ("hash", "executable", "n_opt_unfilled")}
+        for s in p.code:
+            table, cells = s.args[0]
+            t = self.store[table]
+            row = [F.lit("")] * len(t.header)
+            for c, e in cells:
+                row[t.column(c)] = F.coalesce(expression(e, Scope(names))["s"], F.raise_error(F.lit(f"line {s.line}: an expression has no value")).cast("string"))
+            self.store.insert(table, rows.select(F.array(*row).alias("cells")), kind)
+            t = self.store[table]
+            self.store.add(Table(t.name, t.header, checkpoint(t.rows), t.roles))  # the table's plan would grow with each round
+
     # matches
     def texts(self, name: str) -> DataFrame:
         """The solutions with their variables as texts and row names as uids."""
@@ -182,24 +225,71 @@ class Runtime:
         rows = [F.when(F.col(f"`{c}`").isNull(), F.lit("")).otherwise(F.concat(F.lit("UUID"), F.col(f"`{c}`"))).alias(c[4:]) for c in m.columns if c.startswith("uid_")]
         return m.select("hash", "executable", "n_opt_unfilled", *cols, *rows)
 
-    def choose(self, name: str, how: tuple | None, remap: tuple) -> dict[str, Any] | None:
-        """The solution meant: by index, by hash, by conditions (the most bound variables win), or the first."""
+    def chosen(self, name: str, how: tuple | None) -> Iterator[dict[str, Any]]:
+        """The solutions meant, best first: by index, by hash, by conditions (the most bound variables first), or all."""
         self.populate([name])
         rows = self.texts(name)
-        if how is None:
-            got = rows.limit(1).collect()
-        elif how[0] == "index":
-            got = rows.limit(how[1] + 1).collect()[how[1] :]
-        elif how[0] == "hash":
-            got = rows.where(F.col("hash") == how[1].lower()).limit(1).collect()
+        if how is not None and how[0] == "index":
+            yield from (r.asDict() for r in rows.limit(how[1] + 1).collect()[how[1] :])
+        elif how is not None and how[0] == "hash":
+            yield from (r.asDict() for r in rows.where(F.col("hash") == how[1].lower()).limit(1).collect())
+        elif how is not None:
+            found = [m for m in (r.asDict() for r in rows.toLocalIterator()) if all(self.truth(c, names_of(m)) for c in how[1])]
+            yield from sorted(found, key=lambda m: -sum(v not in (None, "") for v in m.values()))
         else:
-            found = []
-            for r in rows.toLocalIterator():
-                local = {k.replace("__", "."): of_text(v) for k, v in r.asDict().items() if isinstance(v, str) and k != "hash"}
-                if all(self.truth(c, local) for c in how[1]):
-                    found.append(r)
-            got = sorted(found, key=lambda r: -sum(v not in (None, "") for v in r.asDict().values()))[:1]
-        return got[0].asDict() if got else None
+            yield from (r.asDict() for r in rows.toLocalIterator())
+
+    def needed(self, p: Pattern) -> list[str]:
+        """The instances that a pattern has to be given."""
+        return list(dict.fromkeys([i for i, _ in p.requires] + [i for i, _, _ in p.instmaps]))
+
+    def kinds(self, p: Pattern) -> list[tuple[str, str]]:
+        """(instance, kind) that a pattern requires; what its components require of instances that it maps to them too."""
+        mapped = [(i, k) for i, var, j in p.instmaps for x, k in self.kinds(self.patterns[dict(p.components)[var]]) if x == j]
+        return [*p.requires, *mapped]
+
+    def mappings(self, p: Pattern, remap: tuple) -> Iterator[dict[str, str]]:
+        """The given map, or injective ones from needed instances to those of the state, where all kinds fit."""
+        need = self.needed(p)
+        every = [dict(remap)] if remap else (dict(zip(need, perm, strict=True)) for perm in itertools.permutations(self.state.instances, len(need)))
+        for pairs in every:
+            have = {i: self.state.instances.get(pairs.get(i, i)) for i, _ in self.kinds(p)}
+            if len(pairs) == len(need) and all(have[i] is not None and self.is_kind(have[i].kind, k) for i, k in self.kinds(p)):
+                yield pairs
+
+    def satisfied(self, p: Pattern, match: dict[str, Any], pairs: dict[str, str]) -> bool:
+        """Whether a solution may be executed with a map of instances: every condition can be evaluated, and all but a
+        shouldhave hold, those of its components too."""
+        local, old = names_of(match), self.remap
+        self.remap = {**old, **pairs, **{f"{var}.{j}": pairs.get(i, i) for i, var, j in p.instmaps}}
+        try:
+            got = [(kind, self.condition(c, local)) for kind, c in p.constraints]
+        except ScriptError:  # an instance that the state doesn't have
+            return False
+        finally:
+            self.remap = old
+        if any(v is None or not v and kind != "shouldhave" for kind, v in got):
+            return False
+        for var, of in p.components:
+            q = self.patterns[of]
+            if q.constraints or q.components:
+                part = self.component_match(var, of, match)
+                if part is not None and not self.satisfied(q, part, self.part_pairs(p, var, pairs)):
+                    return False
+        return True
+
+    def part_pairs(self, p: Pattern, var: str, pairs: dict[str, str]) -> dict[str, str]:
+        """A component's map of instances: its own go by those that the composite maps to them."""
+        return {**pairs, **{j: pairs.get(i, i) for i, a, j in p.instmaps if a == var}}
+
+    def executable(self, name: str, how: tuple | None, remap: tuple) -> tuple[dict[str, Any], dict[str, str]] | None:
+        """The first solution meant, with the first map of instances, whose requirements are met."""
+        p = self.patterns[name]
+        for m in self.chosen(name, how):
+            for pairs in self.mappings(p, remap):
+                if self.satisfied(p, m, pairs):
+                    return m, pairs
+        return None
 
     def component_match(self, var: str, of: str, match: dict[str, Any]) -> dict[str, Any] | None:
         """The component's solution over the rows that it has in the composite's."""
@@ -220,21 +310,17 @@ class Runtime:
         finally:
             self.scope, self.remap, self.enabled, self.generated_kind = old
 
-    def assignments(self, p: Pattern):
-        """Injective maps from required instances to those of the state whose kind fits."""
-        need, have = [i for i, _ in p.requires], list(self.state.instances)
-        for perm in itertools.permutations(have, len(need)):
-            if all(self.is_kind(self.state.instances[x].kind, k) for x, (_, k) in zip(perm, p.requires, strict=True)):
-                yield dict(zip(need, perm, strict=True))
-
     def is_kind(self, narrow: str, wide: str) -> bool:
         if wide.lower() == "thing" or narrow.lower() == wide.lower():
             return True
         if "KINDOF" not in self.store:
             return False
-        t = self.store["KINDOF"]
-        cell = lambda c: F.lower(F.trim(F.element_at("cells", t.column(c) + 1)))
-        return not t.rows.where((cell("HYPONYM") == narrow.lower()) & (cell("HYPERNYM") == wide.lower())).isEmpty()
+        asked = self.store.version, narrow.lower(), wide.lower()
+        if asked not in self.kinds_known:
+            t = self.store["KINDOF"]
+            cell = lambda c: F.lower(F.trim(F.element_at("cells", t.column(c) + 1)))
+            self.kinds_known[asked] = not t.rows.where((cell("HYPONYM") == asked[1]) & (cell("HYPERNYM") == asked[2])).isEmpty()
+        return self.kinds_known[asked]
 
     # expressions
     def instance(self, name: str, state: State | None = None) -> Instance:
@@ -280,8 +366,7 @@ class Runtime:
         name, how, remap, _ = args
         if how and how[0] == "index":
             raise ScriptError("meetsRequirements takes a hash or conditions")
-        m = self.choose(name, how, remap)
-        return bool(m and m["executable"])
+        return self.executable(name, how, remap) is not None
 
     def condition(self, e: Expr, local: dict | None = None) -> bool | None:
         if e.op in ("&&", "||"):
@@ -376,16 +461,19 @@ class Runtime:
         self.store.remove(rows.select("uid"))
 
     def do_executePattern(self, name: str, how: tuple | None, remap: tuple, blocks: tuple) -> None:
-        m = self.choose(name, how, remap)
-        if m is None:
-            raise ScriptError(f"executePattern({name}): no solution is meant")
-        p = self.patterns[name]
-        pairs = dict(remap) or (next(self.assignments(p), {}) if p.requires else {})
+        p = self.patterns.get(name)
+        if p is None:
+            raise ScriptError(f"no pattern {name}")
+        if remap and len(dict(remap)) != len(self.needed(p)):
+            raise ScriptError(f"executePattern({name}): it needs {len(self.needed(p))} instances, {len(dict(remap))} are given")
+        found = self.executable(name, how, remap)
+        if found is None:
+            raise ScriptError(f"executePattern({name}): no solution that is meant meets the requirements")
+        m, pairs = found
         for var, of in p.components:
             part = self.component_match(var, of, m)
-            if part is not None:  # an instance of the component goes by the one that the composite maps to it
-                own = {**pairs, **{j: pairs.get(i, i) for i, a, j in p.instmaps if a == var}}
-                self.run_match(self.patterns[of], part, own, frozenset(blocks))
+            if part is not None:
+                self.run_match(self.patterns[of], part, self.part_pairs(p, var, pairs), frozenset(blocks))
         self.run_match(p, m, pairs, frozenset(blocks))
         self.state.runs.append(name)
         self.do_incrementState()
@@ -528,36 +616,65 @@ def unpivot_properties(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(id).alias("object"), each.alias("e")).select("object", "e.property", "e.value").where("value is not null")
 
 
-def enumerate_patterns(spark: SparkSession, store: Store, program: Program, max_matches: int = MAX_MATCHES) -> tuple[list[tuple[Pattern, DataFrame]], dict[str, float]]:
-    """Solve every pattern after the automatic ones; the solutions and a summary of them."""
+def enumerate_patterns(spark: SparkSession, store: Store, program: Program, max_matches: int = MAX_MATCHES, threads: int = 4) -> tuple[list[tuple[Pattern, DataFrame]], dict[str, float]]:
+    """Solve every pattern after the automatic ones, `threads` at a time; the solutions and a summary of them."""
     run = Runtime(spark, store, program)
     run.max_matches = max_matches
     run.auto()
     run.populate()
-    counts = {n: m.count() for n, m in run.matches.items()}
+    with ThreadPoolExecutor(max(1, threads)) as pool:  # each count is a job of its own, which fills the pattern's cache
+        counts = dict(zip(run.matches, pool.map(lambda m: m.count(), run.matches.values()), strict=True))
     slots = [len(p.slots) for p in program.patterns]
     variables = [len({c for c in run.matches[p.name].columns if c.startswith("v_")}) for p in program.patterns]
     n = max(len(slots), 1)
     return run.found(), {"solutions": sum(counts.values()), "patterns": len(counts), "at_limit": sum(c >= max_matches for c in counts.values()), "mean_slots": sum(slots) / n, "mean_variables": sum(variables) / n}
 
 
+def run_properties(spark: SparkSession, config: Config) -> dict[str, dict[str, float]]:
+    """The enumeration run that a properties file describes: each pattern file's solutions as <name>.json, and as pages where
+    asked for; the summary of each file."""
+    from patternloom.plans.parser import load
+    from patternloom.sources.tablestore import load_store
+
+    given, out, told = Path(config.input_path), Path(config.output_path), {}
+    out.mkdir(parents=True, exist_ok=True)
+    for file in [given] if given.suffix == ".iml" else sorted(given.glob("*.iml")):
+        store = load_store(spark, config.store_index)  # automatic patterns of one file add nothing to the next
+        found, told[file.name] = enumerate_patterns(spark, store, load(file), config.max_matches, config.threads)
+        sinks.write_matches_json(str(out / f"{file.name}.json"), found, store)
+        if config.export_html:
+            sinks.write_matches_html(str(out / f"{file.name}.html"), found, store)
+        if config.export_store_html:
+            sinks.write_store_html(str(out / f"{file.name}.tables.html"), store)
+        for _, m in found:
+            m.unpersist()
+    return told
+
+
 def main(argv: list[str] | None = None) -> int:
-    """Command line: --script, --tablestoreIndex, --outputPath, --timeLimit, --twolineHeader, --lemmas."""
+    """Command line: --script with --tablestoreIndex, --outputPath, --timeLimit, --twolineHeader, --lemmas; or --props alone."""
     import argparse
 
     from patternloom.plans.parser import load
-    from patternloom.sources.readers import lemma_dictionary
+    from patternloom.sources.readers import lemma_dictionary, properties
     from patternloom.sources.tablestore import load_store
 
     a = argparse.ArgumentParser(prog="patternloom")
-    a.add_argument("--script", required=True)
-    a.add_argument("--tablestoreIndex", required=True)
+    a.add_argument("--props")
+    a.add_argument("--script")
+    a.add_argument("--tablestoreIndex")
     a.add_argument("--outputPath")
     a.add_argument("--timeLimit", type=float)
     a.add_argument("--twolineHeader", action="store_true")
     a.add_argument("--lemmas")
     args = a.parse_args(argv)
+    if not args.props and not (args.script and args.tablestoreIndex):
+        a.error("--props, or --script and --tablestoreIndex, are needed")
     spark = SparkSession.builder.getOrCreate()
+    if args.props:
+        for name, told in run_properties(spark, properties(args.props)).items():
+            print(f"{name}: {told}")
+        return 0
     run = Runtime(spark, load_store(spark, args.tablestoreIndex, args.twolineHeader), load(args.script), args.outputPath, args.timeLimit, lemma_dictionary(spark, args.lemmas) if args.lemmas else None)
     code = run.run()
     print("\n".join(run.printed))

@@ -47,10 +47,19 @@ def split_rankings(scores: DataFrame, path: str) -> None:
 
 
 def label_probabilities(spark: SparkSession, path: str) -> DataFrame:
-    """(question, uid, score, gold) from lines of JSON with the probabilities of both labels; the score is the second."""
-    schema = "question string, uid string, labelProbs array<double>, logits array<double>, isGold boolean"
-    rows = spark.read.text(path).select(F.from_json("value", schema).alias("j")).where("j is not null")
-    return rows.select("j.question", "j.uid", F.try_element_at("j.labelProbs", F.lit(2)).alias("score"), F.col("j.isGold").alias("gold"))
+    """(question, uid, row_text, score, logit, gold) from lines of JSON: id, context, label, label_logits, label_probs.
+
+    The id is the question's, a hyphen and the choice, two underscores and the row's uid; score and logit are the second
+    label's, gold is label 1. The text stands after three characters of the context. Lines that are no such object are left
+    out.
+    """
+    schema = "id string, context string, label double, label_logits array<double>, label_probs array<double>"
+    rows = spark.read.text(path).select(F.from_json("value", schema).alias("j")).where("j.id is not null").select("j.*")
+    head = F.regexp_replace("id", r"(?s)__(?!.*__).*$", "")
+    return rows.select(
+        F.regexp_replace(head, r"(?s)-[^-]*$", "").alias("question"), F.regexp_extract("id", r"(?s)__((?!.*__).*)$", 1).alias("uid"), F.substring(F.col("context"), F.lit(4), F.length("context")).alias("row_text"),
+        F.try_element_at("label_probs", F.lit(2)).alias("score"), F.try_element_at("label_logits", F.lit(2)).alias("logit"), (F.col("label") == 1).alias("gold"),
+    )
 
 
 def questions(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:

@@ -92,9 +92,22 @@ class Store:
     def __init__(self, spark: SparkSession) -> None:
         ship(spark)
         self.spark, self.tables = spark, {}
+        self.version = 0  # counts edits
+        self.located: dict[str, str | None] = {}
 
     def add(self, table: Table) -> None:
         self.tables[table.name.upper()] = table
+        self.version += 1
+        self.located.clear()
+
+    def locate(self, uids: list[str]) -> dict[str, str | None]:
+        """The table of each uid, None where no table holds it; one job for all that are not known yet."""
+        fresh = sorted(set(uids) - self.located.keys())
+        if fresh:
+            self.located |= dict.fromkeys(fresh)
+            for r in self.rows().where(F.col("uid").isin(fresh)).select("uid", "table").collect():  # the uids asked for
+                self.located[r.uid] = self.located[r.uid] or r.table
+        return {u: self.located[u] for u in uids}
 
     def __getitem__(self, name: str) -> Table:
         try:

@@ -8,7 +8,7 @@ import pytest
 from patternloom.operators.closure import complete_taxonomy, transitive_closure
 from patternloom.plans.compile import solve
 from patternloom.plans.parser import ParseError, load, parse
-from patternloom.runtime import Runtime, enumerate_patterns
+from patternloom.runtime import Runtime, ScriptError, enumerate_patterns
 from patternloom.sources import sinks
 from patternloom.sources.tablestore import Store, from_rows, load_store
 
@@ -61,6 +61,8 @@ def test_literals_options_and_concatenation(spark):
 
 def test_musthave_marks_and_unprocessed_keeps(spark):
     m = solve(store_of(spark), one('inferencepattern p row a=[TABLE:"PARTOF", PART:<x>] musthave(<x> == "tail") shouldhave(<x> != "leaf") musthaveoromit(<nowhere> == "1") endinferencepattern'))
+    assert {(r.uid_a, r.executable, r.should_score) for r in m.collect()} == {("p1", False, 1.0), ("p2", False, 0.0), ("p3", False, 1.0)}  # an open condition keeps all from being executed
+    m = solve(store_of(spark), one('inferencepattern p row a=[TABLE:"PARTOF", PART:<x>] musthave(<x> == "tail") shouldhave(<x> != "leaf") endinferencepattern'))
     assert {(r.uid_a, r.executable, r.should_score) for r in m.collect()} == {("p1", True, 1.0), ("p2", False, 0.0), ("p3", False, 1.0)}
 
 
@@ -231,3 +233,75 @@ def test_composite_runs_its_components_with_mapped_instances(spark):
 def test_missing_part_keeps_condition_open(spark):
     m = solve(store_of(spark), one('inferencepattern p row *a=[TABLE:"PARTOF", PART:<x>] row b=[UUID:"k1"] musthaveoromit(<x> == "tail") endinferencepattern'))
     assert {(r.uid_a, r.uid_b) for r in m.collect()} == {("p1", "k1"), (None, "k1")}
+
+
+REQUIRES = """inferencepattern p require instance thing = [KINDOF:"cat"] row r=[TABLE:"PARTOF", PART:<x>, WHOLE:"cat"] CONDITION println("ran " + <x>) endinferencepattern
+  instance felix = [KINDOF:"cat"] instance rover = [KINDOF:"dog"] instance tom = [KINDOF:"cat"]
+  felix."age" = 9 tom."age" = 60 rover."age" = 99
+"""
+
+
+def scripted(spark, condition, rest):
+    run = Runtime(spark, store_of(spark), parse(REQUIRES.replace("CONDITION", condition) + rest))
+    try:
+        return run.run(), run.printed
+    except ScriptError as e:
+        return str(e), run.printed
+
+
+def test_requirements_are_met_first(spark):
+    hold = 'musthave(thing."age" > 50)'
+    code, printed = scripted(spark, hold, "executePattern(p, 0, [thing->felix])")
+    assert "requirements" in str(code) and printed == []
+    assert scripted(spark, hold, "executePattern(p, 0, [thing->tom])") == (0, ["ran tail"])
+    assert scripted(spark, hold, "executePattern(p, 0)") == (0, ["ran tail"])  # the map that fits is found
+    assert scripted(spark, 'musthaveoromit(thing."age" > 50)', "executePattern(p, 0, [thing->felix])")[1] == []
+    assert scripted(spark, 'musthave(<x> == "nothing")', "executePattern(p, 0, [thing->tom])")[1] == []
+    assert scripted(spark, 'shouldhave(thing."age" > 50)', "executePattern(p, 0, [thing->felix])") == (0, ["ran tail"])
+    assert scripted(spark, 'musthave(thing."height" > 50)', "executePattern(p, 0, [thing->tom])")[1] == []  # can't be evaluated
+
+
+def test_kind_and_number_of_instances(spark):
+    assert scripted(spark, "", "executePattern(p, 0, [thing->rover])")[1] == []  # a dog
+    assert "needs 1" in str(scripted(spark, "", "executePattern(p, 0, [thing->felix, other->tom])")[0])
+    text = REQUIRES.replace('KINDOF:"cat"] row', 'KINDOF:"dragon"] row').replace("CONDITION", "")
+    with pytest.raises(ScriptError):
+        Runtime(spark, store_of(spark), parse(text + "executePattern(p, 0)")).run()
+
+
+def test_meets_requirements_follows_instances(spark):
+    rest = """var n = 0
+      while (meetsRequirements(p, [<x> == "tail"], [thing->felix]) < 1) felix."age" = felix."age" + 20 n = n + 1 endwhile
+      println("n " + n)"""
+    assert scripted(spark, 'musthave(thing."age" > 50)', rest) == (0, ["n 3.0"])
+
+
+def test_a_properties_file_runs_an_enumeration(spark, tmp_path):
+    from patternloom.runtime import main
+
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "index.txt").write_text("PARTOF.tsv\n")
+    (tmp_path / "tables" / "PARTOF.tsv").write_text("PART\tWHOLE\t[SKIP] UID\ntail\tcat\tp1\nleaf\ttree\tp2\n")
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / f"{name}.iml").write_text('inferencepattern p row a=[TABLE:"PARTOF", PART:<x>, WHOLE:<y>] endinferencepattern')
+    (tmp_path / "run.props").write_text(f"tablestoreIndex = {tmp_path}/index.txt\nIMLInputPath = {tmp_path}/in\nIMLOutputPath = {tmp_path}/out\nmaxMatches = 1\nnumThreads = 2\nexportTableStoreHTML = true\n")
+    assert main(["--props", str(tmp_path / "run.props")]) == 0
+    for name in "ab":
+        assert len(json.loads((tmp_path / "out" / f"{name}.iml.json").read_text())["patternMatches"][0]["matches"]) == 1
+        assert "leaf" in (tmp_path / "out" / f"{name}.iml.tables.html").read_text()
+
+
+def test_predictions_reader(spark, tmp_path):
+    from patternloom.sources.readers import label_probabilities
+
+    row = {"id": "Mercury_7-1-A__x__ab12-0000-1111-2222", "context": "B: a leaf", "label": 1, "label_predicted": 0, "label_logits": [0.5, 2.0], "label_probs": [0.25, 0.75]}
+    (tmp_path / "p.jsonl").write_text(json.dumps(row) + "\nnot json\n\n")
+    assert [tuple(r) for r in label_probabilities(spark, str(tmp_path / "p.jsonl")).collect()] == [("Mercury_7-1", "ab12-0000-1111-2222", "a leaf", 0.75, 2.0, True)]
+
+
+def test_a_condition_of_one_slot_filters_it_before_the_join(spark):
+    text = 'inferencepattern p row a=[TABLE:"PARTOF", PART:<x>, WHOLE:<y>] row b=[TABLE:"KINDOF", HYPONYM:<z>, HYPERNYM:<y>] musthaveoromit(<x> == "leaf") endinferencepattern'
+    m = solve(store_of(spark), one(text), None)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("leaf") > plan.index("Join") and all(r.v_x == [["leaf"]] for r in m.collect())
