@@ -23,6 +23,8 @@ SLICE_BITS, SLICE_HASHES = 23, 2_000_000
 BITS = 38
 #: Text of one block of documents, which is read and held at once.
 BLOCK_BYTES = 8 << 20
+#: Blocks of one slice that are answered in one batch.
+ANSWERS = 64
 _ODD = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
 
@@ -164,11 +166,14 @@ def repeated(docs: DataFrame, text: str, window: int) -> DataFrame:
 
     def merge(batches):
         for t in by_slice(batches):
-            total = np.zeros(1 << low, np.uint8)
-            got = [unsqueeze(b) for b in t["blob"].to_pylist()]
-            for at, more in got:
+            total, blobs = np.zeros(1 << low, np.uint8), t["blob"]
+            for b in blobs:  # blobs stay squeezed: only one block's counters are laid out at a time
+                at, more = unsqueeze(b.as_py())
                 total[at] = np.minimum(total[at] + 1 + more, 2)
-            yield from pa.table({"block": t["block"], "slice": t["slice"], "bits": binaries([np.packbits(total[at] > 1).tobytes() for at, _ in got])}).to_batches()
+            for i in range(0, t.num_rows, ANSWERS):
+                part = t.slice(i, ANSWERS)
+                bits_of = [np.packbits(total[unsqueeze(b.as_py())[0]] > 1).tobytes() for b in part["blob"]]
+                yield from pa.table({"block": part["block"], "slice": part["slice"], "bits": binaries(bits_of)}).to_batches()
 
     answer = "block long, slice long, bits binary"
     counted = save(made.where("slice >= 0").select("block", "slice", "blob").repartition(n, "slice").sortWithinPartitions("slice", "block").mapInArrow(merge, answer), "substrings-sketch")
