@@ -9,9 +9,9 @@ from patternloom.plans.ast import Pattern
 
 
 def prefixed(matches: DataFrame, name: str) -> DataFrame:
-    """A component's slots and variables under its name."""
+    """A component's slots, variables and hash (as a number) under its name."""
     keep = [F.col(c).alias(f"uid_{name}.{c[4:]}" if c.startswith("uid_") else f"v_{name}.{c[2:]}") for c in matches.columns if c.startswith(("uid_", "v_"))]
-    return matches.select(*keep)
+    return matches.select(*keep, F.conv("hash", 16, 10).cast("int").alias(f"hash_{name}"))
 
 
 def compose(own: DataFrame | None, pattern: Pattern, solved: dict[str, DataFrame]) -> DataFrame:

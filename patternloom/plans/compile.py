@@ -46,6 +46,10 @@ def lowered(slot: Slot, constants: dict[str, str]) -> Slot:
     return Slot(slot.name, type(slot.ref)(slot.ref.table, slot.ref.uuid, tuple(cells)), slot.optional)
 
 
+#: Row ids that last from run to run; all other rows are known by their content.
+LASTING_UID = "^.{4}-.{4}-.{4}-.{4}"
+
+
 def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, str] | None = None, lemmas: Column | None = None) -> Candidates:
     """uid, relaxed and a value column for each variable occurrence: every way in which a row fits the slot."""
     ref, p = slot.ref, f"s{number}_"
@@ -56,13 +60,14 @@ def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, s
     wanted = [(store[name].column(c), options) for c, options in ref.cells] if name is not None else []
     if name is None:  # a static row that no table holds
         rows = store.rows().where("1 = 0").select("uid")
-        alts = {}
+        alts, content = {}, F.lit("")
     else:
         rows = store[name].annotated([c for c, _ in wanted], lemmas)
+        content = F.lower(store[name].text(data_only=True))
         alts = {c: f"alts_{c}" for c, _ in wanted}
     if ref.uuid is not None:
         rows = rows.where(F.col("uid") == ref.uuid)
-    out = [F.col("uid").alias(f"{p}uid")]
+    out = [F.col("uid").alias(f"{p}uid"), row_hash(F.when(F.col("uid").rlike(LASTING_UID), F.col("uid")).otherwise(content)).alias(f"{p}hash")]
     relaxed = F.lit(0)
     k = 0
     keep = []
@@ -209,7 +214,8 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     """The solutions of a pattern: uid_<slot>, v_<variable>, n_opt_unfilled, relaxed_dyn, relaxed_total, executable,
     should_score, hash; without duplicates (same rows and same lemma text of all bindings), and ordered where there is a limit.
     A solution is executable if its conditions could all be evaluated and each musthave holds; conditions on instances can't
-    be evaluated here, but once instances are mapped.
+    be evaluated here, but once instances are mapped. The hash adds up those of the filled rows, by their ids where these last,
+    else by their DATA text, and those of the components' solutions.
 
     Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x.
     """
@@ -246,7 +252,8 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
             executable = executable & F.coalesce(got, F.lit(False))
         else:
             score, shoulds = score + F.coalesce(got, F.lit(False)).cast("double"), shoulds + 1
-    hashes = F.filter(F.array(*(F.when(F.col(u).isNotNull(), row_hash(F.col(u))) for u in uids)), lambda h: h.isNotNull()) if uids else F.array().cast("array<int>")
+    parts = [F.col(f"s{i}_hash") for i in range(len(cands))] + [F.col(f"hash_{a}") for a, _ in pattern.components]
+    hashes = F.filter(F.array(*parts), lambda h: h.isNotNull()) if parts else F.array().cast("array<int>")
     out = out.withColumns({"executable": executable, "should_score": score / max(shoulds, 1), "hash": match_hash(hashes)})
     out = out.select(*uids, *values, "n_opt_unfilled", "relaxed_dyn", "relaxed_total", "executable", "should_score", "hash")
     texts = {f"_t{i}": F.coalesce(omni_text(F.col(v)), F.lit("\x00")) for i, v in enumerate(values)}

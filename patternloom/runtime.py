@@ -5,11 +5,14 @@ from __future__ import annotations
 import copy
 import itertools
 import math
+import threading
 import time
+import uuid
 from collections import ChainMap
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
 from typing import Any
 
@@ -101,6 +104,43 @@ def compare(op: str, a: Dual, b: Dual) -> bool | None:
     return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
 
+@contextmanager
+def jobs_end_at(spark: SparkSession, ends: float | None) -> Iterator[None]:
+    """Cancels the jobs of this thread that still run at a time of the monotonic clock, or start later."""
+    if ends is None:
+        yield
+        return
+    sc, tag, done = spark.sparkContext, f"patternloom-{uuid.uuid4().hex}", threading.Event()
+
+    def watch() -> None:
+        left = ends - time.monotonic()
+        while not done.wait(max(left, 0.2)):
+            sc.cancelJobsWithTag(tag)
+            left = 0
+
+    sc.addJobTag(tag)
+    threading.Thread(target=watch, daemon=True).start()
+    try:
+        yield
+    finally:
+        done.set()
+        sc.removeJobTag(tag)
+
+
+def literals(x: Any) -> Iterator[str]:
+    """All texts within a program: what its rows and rules may write among them."""
+    if isinstance(x, str):
+        yield x
+    elif is_dataclass(x):
+        for f in fields(x):
+            yield from literals(getattr(x, f.name))
+    elif isinstance(x, (list, tuple, set, frozenset)):
+        for y in x:
+            yield from literals(y)
+    elif isinstance(x, dict):
+        yield from literals([*x.keys(), *x.values()])
+
+
 def plain(e: Expr) -> bool:
     """Whether an expression is made of literals, variables and arithmetic alone."""
     return e.op in ("lit", "num", "var", "path") or e.op in ("+", "-", "*", "/", "%") and all(plain(a) for a in e.args)
@@ -133,11 +173,18 @@ class Runtime:
         return self.states[-1]
 
     def run(self) -> int:
-        """Execute the program; its exit code, -10 for a failed verifyAnswer."""
+        """Execute the program; its exit code, -10 for a failed verifyAnswer. At the time limit running jobs are cancelled."""
         try:
-            self.execute(self.program.statements)
+            with jobs_end_at(self.spark, self.ends):
+                self.execute(self.program.statements)
         except Exit as e:
             return e.code
+        except (ScriptError, Break):
+            raise
+        except Exception as e:
+            if self.ends and time.monotonic() > self.ends:
+                raise ScriptError("time limit") from e
+            raise
         return 0
 
     def say(self, text: str) -> None:
@@ -675,7 +722,9 @@ def main(argv: list[str] | None = None) -> int:
         for name, told in run_properties(spark, properties(args.props)).items():
             print(f"{name}: {told}")
         return 0
-    run = Runtime(spark, load_store(spark, args.tablestoreIndex, args.twolineHeader), load(args.script), args.outputPath, args.timeLimit, lemma_dictionary(spark, args.lemmas) if args.lemmas else None)
+    store, program = load_store(spark, args.tablestoreIndex, args.twolineHeader), load(args.script)
+    lemmas = lemma_dictionary(spark, args.lemmas, store.words(sorted(set(literals(program))))) if args.lemmas else None
+    run = Runtime(spark, store, program, args.outputPath, args.timeLimit, lemmas)
     code = run.run()
     print("\n".join(run.printed))
     return code

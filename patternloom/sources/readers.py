@@ -8,8 +8,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patternloom.functions.scalar import answer_index, explanation, stem_and_choices
+from patternloom.checkpoints import checkpoint
+from patternloom.functions.annotate import lemma
+from patternloom.functions.scalar import answer_index, explanation, stem_and_choices, tokens
 
+#: Steps from word to lemma that are followed at most.
+ROUNDS = 10
 RANKING_FORMATS = ("probabilities", "listed", "headerless", "cosine")
 
 
@@ -116,13 +120,29 @@ def split_questions(df: DataFrame, path: str, n: int, id: str = "question") -> N
     numbered.write.mode("overwrite").partitionBy("part").json(path)
 
 
-def lemma_dictionary(spark: SparkSession, path: str, limit: int = 200_000) -> F.Column | None:
-    """A map column word -> lemma from lines of lemma, word; None for a file without any, an error beyond limit lines."""
-    rows = [r.value.split("\t") for r in spark.read.text(path).limit(limit + 1).collect()]
+def lemma_dictionary(spark: SparkSession, path: str, words: DataFrame | None = None, limit: int = 200_000) -> F.Column | None:
+    """A map column word -> lemma from lines of lemma, word, of which a word's last counts; None where nothing is left.
+
+    With words(word), lower case, only the entries of these words, and of what lemmas they lead to, become part of the map, so
+    a file may be of any length; more than limit entries are an error.
+    """
+    f = F.split("value", "\t")
+    pairs = spark.read.text(path).where(F.size(f) >= 2).select(F.monotonically_increasing_id().alias("n"), F.lower(F.trim(f[1])).alias("word"), F.trim(f[0]).alias("lemma"))
+    if words is not None:
+        known, size = words.select("word").distinct(), -1
+        for _ in range(ROUNDS):  # rows that rules generate hold lemmas, which are words again
+            known = checkpoint(known)
+            if known.count() == size:
+                break
+            size = known.count()
+            told = pairs.join(known, "word", "left_semi").select(F.explode(tokens(F.lower("lemma"))).alias("word"))
+            known = known.unionByName(told).unionByName(known.select(lemma(F.col("word")).alias("word"))).distinct()
+        pairs = pairs.join(known, "word", "left_semi")
+    rows = pairs.groupBy("word").agg(F.max_by("lemma", "n").alias("lemma")).limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"{path}: a lemma dictionary of more than {limit} lines is not supported")
-    pairs = {w.strip().lower(): lemma.strip() for lemma, w, *_ in (r for r in rows if len(r) >= 2)}
-    return F.map_from_arrays(F.lit(list(pairs)), F.lit(list(pairs.values()))) if pairs else None
+        raise ValueError(f"{path}: a lemma dictionary of more than {limit} entries is not supported")
+    entries = {r.word: r.lemma for r in sorted(rows)}
+    return F.map_from_arrays(F.lit(list(entries)), F.lit(list(entries.values()))) if entries else None
 
 
 @dataclass

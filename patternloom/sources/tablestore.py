@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,6 +139,12 @@ class Store:
             out = part if out is None else out.unionByName(part)
         return out.withColumn("alts", F.when(F.col("role").isin(DATA, FILL), annotate(F.col("text"), content_only=False)))
 
+    def words(self, texts: list[str] = ()) -> DataFrame:
+        """word: the distinct words of all annotated cells, and of some texts, in lower case."""
+        cells = self.cells().where("alts is not null").select("alts")
+        more = self.spark.createDataFrame([(t,) for t in texts], "text string").select(annotate(F.col("text"), content_only=False).alias("alts"))
+        return cells.unionByName(more).select(F.explode(F.flatten("alts")).alias("t")).select(F.col("t.lower").alias("word")).distinct()
+
     def catalog(self) -> DataFrame:
         rows = [(t.name, h, sanitise(h), i, r) for t in self.tables.values() for i, (h, r) in enumerate(zip(t.header, t.roles, strict=True))]
         return self.spark.createDataFrame(rows, "table string, col string, name string, col_idx int, role string")
@@ -201,13 +206,20 @@ def load_table(spark: SparkSession, path: str, two_line_header: bool = False) ->
     return Table(name, header, rows.where(keep).select(F.element_at("cells", uid).alias("uid"), "cells", F.lit(None).cast("string").alias("generated")), roles)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a file stands there, on any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def load_store(spark: SparkSession, index: str, two_line_header: bool = False, in_tables: bool = True) -> Store:
     """The tables that an index file names, one a line, from `tables/` beside it; missing and invalid ones are left out."""
-    store, base = Store(spark), Path(index).parent / ("tables" if in_tables else "")
+    store, base = Store(spark), (index.rsplit("/", 1)[0] if "/" in index else ".") + "/tables" * in_tables
     for r in spark.read.text(index).collect():
-        file = base / r.value.strip()
-        if r.value.strip() and file.is_file():
-            t = load_table(spark, str(file), two_line_header)
+        file = f"{base}/{r.value.strip()}"
+        if r.value.strip() and is_file(spark, file):
+            t = load_table(spark, file, two_line_header)
             if t is not None:
                 store.add(t)
     return store

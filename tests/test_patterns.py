@@ -1,9 +1,13 @@
 """Parsing, solving, composing, fixpoints and scripts on small stores."""
 
+import functools
 import itertools
 import json
+import math
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from patternloom.operators.closure import complete_taxonomy, transitive_closure
 from patternloom.plans.compile import solve
@@ -188,6 +192,53 @@ def test_a_lemma_dictionary_is_used_or_refused(spark, tmp_path):
     assert [(r.uid_a, r.uid_b) for r in run.matches["p"].collect()] == [("p1", "p2")]
 
 
+def test_a_lemma_file_of_any_length_is_cut_to_the_words_in_use(spark, tmp_path):
+    from patternloom.runtime import literals
+    from patternloom.sources.readers import lemma_dictionary
+
+    lines = [f"l{i}\tw{i}" for i in range(5000)] + ["sapling\tarbor", "tree\tarbor", "plant\ttree", "shrub\tbush", "timber\twood"]
+    (tmp_path / "lemmas.txt").write_text("\n".join(lines) + "\n")
+    store = Store(spark)
+    store.add(from_rows(spark, "PARTOF", ["PART", "WHOLE", "[SKIP] UID"], [["leaf", "Arbors ; ARBOR", "p1"], ["x", "wood", "p2"]]))
+    program = parse('inferencepattern p row a=[TABLE:"PARTOF", PART:<x>, WHOLE:"bush"] endinferencepattern')
+    got = lemma_dictionary(spark, str(tmp_path / "lemmas.txt"), store.words(sorted(set(literals(program)))), limit=4)
+    # the last line of a word counts, and lemmas are looked up as words too
+    assert spark.range(1).select(got.alias("m")).first().m == {"arbor": "tree", "tree": "plant", "bush": "shrub", "wood": "timber"}
+    assert lemma_dictionary(spark, str(tmp_path / "lemmas.txt"), spark.createDataFrame([("none",)], "word string")) is None
+
+
+def test_the_time_limit_cancels_a_running_job(spark):
+    @F.udf("int")
+    def slow(_):
+        time.sleep(60)
+        return 1
+
+    run = Runtime(spark, store_of(spark), parse("verifyAnswer(1 == 1)"), time_limit=1)
+    run.execute = lambda _: spark.range(0, 2, 1, 1).select(slow("id").alias("x")).where("x > 0").count()
+    start = time.monotonic()
+    with pytest.raises(ScriptError, match="time limit"):
+        run.run()
+    assert time.monotonic() - start < 30
+    assert spark.range(3).count() == 3  # jobs of others go on
+
+
+def test_hash_of_rows_and_components(spark):
+    from test_functions import java_hash
+
+    lasting = "a1b2-c3d4-e5f6-0a1b"
+    store = Store(spark)
+    store.add(from_rows(spark, "T", ["A", "[FILL] F", "B", "[SKIP] UID"], [["Big  cat", "is", "animal", lasting], ["animal", "is", "thing", "GEN-7"]]))
+    text = """inferencepattern p row r=[TABLE:"T", A:<x>, B:"animal"] endinferencepattern
+    inferencepattern q row s=[TABLE:"T", A:<y>, B:"thing"] endinferencepattern
+    inferencepattern c infpat m=p infpat n=q row t=[TABLE:"T", A:<z>, B:"thing"] endinferencepattern"""
+    run = Runtime(spark, store, parse(text))
+    run.populate()
+    p, q = java_hash(lasting), java_hash("animal thing")
+    code = lambda *hs: f"{abs(functools.reduce(lambda a, h: int(math.fmod(a + h, 1_000_000)), hs, 0)):x}"
+    got = {n: run.matches[n].first()["hash"] for n in "pqc"}
+    assert got == {"p": code(p), "q": code(q), "c": code(q, abs(p), abs(q))}
+
+
 def test_failed_answer(spark):
     assert Runtime(spark, store_of(spark), parse("verifyAnswer(1 == 2)")).run() == -10
 
