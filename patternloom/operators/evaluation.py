@@ -82,13 +82,16 @@ def mean_rank_by_rating(scores: DataFrame, ratings: DataFrame, question: str = "
 
 
 def topic_profile(overlaps: DataFrame, topics: DataFrame, levels: int, question: str = "question", pattern: str = "pattern") -> DataFrame:
-    """topic (its first levels), pattern, mean over the topic's questions of the pattern's best hits."""
+    """topic (its first levels), pattern, mean_hits and, where overlaps has a share (hits by gold rows), mean_share: the mean
+    over the topic's questions of the pattern's best."""
     from patternloom.functions.scalar import topic_prefix
 
     named = topics.select(question, topic_prefix(F.col("topic"), levels).alias("topic")).distinct()
     size = named.groupBy("topic").agg(F.count("*").alias("n"))
-    best = overlaps.groupBy(question, pattern).agg(F.max("hits").alias("hits"))
-    return best.join(named, question).groupBy("topic", pattern).agg(F.sum("hits").alias("hits")).join(size, "topic").select("topic", pattern, (F.col("hits") / F.col("n")).alias("mean_hits"))
+    what = [c for c in ("hits", "share") if c in overlaps.columns]
+    best = overlaps.groupBy(question, pattern).agg(*(F.max(c).alias(c) for c in what))
+    total = best.join(named, question).groupBy("topic", pattern).agg(*(F.sum(c).alias(c) for c in what)).join(size, "topic")
+    return total.select("topic", pattern, *((F.col(c) / F.col("n")).alias(f"mean_{c}") for c in what))
 
 
 def coverage_bands(coverage: DataFrame, levels: int = 5, question: str = "question") -> DataFrame:

@@ -363,6 +363,18 @@ def topic_profile(spark, d):
     return evaluation.topic_profile(hits, topics, 2).select("topic", "pattern", F.round("mean_hits", 6).alias("mean_hits"))
 
 
+@query("topic_profile_shares", f"""
+WITH o AS (SELECT s.q, CAST(s.sol AS BIGINT) AS pattern, len(list_intersect(uids, gold)) AS hits, len(gold) AS n_gold FROM ({_SETS}) s JOIN ({_GOLD}) g ON s.q = g.q),
+t AS (SELECT o_orderkey AS q, string_split(o_orderpriority, '-')[1] AS topic FROM orders), n AS (SELECT topic, count(*) AS n FROM t GROUP BY topic)
+SELECT t.topic, o.pattern, round(sum(o.hits) / any_value(n.n), 6) AS mean_hits, round(sum(o.hits / o.n_gold) / any_value(n.n), 6) AS mean_share
+FROM o JOIN t ON o.q = t.q JOIN n ON n.topic = t.topic GROUP BY t.topic, o.pattern""")
+def topic_profile_shares(spark, d):
+    """Best hits of each kind of solution, and their part of the gold rows, by the first level of an order's topic."""
+    o = evaluation.overlap(*order_sets(spark, d)).select("question", F.col("solution").alias("pattern"), "hits", (F.col("hits") / F.size("gold")).alias("share"))
+    topics = read(spark, d, "orders").select(F.col("o_orderkey").alias("question"), F.replace("o_orderpriority", F.lit("-"), F.lit("_")).alias("topic"))
+    return evaluation.topic_profile(o, topics, 1).select("topic", "pattern", F.round("mean_hits", 6).alias("mean_hits"), F.round("mean_share", 6).alias("mean_share"))
+
+
 @query("coverage_bands", """
 WITH c AS (SELECT replace(p_type, ' ', '_') AS topic, p_size / 50.0 AS coverage FROM part),
 e AS (SELECT unnest([1, 2, 3]) AS level, topic, coverage FROM c)

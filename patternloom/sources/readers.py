@@ -83,13 +83,13 @@ def questions(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 
 def ratings(spark: SparkSession, path: str) -> DataFrame:
-    """(question, uid, rating) from a sheet of blocks: a line with a question id alone opens a block of uid, rating lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    """(question, uid, rating) from sheets of blocks: a line with a question id alone opens a block of uid, rating lines."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     f = F.split("line", "\t")
     uid = F.regexp_extract("line", r"\b([0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4})\b", 1)
     head = F.when((uid == "") & (F.trim(f[0]) != ""), F.trim(f[0]))
     # a sheet is one file of bounded length; its order is that of its lines
-    q = F.last(head, ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("n"))
+    q = F.last(head, ignorenulls=True).over(Window.partitionBy("file").orderBy("n"))
     rating = F.try_element_at(F.filter(F.transform(f, lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull()), F.lit(1))
     return lines.select(q.alias("question"), uid.alias("uid"), rating.alias("rating")).where("uid <> '' and rating is not null")
 

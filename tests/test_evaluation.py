@@ -55,6 +55,29 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.ratings(spark, str(tmp_path / "r.tsv")).collect()] == [("abcd", "01ab-23cd-45ef-6789", 2)]
 
 
+def test_other_rankings(spark, tmp_path):
+    (tmp_path / "q8.tsv").write_text("u1\tx\ty\t0.25\nu2\tx\ty\tnone\n")
+    assert sorted(tuple(r) for r in readers.rankings(spark, str(tmp_path / "q8.tsv"), "headerless").collect()) == [("q8", "u1", 0.25), ("q8", "u2", None)]
+    (tmp_path / "q9_ENUM0.tsv").write_text("COS_AC_CORRECT\tother\tUUID\n0.5\t1\tu3\n")
+    assert tuple(readers.rankings(spark, str(tmp_path / "q9_ENUM0.tsv"), "cosine", "q9").first()) == ("q9", "u3", 0.5)
+    found = [readers.ranking_path(str(tmp_path), q) for q in ("q8", "q9", "q0")]
+    assert found == [str(tmp_path / "q8.tsv"), str(tmp_path / "q9_ENUM0.tsv"), None]
+    scores = spark.createDataFrame([("a", "u1", 0.5), ("b", "u2", 0.1), ("a", "u2", 0.2)], "question string, uid string, score double")
+    readers.split_rankings(scores, str(tmp_path / "split"))
+    assert sorted(p.name for p in (tmp_path / "split").iterdir() if p.is_dir()) == ["question=a", "question=b"]
+    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "split"))
+    assert sorted((r.question, r.uid, float(r.score)) for r in back.collect()) == [("a", "u1", 0.5), ("a", "u2", 0.2), ("b", "u2", 0.1)]
+
+
+def test_each_rating_sheet_has_blocks_of_its_own(spark, tmp_path):
+    (tmp_path / "sheets").mkdir()
+    for k in (1, 2):  # the second sheet begins without a head: its first line has no question, not the other sheet's last
+        head = "Q1\t\n" if k == 1 else ""
+        (tmp_path / "sheets" / f"{k}.tsv").write_text(f"{head}01ab-23cd-45ef-000{k}\t{k}\ttext\n")
+    got = sorted(tuple(r) for r in readers.ratings(spark, str(tmp_path / "sheets")).select("uid", "question", "rating").collect())
+    assert got == [("01ab-23cd-45ef-0001", "Q1", 1), ("01ab-23cd-45ef-0002", None, 2)]
+
+
 def test_streaming_feed(spark, tmp_path):
     from patternloom.sources.tablestore import Store, from_rows
     from patternloom.streaming.feed import feed
