@@ -699,7 +699,8 @@ def run_properties(spark: SparkSession, config: Config) -> dict[str, dict[str, f
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Command line: --script with --tablestoreIndex, --outputPath, --timeLimit, --twolineHeader, --lemmas; or --props alone."""
+    """Command line: --script with --tablestoreIndex, --outputPath, --timeLimit, --twolineHeader, --lemmas; or
+    --props alone; or --tablestoreIndex with --exportTablestore, which writes the tables as one JSON document."""
     import argparse
 
     from patternloom.plans.parser import load
@@ -714,15 +715,21 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--timeLimit", type=float)
     a.add_argument("--twolineHeader", action="store_true")
     a.add_argument("--lemmas")
+    a.add_argument("--exportTablestore")
     args = a.parse_args(argv)
-    if not args.props and not (args.script and args.tablestoreIndex):
-        a.error("--props, or --script and --tablestoreIndex, are needed")
+    if not args.props and not (args.tablestoreIndex and (args.script or args.exportTablestore)):
+        a.error("--props, or --tablestoreIndex with --script or --exportTablestore, are needed")
     spark = SparkSession.builder.getOrCreate()
     if args.props:
         for name, told in run_properties(spark, properties(args.props)).items():
             print(f"{name}: {told}")
         return 0
-    store, program = load_store(spark, args.tablestoreIndex, args.twolineHeader), load(args.script)
+    store = load_store(spark, args.tablestoreIndex, args.twolineHeader)
+    if args.exportTablestore:
+        sinks.write_store_document(args.exportTablestore, store)
+    if not args.script:
+        return 0
+    program = load(args.script)
     lemmas = lemma_dictionary(spark, args.lemmas, store.words(sorted(set(literals(program))))) if args.lemmas else None
     run = Runtime(spark, store, program, args.outputPath, args.timeLimit, lemmas)
     code = run.run()

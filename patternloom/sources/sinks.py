@@ -42,9 +42,22 @@ def match_documents(pattern: Pattern, matches: DataFrame, store: Store) -> DataF
 
 
 def write_matches_json(path: str, found: list[tuple[Pattern, DataFrame]], store: Store) -> None:
-    """{"patternMatches": [{"patternName", "matches"}]}; the limit of solutions bounds what is collected."""
-    out = [{"patternName": p.name, "matches": [json.loads(r.json) for r in match_documents(p, m, store).orderBy("_id").collect()]} for p, m in found]
-    Path(path).write_text(json.dumps({"patternMatches": out}, ensure_ascii=False), encoding="utf-8")
+    """{"patternMatches": [{"patternName", "matches"}]}, one solution after another into the file."""
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write('{"patternMatches": [')
+        for k, (p, m) in enumerate(found):
+            out.write(", " * (k > 0) + f'{{"patternName": {json.dumps(p.name, ensure_ascii=False)}, "matches": ')
+            stream_list(out, match_documents(p, m, store).orderBy("_id").select("json"))
+            out.write("}")
+        out.write("]}")
+
+
+def stream_list(out, rows: DataFrame) -> None:
+    """A JSON list of rows that hold one object each, into an open file."""
+    out.write("[")
+    for k, r in enumerate(rows.toLocalIterator()):
+        out.write(", " * (k > 0) + r[0])
+    out.write("]")
 
 
 def store_documents(store: Store) -> DataFrame:
@@ -67,6 +80,18 @@ def write_store_json(path: str, store: Store) -> None:
     store_documents(store).write.mode("overwrite").partitionBy("table").text(path)
 
 
+def write_store_document(path: str, store: Store) -> None:
+    """One JSON document with the list of each table's rows, written row by row; for a store of any size, write_store_json."""
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write("{")
+        for k, t in enumerate(store.tables.values()):
+            one = Store(store.spark)
+            one.add(t)
+            out.write(", " * (k > 0) + json.dumps(t.name, ensure_ascii=False) + ": ")
+            stream_list(out, store_documents(one).select("json"))
+        out.write("}")
+
+
 def page(title: str, body: str) -> str:
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}</body></html>'
 

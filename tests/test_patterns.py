@@ -178,6 +178,29 @@ def test_exports_hold_every_row(spark, tmp_path):
     assert all(debug.count(f"<td>p{i}</td>") == 2 for i in range(450)) and tables.endswith("</html>")
 
 
+def test_the_command_line_exports_tables_and_runs_scripts(spark, tmp_path, capsys):
+    from patternloom.runtime import main
+
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables" / "PARTOF.tsv").write_text('PART\tWHOLE\t[SKIP] UID\nleaf "a"\ttree\tp1\ntree\twood\tp2\n')
+    (tmp_path / "tables" / "SIZE.tsv").write_text("WHAT\t[SKIP] UID\nbig\ts1\n")
+    (tmp_path / "index.txt").write_text("PARTOF.tsv\nmissing.tsv\nSIZE.tsv\n")
+    index, file = str(tmp_path / "index.txt"), tmp_path / "store.json"
+    assert main(["--tablestoreIndex", index, "--exportTablestore", str(file)]) == 0
+    got = json.loads(file.read_text())
+    assert {t: sorted(r["uuid"] for r in rows) for t, rows in got.items()} == {"PARTOF": ["p1", "p2"], "SIZE": ["s1"]}
+    assert got["SIZE"][0]["cells"] == ["big", "s1"] and next(r for r in got["PARTOF"] if r["uuid"] == "p1")["cells"][0] == 'leaf "a"'
+    (tmp_path / "s.iml").write_text("""inferencepattern p row a=[TABLE:"PARTOF", PART:<x>, WHOLE:<y>] endinferencepattern
+      inferencepattern none row a=[TABLE:"PARTOF", PART:"nothing"] endinferencepattern
+      populateInfPatMatches exportInfPatJSON() println("done")""")
+    (tmp_path / "lemmas.txt").write_text("lumber\twood\n")
+    assert main(["--script", str(tmp_path / "s.iml"), "--tablestoreIndex", index, "--outputPath", str(tmp_path), "--lemmas", str(tmp_path / "lemmas.txt"), "--timeLimit", "600"]) == 0
+    assert "done" in capsys.readouterr().out
+    found = {p["patternName"]: p["matches"] for p in json.loads((tmp_path / "matches.json").read_text())["patternMatches"]}
+    assert len(found["p"]) == 2 and found["none"] == []
+    assert sorted(v["value"] for m in found["p"] for v in m["variables"] if v["name"] == "y") == ["lumber", "tree"]
+
+
 def test_a_lemma_dictionary_is_used_or_refused(spark, tmp_path):
     from patternloom.sources.readers import lemma_dictionary
 
