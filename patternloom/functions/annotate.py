@@ -79,6 +79,30 @@ def omni_value(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.array_distinct(F.array(t["word"], t["lemma"])))
 
 
+def namings(text: Column, lemmas: Column | None = None) -> Column:
+    """How a cell's first alternative may be named: by its words in lower case, or by the lemmas of its content words."""
+    toks = F.element_at(annotate(text, lemmas, content_only=False), 1)
+    joined = lambda ts, part: F.array_join(F.transform(ts, lambda t: t[part]), " ")
+    return F.filter(F.array_distinct(F.array(joined(toks, "lower"), joined(F.filter(toks, lambda t: t["tag"].isin(*CONTENT_TAGS)), "lemma"))), lambda x: x != "")
+
+
+def question_tokens(stem: Column, answer: Column, lemmas: Column | None = None) -> Column:
+    """The set of words and lemmas, as written and in the dictionary, of the content words of a question and its answer."""
+    words = tokens(F.concat_ws(" ", stem, answer))
+    content = F.filter(F.transform(words, lambda w: token(w)), lambda t: t["tag"].isin(*CONTENT_TAGS))
+    own = F.flatten(F.transform(content, lambda t: F.array(t["word"], t["lemma"])))
+    return F.array_distinct(F.flatten(F.transform(own, lambda w: F.array(w, _known(w, lemmas)))))
+
+
+def row_tokens(text: Column, lemmas: Column | None = None) -> Column:
+    """The set of a row's words, each with its dictionary lemma."""
+    return F.array_distinct(F.flatten(F.transform(tokens(text), lambda w: F.array(w, _known(w, lemmas)))))
+
+
+def _known(word: Column, lemmas: Column | None) -> Column:
+    return word if lemmas is None else F.coalesce(F.try_element_at(lemmas, F.lower(word)), word)
+
+
 def content_lemmas(alts: Column) -> Column:
     """All alternatives' lemmas as one set, without stop words."""
     return F.filter(F.array_distinct(F.flatten(F.transform(alts, lambda ts: F.transform(ts, lambda t: t["lemma"])))), lambda x: ~x.isin(*STOP_LEMMAS))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.checkpoints import checkpoint
-from patternloom.functions.annotate import annotate
+from patternloom.functions.annotate import annotate, namings
+from patternloom.functions.scalar import tokens
 from patternloom.sources.tablestore import Store
 
 ROUNDS = 50
@@ -66,8 +67,18 @@ def fixpoint(step: Callable[[], None], size: Callable[[], int], rounds: int = RO
 
 
 def kind_of_semi_join(rows: DataFrame, value: str, kind: str, kinds: DataFrame) -> DataFrame:
-    """rows whose value is a kind of `kind` by kinds(src, dst); everything is a kind of thing."""
-    if kind.lower() == "thing":
+    """rows whose value is `kind` or a kind of it by kinds(src, dst); everything is a kind of thing.
+
+    A cell of kinds counts with its first alternative, named by its words or by the lemmas of its content words.
+    """
+    asked = words_of(kind)
+    if asked == "thing":
         return rows
-    wide = kinds.where(F.lower("dst") == kind.lower()).select(F.lower("src").alias("_k")).distinct()
-    return rows.join(wide, F.lower(F.col(value)) == F.col("_k"), "left_semi")
+    wide = kinds.where(F.array_contains(namings(F.col("dst")), asked)).select(F.explode(namings(F.col("src"))).alias("_k"))
+    wide = wide.unionByName(kinds.sparkSession.range(1).select(F.lit(asked).alias("_k"))).distinct()
+    return rows.join(wide, F.array_join(tokens(F.lower(F.col(value))), " ") == F.col("_k"), "left_semi")
+
+
+def words_of(text: str) -> str:
+    """A kind's words as namings() has them."""
+    return " ".join(w for w in text.lower().split(" ") if w)

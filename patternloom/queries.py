@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from patternloom.checkpoints import shared_folder
 from patternloom.functions import annotate as A
 from patternloom.functions import scalar as S
 from patternloom.functions.omni import omni_join, overlap_join
 from patternloom.operators import closure, evaluation
 from patternloom.plans.compile import solve
 from patternloom.plans.parser import parse
-from patternloom.runtime import unpivot_properties
-from patternloom.sources.tablestore import Store, from_frame
+from patternloom.runtime import Runtime, unpivot_properties
+from patternloom.sources import readers, sinks
+from patternloom.sources.tablestore import Store, from_frame, load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -214,7 +217,8 @@ def taxonomic_closure(spark, d):
 SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) = 'europe'""")
 def kind_of_semi_join(spark, d):
     nation, region = read(spark, d, "nation"), read(spark, d, "region")
-    kinds = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    named = nation.join(region, nation.n_regionkey == region.r_regionkey)  # the first alternatives count, by words or content lemmas
+    kinds = named.select(F.concat("n_name", F.lit(" ; a land")).alias("src"), F.concat(F.lit("the "), "r_name", F.lit(" ; europe")).alias("dst"))
     rows = read(spark, d, "supplier").join(nation, F.col("s_nationkey") == nation.n_nationkey)
     return closure.kind_of_semi_join(rows, "n_name", "europe", kinds).select("s_suppkey")
 
@@ -515,10 +519,8 @@ def set_accuracy(spark, d):
 
 @query("table_categories", "SELECT n_name, CASE n_regionkey WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'UNKNOWN' END AS category FROM nation")
 def table_categories(spark, d):
-    from patternloom.sources.readers import with_category
-
     known = spark.createDataFrame([(0, "first"), (1, "second")], "name int, category string")
-    return with_category(read(spark, d, "nation"), known, "n_regionkey").select("n_name", "category")
+    return readers.with_category(read(spark, d, "nation"), known, "n_regionkey").select("n_name", "category")
 
 
 @query("populated_variables", "SELECT CASE WHEN s IS NULL THEN 1 ELSE 2 END AS bound, count(*) AS n FROM (SELECT n_nationkey, 1 AS s FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT n_nationkey, NULL FROM nation) GROUP BY 1")
@@ -719,8 +721,6 @@ c AS (SELECT lower(part) AS part, lower(whole) AS whole FROM e UNION SELECT c.pa
 SELECT part, whole FROM c""")
 def auto_fixpoint(spark, d):
     """A rule that generates rows runs until no row is added."""
-    from patternloom.runtime import Runtime
-
     nation, region = read(spark, d, "nation"), read(spark, d, "region")
     e = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_name", "r_name").union(region.select("r_name", F.lit("WORLD"))).union(spark.range(1).select(F.lit("WORLD"), F.lit("SPACE"))).toDF("part", "whole")
     store = Store(spark)
@@ -730,3 +730,245 @@ def auto_fixpoint(spark, d):
     run.run()
     cell = lambda k: F.lower(F.element_at("cells", k))
     return store["PARTOF"].rows.select(cell(1).alias("part"), cell(2).alias("whole"))
+
+
+# -- readers and writers: files in the shared folder, written from the tables and read back
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}/{name}"
+
+
+def as_tsv(df: DataFrame, name: str, header: bool = True, sep: str = "\t", **options: str) -> str:
+    path = scratch(df.sparkSession, name)
+    df.write.options(sep=sep, header=header, **options).csv(path)
+    return path
+
+
+def as_lines(lines: DataFrame, name: str) -> str:
+    path = scratch(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
+def nation_file(spark, d) -> str:
+    """The 25 nations as one table file: some with blanks around them, some deprecated, some without a uid."""
+    nation, region = read(spark, d, "nation"), read(spark, d, "region")
+    k = F.col("n_nationkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("  "), "n_name", F.lit(" "))).otherwise(F.col("n_name"))
+    cells = [name, F.lit("is in"), F.col("r_name"), F.lit("a note"), F.when(k % 5 == 0, "old").otherwise(""), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("u"), k))]
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).select(k.cast("long").alias("k"), F.concat_ws("\t", *cells).alias("value"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("NATION\t[FILL] verb\tREGION\t[SKIP] COMMENTS\t[SKIP] DEP\t[SKIP] UID").alias("value"))
+    return as_lines(head.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value"), "NATIONS.tsv")
+
+
+@query("table_file", """
+SELECT 'u' || n_nationkey AS uid, n_name || ' is in ' || r_name AS row_text, n_name || ' ' || r_name AS data_text FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0""")
+def table_file(spark, d):
+    """Rows without a uid and deprecated ones are left out; comments are no text, fillers no data."""
+    t = load_table(spark, nation_file(spark, d))
+    return t.rows.select("uid", t.text().alias("row_text"), t.text(True).alias("data_text"))
+
+
+@query("table_file_roles", "SELECT * FROM (VALUES ('NATIONS', 'NATION', 'NATION', 'DATA'), ('NATIONS', '[FILL] verb', 'FILL_VERB', 'FILL'), ('NATIONS', 'REGION', 'REGION', 'DATA'), ('NATIONS', '[SKIP] COMMENTS', 'SKIP_COMMENTS', 'SKIP'), ('NATIONS', '[SKIP] DEP', 'SKIP_DEP', 'DEP'), ('NATIONS', '[SKIP] UID', 'SKIP_UID', 'UID')) t(tbl, col, name, role)")
+def table_file_roles(spark, d):
+    store = Store(spark)
+    store.add(load_table(spark, nation_file(spark, d)))
+    return store.catalog().select(F.col("table").alias("tbl"), "col", "name", "role")
+
+
+@query("ranking_files", """
+WITH s AS (SELECT 's' || s_suppkey AS uid, 'q' || s_nationkey AS q, CAST(s_acctbal AS DOUBLE) AS score FROM supplier)
+SELECT 'probabilities' AS kind, 'q0' AS question, uid, score FROM s UNION ALL SELECT 'listed', q, uid, score FROM s UNION ALL SELECT 'headerless', 'q0', uid, score FROM s UNION ALL SELECT 'cosine', 'q0', uid, score FROM s""")
+def ranking_files(spark, d):
+    """The four forms of rankings."""
+    s = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("uid"), F.concat(F.lit("q"), "s_nationkey").alias("q"), F.col("s_acctbal").cast("double").alias("score"))
+    none = F.lit("-")
+    files = {
+        "probabilities": as_tsv(s.select(F.col("uid").alias("uuid"), none.alias("rowText"), none.alias("isGoldRow"), none.alias("score_0"), F.col("score").alias("score_1")), "p"),
+        "listed": as_tsv(s.select(F.col("q").alias("QuestionID"), F.col("uid").alias("ExplanationID"), F.col("score").alias("Score"), none.alias("IsGold")), "l"),
+        "headerless": as_tsv(s.select("uid", none.alias("a"), none.alias("b"), "score"), "h", header=False),
+        "cosine": as_tsv(s.select(none.alias("x"), F.col("score").alias("COS_AC_CORRECT"), F.col("uid").alias("UUID")), "c"),
+    }
+    out = None
+    for kind, path in files.items():
+        part = readers.rankings(spark, path, kind, None if kind == "listed" else "q0").select(F.lit(kind).alias("kind"), "question", "uid", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("rankings_by_question", "SELECT 'q' || s_nationkey AS question, 's' || s_suppkey AS uid, CAST(s_acctbal AS DOUBLE) AS score FROM supplier")
+def rankings_by_question(spark, d):
+    """A folder for each question, read back as one table."""
+    s = read(spark, d, "supplier").select(F.concat(F.lit("q"), "s_nationkey").alias("question"), F.concat(F.lit("s"), "s_suppkey").alias("uid"), F.col("s_acctbal").cast("double").alias("score"))
+    path = scratch(spark, "rankings")
+    readers.split_rankings(s, path)
+    return spark.read.options(sep="\t", header=True).schema("uid string, score double, question string").csv(path).select("question", "uid", "score")
+
+
+@query("prediction_lines", """
+SELECT 'Q_' || s_nationkey || '-1' AS question, 's' || s_suppkey AS uid, s_name AS row_text, CAST(s_suppkey AS DOUBLE) / 1000 AS score, CAST(s_nationkey AS DOUBLE) AS logit, s_suppkey % 2 = 1 AS gold FROM supplier""")
+def prediction_lines(spark, d):
+    s = read(spark, d, "supplier")
+    two = lambda x: F.array(F.lit(0.25), x.cast("double"))
+    line = F.to_json(F.struct(
+        F.concat(F.lit("Q_"), "s_nationkey", F.lit("-1-A__x__s"), "s_suppkey").alias("id"), F.concat(F.lit("B: "), "s_name").alias("context"), (F.col("s_suppkey") % 2).alias("label"),
+        two(F.col("s_nationkey")).alias("label_logits"), two(F.col("s_suppkey").cast("double") / 1000).alias("label_probs"),
+    ))
+    return readers.label_probabilities(spark, as_lines(s.select(line.alias("value")).unionByName(spark.range(1).select(F.lit("no object").alias("value"))), "predictions"))
+
+
+@query("question_file", """
+SELECT 'Q' || n_nationkey AS question, 'Which is ' || n_name || '?' AS stem, 'one|two|' || n_name AS choices, CAST(n_nationkey % 5 AS INTEGER) AS answer, 'EARTH_' || n_regionkey || '|LIFE' AS topics, 'u' || n_nationkey || ' CENTRAL' AS explanation
+FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 1""")
+def question_file(spark, d):
+    """Columns by their header, in any order and case; only questions with choices and without a diagram."""
+    k = F.col("n_nationkey")
+    made = read(spark, d, "nation").select(
+        F.concat(F.lit('"Which is '), "n_name", F.lit('? (A) one (B) two (C) '), "n_name", F.lit('"')).alias("Question"), F.substring(F.lit("ABCDE"), k % 5 + 1, F.lit(1)).alias("ANSWERKEY"), F.concat(F.lit("Q"), k).alias("questionID"),
+        F.concat(F.lit("earth_"), "n_regionkey", F.lit(", Life ")).alias("consensus"), F.when(k % 3 == 0, "0").otherwise("1").alias("isMultipleChoiceQuestion"), F.when(k % 4 == 1, "1").otherwise("0").alias("includesDiagram"),
+        F.concat(F.lit("U"), k, F.lit("|central")).alias("Explanation"),
+    )
+    e = F.col("explanation")[0]
+    got = readers.questions(spark, as_tsv(made, "questions"))
+    return got.select("question", "stem", F.array_join("choices", "|").alias("choices"), "answer", F.array_join("topics", "|").alias("topics"), F.concat_ws(" ", e["uid"], e["role"]).alias("explanation"))
+
+
+@query("question_file_by_place", """
+SELECT 'Q' || n_nationkey AS question, 'Which is ' || n_name || '?' AS stem, 'one|two' AS choices, CAST(CASE WHEN n_nationkey % 5 = 4 THEN -1 ELSE n_nationkey % 5 END AS INTEGER) AS answer, 'CAUSAL' AS kind, 'EARTH|LIFE' AS topics
+FROM nation WHERE n_nationkey % 4 <> 1""")
+def question_file_by_place(spark, d):
+    """The older layout: fields by their places."""
+    k, none = F.col("n_nationkey"), F.lit("x")
+    made = read(spark, d, "nation").select(
+        F.concat(F.lit("Q"), k).alias("a"), none.alias("b"), F.lit("1").alias("c"), F.substring(F.lit("ABCDE"), k % 5 + 1, F.lit(1)).alias("d"), F.lit("1").alias("e"), F.when(k % 4 == 1, "1").otherwise("0").alias("f"),
+        none.alias("g"), none.alias("h"), none.alias("i"), F.lit("CAUSAL?").alias("j"), F.lit("earth, life").alias("k"), F.lit("why, so").alias("l"), F.concat(F.lit("Which is "), "n_name", F.lit("? (a) one (B) two")).alias("m"), none.alias("n"), none.alias("o"),
+    )
+    got = readers.questions_fixed(spark, as_tsv(made, "questions", sep=",", escape='"'))
+    return got.select("question", "stem", F.array_join("choices", "|").alias("choices"), "answer", "kind", F.array_join("topics", "|").alias("topics"))
+
+
+@query("rating_sheets", "SELECT 'nation ' || s_nationkey AS question, printf('%04x-0000-0000-00ff', s_suppkey) AS uid, CAST(s_suppkey % 4 AS INTEGER) AS rating FROM supplier")
+def rating_sheets(spark, d):
+    """Blocks of rated rows, each below the line that names its question."""
+    s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("b"), F.col("s_suppkey").cast("long").alias("n"))
+    line = F.concat_ws("\t", F.concat(F.lower(F.lpad(F.hex("n"), 4, "0")), F.lit("-0000-0000-00ff")), F.lit("a row"), (F.col("n") % 4).cast("string"))
+    heads = s.select("b").distinct().select("b", F.lit(-1).cast("long").alias("n"), F.concat(F.lit("nation "), "b").alias("value"))
+    lines = heads.unionByName(s.select("b", "n", line.alias("value"))).repartition("b").sortWithinPartitions("b", "n").select("value")
+    return readers.ratings(spark, as_lines(lines, "ratings"))
+
+
+@query("word_norm_file", """
+SELECT 'w' || p_partkey AS word, (p_size % 9) / 8.0::DOUBLE AS valence, CASE WHEN p_partkey % 3 = 0 THEN -1.0::DOUBLE ELSE 0.5::DOUBLE END AS arousal, -1.0::DOUBLE AS dominance FROM part""")
+def word_norm_file(spark, d):
+    made = read(spark, d, "part").select(F.concat(F.lit("W"), "p_partkey").alias("Word"), (F.col("p_size") % 9 + 1).alias("V.Mean.Sum"), F.when(F.col("p_partkey") % 3 == 0, "none").otherwise("5").alias("A.Mean.Sum"))
+    return readers.word_norms(spark, as_tsv(made, "norms", sep=","))
+
+
+@query("category_file", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'UNKNOWN' END AS category FROM nation")
+def category_file(spark, d):
+    nation = read(spark, d, "nation")
+    lines = nation.select(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" "), "n_name", F.lit("\t even"))).otherwise(F.concat(F.lit("# "), "n_name", F.lit("\todd"))).alias("value"))
+    return readers.with_category(nation, readers.categories(spark, as_lines(lines, "categories")), "n_name").select("n_nationkey", "category")
+
+
+def _listed(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_TAG = (
+    "CASE " + " ".join(f"WHEN w IN {_listed(ws)} THEN '{t}'" for t, ws in A.CLOSED.items())
+    + r""" WHEN regexp_matches(w, '^[0-9][0-9.,/%-]*$') THEN 'CD' WHEN NOT regexp_matches(w, '[a-z0-9\x{80}-\x{10FFFF}]') THEN 'SY' WHEN w LIKE '%ly' THEN 'RB'
+    WHEN regexp_matches(w, '.{3}(ing|ed|ise|ize|ify)$') THEN 'VB' WHEN regexp_matches(w, '.{3}(ous|ful|able|ible|ive|less|ish)$') THEN 'JJ' ELSE 'NN' END"""
+)
+_LEMMA = (
+    "CASE " + " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in A.IRREGULAR.items())
+    + r""" WHEN regexp_matches(w, '.{2}ies$') THEN w[:-4] || 'y' WHEN regexp_matches(w, '.{2}(ss|us|is)$') THEN w WHEN regexp_matches(w, '.(ches|shes|xes|sses|zes)$') THEN w[:-3]
+    WHEN regexp_matches(w, '.{2}s$') THEN w[:-2] WHEN regexp_matches(w, '.{2}(bb|dd|ff|gg|mm|nn|pp|rr|tt)ing$') THEN w[:-5] WHEN regexp_matches(w, '.{2}(bb|dd|ff|gg|mm|nn|pp|rr|tt)ed$') THEN w[:-4]
+    WHEN regexp_matches(w, '.{3}ied$') THEN w[:-4] || 'y' WHEN regexp_matches(w, '.{3}ing$') THEN w[:-4] WHEN regexp_matches(w, '.{3}ed$') THEN w[:-3] ELSE w END"""
+)
+
+
+@query("annotated_tokens", f"""
+WITH t AS (SELECT item_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+u AS (SELECT item_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM t), l AS (SELECT item_id, pos, word, lower(word) AS w FROM u)
+SELECT item_id, CAST(pos AS INTEGER) AS pos, word, {_TAG} AS tag, {_LEMMA} AS lemma, ({_LEMMA}) || '_' || ({_TAG}) AS tagged FROM l""")
+def annotated_tokens(spark, d):
+    """Each token's grouped tag and lemma."""
+    words_of = F.transform(S.tokens(F.translate("text", "\n", " ")), lambda w: A.token(w))
+    return read(spark, d, "benchmark").where("text is not null").select("item_id", F.posexplode(words_of).alias("pos", "t")).select("item_id", "pos", "t.word", "t.tag", "t.lemma", F.col("t.tlemma").alias("tagged"))
+
+
+@query("question_row_tokens", """
+WITH w AS (SELECT p_partkey, list_filter(string_split(p_name || ' of ' || p_brand || ' ' || p_type, ' '), lambda x: x <> '') AS q, list_filter(string_split('the ' || p_name, ' '), lambda x: x <> '') AS r FROM part),
+m AS (SELECT p_partkey,
+  list_concat(list_concat(q, list_transform(q, lambda x: lower(x))), list_transform(q, lambda x: CASE lower(x) WHEN 'red' THEN 'colour' WHEN 'economy' THEN 'price' WHEN 'widget' THEN 'tool' ELSE lower(x) END)) AS q_all,
+  list_concat(r, list_transform(r, lambda x: CASE lower(x) WHEN 'red' THEN 'colour' WHEN 'widget' THEN 'tool' ELSE x END)) AS r_all FROM w)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(q_all)), '|') AS question, array_to_string(list_sort(list_distinct(r_all)), '|') AS row_words FROM m""")
+def question_row_tokens(spark, d):
+    """Words and lemmas of a question's content words, and of a row's words, with a dictionary from a file."""
+    lines = spark.createDataFrame([("colour\tred",), ("price\teconomy",), ("tool\twidget",)], "value string")
+    known = readers.lemma_dictionary(spark, as_lines(lines, "lemmas"))
+    q = A.question_tokens(F.concat(F.lit("the "), "p_name", F.lit(" of "), "p_brand"), F.col("p_type"), known)
+    r = A.row_tokens(F.concat(F.lit("the "), "p_name"), known)
+    return read(spark, d, "part").select("p_partkey", F.array_join(F.sort_array(q), "|").alias("question"), F.array_join(F.sort_array(r), "|").alias("row_words"))
+
+
+@query("solution_documents", """
+SELECT 's' || s_suppkey || ',n' || n_nationkey AS uuids, lower('n=' || n_name || ',r=' || r_name || ',x=' || s_name) AS variables, s_name || ' ' || n_name || ' / ' || n_name || ' ' || r_name AS texts
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def solution_documents(spark, d):
+    """Solutions as JSON objects, read back."""
+    store = geo_store(spark, d)
+    p = parse('inferencepattern p row s=[TABLE:"SUPPLIER", NAME:<x>, NATION:<n>] row t=[TABLE:"INREGION", NATION:<n>, REGION:<r>] endinferencepattern').patterns[0]
+    doc = F.from_json("json", "uuids array<string>, slots array<struct<rowText:string>>, variables array<struct<name:string,value:string>>").alias("j")
+    got = sinks.match_documents(p, solve(store, p, None), store).select(doc).select("j.*")
+    named = F.sort_array(F.transform("variables", lambda v: F.concat(v["name"], F.lit("="), v["value"])))
+    return got.select(F.array_join("uuids", ",").alias("uuids"), F.array_join(named, ",").alias("variables"), F.array_join(F.col("slots.rowText"), " / ").alias("texts"))
+
+
+@query("store_documents", """
+SELECT 's' || s_suppkey AS uid, 'SUPPLIER' AS tbl, 'NAME|NATION|SKIP_UID' AS names, lower(s_name) || '|' || lower(n_name) AS words, 'NN|NN' AS tags FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def store_documents(spark, d):
+    """Annotated rows as JSON objects, read back."""
+    store = Store(spark)
+    store.add(geo_store(spark, d)["SUPPLIER"])
+    cells = "array<array<array<string>>>"
+    got = sinks.store_documents(store).select(F.from_json("json", f"uuid string, tablename string, headerSanitized array<string>, cellWordsLowerCase {cells}, cellTags {cells}").alias("j")).select("j.*")
+    flat = lambda c: F.array_join(F.flatten(F.flatten(c)), "|")
+    return got.select(F.col("uuid").alias("uid"), F.col("tablename").alias("tbl"), F.array_join("headerSanitized", "|").alias("names"), flat("cellWordsLowerCase").alias("words"), flat("cellTags").alias("tags"))
+
+
+# -- scripts
+
+@query("requirements_of_instances", """
+SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey <> 3 GROUP BY r_name HAVING sum(n_nationkey) > 50""")
+def requirements_of_instances(spark, d):
+    """Instances with the properties of their kinds; a pattern's requirements hold for some of them."""
+    nation, region = read(spark, d, "nation"), read(spark, d, "region")
+    total = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_name").agg(F.sum("n_nationkey").cast("string").alias("total")).withColumns({"property": F.lit("total"), "id": F.concat(F.lit("t"), "r_name")})
+    store = geo_store(spark, d)
+    store.add(from_frame("PROP-TOTALS", total, "id", {"OBJECT": "r_name", "PROPERTY": "property", "VALUE": "total"}))
+    kinds = region.where("r_regionkey <> 3").select(F.concat(F.lit("k"), "r_regionkey").alias("id"), "r_name", F.lit("the great regions ; lands").alias("kind"))
+    store.add(from_frame("KINDOF", kinds, "id", {"HYPONYM": "r_name", "HYPERNYM": "kind"}))
+    names = [r.r_name for r in region.select("r_name").collect()]  # the five regions
+    rule = 'inferencepattern p require instance place = [KINDOF:"great region"] row r=[TABLE:"INREGION", NATION:<n>] musthave(place."total" > 50) endinferencepattern'
+    each = [f'instantiate i{k}([KINDOF:"{n}"]) if (meetsRequirements(p, [<n> == "nation_0"], [place->i{k}]) > 0) then println("{n}") endif' for k, n in enumerate(names)]
+    run = Runtime(spark, store, parse("\n".join([rule, *each])))
+    run.run()
+    return spark.createDataFrame([(x,) for x in run.printed], "r_name string")
+
+
+@query("script_edits", """
+SELECT lower(n_name) AS nation, lower(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'EUROPE' AND n_nationkey <> 4
+UNION SELECT 'atlantis', 'asia' UNION SELECT 'nation_1', 'america' UNION SELECT lower(n_name), 'world' FROM nation WHERE n_nationkey = 2""")
+def script_edits(spark, d):
+    """Rows are generated, unless they exist, and removed by a script; a pattern's code writes one for the solution meant."""
+    store = geo_store(spark, d)
+    run = Runtime(spark, store, parse("""inferencepattern p row a=[TABLE:"INREGION", NATION:<n>] temporalblock(now) generateRow([TABLE:"INREGION", NATION:<n>, REGION:"world"]) endtemporalblock
+        temporalblock(later) generateRow([TABLE:"INREGION", NATION:<n>, REGION:"never"]) endtemporalblock endinferencepattern
+      generateRow([TABLE:"INREGION", NATION:"atlantis", REGION:"ASIA"]) generateRow([TABLE:"INREGION", NATION:"NATION_1", REGION:"AMERICA"])
+      executePattern(p, [<n> == "nation_2"], temporalblocks=[now])
+      removeRows([TABLE:"INREGION", REGION:"europe"]) removeRow("n4")"""))
+    run.run()
+    cell = lambda k: F.lower(F.element_at("cells", k))
+    return store["INREGION"].rows.select(cell(1).alias("nation"), cell(2).alias("region"))

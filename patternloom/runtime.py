@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.checkpoints import checkpoint
+from patternloom.functions.annotate import namings
 from patternloom.functions.omni import omni_text
-from patternloom.operators.closure import ROUNDS, complete_taxonomy
+from patternloom.operators.closure import ROUNDS, complete_taxonomy, words_of
 from patternloom.plans.ast import Expr, Pattern, Program, Statement
 from patternloom.plans.compile import MAX_MATCHES, solve, static_uids
 from patternloom.plans.conditions import Scope
@@ -358,15 +359,16 @@ class Runtime:
             self.scope, self.remap, self.enabled, self.generated_kind = old
 
     def is_kind(self, narrow: str, wide: str) -> bool:
-        if wide.lower() == "thing" or narrow.lower() == wide.lower():
+        """Whether two kinds are the same, or a row says so by words or by the lemmas of content words."""
+        asked = self.store.version, words_of(narrow), words_of(wide)
+        if asked[2] == "thing" or asked[1] == asked[2]:
             return True
         if "KINDOF" not in self.store:
             return False
-        asked = self.store.version, narrow.lower(), wide.lower()
         if asked not in self.kinds_known:
             t = self.store["KINDOF"]
-            cell = lambda c: F.lower(F.trim(F.element_at("cells", t.column(c) + 1)))
-            self.kinds_known[asked] = not t.rows.where((cell("HYPONYM") == asked[1]) & (cell("HYPERNYM") == asked[2])).isEmpty()
+            named = lambda c: namings(F.element_at("cells", t.column(c) + 1), self.lemmas)
+            self.kinds_known[asked] = not t.rows.where(F.array_contains(named("HYPONYM"), asked[1]) & F.array_contains(named("HYPERNYM"), asked[2])).isEmpty()
         return self.kinds_known[asked]
 
     # expressions

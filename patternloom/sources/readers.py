@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patternloom.checkpoints import checkpoint
@@ -69,19 +69,48 @@ def label_probabilities(spark: SparkSession, path: str) -> DataFrame:
 def questions(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Questions by their header: id, stem, choices, answer (0-based, else -1), grade, topic, flags, fold, explanation.
 
-    Columns that the file lacks are empty.
+    The header's columns may stand in any order and be written in any case; those that the file lacks are empty. topics are
+    the topic's parts between commas, in upper case. Questions of fewer than two characters are left out, and so are, where
+    the file tells, those with a diagram and those without choices.
     """
     df = spark.read.option("sep", sep).option("header", True).csv(path)
     have = {c.strip().lower(): c for c in df.columns}
     col = lambda *names: next((F.col(f"`{have[n.lower()]}`") for n in names if n.lower() in have), F.lit(None).cast("string"))
-    parts = stem_and_choices(F.coalesce(col("question"), F.lit("")))
-    return df.select(
+    text = F.trim(F.coalesce(col("question"), F.lit("")))
+    parts = stem_and_choices(F.regexp_replace(text, '(?s)^"(.*)"$', "$1"))
+    kept = (F.length(text) >= 2) & (F.coalesce(F.trim(col("isMultipleChoiceQuestion")), F.lit("1")) == "1") & (F.coalesce(F.trim(col("includesDiagram")), F.lit("0")) != "1")
+    topic = col("topic", "consensus")
+    return df.where(kept).select(
         col("questionID").alias("question"), col("originalQuestionID").alias("original"), F.element_at(parts, 1).alias("stem"), F.slice(parts, 2, 64).alias("choices"),
-        answer_index(F.coalesce(col("answerKey"), F.lit(""))).alias("answer"), col("schoolGrade", "grade").alias("grade"), col("examName").alias("exam"), col("topic", "consensus").alias("topic"),
+        answer_index(F.coalesce(col("answerKey"), F.lit(""))).alias("answer"), col("schoolGrade", "grade").alias("grade"), col("examName").alias("exam"), topic.alias("topic"), topics(topic).alias("topics"),
         col("flags").alias("flags"), col("fold").alias("fold"), explanation(col("explanation")).alias("explanation"),
     )
 
 
+def topics(topic: Column) -> Column:
+    return F.transform(F.split(F.upper(F.coalesce(topic, F.lit(""))), ","), lambda x: F.trim(x))
+
+
+def questions_fixed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Questions of the older layout, whose first line names no columns that count: fields go by their places.
+
+    id, original id, points, answer, multiple choice, diagram, exam, grade, year, then of 14 fields and more the question's
+    type, of 15 and more its topics and explanation too; the question follows. Choices go by A to D, in either case, or 1 to 4.
+    """
+    df = spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    n = len(df.columns)
+    df = df.toDF(*(f"f{i}" for i in range(n)))
+    at = lambda i: F.trim(F.coalesce(F.col(f"f{i}"), F.lit("")))
+    text = at(10 + (n >= 14) + (n >= 15))
+    parts = F.transform(F.split(F.regexp_replace(text, '(?s)^"(.*)"$', "$1"), r"\(([A-Da-d]|[1-4])\)"), lambda x: F.trim(x))
+    kept = (at(4) == "1") & (at(5) != "1") & (F.length(text) >= 2)
+    answer = F.when(at(3).rlike("^[A-D1-4]$"), answer_index(at(3))).otherwise(-1)
+    return df.where(kept).select(
+        at(0).alias("question"), at(1).alias("original"), F.element_at(parts, 1).alias("stem"), F.slice(parts, 2, 64).alias("choices"), answer.alias("answer"), at(7).alias("grade"), at(6).alias("exam"),
+        (F.regexp_replace(at(9), "(?<=.)[?]$", "") if n >= 14 else F.lit("")).alias("kind"), (topics(at(10)) if n >= 15 else F.array().cast("array<string>")).alias("topics"), (at(11) if n >= 15 else F.lit("")).alias("explanation"),
+    )
+
+
 def ratings(spark: SparkSession, path: str) -> DataFrame:
     """(question, uid, rating) from sheets of blocks: a line with a question id alone opens a block of uid, rating lines."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
