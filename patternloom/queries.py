@@ -972,3 +972,32 @@ def script_edits(spark, d):
     run.run()
     cell = lambda k: F.lower(F.element_at("cells", k))
     return store["INREGION"].rows.select(cell(1).alias("nation"), cell(2).alias("region"))
+
+
+# -- more of patterns and sets
+
+@query("optional_variable", """
+SELECT 's' || s_suppkey AS supplier, 'n' || n_nationkey AS nation FROM supplier CROSS JOIN (SELECT n_nationkey, n_regionkey FROM nation) WHERE s_nationkey = n_nationkey
+UNION SELECT 's' || s_suppkey, 'x' || s_nationkey FROM supplier WHERE s_nationkey % 2 = 0""")
+def optional_variable(spark, d):
+    """An optional variable's cell may be empty: the row then fits every binding that the pattern's other cells allow."""
+    store, nation = geo_store(spark, d), read(spark, d, "nation")
+    s = read(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("x"), "s_nationkey").alias("home"), "n_name")
+    homes = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("x"), "n_nationkey").alias("home"), F.col("n_name").alias("name"))
+    empty = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("x"), "n_nationkey").alias("id"), F.concat(F.lit("x"), "n_nationkey").alias("home"), F.lit("").alias("name"))
+    store.add(from_frame("S", s, "id", {"HOME": "home", "NATION": "n_name"}))
+    store.add(from_frame("N", homes.unionByName(empty), "id", {"HOME": "home", "NATION": "name"}))
+    p = parse('inferencepattern p row a=[TABLE:"S", HOME:<h>, NATION:<n>] row b=[TABLE:"N", HOME:<h>, NATION:<*n>] endinferencepattern').patterns[0]
+    return solve(store, p, None).select(F.col("uid_a").alias("supplier"), F.col("uid_b").alias("nation"))
+
+
+@query("lemma_overlap", """
+WITH w AS (SELECT p_partkey, list_distinct(list_filter(string_split(lower(trim(p_name)), ' '), lambda x: x <> '')) AS w FROM part)
+SELECT a.p_partkey AS part, CAST(len(list_intersect(a.w, b.w)) AS INTEGER) AS shared, list_has_any(a.w, b.w) AS meets FROM w a JOIN w b ON a.p_partkey + 1 = b.p_partkey""")
+def lemma_overlap(spark, d):
+    """Whether the sets of content lemmas of a row and the next one meet, plural or not."""
+    part = read(spark, d, "part")
+    lemmas = lambda c: A.content_lemmas(A.annotate(c))
+    a = part.select(F.col("p_partkey").alias("part"), lemmas(F.concat(F.lit("the "), "p_name", F.lit("s"))).alias("wa"))
+    b = part.select((F.col("p_partkey") - 1).alias("part"), lemmas(F.col("p_name")).alias("wb"))
+    return a.join(b, "part").select("part", F.size(F.array_intersect("wa", "wb")).alias("shared"), F.arrays_overlap("wa", "wb").alias("meets"))

@@ -262,8 +262,12 @@ class Runtime:
             for c, e in cells:
                 row[t.column(c)] = F.coalesce(expression(e, Scope(names))["s"], F.raise_error(F.lit(f"line {s.line}: an expression has no value")).cast("string"))
             self.store.insert(table, rows.select(F.array(*row).alias("cells")), kind)
-            t = self.store[table]
-            self.store.add(Table(t.name, t.header, checkpoint(t.rows), t.roles))  # the table's plan would grow with each round
+            self.cut(table)
+
+    def cut(self, table: str) -> None:
+        """Write an edited table down: its plan would grow with each edit."""
+        t = self.store[table]
+        self.store.add(Table(t.name, t.header, checkpoint(t.rows), t.roles))
 
     # matches
     def texts(self, name: str) -> DataFrame:
@@ -367,8 +371,9 @@ class Runtime:
             return False
         if asked not in self.kinds_known:
             t = self.store["KINDOF"]
-            named = lambda c: namings(F.element_at("cells", t.column(c) + 1), self.lemmas)
-            self.kinds_known[asked] = not t.rows.where(F.array_contains(named("HYPONYM"), asked[1]) & F.array_contains(named("HYPERNYM"), asked[2])).isEmpty()
+            named = lambda c: F.explode(namings(F.element_at("cells", t.column(c) + 1), self.lemmas))
+            rows = t.rows.select("cells", named("HYPONYM").alias("name")).where(F.col("name") == asked[1])
+            self.kinds_known[asked] = not rows.select(named("HYPERNYM").alias("name")).where(F.col("name") == asked[2]).isEmpty()
         return self.kinds_known[asked]
 
     # expressions
@@ -492,6 +497,7 @@ class Runtime:
         for c, e in cells:
             row[t.column(c)] = self.text(e, local)
         got = self.store.insert(table, self.spark.createDataFrame([(row,)], "cells array<string>"), getattr(self, "generated_kind", "GEN"))
+        self.cut(table)
         return got.first().uid
 
     def do_generate(self, ref: tuple) -> None:
@@ -499,15 +505,19 @@ class Runtime:
 
     def do_removeRow(self, e: Expr) -> None:
         uid = self.text(e).removeprefix("UUID")
-        self.store.remove(self.spark.createDataFrame([(uid,)], "uid string"))
+        for t in list(self.store.tables.values()):
+            self.keep(t, F.col("uid") != uid)
 
     def do_removeRows(self, ref: tuple) -> None:
         table, cells = ref
         t = self.store[table]
-        rows = t.rows
+        fits = F.lit(True)
         for c, e in cells:
-            rows = rows.where(F.lower(F.trim(F.element_at("cells", t.column(c) + 1))) == self.text(e).strip().lower())
-        self.store.remove(rows.select("uid"))
+            fits = fits & (F.lower(F.trim(F.element_at("cells", t.column(c) + 1))) == self.text(e).strip().lower())
+        self.keep(t, ~fits)
+
+    def keep(self, t: Table, rows: Column) -> None:
+        self.store.add(Table(t.name, t.header, t.rows.where(rows), t.roles))
 
     def do_executePattern(self, name: str, how: tuple | None, remap: tuple, blocks: tuple) -> None:
         p = self.patterns.get(name)
@@ -653,7 +663,7 @@ def common_properties(store: Store, kind: str) -> DataFrame:
         whose = next((c for c in ("OBJECT", "AGENT", "AGENT/OBJECT/LOCATION") if c in names), None)
         if whose is None:
             continue
-        cell = lambda c, t=t: F.trim(F.element_at("cells", t.column(c) + 1))
+        cell = lambda c, t=t: F.trim(F.get("cells", F.lit(t.column(c))))
         part = t.rows.where(F.lower(cell(whose)) == kind.lower()).select(cell("PROPERTY").alias("property"), cell("VALUE" if "VALUE" in names else "VALUES").alias("value"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else store.spark.createDataFrame([], "property string, value string")

@@ -167,11 +167,13 @@ class Store:
         t = self[name]
         key = t.duplicates_key()
         given = cells.select("cells").withColumn("_key", key).dropDuplicates(["_key"])
+        made = F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(t.name), "_key"), 256), 1, 16))
+        given = given.withColumn("_made", made)
         have = t.rows.withColumn("_key", key).groupBy("_key").agg(F.min("uid").alias("old"))
-        both = given.join(have, "_key", "left").withColumn("uid", F.coalesce("old", F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(t.name), "_key"), 256), 1, 16))))
-        fresh = both.where("old is null").select("uid", "cells", F.lit(kind).alias("generated"))
+        fresh = given.join(have, "_key", "left_anti").select(F.col("_made").alias("uid"), "cells", F.lit(kind).alias("generated"))
         self.add(Table(t.name, t.header, t.rows.unionByName(fresh), t.roles))
-        return both.select("uid", "cells", F.col("old").isNull().alias("added"))
+        both = given.join(have, "_key", "left")
+        return both.select(F.coalesce("old", "_made").alias("uid"), "cells", F.col("old").isNull().alias("added"))
 
 
 def split_line(line: str) -> list[str]:

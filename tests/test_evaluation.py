@@ -55,6 +55,17 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.ratings(spark, str(tmp_path / "r.tsv")).collect()] == [("abcd", "01ab-23cd-45ef-6789", 2)]
 
 
+def test_question_layouts(spark, tmp_path):
+    head = "GRADE\tTopic\tquestionid\tQUESTION\tisMultipleChoiceQuestion\tincludesDiagram\n"
+    rows = ["4\tA_B, c\tq1\tWhy? (A) x (B) y\t1\t0", "4\t\tq2\tNo choices\t0\t0", "4\t\tq3\tLook (A) z\t1\t1", "\t\tq4\t\t1\t0"]
+    (tmp_path / "new.tsv").write_text(head + "\n".join(rows) + "\n")
+    assert [(r.question, r.grade, r.topics, r.choices, r.answer) for r in readers.questions(spark, str(tmp_path / "new.tsv")).collect()] == [("q1", "4", ["A_B", "C"], ["x", "y"], -1)]
+    old = ["id,o,points,key,mc,diagram,exam,grade,year,cat,question", 'q1,o1,1,3,1,0,E,5,2010,,"What, then? (a) x (b) y (C) z"', "q2,o2,,E,1,0,E,5,2010,,Which (1) one (2) two", "q3,o3,1,A,1,1,E,5,2010,,Look (A) z"]
+    (tmp_path / "old.csv").write_text("\n".join(old) + "\n")
+    got = [(r.question, r.stem, r.choices, r.answer, r.kind, r.topics) for r in readers.questions_fixed(spark, str(tmp_path / "old.csv")).orderBy("question").collect()]
+    assert got == [("q1", "What, then?", ["x", "y", "z"], 2, "", []), ("q2", "Which", ["one", "two"], -1, "", [])]
+
+
 def test_other_rankings(spark, tmp_path):
     (tmp_path / "q8.tsv").write_text("u1\tx\ty\t0.25\nu2\tx\ty\tnone\n")
     assert sorted(tuple(r) for r in readers.rankings(spark, str(tmp_path / "q8.tsv"), "headerless").collect()) == [("q8", "u1", 0.25), ("q8", "u2", None)]

@@ -90,6 +90,17 @@ def test_alternatives_and_annotation(spark):
     assert one.select(A.annotate(F.lit(""))).first()[0] == [[]]
 
 
+def test_names_and_token_sets(spark):
+    one = spark.range(1)
+    first = lambda c: one.select(c).first()[0]
+    assert first(A.namings(F.lit("The Cats ; dogs"))) == ["the cats", "cat"]
+    assert first(A.namings(F.lit(""))) == [] and first(A.namings(F.lit("the"))) == ["the"]
+    known = F.create_map(F.lit("cat"), F.lit("feline"))
+    assert set(first(A.question_tokens(F.lit("the Cats"), F.lit("run"), known))) == {"Cats", "cat", "feline", "run"}
+    assert set(first(A.question_tokens(F.lit("a cat"), F.lit(None).cast("string")))) == {"cat"}
+    assert set(first(A.row_tokens(F.lit(" the cat "), known))) == {"the", "cat", "feline"} and first(A.row_tokens(F.lit(""))) == []
+
+
 def test_literal_spans(spark):
     df = spark.createDataFrame([([["a"], ["b", "x"], ["a"], ["b"]],), ([],)], "s array<array<string>>")
     assert [r[0] for r in df.select(A.literal_spans(F.col("s"), ["A", "b"])).collect()] == [[0, 2], []]

@@ -343,6 +343,21 @@ def test_kind_and_number_of_instances(spark):
         Runtime(spark, store_of(spark), parse(text + "executePattern(p, 0)")).run()
 
 
+def test_kinds_by_words_or_lemmas_of_the_first_alternative(spark):
+    run = Runtime(spark, store_of(spark), parse(""))
+    assert run.is_kind("dog", "animal") and run.is_kind("Dogs", "animals")  # of the row dogs, animals
+    assert run.is_kind("cat", "animal") and not run.is_kind("cat", "pet") and not run.is_kind("animal", "cat")
+    assert run.is_kind("rock", "thing") and run.is_kind("Red  rock", "red rock") and not run.is_kind("rock", "animal")
+
+
+def test_generated_rows_are_found_again_and_removed(spark):
+    text = """generateRow([TABLE:"PARTOF", PART:"fin", WHOLE:"fish"]) generateRow([TABLE:"PARTOF", PART:"Fin", WHOLE:"fish"]) generateRow([TABLE:"PARTOF", PART:"gill", WHOLE:"fish"])
+      removeRows([TABLE:"PARTOF", PART:"GILL"]) removeRow("p1") removeRow("absent")"""
+    s = store_of(spark)
+    assert Runtime(spark, s, parse(text)).run() == 0
+    assert sorted(r[0][0] for r in s["PARTOF"].rows.select("cells").collect()) == ["fin", "leaf", "paw"]
+
+
 def test_meets_requirements_follows_instances(spark):
     rest = """var n = 0
       while (meetsRequirements(p, [<x> == "tail"], [thing->felix]) < 1) felix."age" = felix."age" + 20 n = n + 1 endwhile
