@@ -82,3 +82,59 @@ SELECT page_id, host, path, CASE {" ".join(f + f"'{h}{p}'" for f, (h, p, _) in z
   CASE {" ".join(f + f"'{v}'" for f, (_, _, v) in zip(_FITS, _LONGEST_FIRST, strict=True))} ELSE 'allow' END AS verdict
 FROM q
 """
+
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{CHUNK}') AS w FROM documents),
+bad AS (SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f,
+  doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM d),
+kinds AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM bad GROUP BY part, f),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || e.c || f.c || g.c AS o FROM c a, c b, c e, c f, c g WHERE len(list_distinct([a.c, b.c, e.c, f.c, g.c])) = 5),
+failed AS (SELECT part, o, n, g, x, f, list_position(list_transform(string_split(o, ''), lambda l: f[ascii(l) - 64]), true) AS pos FROM kinds, orders),
+steps AS (SELECT part, o, step, substr(o, step, 1) AS l,
+    sum(n) FILTER (pos IS NULL OR pos = 0 OR pos > step) AS kept, sum(n) FILTER (pos = step) AS removed, sum(n) FILTER (f[ascii(substr(o, step, 1)) - 64] AND pos < step) AS redundant,
+    sum(n) FILTER (f[ascii(substr(o, step, 1)) - 64] AND len(list_filter(f, lambda y: y)) = 1) AS alone, sum(g) FILTER (pos = step) AS good, sum(x) FILTER (pos = step) AS toxic
+  FROM failed, (SELECT unnest(range(1, 6)) AS step) GROUP BY part, o, step)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({a}, 0) AS BIGINT) AS {b}" for a, b in (("kept", "kept"), ("removed", "removed"), ("redundant", "redundant"), ("alone", "unique_fails"), ("good", "good_lost"), ("toxic", "toxic_lost")))},
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM steps
+"""
+
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_ADD = lambda v, cost, letter: f"{{'c': {v}.c + {cost}, 'a': {v}.a || {letter}}}"
+_LEAST = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+_FAR = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+#: Each row's cheapest ways to the four places (start, system, user, assistant), of equal cost the one with the least letters.
+CONVERSATIONS = rf"""
+WITH RECURSIVE g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {_CRC.format("k")} % 20 AS n FROM g),
+r AS (SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE n WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE n WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h)),
+f AS (SELECT *, CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS ini, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i, CASE WHEN last = '' THEN 1 WHEN again > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM f),
+pair AS (SELECT conv_id, left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS p, lead(i) OVER (PARTITION BY conv_id ORDER BY i) AS j FROM o),
+illegal AS (SELECT conv_id, count(*) AS n FROM pair WHERE j IS NOT NULL AND p NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+stat AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated FROM o GROUP BY conv_id),
+w AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS p, {_FAR} AS s, {{'c': CAST(2 AS BIGINT), 'a': 'I'}} AS u, {{'c': CAST(4 AS BIGINT), 'a': 'II'}} AS a FROM stat
+  UNION ALL
+  SELECT conv_id, i, p, s, u, {_LEAST("a", _ADD("u", 2, "'I'"))} AS a FROM (
+    SELECT conv_id, i, p, s, {_LEAST("u", *(_ADD(v, 2, "'I'") for v in "psa"))} AS u, a FROM (
+      SELECT w.conv_id, o.i, {_ADD("w.p", 3, "'D'")} AS p, {_LEAST(_ADD("w.s", 3, "'D'"), f"CASE WHEN keep AND ini = 0 THEN {_ADD('w.p', 'late', "'K'")} ELSE {_FAR} END")} AS s,
+        {_LEAST(_ADD("w.u", 3, "'D'"), *(f"CASE WHEN keep THEN {_ADD(f'w.{v}', 'late + CASE WHEN ini = 1 THEN 0 ELSE 2 END', "CASE WHEN ini = 1 THEN 'K' ELSE 'R' END")} ELSE {_FAR} END" for v in "psa"))} AS u,
+        {_LEAST(_ADD("w.a", 3, "'D'"), f"CASE WHEN keep THEN {_ADD('w.u', 'late + CASE WHEN ini = 2 THEN 0 ELSE 2 END', "CASE WHEN ini = 2 THEN 'K' ELSE 'R' END")} ELSE {_FAR} END")} AS a
+      FROM w JOIN (SELECT conv_id, i, ini, fault IN (0, 3) AS keep, CASE fault WHEN 3 THEN 1 ELSE 0 END AS late FROM o) o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1))),
+best AS (SELECT w.conv_id, {_LEAST("p", "a")} AS b FROM w JOIN stat ON stat.conv_id IS NOT DISTINCT FROM w.conv_id AND stat.rows = w.i),
+l AS (SELECT conv_id, unnest(string_split(b.a, '')) AS l, unnest(range(length(b.a))) AS k FROM best WHERE b.a <> ''),
+m AS (SELECT *, count(*) FILTER (l <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i, count(*) FILTER (l <> 'D') OVER (PARTITION BY conv_id ORDER BY k) - 1 AS e, count(*) FILTER (l <> 'D') OVER (PARTITION BY conv_id) % 2 AS odd FROM l),
+kept AS (SELECT m.conv_id, m.k, CASE WHEN l = 'K' THEN o.role WHEN (e - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE o.text END AS line
+  FROM m LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND o.i = m.i WHERE l <> 'D'),
+text AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY k)) AS h FROM kept GROUP BY conv_id)
+SELECT c.conv_id, {", ".join(f"CAST(coalesce({a}, 0) AS BIGINT) AS {b}" for a, b in (("gaps", "gaps"), ("blank", "blank"), ("duplicate", "duplicate"), ("truncated", "truncated"), ("illegal.n", "illegal"), ("b.c", "cost")))},
+  coalesce(b.a, '') AS audit, coalesce(text.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stat ON stat.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN illegal ON illegal.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN text ON text.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
