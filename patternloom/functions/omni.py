@@ -17,10 +17,28 @@ def omni_eq(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))), lambda z: z)
 
 
-def omni_keys(v: Column) -> Column:
-    """Blocking keys: equal values share at least one. They hold the length and one representation of the first token."""
-    first = F.element_at(v, 1)
-    return F.when(F.size(v) == 0, F.array(F.lit(""))).otherwise(F.transform(F.array_distinct(first), lambda t: F.concat(F.size(v).cast("string"), F.lit("|"), t)))
+def omni_keys(*values: Column) -> Column:
+    """Blocking keys of values that are to agree with as many others: equal ones share at least one.
+
+    A key holds the values' lengths and one representation of the token at each of at most three places: of a single value
+    the first, the second and the last, so that a word with which most values begin doesn't bring them all together; of
+    several values the last and, of the first one if there are two, the first.
+    """
+    places = ["first", "second", "last"] if len(values) == 1 else ["first", "last"]
+    keys = F.array(F.lit(""))
+    for k, v in enumerate(values[:3]):
+        n = F.size(v)
+        keys = continued(keys, F.array(n.cast("string")), "\x1e")
+        for place in places if k == 0 and len(values) < 3 else ["last"]:
+            least, at = {"first": (2, F.lit(1)), "second": (3, F.lit(2)), "last": (1, n)}[place]  # the last place is that of shorter values
+            held = F.when(n >= least, F.array_distinct(F.try_element_at(v, at))).otherwise(F.array(F.lit("")))
+            keys = continued(keys, held, "\x1f")
+    return F.transform(keys, lambda key: F.xxhash64(key))
+
+
+def continued(keys: Column, by: Column, mark: str) -> Column:
+    """Each of the keys with each of the words behind it."""
+    return F.flatten(F.transform(keys, lambda key: F.transform(by, lambda t: F.concat(key, F.lit(mark), t))))
 
 
 def omni_merge(bound: Column, value: Column) -> Column:
@@ -41,14 +59,63 @@ def literal_value(tokens: list[list[str]]) -> Column:
 def omni_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, residual: Column | None = None) -> DataFrame:
     """Inner join on omni-equality: a hash join on blocking keys, then the exact predicate.
 
-    Values can meet on two keys; only the smallest common one counts, so every pair comes once and nothing is deduplicated.
+    Values can meet on several keys; only the smallest common one counts, so every pair comes once and nothing is deduplicated.
+    """
+    on = omni_eq(F.col(left_value), F.col(right_value))
+    return keyed_join(left, right, omni_keys(F.col(left_value)), omni_keys(F.col(right_value)), on if residual is None else on & residual)
+
+
+def keyed_join(left: DataFrame, right: DataFrame, left_keys: Column, right_keys: Column, residual: Column, tasks: int | None = None) -> DataFrame:
+    """Pairs of rows whose key sets meet and that fulfil the residual condition, each once: at their smallest common key.
+
+    With `tasks`, keys that have more rows than such a part of their side are dealt out (see dealt()).
+    """
+    a = left.withColumn("_ka", left_keys).withColumn("_k", F.explode("_ka"))
+    b = right.withColumn("_kb", right_keys).withColumn("_kr", F.explode("_kb"))
+    on = (F.col("_k") == F.col("_kr")) & (F.col("_k") == F.array_min(F.array_intersect("_ka", "_kb"))) & residual
+    if tasks is not None:
+        a, b = dealt(a, b, tasks)
+        on = on & (F.col("_i") == F.col("_ir")) & (F.col("_j") == F.col("_jr"))
+    return a.join(b, on).drop("_ka", "_kb", "_k", "_kr", "_i", "_ir", "_j", "_jr")
+
+
+def dealt(a: DataFrame, b: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a cell (_i, _j and _ir, _jr) beside the key: a hot key's pairs are a grid of cells.
+
+    A key is hot if one side has more than its share of rows for it, a `tasks`-th part of them: so at most `tasks` keys of
+    each side are. Its left rows are dealt over the grid's rows and copied to each of its columns, the right ones the other way.
+    """
+    counts = a.groupBy(F.col("_k").alias("k")).agg(F.count("*").alias("l"), F.lit(0).cast("long").alias("r")).unionByName(b.groupBy(F.col("_kr").alias("k")).agg(F.lit(0).cast("long").alias("l"), F.count("*").alias("r")))
+    counts = counts.groupBy("k").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    nl, nr = (max(1, (x or 0) // tasks) for x in counts.agg(F.sum("l"), F.sum("r")).first())
+    found = counts.where((F.col("l") > nl) | (F.col("r") > nr)).where("l > 0 and r > 0").collect()  # at most 2 * tasks keys
+    hot = a.sparkSession.createDataFrame([(r.k, -(-r.l // nl), -(-r.r // nr)) for r in found], "_h long, _m long, _n long")
+    one = F.lit(0).cast("long")
+
+    def spread(side: DataFrame, key: str, i: str, j: str, mine: str, other: str) -> DataFrame:
+        out = side.join(F.broadcast(hot), F.col(key) == F.col("_h"), "left")
+        lot = F.coalesce(F.pmod(F.xxhash64(*side.columns), F.col(mine)), one)  # by content: a task that runs again deals alike
+        copies = F.coalesce(F.sequence(one, F.col(other) - 1), F.array(one))
+        return out.withColumn(i, lot).withColumn(j, F.explode(copies)).drop("_h", "_m", "_n")
+
+    return spread(a, "_k", "_i", "_j", "_m", "_n"), spread(b, "_kr", "_jr", "_ir", "_n", "_m")
+
+
+#: Rows that fit whatever the other side holds are copied so many times, the other side's rows dealt over the copies.
+COPIES = 16
+
+
+def loose_keys(value: Column, open_: Column | None, salt: Column, mine: str, other: str | None) -> Column:
+    """Keys of a side on which values may be missing: a row without one (open_) meets every row of the other side.
+
+    mine and other name the two sides' open rows: an open row is copied under COPIES keys of its own side, and each row takes
+    one of the other side's, where that has open ones (other is given).
     """
-    a = left.withColumn("_ka", omni_keys(F.col(left_value))).withColumn("_k", F.explode("_ka"))
-    b = right.withColumn("_kb", omni_keys(F.col(right_value))).withColumn("_kr", F.explode("_kb"))
-    on = (F.col("_k") == F.col("_kr")) & omni_eq(F.col(left_value), F.col(right_value)) & (F.col("_k") == F.array_min(F.array_intersect("_ka", "_kb")))
-    if residual is not None:
-        on = on & residual
-    return a.join(b, on).drop("_ka", "_kb", "_k", "_kr")
+    named = lambda side, k: F.xxhash64(F.lit(f"\x1d{side}"), k)
+    keys = omni_keys(value)
+    if open_ is not None:
+        keys = F.when(open_, F.transform(F.sequence(F.lit(0), F.lit(COPIES - 1)), lambda k: named(mine, k))).otherwise(keys)
+    return keys if other is None else F.concat(keys, F.array(named(other, F.pmod(salt, F.lit(COPIES)).cast("int"))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, least: int = 1) -> DataFrame:

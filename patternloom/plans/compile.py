@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.functions.omni import VALUE, omni_eq, omni_keys, omni_merge, omni_text
+from patternloom.functions.omni import VALUE, keyed_join, loose_keys, omni_eq, omni_keys, omni_merge, omni_text
 from patternloom.functions.scalar import match_hash, row_hash
 from patternloom.operators.segment import segments
 from patternloom.plans.ast import Element, Expr, Pattern, Slot
@@ -15,16 +15,20 @@ from patternloom.plans.conditions import Scope, evaluate
 from patternloom.sources.tablestore import Store
 
 MAX_MATCHES = 25_000
+#: Planned bytes of candidates from which on joins count their keys first.
+LARGE = 1 << 30
 
 
 @dataclass
 class Occurrence:
-    """A place of a variable: slot, its column in the slot's candidates, and the element."""
+    """A place of a variable: slot, its column in the slot's candidates, the element, and whether it may be without a value
+    (an optional element, or one that not all options of its cell have)."""
 
     var: str
     slot: int
     column: str
     element: Element
+    loose: bool = False
 
 
 @dataclass
@@ -84,52 +88,131 @@ def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, s
             column = f"{p}v{k}"
             k += 1
             out.append(F.try_element_at(F.col(f"_seg{i}.values"), F.lit(at + 1)).alias(column))
-            keep.append(Occurrence(e.text, number, column, e))
+            keep.append(Occurrence(e.text, number, column, e, any(len(o) <= at or o[at].optional for o in names)))
     out.append(relaxed.cast("int").alias(f"{p}relaxed"))
     occurrences += keep
     return Candidates(slot, rows.select(*out), occurrences, ref.uuid is not None)
 
 
-def edges(cands: list[Candidates]) -> list[tuple[Occurrence, Occurrence]]:
-    """(binder, later occurrence) pairs on which candidates may be joined: the binder is the first occurrence in order,
-    not optional, and no relaxable one comes between."""
-    out = []
-    for var in dict.fromkeys(o.var for c in cands for o in c.occurrences):
-        every = [o for c in cands for o in c.occurrences if o.var == var]
-        binder = every[0]
-        if binder.element.optional or cands[binder.slot].slot.optional:
-            continue
-        for o in every[1:]:
-            if o.element.relaxable:
-                break
-            out.append((binder, o))
+def occurrences(cands: list[Candidates]) -> dict[str, list[Occurrence]]:
+    """The places of each variable in declared order."""
+    out: dict[str, list[Occurrence]] = {}
+    for o in (o for c in cands for o in c.occurrences):
+        out.setdefault(o.var, []).append(o)
     return out
 
 
-def joined(cands: list[Candidates]) -> DataFrame:
-    """All combinations of candidates that agree on the joinable pairs; an optional slot is also left unfilled.
+@dataclass
+class Link:
+    """A condition between what is joined already and a slot to come: a value there, a column here, and whether either may
+    be missing, in which case it fits everything."""
+
+    left: Column
+    right: str
+    left_open: bool
+    right_open: bool
+
+
+class Links:
+    """What may be asked of a join without losing a solution of the fold over declared order.
 
-    Static slots come first, then connected ones before others; a binder's slot before those that depend on it.
+    A variable's first place binds it, if that always has a value: each later place is linked with it, until a relaxable one
+    may have changed the binding. Where the first place may be empty (an optional element or slot), another place may bind:
+    two places are linked with each other in either order; more are joined in declared order, each with the fold so far.
     """
-    links = edges(cands)
+
+    def __init__(self, cands: list[Candidates]) -> None:
+        self.cands, self.of = cands, occurrences(cands)
+        self.firm = {v for v, os in self.of.items() if not self.open(os[0])}
+
+    def open(self, o: Occurrence) -> bool:
+        return o.loose or self.cands[o.slot].slot.optional
+
+    def ordered(self, var: str) -> bool:
+        return var not in self.firm and len(self.of[var]) > 2
+
+    def ready(self, slot: int, done: list[int]) -> bool:
+        """Whether the slot's places can be linked: binders come first, and all earlier places where the order counts."""
+        for var, os in self.of.items():
+            mine = next((k for k, o in enumerate(os) if o.slot == slot), None)
+            if mine is None:
+                continue
+            before = os[:1] if var in self.firm else os[:mine] if self.ordered(var) else []
+            if any(o.slot not in done and o.slot != slot for o in before):
+                return False
+        return True
+
+    def between(self, slot: int, done: list[int]) -> list[Link]:
+        out = []
+        for var, os in self.of.items():
+            mine = [o for o in os if o.slot == slot]
+            if not mine:
+                continue
+            if var in self.firm:
+                if os[0].slot in done:
+                    still = [o for k, o in enumerate(os) if o.slot == slot and not any(x.element.relaxable for x in os[1 : k + 1])]
+                    out += [Link(F.col(os[0].column), o.column, False, o.loose) for o in still]
+                continue
+            o = mine[0]
+            k = os.index(o)
+            before = [x for x in os[:k] if x.slot in done]
+            after = [x for x in os[k + 1 :] if x.slot in done]
+            if before and not o.element.relaxable:
+                out.append(Link(fold(before, self.open), o.column, all(map(self.open, before)), o.loose))
+            elif len(os) == 2 and after and not after[0].element.relaxable:
+                out.append(Link(fold(after, self.open), o.column, self.open(after[0]), o.loose))
+        return out
+
+    def within(self, slot: int) -> list[tuple[str, str]]:
+        """Columns of one slot that hold the same variable, the first of them its binder."""
+        out = []
+        for var in self.firm:
+            os = self.of[var]
+            if os[0].slot == slot:
+                out += [(os[0].column, o.column) for k, o in enumerate(os) if k and o.slot == slot and not any(x.element.relaxable for x in os[1 : k + 1])]
+        return out
+
+
+def fold(places: list[Occurrence], open_) -> Column:
+    """The binding after these places, in order; null where none has a value."""
+    bound = F.lit(None).cast(VALUE)
+    for o in places:
+        v = F.col(o.column)
+        skip = missing(v) if open_(o) else v.isNull()
+        bound = F.when(skip, bound).when(bound.isNull(), v).otherwise(omni_merge(bound, v) if o.element.relaxable else bound)
+    return bound
+
+
+def missing(v: Column) -> Column:
+    return v.isNull() | (F.size(v) == 0)
+
+
+def joined(cands: list[Candidates], tasks: int | None = None) -> DataFrame:
+    """All combinations of candidates that agree as far as they are linked; an optional slot is also left unfilled.
+
+    Static slots come first, then connected ones before others, of these the one with more links, or of a smaller table; a
+    slot on which others depend before them.
+    """
+    links = Links(cands)
+    sizes = [estimate(c) for c in cands]
     todo = sorted(range(len(cands)), key=lambda i: (cands[i].slot.optional, not cands[i].static, i))
     done: list[int] = []
     out: DataFrame | None = None
     while todo:
-        ready = [i for i in todo if all(b.slot in done or b.slot == i for b, o in links if o.slot == i)]
-        pick = next((i for i in ready if any(o.slot == i and b.slot in done or b.slot == i and o.slot in done for b, o in links)), None)
-        pick = pick if pick is not None and not (cands[pick].slot.optional and any(not cands[i].slot.optional for i in ready)) else ready[0]
+        ready = [i for i in todo if links.ready(i, done)]
+        if out is None:
+            firm = [i for i in ready if not cands[i].slot.optional] or ready
+            pick = min(firm, key=lambda i: (not cands[i].static, sizes[i], i))
+        else:
+            held = {i: links.between(i, done) for i in ready}
+            firmly = lambda i: sum(not x.right_open and not x.left_open for x in held[i])  # noqa: B023, E731
+            pick = min(ready, key=lambda i: (cands[i].slot.optional, not held[i] and not cands[i].static, not cands[i].static, -firmly(i), sizes[i], i))  # noqa: B023
         todo.remove(pick)
         c = cands[pick]
         rows = c.rows
-        for b, o in links:  # a variable used twice in one row
-            if b.slot == o.slot == pick:
-                rows = rows.where(F.col(o.column).isNull() | omni_eq(F.col(b.column), F.col(o.column)))
-        if out is None:
-            both = rows
-        else:
-            mine = [(b.column, o.column, o.element.optional) for b, o in links if o.slot == pick and b.slot in done]
-            both = connect(out, rows, mine)
+        for a, b in links.within(pick):
+            rows = rows.where(missing(F.col(b)) | omni_eq(F.col(a), F.col(b)))
+        both = rows if out is None else connect(out, rows, links.between(pick, done), tasks)
         if c.slot.optional:
             empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
             if out is None:
@@ -141,24 +224,41 @@ def joined(cands: list[Candidates]) -> DataFrame:
     return out
 
 
-def connect(left: DataFrame, right: DataFrame, on: list[tuple[str, str, bool]]) -> DataFrame:
-    """Join on omni-equality of column pairs: hashed on the keys of one, the others as residual conditions."""
-    if not on:
+def estimate(c: Candidates) -> int:
+    """Bytes of a slot's candidates as far as the planner knows them, less for each literal that cuts them down."""
+    literals = sum(all(any(e.kind == "literal" and not e.optional for e in o) for o in options) for _, options in c.slot.ref.cells)
+    return planned_bytes(c.rows) >> 3 * literals
+
+
+def planned_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def connect(left: DataFrame, right: DataFrame, links: list[Link], tasks: int | None = None) -> DataFrame:
+    """Join on omni-equality: hashed on keys, with the exact conditions as residual.
+
+    Links that always have both values make the keys, all of them together. Without such a one, a link that may lack a value
+    does: rows that have it meet by its keys, and those that lack it are brought to all rows of the other side, which are dealt
+    over copies of them; so what is copied is never more than the rows without a value. Without a link all rows are combined.
+    """
+    if not links:
         return left.crossJoin(right)
-    fits = lambda a, b, optional: (F.col(b).isNull() | omni_eq(F.col(a), F.col(b))) if optional else omni_eq(F.col(a), F.col(b))
-    hard = [x for x in on if not x[2]]
-    if not hard:
-        cond = None
-        for x in on:
-            cond = fits(*x) if cond is None else cond & fits(*x)
-        return left.join(right, cond)
-    a, b, _ = hard[0]
-    lk = left.withColumn("_ka", omni_keys(F.col(a))).withColumn("_k", F.explode("_ka"))
-    rk = right.withColumn("_kb", omni_keys(F.col(b))).withColumn("_kr", F.explode("_kb"))
-    cond = (F.col("_k") == F.col("_kr")) & (F.col("_k") == F.array_min(F.array_intersect("_ka", "_kb")))
-    for x in on:
-        cond = cond & fits(*x)
-    return lk.join(rk, cond).drop("_ka", "_kb", "_k", "_kr")
+    residual = F.lit(True)
+    for x in links:
+        fits = omni_eq(x.left, F.col(x.right))
+        if x.right_open:
+            fits = missing(F.col(x.right)) | fits
+        if x.left_open:
+            fits = x.left.isNull() | fits
+        residual = residual & fits
+    hard = [x for x in links if not x.left_open and not x.right_open]
+    if hard:
+        return keyed_join(left, right, omni_keys(*(x.left for x in hard)), omni_keys(*(F.col(x.right) for x in hard)), residual, tasks)
+    x = min(links, key=lambda x: x.left_open + x.right_open)
+    salt = lambda df: F.xxhash64(*(c for c in df.columns if c.endswith("_uid")))
+    lk = loose_keys(x.left, x.left.isNull() if x.left_open else None, salt(left), "l", "r" if x.right_open else None)
+    rk = loose_keys(F.col(x.right), missing(F.col(x.right)) if x.right_open else None, salt(right), "r", "l" if x.left_open else None)
+    return keyed_join(left, right, lk, rk, residual, tasks)
 
 
 def bind(out: DataFrame, cands: list[Candidates]) -> DataFrame:
@@ -167,7 +267,7 @@ def bind(out: DataFrame, cands: list[Candidates]) -> DataFrame:
         bound, good = F.lit(None).cast(VALUE), F.lit(True)
         for o in (o for c in cands for o in c.occurrences if o.var == var):
             v = F.col(o.column)
-            skip = v.isNull() | (F.size(v) == 0) if o.element.optional or cands[o.slot].slot.optional else v.isNull()
+            skip = missing(v) if o.loose or cands[o.slot].slot.optional else v.isNull()
             if o.element.relaxable:
                 bound = F.when(skip, bound).when(bound.isNull(), v).otherwise(omni_merge(bound, v))
             else:
@@ -202,7 +302,7 @@ def filter_early(cands: list[Candidates], cond: Expr) -> None:
     bound: dict[str, Occurrence] = {}
     for o in (o for c in cands for o in c.occurrences):
         first = bound.setdefault(o.var, o)
-        if o.element.relaxable or first.element.optional:
+        if o.element.relaxable or first.loose:
             return
     if names <= bound.keys() and len({bound[n].slot for n in names}) == 1:
         c = cands[bound[next(iter(names))].slot]
@@ -210,14 +310,16 @@ def filter_early(cands: list[Candidates], cond: Expr) -> None:
             c.rows = c.rows.where(F.coalesce(evaluate(cond, Scope({n: omni_text(F.col(bound[n].column)) for n in names})), F.lit(True)))
 
 
-def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None) -> DataFrame:
+def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None, tasks: int | None = None) -> DataFrame:
     """The solutions of a pattern: uid_<slot>, v_<variable>, n_opt_unfilled, relaxed_dyn, relaxed_total, executable,
     should_score, hash; without duplicates (same rows and same lemma text of all bindings), and ordered where there is a limit.
     A solution is executable if its conditions could all be evaluated and each musthave holds; conditions on instances can't
     be evaluated here, but once instances are mapped. The hash adds up those of the filled rows, by their ids where these last,
     else by their DATA text, and those of the components' solutions.
 
-    Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x.
+    Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x. Hot keys are dealt out over
+    `tasks` where it is given, or where the candidates are planned to have more than LARGE bytes; counting keys takes a job for
+    each join, which small tables don't need.
     """
     slots = [lowered(s, pattern.constants) for s in pattern.slots]
     where = store.locate(static_uids(pattern))
@@ -225,7 +327,9 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     for kind, cond in pattern.constraints:
         if kind == "musthaveoromit":
             filter_early(cands, cond)
-    out = bind(joined(cands), cands) if cands else None
+    if tasks is None and len(cands) > 1 and sum(planned_bytes(c.rows) for c in cands) > LARGE:
+        tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    out = bind(joined(cands, tasks), cands) if cands else None
     if out is not None:
         for c, i in zip(cands, range(len(cands)), strict=True):
             out = out.withColumnRenamed(f"s{i}_uid", f"uid_{c.slot.name}")

