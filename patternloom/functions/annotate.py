@@ -6,10 +6,12 @@ other would have: pass `lemmas` to use a dictionary, or replace annotate() where
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from patternloom.functions.scalar import alternatives, tokens
+from patternloom.functions.scalar import applied, quoted, tokens
 
 #: Grouped tags of content words.
 CONTENT_TAGS = ("NN", "VB", "JJ", "RB", "IN", "CD")
@@ -28,55 +30,73 @@ IRREGULAR = {"is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "
 STOP_LEMMAS = ("be", "of")
 
 
-def _map(d: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+#: SQL of the annotation. What stands for a word in lower case is l, for a token t, for the dictionary m.
+_TAGS = ", ".join(f"{quoted(w)}, {quoted(t)}" for t, words in CLOSED.items() for w in words)
+_TAG = rf"""coalesce(element_at(map({_TAGS}), l), CASE WHEN l RLIKE '^[0-9][0-9.,/%-]*$' THEN 'CD' WHEN NOT l RLIKE r'[a-z0-9\x80-\x{{10FFFF}}]' THEN 'SY' WHEN endswith(l, 'ly') THEN 'RB'
+  WHEN l RLIKE '^.{{3,}}(ing|ed|ise|ize|ify)$' THEN 'VB' WHEN l RLIKE '^.{{3,}}(ous|ful|able|ible|ive|less|ish)$' THEN 'JJ' ELSE 'NN' END)"""
+_IRREGULAR = ", ".join(f"{quoted(w)}, {quoted(x)}" for w, x in IRREGULAR.items())
+_RULES = rf"""coalesce(element_at(map({_IRREGULAR}), l), CASE WHEN l RLIKE '^.{{2,}}ies$' THEN regexp_replace(l, 'ies$', 'y') WHEN l RLIKE '^.{{2,}}(ss|us|is)$' THEN l
+  WHEN l RLIKE '^.+(ches|shes|xes|sses|zes)$' THEN regexp_replace(l, 'es$', '') WHEN l RLIKE '^.{{2,}}s$' THEN regexp_replace(l, 's$', '')
+  WHEN l RLIKE r'^.{{2,}}([bdfgmnprt])\1(ing|ed)$' THEN regexp_replace(l, '(.)(ing|ed)$', '') WHEN l RLIKE '^.{{3,}}ied$' THEN regexp_replace(l, 'ied$', 'y')
+  WHEN l RLIKE '^.{{3,}}ing$' THEN regexp_replace(l, 'ing$', '') WHEN l RLIKE '^.{{3,}}ed$' THEN regexp_replace(l, 'ed$', '') ELSE l END)"""
+_LEMMA = {False: _RULES, True: f"coalesce(nullif(try_element_at(m, l), l), {_RULES})"}
+_of = lambda sql, name: re.sub(r"\bl\b(?!')", name, sql)
+#: A token from its word, in two steps, so that a word is looked up and tagged once.
+_KNOWN = {k: f"named_struct('word', w, 'lower', lower(w), 'lemma', {_of(sql, 'lower(w)')}, 'tag', {_of(_TAG, 'lower(w)')})" for k, sql in _LEMMA.items()}
+_TOKEN = "named_struct('word', t.word, 'lower', t.lower, 'lemma', t.lemma, 'tword', concat_ws('_', t.word, t.tag), 'tlemma', concat_ws('_', t.lemma, t.tag), 'tag', t.tag, 'postag', concat('pos:', lower(t.tag)))"
+_CONTENT = f"t.tag IN ({', '.join(map(quoted, CONTENT_TAGS))})"
+_SLOT = "array_distinct(array(t.word, t.lower, t.lemma, t.tword, t.tlemma, t.tag, t.postag))"
+_VALUE = "array_distinct(array(t.word, t.lemma))"
+
+
+def _with(body: str, column: Column, lemmas: Column | None) -> Column:
+    """A SQL expression of x, and of the dictionary m where there is one."""
+    return applied(f"x -> {body}", column) if lemmas is None else applied(f"(x, m) -> {body}", column, lemmas)
 
 
 def tag(lower: Column) -> Column:
     """The grouped tag: two letters of the part of speech."""
-    known = F.element_at(_map({w: t for t, ws in CLOSED.items() for w in ws}), lower)
-    guess = (
-        F.when(lower.rlike(r"^[0-9][0-9.,/%-]*$"), "CD").when(~lower.rlike(r"[a-z0-9\x80-\x{10FFFF}]"), "SY").when(lower.endswith("ly"), "RB")
-        .when(lower.rlike("^.{3,}(ing|ed|ise|ize|ify)$"), "VB").when(lower.rlike("^.{3,}(ous|ful|able|ible|ive|less|ish)$"), "JJ").otherwise("NN")
-    )
-    return F.coalesce(known, guess)
+    return applied(f"l -> {_TAG}", lower)
 
 
 def lemma(lower: Column, dictionary: Column | None = None) -> Column:
     """Dictionary first; where it has nothing or the word itself, the suffix rules."""
-    rule = (
-        F.when(lower.rlike("^.{2,}ies$"), F.regexp_replace(lower, "ies$", "y")).when(lower.rlike("^.{2,}(ss|us|is)$"), lower)
-        .when(lower.rlike("^.+(ches|shes|xes|sses|zes)$"), F.regexp_replace(lower, "es$", "")).when(lower.rlike("^.{2,}s$"), F.regexp_replace(lower, "s$", ""))
-        .when(lower.rlike("^.{2,}([bdfgmnprt])\\1(ing|ed)$"), F.regexp_replace(lower, "(.)(ing|ed)$", "")).when(lower.rlike("^.{3,}ied$"), F.regexp_replace(lower, "ied$", "y"))
-        .when(lower.rlike("^.{3,}ing$"), F.regexp_replace(lower, "ing$", "")).when(lower.rlike("^.{3,}ed$"), F.regexp_replace(lower, "ed$", "")).otherwise(lower)
-    )
-    own = F.coalesce(F.element_at(_map(IRREGULAR), lower), rule)
+    own = applied(f"l -> {_RULES}", lower)
     return F.coalesce(F.nullif(dictionary, lower), own) if dictionary is not None else own
 
 
 def token(word: Column, lemmas: Column | None = None) -> Column:
-    lower = F.lower(word)
-    base = lemma(lower, F.try_element_at(lemmas, lower) if lemmas is not None else None)
-    t = tag(lower)
-    return F.struct(word.alias("word"), lower.alias("lower"), base.alias("lemma"), F.concat_ws("_", word, t).alias("tword"), F.concat_ws("_", base, t).alias("tlemma"), t.alias("tag"), F.concat(F.lit("pos:"), F.lower(t)).alias("postag"))
+    return _with(f"element_at(transform(transform(array(x), w -> {_KNOWN[lemmas is not None]}), t -> {_TOKEN}), 1)", word, lemmas)
+
+
+def _annotation(dictionary: bool, content_only: bool) -> str:
+    """SQL of a cell's alternatives, each an array of tokens."""
+    parts = "transform(split(coalesce(x, ''), ';'), a -> trim(a))"
+    alternatives = f"element_at(transform(array({parts}), ps -> concat(ps, transform(filter(ps, a -> contains(a, '-')), a -> replace(a, '-', ' ')))), 1)"
+    words = f"transform(filter(split(trim(a), ' +'), w -> w <> ''), w -> {_KNOWN[dictionary]})"
+    kept = f"filter({words}, t -> {_CONTENT})" if content_only else words
+    return f"array_distinct(transform({alternatives}, a -> transform({kept}, t -> {_TOKEN})))"
 
 
 def annotate(text: Column, lemmas: Column | None = None, content_only: bool = True) -> Column:
     """ARRAY of alternatives, each an ARRAY of tokens; an empty cell has the one alternative without tokens."""
-    each = F.transform(alternatives(F.coalesce(text, F.lit(""))), lambda a: F.transform(tokens(a), lambda w: token(w, lemmas)))
-    if content_only:
-        each = F.transform(each, lambda ts: F.filter(ts, lambda t: t["tag"].isin(*CONTENT_TAGS)))
-    return F.array_distinct(each)
+    return _with(_annotation(lemmas is not None, content_only), text, lemmas)
+
+
+def alternatives_of(text: Column, lemmas: Column | None = None, content_only: bool = True) -> Column:
+    """ARRAY of alternatives, each with its slots (what literals are compared with) and its value (what variables take)."""
+    each = f"named_struct('slots', transform(ts, t -> {_SLOT}), 'value', transform(ts, t -> {_VALUE}))"
+    return _with(f"transform({_annotation(lemmas is not None, content_only)}, ts -> {each})", text, lemmas)
 
 
 def omni_slots(toks: Column) -> Column:
     """For each token the set of its representations, which literals are compared with."""
-    return F.transform(toks, lambda t: F.array_distinct(F.array(t["word"], t["lower"], t["lemma"], t["tword"], t["tlemma"], t["tag"], t["postag"])))
+    return F.call_function("transform", toks, F.expr(f"t -> {_SLOT}"))
 
 
 def omni_value(toks: Column) -> Column:
     """For each token its word and lemma: the value that a variable takes."""
-    return F.transform(toks, lambda t: F.array_distinct(F.array(t["word"], t["lemma"])))
+    return F.call_function("transform", toks, F.expr(f"t -> {_VALUE}"))
 
 
 def namings(text: Column, lemmas: Column | None = None) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patternloom.functions.scalar import applied
+
 VALUE = "array<array<string>>"
 
 
@@ -24,21 +26,17 @@ def omni_keys(*values: Column) -> Column:
     the first, the second and the last, so that a word with which most values begin doesn't bring them all together; of
     several values the last and, of the first one if there are two, the first.
     """
-    places = ["first", "second", "last"] if len(values) == 1 else ["first", "last"]
-    keys = F.array(F.lit(""))
-    for k, v in enumerate(values[:3]):
-        n = F.size(v)
-        keys = continued(keys, F.array(n.cast("string")), "\x1e")
-        for place in places if k == 0 and len(values) < 3 else ["last"]:
-            least, at = {"first": (2, F.lit(1)), "second": (3, F.lit(2)), "last": (1, n)}[place]  # the last place is that of shorter values
-            held = F.when(n >= least, F.array_distinct(F.try_element_at(v, at))).otherwise(F.array(F.lit("")))
-            keys = continued(keys, held, "\x1f")
-    return F.transform(keys, lambda key: F.xxhash64(key))
-
-
-def continued(keys: Column, by: Column, mark: str) -> Column:
-    """Each of the keys with each of the words behind it."""
-    return F.flatten(F.transform(keys, lambda key: F.transform(by, lambda t: F.concat(key, F.lit(mark), t))))
+    keys, used = "array('')", values[:3]
+    for k in range(len(used)):
+        v = f"v.v{k}"
+        n = f"size({v})"
+        keys = f"transform({keys}, k -> concat(k, '\x1e', cast({n} AS string)))"
+        first, second = (2, 1), (3, 2)  # a place is that of values of at least so many tokens; the last one is that of all
+        places = [] if k or len(used) > 2 else [first] if len(used) == 2 else [first, second]
+        for least, at in [*places, (1, n)]:
+            held = f"if({n} >= {least}, array_distinct(try_element_at({v}, {at})), array(''))"
+            keys = f"flatten(transform({keys}, k -> transform({held}, t -> concat(k, '\x1f', t))))"
+    return applied(f"v -> transform({keys}, k -> xxhash64(k))", F.struct(*(v.alias(f"v{k}") for k, v in enumerate(used))))
 
 
 def omni_merge(bound: Column, value: Column) -> Column:

@@ -75,6 +75,17 @@ def sanitised(name: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.upper(name), "[^A-Z0-9]+", " ")), " +", "_")
 
 
+def quoted(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def applied(body: str, *args: Column) -> Column:
+    """A SQL lambda of one or two columns, applied to them: a long expression that is parsed at once."""
+    arrays = [F.array(a) for a in args]
+    return F.element_at(F.call_function("transform" if len(args) == 1 else "zip_with", *arrays, F.expr(body)), 1)
+
+
 def tokens(s: Column) -> Column:
     return F.filter(F.split(F.trim(s), " +"), lambda x: x != "")
 

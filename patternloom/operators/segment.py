@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from patternloom.functions.scalar import applied, quoted
 from patternloom.plans.ast import Element
 
 SEGMENTS = "array<struct<values:array<array<array<string>>>,relaxed:int>>"
@@ -128,19 +129,40 @@ def cell_segments(alts: list, elements: tuple[Element, ...]) -> list[tuple[list,
     return unique
 
 
+def native(alts: Column, elements: tuple[Element, ...]) -> Column:
+    """The segmentations of one option without relaxable elements, as a walk over its elements: the partial assignments
+    (place reached, values so far) of each alternative, of which those that reach its end remain."""
+    least = [len(e.text.split()) if e.kind == "literal" else 1 for e in elements]
+    values, parts = "array<array<array<string>>>", "array<struct<at:int,values:array<array<array<string>>>>>"
+    walk = f"array(named_struct('at', 0, 'values', cast(array() AS {values})))"
+    for k, e in enumerate(elements):
+        behind = elements[k + 1 :]
+        if e.kind == "literal":
+            fits = [f"coalesce(array_contains(get(a.slots, p.at + {i}), {quoted(w)}), false)" for i, w in enumerate(e.text.lower().split())]
+            here = " AND ".join([*fits, f"p.at + {least[k]} <= size(a.slots)"])
+            found = f"if({here}, array(named_struct('at', p.at + {least[k]}, 'values', p.values)), cast(array() AS {parts}))"
+            skipped = "p"
+        else:
+            last = f"size(a.slots) - {sum(n for n, x in zip(least[k + 1 :], behind, strict=True) if not x.optional)}"
+            ends = f"array({last})" if all(x.kind == "literal" and not x.optional for x in behind) else f"sequence(p.at + 1, {last})"
+            found = f"transform(if(p.at + 1 <= {last}, {ends}, cast(array() AS array<int>)), e -> named_struct('at', e, 'values', concat(p.values, array(slice(a.value, p.at + 1, e - p.at)))))"
+            skipped = "named_struct('at', p.at, 'values', concat(p.values, array(cast(null AS array<array<string>>))))"
+        walk = f"flatten(transform({walk}, p -> {f'concat({found}, array({skipped}))' if e.optional else found}))"
+    made = f"transform(flatten(transform(c, a -> filter({walk}, p -> p.at = size(a.slots)))), p -> named_struct('values', p.values, 'relaxed', 0))"
+    if all(e.optional for e in elements):
+        names = ", ".join("cast(null AS array<array<string>>)" for e in elements if e.kind == "variable")
+        made = f"concat({made}, array(named_struct('values', cast(array({names}) AS {values}), 'relaxed', 0)))"
+    return applied(f"c -> array_distinct({made})", alts).cast(SEGMENTS)
+
+
 def segments(alts: Column, options: tuple[tuple[Element, ...], ...]) -> Column:
     """Column of all segmentations of a cell: array of (values of the variables in order, relaxed).
 
-    A lone variable, by far the commonest pattern, is a transformation of the alternatives; all else goes through one
-    Arrow-batched function.
+    Everything but relaxable elements is a walk inside the JVM; options with one of these go through one Arrow-batched function.
     """
-    if len(options) == 1 and len(options[0]) == 1 and options[0][0].kind == "variable" and not options[0][0].relaxable:
-        e = options[0][0]
-        filled = F.filter(F.transform(alts, lambda a: a["value"]), lambda v: F.size(v) > 0)
-        one = lambda v: F.struct(F.array(v).alias("values"), F.lit(0).alias("relaxed"))
-        out = F.transform(F.array_distinct(filled), one).cast(SEGMENTS)
-        none = F.array(F.struct(F.array(F.lit(None).cast("array<array<string>>")).alias("values"), F.lit(0).alias("relaxed"))).cast(SEGMENTS)
-        return F.concat(out, none) if e.optional else out
+    if not any(e.relaxable for o in options for e in o):
+        made = [native(alts, o) for o in options]
+        return F.concat(*made) if len(made) > 1 else made[0]
 
     @F.pandas_udf(SEGMENTS)
     def run(col: pd.Series) -> pd.Series:

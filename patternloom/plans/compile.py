@@ -17,6 +17,8 @@ from patternloom.sources.tablestore import Store
 MAX_MATCHES = 25_000
 #: Planned bytes of candidates from which on joins count their keys first.
 LARGE = 1 << 30
+#: What the planner takes for the size of rows that it can't tell, as those given by the driver or checkpointed.
+UNKNOWN = 1 << 60
 
 
 @dataclass
@@ -327,7 +329,7 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     for kind, cond in pattern.constraints:
         if kind == "musthaveoromit":
             filter_early(cands, cond)
-    if tasks is None and len(cands) > 1 and sum(planned_bytes(c.rows) for c in cands) > LARGE:
+    if tasks is None and len(cands) > 1 and LARGE < sum(planned_bytes(c.rows) for c in cands) < UNKNOWN:
         tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
     out = bind(joined(cands, tasks), cands) if cands else None
     if out is not None:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.functions.annotate import annotate, omni_slots, omni_value
+from patternloom.functions.annotate import alternatives_of, annotate
 from patternloom.shipping import ship
 
 DATA, FILL, SKIP, DEP, UID = "DATA", "FILL", "SKIP", "DEP", "UID"
@@ -75,8 +75,7 @@ class Table:
         wanted = self.of_roles(DATA, FILL) if columns is None else columns
         out = [F.col("uid"), F.col("generated"), F.col("cells")]
         for i in wanted:
-            alts = annotate(F.element_at("cells", i + 1), lemmas, content_only)
-            out.append(F.transform(alts, lambda ts: F.struct(omni_slots(ts).alias("slots"), omni_value(ts).alias("value"))).alias(f"alts_{i}"))
+            out.append(alternatives_of(F.element_at("cells", i + 1), lemmas, content_only).alias(f"alts_{i}"))
         return self.rows.select(*out)
 
     def duplicates_key(self) -> F.Column:
