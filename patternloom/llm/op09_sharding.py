@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from patternloom.llm.common import read, save
 
 SLOTS, SHARDS = 4096, 16
-#: A group of equal texts above this part of a shard's share is dealt over slots by id instead of kept in one slot.
+#: A group of equal texts above this part of a shard's share is dealt over slots row by row instead of kept in one slot.
 WHOLE_GROUP = 0.5
 #: Rows of one slot are numbered in so many lots, which any tasks may take.
 LOTS = 16
@@ -85,19 +85,21 @@ def next_map(spark: SparkSession, path: str | None, sizes: list[tuple[int, int]]
 
 
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, size (UTF-8 bytes of the text and 1; a null text has none), crc (of the text), th (hash of the text)."""
+    """id, size (UTF-8 bytes of the text and 1; a null text has none), crc (of the text), th (hash of the text), row (a number
+    for each row, to be written down with it)."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(F.col(f"`{id}`").alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("crc"), F.xxhash64(t).alias("th"))
+    return docs.select(F.col(f"`{id}`").alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("crc"), F.xxhash64(t).alias("th"), F.monotonically_increasing_id().alias("row"))
 
 
 def place(rows: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """rows with vslot: equal texts share a slot unless they would fill half a shard alone; and the slots' bytes."""
+    """rows with vslot: equal texts share a slot unless they would fill half a shard alone, where each row gets its own; and
+    the slots' bytes. Rows that agree in id and text, or lack an id, are rows like any other."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     limit = int(total * WHOLE_GROUP / shards)
     # at most shards / WHOLE_GROUP groups are larger than the limit
     large = [r.th for r in rows.groupBy("th").agg(F.sum("size").alias("b")).where(F.col("b") > limit).select("th").collect()] if total else []
     split = F.col("th").isin(large) if large else F.lit(False)
-    named = rows.withColumn("vslot", slot_of(F.when(split, F.xxhash64("th", "id")).otherwise(F.xxhash64("th")), slots))
+    named = rows.withColumn("vslot", slot_of(F.when(split, F.xxhash64("th", "row")).otherwise(F.xxhash64("th")), slots))
     return named, slot_sizes(named)
 
 
