@@ -263,14 +263,16 @@ def held_out(id: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Network:
-    """A network trained on at most `sample` rows of each class, those whose id hashes lowest among the labelled rows
-    that are not held out and have at most sample_chars characters. Without labels it stays as it was made, and every
-    score is the same low one."""
+    """A network trained on at most `sample` documents of each class, those whose id hashes lowest among the labelled ones that
+    are not held out and have at most sample_chars characters; labels of other ids, of null ids or other than 0 and 1 don't count,
+    of several labels of an id the higher one does, and of several documents with an id the least text. Without labels of both
+    classes it stays as it was made, and every score is the same low one."""
     prepare(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~held_out(F.col(id))).select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= sample_chars)
+    usable = usable.join(texts.select("i"), "i", "left_semi")  # ids alone are shuffled
     ranked = [usable.where(f"y = {y}").orderBy(F.xxhash64("i"), "i").limit(2 * sample) for y in (0, 1)]
     drawn = ranked[0].unionByName(ranked[1])
-    texts = docs.select(F.col(id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= sample_chars)
     both = texts.join(F.broadcast(drawn), "i")  # at most 4 * sample ids
     rows = both.groupBy("i").agg(F.min("y").alias("y"), F.min("t").alias("t"))
 
