@@ -16,7 +16,7 @@ VALUE = "array<array<string>>"
 
 def omni_eq(a: Column, b: Column) -> Column:
     """Equal length, and the sets at every position have a common element."""
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))), lambda z: z)
+    return applied("(a, b) -> size(a) = size(b) AND forall(zip_with(a, b, (x, y) -> coalesce(arrays_overlap(x, y), false)), z -> z)", a, b)
 
 
 def omni_keys(*values: Column) -> Column:
@@ -47,7 +47,7 @@ def omni_merge(bound: Column, value: Column) -> Column:
 
 def omni_text(v: Column) -> Column:
     """The last representation of each position (its lemma), joined by spaces."""
-    return F.array_join(F.transform(v, lambda p: F.element_at(p, -1)), " ")
+    return applied("v -> array_join(transform(v, p -> element_at(p, -1)), ' ')", v)
 
 
 def literal_value(tokens: list[list[str]]) -> Column:

@@ -57,11 +57,21 @@ def strict_or(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).otherwise(a | b)
 
 
+def quoted(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def applied(body: str, *args: Column) -> Column:
+    """A SQL lambda of one or two columns, applied to them: a long expression that is parsed at once."""
+    arrays = [F.array(a) for a in args]
+    return F.element_at(F.call_function("transform" if len(args) == 1 else "zip_with", *arrays, F.expr(body)), 1)
+
+
 def row_hash(s: Column) -> Column:
     """h = ((h << 5) ^ (h >> 27)) ^ code over the characters in 32-bit arithmetic, then the remainder of 10**6."""
-    codes = F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
-    step = lambda h, c: F.shiftleft(h, 5).bitwiseXOR(F.shiftright(h, 27)).bitwiseXOR(F.ascii(c))
-    return F.aggregate(codes, F.lit(0), step, lambda h: h % 1_000_000)
+    codes = "if(length(s) > 0, split(s, ''), cast(array() AS array<string>))"
+    return applied(f"s -> aggregate({codes}, 0, (h, c) -> (shiftleft(h, 5) ^ shiftright(h, 27)) ^ ascii(c), h -> h % 1000000)", s)
 
 
 def match_hash(hashes: Column) -> Column:
@@ -75,17 +85,6 @@ def sanitised(name: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.upper(name), "[^A-Z0-9]+", " ")), " +", "_")
 
 
-def quoted(s: str) -> str:
-    """A string as a SQL literal."""
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def applied(body: str, *args: Column) -> Column:
-    """A SQL lambda of one or two columns, applied to them: a long expression that is parsed at once."""
-    arrays = [F.array(a) for a in args]
-    return F.element_at(F.call_function("transform" if len(args) == 1 else "zip_with", *arrays, F.expr(body)), 1)
-
-
 def tokens(s: Column) -> Column:
     return F.filter(F.split(F.trim(s), " +"), lambda x: x != "")
 

@@ -33,6 +33,8 @@ def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst", rou
         if delta.isEmpty():
             break
         known = checkpoint(known.unionByName(delta))
+    else:
+        raise RuntimeError(f"the closure is not complete after {rounds} rounds")
     return known.select(F.col("src").alias(src), F.col("dst").alias(dst))
 
 
@@ -55,7 +57,7 @@ def complete_taxonomy(store: Store, table: str = "KINDOF", narrow: str = "HYPONY
 
 
 def fixpoint(step: Callable[[], None], size: Callable[[], int], rounds: int = ROUNDS) -> int:
-    """Repeat step until size() stays as it was; the number of rounds."""
+    """Repeat step until size() stays as it was; the number of rounds. Fails where it still grows after the last one."""
     before = size()
     for k in range(1, rounds + 1):
         step()
@@ -63,7 +65,7 @@ def fixpoint(step: Callable[[], None], size: Callable[[], int], rounds: int = RO
         if now == before:
             return k
         before = now
-    return rounds
+    raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
 def kind_of_semi_join(rows: DataFrame, value: str, kind: str, kinds: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from patternloom.plans.ast import Pattern
 
 
 def prefixed(matches: DataFrame, name: str) -> DataFrame:
-    """A component's slots, variables and hash (as a number) under its name."""
-    keep = [F.col(c).alias(f"uid_{name}.{c[4:]}" if c.startswith("uid_") else f"v_{name}.{c[2:]}") for c in matches.columns if c.startswith(("uid_", "v_"))]
+    """A component's slots, variables, their words and hash (as a number) under its name."""
+    named = [(kind, c) for c in matches.columns for kind in ("uid_", "v_", "o_", "relax_") if c.startswith(kind)]
+    keep = [F.col(c).alias(f"{kind}{name}.{c[len(kind) :]}") for kind, c in named]
     return matches.select(*keep, F.conv("hash", 16, 10).cast("int").alias(f"hash_{name}"))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternloom.functions.omni import VALUE, keyed_join, loose_keys, omni_eq, omni_keys, omni_merge, omni_text
-from patternloom.functions.scalar import match_hash, row_hash
+from patternloom.functions.scalar import applied, match_hash, row_hash
 from patternloom.operators.segment import segments
 from patternloom.plans.ast import Element, Expr, Pattern, Slot
 from patternloom.plans.conditions import Scope, evaluate
 from patternloom.sources.tablestore import Store
 
 MAX_MATCHES = 25_000
-#: Planned bytes of candidates from which on joins count their keys first.
+#: Planned bytes of the slots' tables from which on joins count their keys first.
 LARGE = 1 << 30
 #: What the planner takes for the size of rows that it can't tell, as those given by the driver or checkpointed.
 UNKNOWN = 1 << 60
@@ -39,6 +39,7 @@ class Candidates:
     rows: DataFrame
     occurrences: list[Occurrence] = field(default_factory=list)
     static: bool = False
+    bytes: int = 0
 
 
 def lowered(slot: Slot, constants: dict[str, str]) -> Slot:
@@ -93,7 +94,7 @@ def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, s
             keep.append(Occurrence(e.text, number, column, e, any(len(o) <= at or o[at].optional for o in names)))
     out.append(relaxed.cast("int").alias(f"{p}relaxed"))
     occurrences += keep
-    return Candidates(slot, rows.select(*out), occurrences, ref.uuid is not None)
+    return Candidates(slot, rows.select(*out), occurrences, ref.uuid is not None, store[name].planned_bytes() if name is not None else 0)
 
 
 def occurrences(cands: list[Candidates]) -> dict[str, list[Occurrence]]:
@@ -227,13 +228,9 @@ def joined(cands: list[Candidates], tasks: int | None = None) -> DataFrame:
 
 
 def estimate(c: Candidates) -> int:
-    """Bytes of a slot's candidates as far as the planner knows them, less for each literal that cuts them down."""
+    """Bytes of a slot's table as far as the planner knows them, less for each literal that cuts its rows down."""
     literals = sum(all(any(e.kind == "literal" and not e.optional for e in o) for o in options) for _, options in c.slot.ref.cells)
-    return planned_bytes(c.rows) >> 3 * literals
-
-
-def planned_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return c.bytes >> 3 * literals
 
 
 def connect(left: DataFrame, right: DataFrame, links: list[Link], tasks: int | None = None) -> DataFrame:
@@ -264,10 +261,11 @@ def connect(left: DataFrame, right: DataFrame, links: list[Link], tasks: int | N
 
 
 def bind(out: DataFrame, cands: list[Candidates]) -> DataFrame:
-    """v_<name> for each variable: the fold over its occurrences in declared order; rows that disagree go."""
-    for var in dict.fromkeys(o.var for c in cands for o in c.occurrences):
+    """v_<name> for each variable, the fold over its occurrences in declared order, and o_<name>; rows that disagree go."""
+    places = occurrences(cands)
+    for var in places:
         bound, good = F.lit(None).cast(VALUE), F.lit(True)
-        for o in (o for c in cands for o in c.occurrences if o.var == var):
+        for o in places[var]:
             v = F.col(o.column)
             skip = missing(v) if o.loose or cands[o.slot].slot.optional else v.isNull()
             if o.element.relaxable:
@@ -275,10 +273,18 @@ def bind(out: DataFrame, cands: list[Candidates]) -> DataFrame:
             else:
                 good = good & (skip | bound.isNull() | F.coalesce(omni_eq(bound, v), F.lit(True)))
                 bound = F.when(bound.isNull() & ~skip, v).otherwise(bound)
-        out = out.withColumn(f"v_{var}", bound).where(good)
+        out = out.withColumns({f"v_{var}": bound, f"o_{var}": F.when(bound.isNotNull(), as_written(bound, [F.col(o.column) for o in places[var]]))}).where(good)
     return out
 
 
+def as_written(bound: Column, values: list[Column]) -> Column:
+    """A binding's words as its cells have them: at each position those of the first place that has its lemma, as a relaxable
+    place may have left the lemma alone."""
+    cells = F.array_compact(F.array(*values))
+    found = "try_element_at(filter(flatten(cs), q -> element_at(q, -1) = element_at(p, -1)), 1)[0]"
+    return applied(f"(b, cs) -> array_join(transform(b, p -> coalesce({found}, p[0])), ' ')", bound, cells)
+
+
 def static_uids(pattern: Pattern) -> list[str]:
     """The rows that a pattern names without their tables."""
     return [s.ref.uuid for s in pattern.slots if s.ref.table is None and s.ref.uuid is not None]
@@ -312,29 +318,30 @@ def filter_early(cands: list[Candidates], cond: Expr) -> None:
             c.rows = c.rows.where(F.coalesce(evaluate(cond, Scope({n: omni_text(F.col(bound[n].column)) for n in names})), F.lit(True)))
 
 
-def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None, tasks: int | None = None) -> DataFrame:
-    """The solutions of a pattern: uid_<slot>, v_<variable>, n_opt_unfilled, relaxed_dyn, relaxed_total, executable,
-    should_score, hash; without duplicates (same rows and same lemma text of all bindings), and ordered where there is a limit.
+def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None, tasks: int | None = None, sources: list[Store] | None = None) -> DataFrame:
+    """The solutions of a pattern: uid_<slot>, relax_<slot>, v_<variable>, o_<variable> (its words as they stand in the cells),
+    n_opt_unfilled, relaxed_dyn, relaxed_total, executable, should_score, hash; without duplicates (same rows and same lemma text
+    of all bindings; of such the least relaxed one is kept), and ordered where there is a limit.
     A solution is executable if its conditions could all be evaluated and each musthave holds; conditions on instances can't
     be evaluated here, but once instances are mapped. The hash adds up those of the filled rows, by their ids where these last,
     else by their DATA text, and those of the components' solutions.
 
     Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x. Hot keys are dealt out over
-    `tasks` where it is given, or where the candidates are planned to have more than LARGE bytes; counting keys takes a job for
-    each join, which small tables don't need.
+    `tasks` where it is given, or where the slots' tables are planned to have more than LARGE bytes; counting keys takes a job for
+    each join, which small tables don't need. With `sources` each slot reads a store of its own.
     """
     slots = [lowered(s, pattern.constants) for s in pattern.slots]
     where = store.locate(static_uids(pattern))
-    cands = [candidates(store, s, i, where, lemmas) for i, s in enumerate(slots)]
+    cands = [candidates(sources[i] if sources else store, s, i, where, lemmas) for i, s in enumerate(slots)]
     for kind, cond in pattern.constraints:
         if kind == "musthaveoromit":
             filter_early(cands, cond)
-    if tasks is None and len(cands) > 1 and LARGE < sum(planned_bytes(c.rows) for c in cands) < UNKNOWN:
+    if tasks is None and len(cands) > 1 and LARGE < sum(c.bytes for c in cands) < UNKNOWN:
         tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
     out = bind(joined(cands, tasks), cands) if cands else None
     if out is not None:
         for c, i in zip(cands, range(len(cands)), strict=True):
-            out = out.withColumnRenamed(f"s{i}_uid", f"uid_{c.slot.name}")
+            out = out.withColumnsRenamed({f"s{i}_uid": f"uid_{c.slot.name}", f"s{i}_relaxed": f"relax_{c.slot.name}"})
     if pattern.components:
         from patternloom.operators.composite import compose
 
@@ -343,7 +350,9 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
         out = store.spark.range(1).select(F.lit(0).alias("_one"))
     uids = [c for c in out.columns if c.startswith("uid_")]
     values = [c for c in out.columns if c.startswith("v_")]
-    relaxed = lambda keep: sum((F.coalesce(F.col(f"s{i}_relaxed"), F.lit(0)) for i, c in enumerate(cands) if keep(c)), F.lit(0))
+    words = [c for c in out.columns if c.startswith("o_")]
+    loosened = [c for c in out.columns if c.startswith("relax_")]
+    relaxed = lambda keep: sum((F.coalesce(F.col(f"relax_{c.slot.name}"), F.lit(0)) for c in cands if keep(c)), F.lit(0))
     unfilled = sum((F.col(u).isNull().cast("int") for u in uids), F.lit(0))
     out = out.withColumns({"n_opt_unfilled": unfilled.cast("int"), "relaxed_dyn": relaxed(lambda c: not c.static).cast("int"), "relaxed_total": relaxed(lambda c: True).cast("int")})
     told = lambda c: c.replace("__", ".")  # noqa: E731  a component's names follow its own and a dot
@@ -361,9 +370,11 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     parts = [F.col(f"s{i}_hash") for i in range(len(cands))] + [F.col(f"hash_{a}") for a, _ in pattern.components]
     hashes = F.filter(F.array(*parts), lambda h: h.isNotNull()) if parts else F.array().cast("array<int>")
     out = out.withColumns({"executable": executable, "should_score": score / max(shoulds, 1), "hash": match_hash(hashes)})
-    out = out.select(*uids, *values, "n_opt_unfilled", "relaxed_dyn", "relaxed_total", "executable", "should_score", "hash")
+    rest = ["n_opt_unfilled", "relaxed_dyn", "relaxed_total", *loosened, *words, *values, "executable", "should_score", "hash"]
     texts = {f"_t{i}": F.coalesce(omni_text(F.col(v)), F.lit("\x00")) for i, v in enumerate(values)}
-    out = out.withColumns(texts).dropDuplicates([*uids, *texts]) if uids or texts else out
+    out = out.select(*uids, *rest).withColumns(texts)
+    if uids or texts:
+        out = out.groupBy(*uids, *texts).agg(F.min(F.struct(*rest)).alias("_s")).select(*uids, *(F.col(f"_s.{c}").alias(c) for c in rest), *texts)
     if max_matches is not None:
         out = out.orderBy("n_opt_unfilled", "relaxed_dyn", "relaxed_total", *uids, *texts).limit(max_matches)
     return out.drop(*texts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import functools
 import itertools
 import math
 import threading
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from patternloom.checkpoints import checkpoint
 from patternloom.functions.annotate import namings
 from patternloom.functions.omni import omni_text
-from patternloom.operators.closure import ROUNDS, complete_taxonomy, words_of
-from patternloom.plans.ast import Expr, Pattern, Program, Statement
+from patternloom.operators.closure import complete_taxonomy, words_of
+from patternloom.plans.ast import Expr, Pattern, Program, Slot, Statement
 from patternloom.plans.compile import MAX_MATCHES, solve, static_uids
 from patternloom.plans.conditions import Scope
 from patternloom.plans.conditions import value as expression
@@ -31,7 +32,10 @@ from patternloom.sources import sinks
 from patternloom.sources.readers import Config
 from patternloom.sources.tablestore import Store, Table
 
+#: The language's own limit of a loop.
 LOOPS = 25
+#: Rounds after which rules that still add rows fail.
+AUTO_ROUNDS = 1_000
 AUTO = ("AUTO", "AUTOREGEN")
 
 
@@ -163,6 +167,7 @@ class Runtime:
         self.max_matches = MAX_MATCHES
         self.states, self.matches, self.printed = [State()], {}, []
         self.solved_at: dict[str, tuple[int, int]] = {}
+        self.grown: dict[str, int] = {}
         self.kinds_known: dict[tuple[int, str, str], bool] = {}
         self.scope: ChainMap = ChainMap({})
         self.remap: dict[str, str] = {}
@@ -226,43 +231,83 @@ class Runtime:
         if self.ends and time.monotonic() > self.ends:
             raise ScriptError("time limit")
 
-    def row_count(self) -> int:
-        return sum(t.rows.count() for t in self.store.tables.values())
-
     def auto(self) -> int:
-        """Drop implied rows, complete the taxonomy, then run AUTO and AUTOREGEN patterns until no row is added."""
+        """Drop implied rows, complete the taxonomy, then run AUTO and AUTOREGEN patterns until no row is added; the rounds.
+
+        A pattern whose code only generates rows is solved anew for rows that the last round added: one slot at a time reads
+        these, the slots before it the rows from before, those behind it all. Others are solved and run as a whole each round.
+        """
         self.store.drop_generated("TEMPGEN")
         if "KINDOF" in self.store:
             complete_taxonomy(self.store)
         autos = [p for p in self.program.patterns if p.mode in AUTO]
-        before = self.row_count()
-        for k in range(ROUNDS):
-            self.populate([p.name for p in autos])
-            for p in autos:
-                kind = "TEMPGEN" if p.mode == "AUTOREGEN" else "GEN"
-                if all(s.kind == "generate" and all(plain(e) for _, e in s.args[0][1]) for s in p.code):
-                    self.generate_all(p, kind)
-                    continue
+        bulk = [p for p in autos if p.code and not p.components and all(s.ref.uuid is None for s in p.slots) and all(s.kind == "generate" and all(plain(e) for _, e in s.args[0][1]) for s in p.code)]
+        added: dict[str, DataFrame] | None = None  # rows of the last round by table; None: everything is new
+        before: dict[str, DataFrame] = {}  # all rows from before it
+        for k in range(1, AUTO_ROUNDS + 1):
+            self.tick()
+            rows = [(table, kind, cells) for p in bulk for table, kind, cells in self.generated(p, added, before)]
+            others = [p for p in autos if p not in bulk]
+            self.populate([p.name for p in others])
+            before = {name: t.rows for name, t in self.store.tables.items()}
+            added = self.grow(rows)
+            version = self.store.version
+            for p in others:
                 for row in self.matches[p.name].where("executable").toLocalIterator():
-                    self.run_match(p, row.asDict(), {}, frozenset(), kind=kind)
-            now = self.row_count()
-            if now == before:
-                return k + 1
-            before = now
-        return ROUNDS
-
-    def generate_all(self, p: Pattern, kind: str) -> None:
-        """The rows that a pattern's code generates for all its executable solutions, added in one step for each statement."""
-        rows = self.texts(p.name).where("executable")
-        names = {c.replace("__", "."): F.col(f"`{c}`") for c in rows.columns if c not in ("hash", "executable", "n_opt_unfilled")}
-        for s in p.code:
-            table, cells = s.args[0]
-            t = self.store[table]
-            row = [F.lit("")] * len(t.header)
-            for c, e in cells:
-                row[t.column(c)] = F.coalesce(expression(e, Scope(names))["s"], F.raise_error(F.lit(f"line {s.line}: an expression has no value")).cast("string"))
-            self.store.insert(table, rows.select(F.array(*row).alias("cells")), kind)
-            self.cut(table)
+                    self.run_match(p, row.asDict(), {}, frozenset(), kind="TEMPGEN" if p.mode == "AUTOREGEN" else "GEN")
+            if self.store.version != version:  # their code may have edited any table
+                for name, t in self.store.tables.items():
+                    if t.rows is not before.get(name):
+                        new = checkpoint(t.rows.join(before[name].select("uid"), "uid", "left_anti").select(*t.rows.columns)) if name in before else t.rows
+                        if new.isEmpty():
+                            added.pop(name, None)
+                        else:
+                            added[name] = new
+                            before[name] = t.rows.join(new.select("uid"), "uid", "left_anti").select(*new.columns)
+            if not added:
+                self.populate([p.name for p in autos])
+                return k
+        raise ScriptError(f"rules still add rows after {AUTO_ROUNDS} rounds")
+
+    def generated(self, p: Pattern, added: dict[str, DataFrame] | None, before: dict[str, DataFrame]) -> Iterator[tuple[str, str, DataFrame]]:
+        """(table, kind, cells) that a pattern's code generates for its executable solutions, of which at least one row is new."""
+        kind = "TEMPGEN" if p.mode == "AUTOREGEN" else "GEN"
+        if added is None:
+            found = [solve(self.store, p, None, self.lemmas)]
+        else:
+            held = {name: before.get(name, t.rows) if name in added else t.rows for name, t in self.store.tables.items()}
+            old, new, every = self.store.with_rows(held), self.store.with_rows(added), self.store
+            found = []
+            for j, slot in enumerate(p.slots):
+                if slot.ref.table.upper() in added:
+                    filled = copy.copy(p)
+                    filled.slots = [*p.slots[:j], Slot(slot.name, slot.ref), *p.slots[j + 1 :]]
+                    found.append(solve(every, filled, None, self.lemmas, sources=[old] * j + [new] + [every] * (len(p.slots) - j - 1)))
+        for m in found:
+            rows = self.texts_of(m).where("executable")
+            names = {c.replace("__", "."): F.col(f"`{c}`") for c in rows.columns if c not in ("hash", "executable", "n_opt_unfilled")}
+            for s in p.code:
+                table, cells = s.args[0]
+                t = self.store[table]
+                row = [F.lit("")] * len(t.header)
+                for c, e in cells:
+                    row[t.column(c)] = F.coalesce(expression(e, Scope(names))["s"], F.raise_error(F.lit(f"line {s.line}: an expression has no value")).cast("string"))
+                yield t.name.upper(), kind, rows.select(F.array(*row).alias("cells"))
+
+    def grow(self, rows: list[tuple[str, str, DataFrame]]) -> dict[str, DataFrame]:
+        """Add generated rows, each table's of one kind in one step; what was added, by table. Only these are written down,
+        and every eighth time the table as a whole, so that its plan stays short."""
+        added: dict[str, DataFrame] = {}
+        for table, kind in sorted({(t, k) for t, k, _ in rows}):
+            every = [c for t, k, c in rows if (t, k) == (table, kind)]
+            new = checkpoint(self.store.fresh(table, functools.reduce(DataFrame.unionByName, every), kind))
+            if not new.isEmpty():
+                t = self.store[table]
+                self.grown[table] = self.grown.get(table, 0) + 1
+                joint = t.rows.unionByName(new)
+                self.store.add(Table(t.name, t.header, checkpoint(joint) if self.grown[table] % 8 == 0 else joint, t.roles))
+                added[table] = added[table].unionByName(new) if table in added else new
+        return added
 
     def cut(self, table: str) -> None:
         """Write an edited table down: its plan would grow with each edit."""
@@ -271,8 +316,11 @@ class Runtime:
 
     # matches
     def texts(self, name: str) -> DataFrame:
-        """The solutions with their variables as texts and row names as uids."""
-        m = self.matches[name]
+        return self.texts_of(self.matches[name])
+
+    @staticmethod
+    def texts_of(m: DataFrame) -> DataFrame:
+        """Solutions with their variables as texts and row names as uids."""
         cols = [omni_text(F.col(f"`{c}`")).alias(c[2:]) for c in m.columns if c.startswith("v_")]
         rows = [F.when(F.col(f"`{c}`").isNull(), F.lit("")).otherwise(F.concat(F.lit("UUID"), F.col(f"`{c}`"))).alias(c[4:]) for c in m.columns if c.startswith("uid_")]
         return m.select("hash", "executable", "n_opt_unfilled", *cols, *rows)
@@ -353,7 +401,7 @@ class Runtime:
         return got[0].asDict() if got else None
 
     def run_match(self, p: Pattern, match: dict[str, Any], remap: dict[str, str], blocks: frozenset[str], kind: str = "GEN") -> None:
-        local = {k.removeprefix("v_").removeprefix("uid_"): v for k, v in match.items() if k not in ("hash", "executable", "n_opt_unfilled", "relaxed_dyn", "relaxed_total", "should_score")}
+        local = {k.removeprefix("v_").removeprefix("uid_"): v for k, v in match.items() if k not in ("hash", "executable", "n_opt_unfilled", "relaxed_dyn", "relaxed_total", "should_score") and not k.startswith(("o_", "relax_"))}
         flat = {k.replace("__", "."): of_text(v if isinstance(v, str) else " ".join(x[-1] for x in v)) for k, v in local.items() if v is not None}
         old = self.scope, self.remap, self.enabled, getattr(self, "generated_kind", "GEN")
         self.scope, self.remap, self.enabled, self.generated_kind = self.scope.new_child(flat), {**self.remap, **remap}, blocks or None, kind

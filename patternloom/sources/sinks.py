@@ -18,7 +18,8 @@ HTML_ROWS = 200
 
 
 def match_documents(pattern: Pattern, matches: DataFrame, store: Store) -> DataFrame:
-    """pattern, json: one JSON object for each solution, with its uids, slots, variables; flags and counts are strings."""
+    """pattern, json: one JSON object for each solution, with its uids, slots (each with how often it was relaxed), variables as
+    lemmas and as the words of their cells; flags and counts are strings."""
     text = store.rows().select(F.col("uid"), "row_text")
     slots = [c[4:] for c in matches.columns if c.startswith("uid_")]
     fixed = {s.name: s for s in pattern.slots}
@@ -30,14 +31,19 @@ def match_documents(pattern: Pattern, matches: DataFrame, store: Store) -> DataF
         entries.append(F.struct(
             F.lit(len(entries)).alias("n"), F.lit(s).alias("rowSlotName"), F.coalesce(F.col(f"`uid_{s}`"), F.lit("")).alias("uuid"),
             F.lit(str(bool(slot and slot.ref.uuid)).lower()).alias("rowStatic"), F.lit(str(bool(slot and slot.optional)).lower()).alias("rowOptional"),
+            F.coalesce(F.col(f"`relax_{s}`"), F.lit(0)).cast("string").alias("relaxedCount"),
         ))
-    each = out.select("_id", "relaxed_total", F.explode(F.array(*entries)).alias("e"), *[f"`v_{v}`" for v in variables])
+    each = out.select("_id", F.explode(F.array(*entries)).alias("e"), *[f"`{k}_{v}`" for v in variables for k in "vo"])
     each = each.join(text.withColumnRenamed("uid", "_u"), F.col("e.uuid") == F.col("_u"), "left")
-    values = F.filter(F.array(*(F.struct(F.lit(v).alias("name"), omni_text(F.col(f"`v_{v}`")).alias("value")) for v in variables)), lambda x: x["value"].isNotNull()) if variables else F.array().cast("array<struct<name:string,value:string>>")
-    slot = F.struct(F.col("e.n").alias("n"), F.struct("e.rowSlotName", "e.uuid", F.coalesce("row_text", F.lit("")).alias("rowText"), "e.rowStatic", "e.rowOptional", F.col("relaxed_total").cast("string").alias("relaxedCount")).alias("s"))
-    got = each.groupBy("_id").agg(F.sort_array(F.collect_list(slot)).alias("slots"), F.first(values).alias("variables"))
+    def named(text) -> F.Column:
+        if not variables:
+            return F.array().cast("array<struct<name:string,value:string>>")
+        return F.filter(F.array(*(F.struct(F.lit(v).alias("name"), text(v).alias("value")) for v in variables)), lambda x: x["value"].isNotNull())
+
+    slot = F.struct(F.col("e.n").alias("n"), F.struct("e.rowSlotName", "e.uuid", F.coalesce("row_text", F.lit("")).alias("rowText"), "e.rowStatic", "e.rowOptional", "e.relaxedCount").alias("s"))
+    got = each.groupBy("_id").agg(F.sort_array(F.collect_list(slot)).alias("slots"), F.first(named(lambda v: omni_text(F.col(f"`v_{v}`")))).alias("variables"), F.first(named(lambda v: F.col(f"`o_{v}`"))).alias("words"))
     ordered = F.transform("slots", lambda x: x["s"])
-    doc = F.struct(F.filter(F.transform(ordered, lambda s: s["uuid"]), lambda u: u != "").alias("uuids"), ordered.alias("slots"), F.col("variables"), F.col("variables").alias("variablesOrigTextInferred"))
+    doc = F.struct(F.filter(F.transform(ordered, lambda s: s["uuid"]), lambda u: u != "").alias("uuids"), ordered.alias("slots"), F.col("variables"), F.col("words").alias("variablesOrigTextInferred"))
     return got.select(F.lit(pattern.name).alias("pattern"), "_id", F.to_json(doc).alias("json"))
 
 

@@ -40,11 +40,18 @@ class Table:
 
     def __post_init__(self) -> None:
         self.roles = self.roles or [role_of(h) for h in self.header]
+        self.planned: int | None = None
         self.lookup: dict[str, int] = {}
         for i, h in enumerate(self.header):  # of equal names the last counts
             self.lookup[h.strip().upper()] = i
             self.lookup[sanitise(h)] = i
 
+    def planned_bytes(self) -> int:
+        """What the planner takes the rows to have; an immense number where it can't tell."""
+        if self.planned is None:
+            self.planned = int(self.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return self.planned
+
     def column(self, name: str) -> int:
         """Position of a column by its upper-cased raw name or its sanitised form."""
         for key in (name.strip().upper(), sanitise(name)):
@@ -157,22 +164,36 @@ class Store:
         for t in list(self.tables.values()):
             self.add(Table(t.name, t.header, t.rows.where(F.coalesce("generated", F.lit("")) != kind), t.roles))
 
-    def insert(self, name: str, cells: DataFrame, kind: str = "GEN") -> DataFrame:
-        """Add rows given as cells ARRAY<STRING>; those whose DATA words the table already has are left out.
+    def with_rows(self, rows: dict[str, DataFrame]) -> Store:
+        """A store of these tables alone, with other rows."""
+        out = Store(self.spark)
+        for name, df in rows.items():
+            t = self[name]
+            out.add(Table(t.name, t.header, df, t.roles))
+        return out
 
-        A new row's uid is made of its content, so a repeated step adds nothing. Returns uid for every given row: its own or
-        that of the row it repeats.
-        """
+    def fresh(self, name: str, cells: DataFrame, kind: str = "GEN") -> DataFrame:
+        """The rows that insert() would add."""
+        return self._given(name, cells, kind).where("old is null").select(F.col("_made").alias("uid"), "cells", F.lit(kind).alias("generated"))
+
+    def _given(self, name: str, cells: DataFrame, kind: str) -> DataFrame:
+        """cells, each once, with _made (a uid of its content) and old (that of the table's row with the same DATA words)."""
         t = self[name]
         key = t.duplicates_key()
         given = cells.select("cells").withColumn("_key", key).dropDuplicates(["_key"])
         made = F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(t.name), "_key"), 256), 1, 16))
-        given = given.withColumn("_made", made)
         have = t.rows.withColumn("_key", key).groupBy("_key").agg(F.min("uid").alias("old"))
-        fresh = given.join(have, "_key", "left_anti").select(F.col("_made").alias("uid"), "cells", F.lit(kind).alias("generated"))
-        self.add(Table(t.name, t.header, t.rows.unionByName(fresh), t.roles))
-        both = given.join(have, "_key", "left")
-        return both.select(F.coalesce("old", "_made").alias("uid"), "cells", F.col("old").isNull().alias("added"))
+        return given.withColumn("_made", made).join(have, "_key", "left")
+
+    def insert(self, name: str, cells: DataFrame, kind: str = "GEN") -> DataFrame:
+        """Add rows given as cells ARRAY<STRING>; those whose DATA words the table already has are left out.
+
+        A new row's uid is made of its content, so a repeated step adds nothing. Returns uid for every given row: its own or
+        that of the row it repeats.
+        """
+        t, given = self[name], self._given(name, cells, kind)
+        self.add(Table(t.name, t.header, t.rows.unionByName(self.fresh(name, cells, kind)), t.roles))
+        return given.select(F.coalesce("old", "_made").alias("uid"), "cells", F.col("old").isNull().alias("added"))
 
 
 def split_line(line: str) -> list[str]:
