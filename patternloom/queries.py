@@ -1001,3 +1001,42 @@ def lemma_overlap(spark, d):
     a = part.select(F.col("p_partkey").alias("part"), lemmas(F.concat(F.lit("the "), "p_name", F.lit("s"))).alias("wa"))
     b = part.select((F.col("p_partkey") - 1).alias("part"), lemmas(F.col("p_name")).alias("wb"))
     return a.join(b, "part").select("part", F.size(F.array_intersect("wa", "wb")).alias("shared"), F.arrays_overlap("wa", "wb").alias("meets"))
+
+
+@query("two_optional_rows", """
+WITH s AS (SELECT 's' || s_suppkey AS supplier, s_nationkey AS k FROM supplier), n AS (SELECT 'n' || n_nationkey AS nation, n_nationkey AS k FROM nation)
+SELECT supplier, nation, CAST(0 AS INTEGER) AS unfilled FROM s JOIN n ON s.k = n.k
+UNION ALL SELECT supplier, NULL, 1 FROM s UNION ALL SELECT NULL, nation, 1 FROM n UNION ALL SELECT NULL, NULL, 2""")
+def two_optional_rows(spark, d):
+    """Two optional rows that share a variable: each is left out or filled, and only where both are must they agree."""
+    p = parse('inferencepattern p row *s=[TABLE:"SUPPLIER", NATION:<n>] row *t=[TABLE:"INREGION", NATION:<n>] endinferencepattern').patterns[0]
+    return solve(geo_store(spark, d), p, None).select(F.col("uid_s").alias("supplier"), F.col("uid_t").alias("nation"), F.col("n_opt_unfilled").alias("unfilled"))
+
+
+@query("optional_binder", """
+WITH s AS (SELECT s_suppkey, s_nationkey FROM supplier), r AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT 'n' || n_nationkey AS nation, 's' || s_suppkey AS supplier, n_name AS n FROM r JOIN s ON n_nationkey = s_nationkey
+UNION ALL SELECT NULL, 's' || s_suppkey, n_name FROM s JOIN nation ON n_nationkey = s_nationkey""")
+def optional_binder(spark, d):
+    """An optional row that would bind a variable which a later row has too: left out, the later row binds it."""
+    p = parse('inferencepattern p row *t=[TABLE:"INREGION", NATION:<n>] row s=[TABLE:"SUPPLIER", NATION:<n>] endinferencepattern').patterns[0]
+    m = solve(geo_store(spark, d), p, None)
+    return m.select(F.col("uid_t").alias("nation"), F.col("uid_s").alias("supplier"), words(m, "n"))
+
+
+@query("solution_texts", """
+SELECT 'p' || p_partkey AS item, CASE WHEN p_size % 2 = 0 THEN '1' ELSE '0' END || ',0' AS relaxed, 'b=' || p_brand || ',t=' || p_type || 's' AS texts, 'b=' || lower(p_brand) || ',t=' || lower(p_type) AS lemmas
+FROM part WHERE p_name IN ('small ring', 'red widget', 'old bolt')""")
+def solution_texts(spark, d):
+    """A solution's JSON: how often each slot was relaxed, and the variables as their cells have them beside their lemmas."""
+    part, store = read(spark, d, "part"), Store(spark)
+    middle = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_size", F.lit(" "))).otherwise(F.lit(" "))
+    name = F.concat(F.split("p_name", " ")[0], middle, F.split("p_name", " ")[1])
+    store.add(from_frame("ITEM", part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), name.alias("name"), F.concat("p_type", F.lit("s")).alias("type"), "p_brand"), "id", {"NAME": "name", "TYPE": "type", "BRAND": "p_brand"}))
+    store.add(from_frame("TYPE", part.select(F.lower("p_type").alias("t")).distinct(), "t", {"NAME": "t"}))
+    p = parse('inferencepattern p row a=[TABLE:"ITEM", NAME: ~"small" + "ring" || ~"red" + "widget" || ~"old" + "bolt", TYPE:<t>, BRAND:<b>] row k=[TABLE:"TYPE", NAME:<t>] endinferencepattern').patterns[0]
+    pairs = "array<struct<name:string,value:string>>"
+    doc = F.from_json("json", f"uuids array<string>, slots array<struct<relaxedCount:string>>, variables {pairs}, variablesOrigTextInferred {pairs}").alias("j")
+    got = sinks.match_documents(p, solve(store, p, None), store).select(doc).select("j.*")
+    named = lambda c: F.array_join(F.sort_array(F.transform(c, lambda v: F.concat(v["name"], F.lit("="), v["value"]))), ",")
+    return got.select(F.col("uuids")[0].alias("item"), F.array_join("slots.relaxedCount", ",").alias("relaxed"), named("variablesOrigTextInferred").alias("texts"), named("variables").alias("lemmas"))

@@ -257,5 +257,5 @@ def from_rows(spark: SparkSession, name: str, header: list[str], rows: list[list
 def from_frame(name: str, df: DataFrame, uid: str, columns: dict[str, str]) -> Table:
     """A table over any DataFrame: columns maps header names to columns, uid becomes the row id; nothing is read yet."""
     header = [*columns, "[SKIP] UID"]
-    cells = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns.values()), F.col(uid).cast("string"))
+    cells = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*columns.values(), uid]))
     return Table(name, header, df.select(F.col(uid).cast("string").alias("uid"), cells.alias("cells"), F.lit(None).cast("string").alias("generated")))

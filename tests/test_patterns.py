@@ -394,3 +394,49 @@ def test_a_condition_of_one_slot_filters_it_before_the_join(spark):
     m = solve(store_of(spark), one(text), None)
     plan = m._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("leaf") > plan.index("Join") and all(r.v_x == [["leaf"]] for r in m.collect())
+
+
+def test_solutions_have_words_of_cells_and_relaxations_of_slots(spark):
+    s = Store(spark)
+    s.add(from_rows(spark, "A", ["W", "L", "[SKIP] UID"], [["Big Cats", "red old widget", "a1"]]))
+    s.add(from_rows(spark, "B", ["W", "[SKIP] UID"], [["big cat", "b1"], ["Cat big", "b2"]]))
+    p = one('inferencepattern p row a=[TABLE:"A", W:<x>, L: ~"red" + "widget"] row b=[TABLE:"B", W:<x>] row *c=[TABLE:"B", W:<~x>] endinferencepattern')
+    docs = [json.loads(r.json) for r in sinks.match_documents(p, solve(s, p), s).collect()]
+    assert len(docs) == 3
+    for d in docs:
+        assert [x["relaxedCount"] for x in d["slots"]] == ["1", "0", "0"]
+        assert d["variables"] == [{"name": "x", "value": "big cat"}] and d["variablesOrigTextInferred"] == [{"name": "x", "value": "Big Cats"}]
+    row = solve(s, one('inferencepattern p row a=[TABLE:"A", W:<x>] row b=[TABLE:"B", W:<~x>] endinferencepattern')).where("uid_b = 'b1'").first()
+    assert row.o_x == "Big Cats" and row.v_x == [["big"], ["cat"]] or row.v_x[1] == ["cat"]
+
+
+def chain_rule(n):
+    steps = [[f"w{k}", f"w{k + 1}", f"p{k}"] for k in range(n)]
+    text = """inferencepattern far executionmode = "AUTO" row a=[TABLE:"FAR", PART:<x>, WHOLE:<y>] row b=[TABLE:"NEXT", PART:<y>, WHOLE:<z>] row *c=[TABLE:"NEXT", PART:<x>]
+      generateRow([TABLE:"FAR", PART:<x>, WHOLE:<z>]) endinferencepattern executeAutoPatterns"""
+    return steps, text
+
+
+def test_rules_run_round_by_round(spark, monkeypatch):
+    """Each round adds one step; a rule that is not done by the last round fails."""
+    from patternloom import runtime
+
+    def run(n):
+        steps, text = chain_rule(n)
+        s = Store(spark)
+        for name in ("FAR", "NEXT"):
+            s.add(from_rows(spark, name, ["PART", "WHOLE", "[SKIP] UID"], steps[:1] if name == "FAR" else steps))
+        r = Runtime(spark, s, parse(text))
+        r.run()
+        return {tuple(r.cells[:2]) for r in s["FAR"].rows.collect()}
+
+    assert run(10) == {("w0", f"w{k}") for k in range(1, 11)}  # more than eight rounds: the table is written down once
+    monkeypatch.setattr(runtime, "AUTO_ROUNDS", 3)
+    with pytest.raises(ScriptError, match="still add rows"):
+        run(6)
+
+
+def test_a_closure_that_is_not_done_fails(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(20)], "src int, dst int")
+    with pytest.raises(RuntimeError, match="not complete"):
+        transitive_closure(e, rounds=2)
