@@ -89,6 +89,54 @@ def alternatives_of(text: Column, lemmas: Column | None = None, content_only: bo
     return _with(f"transform({_annotation(lemmas is not None, content_only)}, ts -> {each})", text, lemmas)
 
 
+#: What a pair of neighbouring tags adds to a sentence's score; any other pair adds nothing.
+FOLLOWS = {
+    "TO VB": 4, "MD VB": 4, "PR VB": 2, "PR NN": -1, "DT NN": 2, "DT JJ": 1, "DT VB": -4, "DT RB": -1, "JJ NN": 2, "JJ VB": -2, "CD NN": 2, "CD VB": -2, "IN NN": 1, "IN VB": -2,
+    "NN VB": 1, "NN JJ": -1, "NN NN": 1, "VB NN": 1, "VB DT": 1, "VB VB": -3, "VB JJ": -1, "RB VB": 1, "RB JJ": 1, "RB NN": -1, "MD NN": -2, "TO NN": 1,
+}
+#: Tags that any word outside the closed classes may have, and what another one than its ending's costs.
+OPEN_TAGS, UNLIKELY = ("NN", "VB", "JJ", "RB"), -2
+_FOLLOWS = ", ".join(f"{quoted(k)}, {v}" for k, v in FOLLOWS.items())
+_MAY_BE = f"""element_at(transform(array({_TAG}), g -> if(element_at(map({_TAGS}), l) IS NOT NULL OR g NOT IN ({", ".join(map(quoted, OPEN_TAGS))}), array(named_struct('tag', g, 'gain', 0)),
+  transform(array({", ".join(map(quoted, OPEN_TAGS))}), o -> named_struct('tag', o, 'gain', if(o = g, 0, {UNLIKELY}))))), 1)"""
+_PATHS = "array<struct<score:int,path:array<string>>>"
+_STEP = f"""transform(c, o -> element_at(transform(array(array_max(transform(b, p -> named_struct('score', p.score + o.gain + coalesce(element_at(map({_FOLLOWS}), concat_ws(' ', element_at(p.path, -1), o.tag)), 0), 'path', p.path)))),
+  x -> named_struct('score', x.score, 'path', concat(x.path, array(o.tag)))), 1))"""
+_FIRST = "transform(c, o -> named_struct('score', o.gain, 'path', array(o.tag)))"
+#: The best path over an array of words in lower case: for each tag of a word the best path up to it is kept.
+_DECODED = f"coalesce(array_max(aggregate(transform(ls, l -> {_MAY_BE}), cast(array() AS {_PATHS}), (b, c) -> if(size(b) = 0, {_FIRST}, {_STEP}))).path, cast(array() AS array<string>))"
+
+
+def sentence_tags(lower: Column) -> Column:
+    """The tags of a sentence's words (in lower case): those of the best path, whose score adds up what each word's tag and each
+    pair of neighbours gain; of equal scores the last path in ASCII."""
+    return applied(f"ls -> {_DECODED}", lower)
+
+
+def row_alternatives_of(texts: list[Column], wanted: list[int], lemmas: Column | None = None, content_only: bool = True) -> list[Column]:
+    """alternatives_of() for the wanted ones of a row's cells, tagged as parts of the sentence that the row is.
+
+    A cell's alternative is read between the first alternatives of the cells before and behind it, so a row is read once for each
+    alternative, not for each combination.
+    """
+    cut = "transform(split(coalesce(x, ''), ';'), a -> trim(a))"
+    spread = f"element_at(transform(array({cut}), ps -> concat(ps, transform(filter(ps, a -> contains(a, '-')), a -> replace(a, '-', ' ')))), 1)"
+    words = f"transform({spread}, a -> filter(split(trim(a), ' +'), w -> w <> ''))"
+    cells = F.call_function("transform", F.array(*texts), F.expr(f"x -> {words}"))  # cells, alternatives, words
+    known = f"named_struct('word', w, 'lower', lower(w), 'lemma', {_of(_LEMMA[lemmas is not None], 'lower(w)')}, 'tag', element_at(gs, i + 1))"
+    out = []
+    for k in wanted:
+        before, behind = f"flatten(transform(slice(cs, 1, {k}), c -> c[0]))", f"flatten(transform(slice(cs, {k + 2}, size(cs)), c -> c[0]))"
+        tags = f"slice({_DECODED.replace('transform(ls,', 'transform(transform(concat(f, a, b), w -> lower(w)),')}, size(f) + 1, size(a))"
+        tokens_ = f"element_at(transform(array({tags}), gs -> transform(a, (w, i) -> {known})), 1)"
+        kept = f"filter({tokens_}, t -> {_CONTENT})" if content_only else tokens_
+        made = f"array_distinct(transform(cs[{k}], a -> transform({kept}, t -> {_TOKEN})))"
+        around = f"element_at(zip_with(array({before}), array({behind}), (f, b) -> {made}), 1)"
+        each = f"transform({around}, ts -> named_struct('slots', transform(ts, t -> {_SLOT}), 'value', transform(ts, t -> {_VALUE})))"
+        out.append(applied(f"cs -> {each}", cells) if lemmas is None else applied(f"(cs, m) -> {each}", cells, lemmas))
+    return out
+
+
 def omni_slots(toks: Column) -> Column:
     """For each token the set of its representations, which literals are compared with."""
     return F.call_function("transform", toks, F.expr(f"t -> {_SLOT}"))

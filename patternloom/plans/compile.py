@@ -69,7 +69,7 @@ def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, s
         rows = store.rows().where("1 = 0").select("uid")
         alts, content = {}, F.lit("")
     else:
-        rows = store[name].annotated([c for c, _ in wanted], lemmas)
+        rows = store[name].annotated([c for c, _ in wanted], lemmas, whole_rows=store.whole_rows)
         content = F.lower(store[name].text(data_only=True))
         alts = {c: f"alts_{c}" for c, _ in wanted}
     if ref.uuid is not None:

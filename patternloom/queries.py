@@ -1040,3 +1040,16 @@ def solution_texts(spark, d):
     got = sinks.match_documents(p, solve(store, p, None), store).select(doc).select("j.*")
     named = lambda c: F.array_join(F.sort_array(F.transform(c, lambda v: F.concat(v["name"], F.lit("="), v["value"]))), ",")
     return got.select(F.col("uuids")[0].alias("item"), F.array_join("slots.relaxedCount", ",").alias("relaxed"), named("variablesOrigTextInferred").alias("texts"), named("variables").alias("lemmas"))
+
+
+@query("row_annotation", """
+WITH r AS (SELECT p_partkey, p_partkey % 3 AS k, string_split(p_name, ' ')[2] AS word FROM part)
+SELECT 'p' || p_partkey AS uid, word, CASE k WHEN 0 THEN 'NN' ELSE 'VB' END AS tag FROM r""")
+def row_annotation(spark, d):
+    """A word is tagged as part of its row: a thing behind an article, an action behind `to` or a modal verb in the cell before."""
+    part, store = read(spark, d, "part"), Store(spark)
+    before = F.element_at(F.array(F.lit("the"), F.lit("to"), F.lit("it can")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    store.add(from_frame("T", part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), before.alias("before"), F.split("p_name", " ")[1].alias("word")), "id", {"[FILL] BEFORE": "before", "WORD": "word"}))
+    token = F.col("alts_1")[0]["slots"][0]
+    rows = store["T"].annotated([1], content_only=False, whole_rows=True)
+    return rows.select("uid", token[0].alias("word"), F.upper(F.replace(F.element_at(token, -1), F.lit("pos:"), F.lit(""))).alias("tag"))

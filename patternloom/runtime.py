@@ -26,7 +26,7 @@ from patternloom.functions.omni import omni_text
 from patternloom.operators.closure import complete_taxonomy, words_of
 from patternloom.plans.ast import Expr, Pattern, Program, Slot, Statement
 from patternloom.plans.compile import MAX_MATCHES, solve, static_uids
-from patternloom.plans.conditions import Scope
+from patternloom.plans.conditions import Scope, evaluate
 from patternloom.plans.conditions import value as expression
 from patternloom.sources import sinks
 from patternloom.sources.readers import Config
@@ -36,6 +36,8 @@ from patternloom.sources.tablestore import Store, Table
 LOOPS = 25
 #: Rounds after which rules that still add rows fail.
 AUTO_ROUNDS = 1_000
+#: Maps of instances that are tried at once.
+MAPS = 64
 AUTO = ("AUTO", "AUTOREGEN")
 
 
@@ -156,6 +158,20 @@ def names_of(match: dict[str, Any]) -> dict[str, Dual]:
     return {k.replace("__", "."): of_text(v) for k, v in match.items() if isinstance(v, str) and k != "hash"}
 
 
+def named_columns(rows: DataFrame) -> dict[str, str]:
+    """The columns of solutions (see Runtime.texts) by the names that conditions use."""
+    return {c.replace("__", "."): c for c in rows.columns if c not in ("hash", "executable", "n_opt_unfilled", "_bound", "_at", "_map")}
+
+
+def batches(rows: DataFrame, size: int = 100) -> Iterator[dict[str, Any]]:
+    """Ordered rows, some at a time."""
+    for at in itertools.count(0, size):
+        some = rows.offset(at).limit(size).collect()
+        yield from (r.asDict() for r in some)
+        if len(some) < size:
+            return
+
+
 class Runtime:
     """Runs a program over a store. states is the log of snapshots; the last is the current one."""
 
@@ -325,19 +341,43 @@ class Runtime:
         rows = [F.when(F.col(f"`{c}`").isNull(), F.lit("")).otherwise(F.concat(F.lit("UUID"), F.col(f"`{c}`"))).alias(c[4:]) for c in m.columns if c.startswith("uid_")]
         return m.select("hash", "executable", "n_opt_unfilled", *cols, *rows)
 
-    def chosen(self, name: str, how: tuple | None) -> Iterator[dict[str, Any]]:
-        """The solutions meant, best first: by index, by hash, by conditions (the most bound variables first), or all."""
+    def chosen(self, name: str, how: tuple | None) -> DataFrame:
+        """The solutions meant, with their order (_bound, then _at): by index, by hash, by conditions (the most bound variables
+        first), or all."""
         self.populate([name])
         rows = self.texts(name)
+        bound = F.lit(0)
         if how is not None and how[0] == "index":
-            yield from (r.asDict() for r in rows.limit(how[1] + 1).collect()[how[1] :])
+            rows = rows.offset(how[1]).limit(1)
         elif how is not None and how[0] == "hash":
-            yield from (r.asDict() for r in rows.where(F.col("hash") == how[1].lower()).limit(1).collect())
+            rows = rows.where(F.col("hash") == how[1].lower()).limit(1)
         elif how is not None:
-            found = [m for m in (r.asDict() for r in rows.toLocalIterator()) if all(self.truth(c, names_of(m)) for c in how[1])]
-            yield from sorted(found, key=lambda m: -sum(v not in (None, "") for v in m.values()))
-        else:
-            yield from (r.asDict() for r in rows.toLocalIterator())
+            for c in how[1]:
+                rows = rows.where(self.column_of(c, rows))
+            bound = sum(((F.coalesce(F.col(f"`{c}`"), F.lit("")) != "").cast("int") for c in named_columns(rows).values()), F.lit(0))
+        return rows.withColumns({"_bound": bound, "_at": F.monotonically_increasing_id()})
+
+    def column_of(self, e: Expr, rows: DataFrame) -> Column:
+        """A condition over solutions: what it says of instances, states and the program's variables is worked out here."""
+        known = {k: v for k, v in self.scope.items() if isinstance(v, Dual)}
+        text = lambda k: F.lit(known[k].s if k in known else None).cast("string")
+        names = {k: F.coalesce(F.col(f"`{c}`"), text(k)) for k, c in named_columns(rows).items()}
+        return evaluate(self.grounded(e), Scope({k: text(k) for k in known} | names))
+
+    def grounded(self, e: Any, state: State | None = None) -> Any:
+        """An expression without instances and states."""
+        if isinstance(e, (tuple, list)):
+            return tuple(self.grounded(x, state) for x in e)
+        if not isinstance(e, Expr):
+            return e
+        if e.op == "stated":
+            return self.grounded(e.args[1], self.state_of(*e.args[0]))
+        if e.op in ("prop", "meets"):
+            v = self.value(e, None, state)
+            return Expr("none") if v.s is None else Expr("lit", (v.s,))
+        if e.op == "generate":
+            raise ScriptError("a condition generates no rows")
+        return Expr(e.op, tuple(self.grounded(x, state) for x in e.args))
 
     def needed(self, p: Pattern) -> list[str]:
         """The instances that a pattern has to be given."""
@@ -361,7 +401,7 @@ class Runtime:
         """Whether a solution may be executed with a map of instances: every condition can be evaluated, and all but a
         shouldhave hold, those of its components too."""
         local, old = names_of(match), self.remap
-        self.remap = {**old, **pairs, **{f"{var}.{j}": pairs.get(i, i) for i, var, j in p.instmaps}}
+        self.remap = self.mapped(p, pairs)
         try:
             got = [(kind, self.condition(c, local)) for kind, c in p.constraints]
         except ScriptError:  # an instance that the state doesn't have
@@ -383,13 +423,49 @@ class Runtime:
         return {**pairs, **{j: pairs.get(i, i) for i, a, j in p.instmaps if a == var}}
 
     def executable(self, name: str, how: tuple | None, remap: tuple) -> tuple[dict[str, Any], dict[str, str]] | None:
-        """The first solution meant, with the first map of instances, whose requirements are met."""
-        p = self.patterns[name]
-        for m in self.chosen(name, how):
-            for pairs in self.mappings(p, remap):
-                if self.satisfied(p, m, pairs):
-                    return m, pairs
-        return None
+        """The first solution meant, with the first map of instances, whose requirements are met.
+
+        The conditions of a pattern are tried for all solutions and MAPS maps at a time in one job, which returns one row; of a
+        composite, whose components have conditions of their own, the solutions that meet its own ones come in small batches.
+        """
+        p, rows = self.patterns[name], self.chosen(name, how)
+        found, maps = None, self.mappings(p, remap)
+        for first in itertools.count(0, MAPS):
+            some = list(itertools.islice(maps, MAPS))
+            if not some:
+                break
+            fits = F.array_position(F.array(*(self.met(p, rows, pairs) for pairs in some)), True)
+            ready = rows.withColumn("_map", fits).where("_map > 0").orderBy(F.desc("_bound"), "_at")
+            if any(self.patterns[of].constraints or self.patterns[of].components for _, of in p.components):
+                for m in batches(ready):
+                    pairs = next((x for x in some if self.satisfied(p, m, x)), None)
+                    if pairs is not None:
+                        found = min(found or (math.inf,), (-m["_bound"], m["_at"], first, m, pairs), key=lambda x: x[:3])
+                        break
+            else:
+                for m in (r.asDict() for r in ready.limit(1).collect()):
+                    found = min(found or (math.inf,), (-m["_bound"], m["_at"], first, m, some[m["_map"] - 1]), key=lambda x: x[:3])
+        if found is None:
+            return None
+        *_, m, pairs = found
+        return {k: v for k, v in m.items() if k not in ("_bound", "_at", "_map")}, pairs
+
+    def met(self, p: Pattern, rows: DataFrame, pairs: dict[str, str]) -> Column:
+        """Whether a solution's own conditions hold with a map of instances, as satisfied() has it."""
+        old, out = self.remap, F.lit(True)
+        self.remap = self.mapped(p, pairs)
+        try:
+            for kind, c in p.constraints:
+                got = self.column_of(c, rows)
+                out = out & (got.isNotNull() if kind == "shouldhave" else F.coalesce(got, F.lit(False)))
+        except ScriptError:  # an instance that the state doesn't have
+            return F.lit(False)
+        finally:
+            self.remap = old
+        return out
+
+    def mapped(self, p: Pattern, pairs: dict[str, str]) -> dict[str, str]:
+        return {**self.remap, **pairs, **{f"{var}.{j}": pairs.get(i, i) for i, var, j in p.instmaps}}
 
     def component_match(self, var: str, of: str, match: dict[str, Any]) -> dict[str, Any] | None:
         """The component's solution over the rows that it has in the composite's."""
@@ -746,7 +822,7 @@ def run_properties(spark: SparkSession, config: Config) -> dict[str, dict[str, f
     given, out, told = Path(config.input_path), Path(config.output_path), {}
     out.mkdir(parents=True, exist_ok=True)
     for file in [given] if given.suffix == ".iml" else sorted(given.glob("*.iml")):
-        store = load_store(spark, config.store_index)  # automatic patterns of one file add nothing to the next
+        store = load_store(spark, config.store_index, whole_rows=config.whole_rows)  # automatic patterns of one file add nothing to the next
         found, told[file.name] = enumerate_patterns(spark, store, load(file), config.max_matches, config.threads)
         sinks.write_matches_json(str(out / f"{file.name}.json"), found, store)
         if config.export_html:

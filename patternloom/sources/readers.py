@@ -81,7 +81,7 @@ def questions(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     kept = (F.length(text) >= 2) & (F.coalesce(F.trim(col("isMultipleChoiceQuestion")), F.lit("1")) == "1") & (F.coalesce(F.trim(col("includesDiagram")), F.lit("0")) != "1")
     topic = col("topic", "consensus")
     return df.where(kept).select(
-        col("questionID").alias("question"), col("originalQuestionID").alias("original"), F.element_at(parts, 1).alias("stem"), F.slice(parts, 2, 64).alias("choices"),
+        col("questionID").alias("question"), col("originalQuestionID").alias("original"), F.element_at(parts, 1).alias("stem"), F.slice(parts, F.lit(2), F.size(parts)).alias("choices"),
         answer_index(F.coalesce(col("answerKey"), F.lit(""))).alias("answer"), col("schoolGrade", "grade").alias("grade"), col("examName").alias("exam"), topic.alias("topic"), topics(topic).alias("topics"),
         col("flags").alias("flags"), col("fold").alias("fold"), explanation(col("explanation")).alias("explanation"),
     )
@@ -106,7 +106,7 @@ def questions_fixed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
     kept = (at(4) == "1") & (at(5) != "1") & (F.length(text) >= 2)
     answer = F.when(at(3).rlike("^[A-D1-4]$"), answer_index(at(3))).otherwise(-1)
     return df.where(kept).select(
-        at(0).alias("question"), at(1).alias("original"), F.element_at(parts, 1).alias("stem"), F.slice(parts, 2, 64).alias("choices"), answer.alias("answer"), at(7).alias("grade"), at(6).alias("exam"),
+        at(0).alias("question"), at(1).alias("original"), F.element_at(parts, 1).alias("stem"), F.slice(parts, F.lit(2), F.size(parts)).alias("choices"), answer.alias("answer"), at(7).alias("grade"), at(6).alias("exam"),
         (F.regexp_replace(at(9), "(?<=.)[?]$", "") if n >= 14 else F.lit("")).alias("kind"), (topics(at(10)) if n >= 15 else F.array().cast("array<string>")).alias("topics"), (at(11) if n >= 15 else F.lit("")).alias("explanation"),
     )
 
@@ -166,6 +166,8 @@ def lemma_dictionary(spark: SparkSession, path: str, words: DataFrame | None = N
             size = known.count()
             told = pairs.join(known, "word", "left_semi").select(F.explode(tokens(F.lower("lemma"))).alias("word"))
             known = known.unionByName(told).unionByName(known.select(lemma(F.col("word")).alias("word"))).distinct()
+        else:
+            raise ValueError(f"{path}: lemmas lead on to other words for more than {ROUNDS} steps")
         pairs = pairs.join(known, "word", "left_semi")
     rows = pairs.groupBy("word").agg(F.max_by("lemma", "n").alias("lemma")).limit(limit + 1).collect()
     if len(rows) > limit:
@@ -185,6 +187,7 @@ class Config:
     threads: int = 4
     export_html: bool = False
     export_store_html: bool = False
+    whole_rows: bool = False
 
 
 def properties(path: str) -> Config:
@@ -196,7 +199,7 @@ def properties(path: str) -> Config:
             k, v = line.split("=", 1)
             got[k.strip().lower()] = v.strip()
     flag = lambda k: got.get(k, "").lower() == "true"
-    return Config(got.get("tablestoreindex", ""), got.get("imlinputpath", ""), got.get("imloutputpath", ""), int(got.get("maxmatches", 25_000)), int(got.get("numthreads", 4)), flag("exportinfpathtml"), flag("exporttablestorehtml"))
+    return Config(got.get("tablestoreindex", ""), got.get("imlinputpath", ""), got.get("imloutputpath", ""), int(got.get("maxmatches", 25_000)), int(got.get("numthreads", 4)), flag("exportinfpathtml"), flag("exporttablestorehtml"), flag("annotatewholerows"))
 
 
 def chunk_patterns(text: str, n: int) -> list[str]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.functions.annotate import alternatives_of, annotate
+from patternloom.functions.annotate import alternatives_of, annotate, row_alternatives_of
 from patternloom.shipping import ship
 
 DATA, FILL, SKIP, DEP, UID = "DATA", "FILL", "SKIP", "DEP", "UID"
@@ -77,10 +77,18 @@ class Table:
         shown = [F.when(c.contains(";"), F.concat(F.lit("("), c, F.lit(")"))).otherwise(c) for c in cells]
         return F.concat(F.trim(F.regexp_replace(F.concat_ws(" ", *shown), " +", " ")), F.lit(f" ({self.name}, UID: "), F.col("uid"), F.lit(")"))
 
-    def annotated(self, columns: list[int] | None = None, lemmas: F.Column | None = None, content_only: bool = True) -> DataFrame:
-        """uid, generated and for each wanted column an array of alternatives (slots, value); only wanted columns are read."""
+    def annotated(self, columns: list[int] | None = None, lemmas: F.Column | None = None, content_only: bool = True, whole_rows: bool = False) -> DataFrame:
+        """uid, generated and for each wanted column an array of alternatives (slots, value); only wanted columns are read.
+
+        With whole_rows a word is tagged as part of the sentence that its row is, with the cells (DATA and FILL) around its own.
+        """
         wanted = self.of_roles(DATA, FILL) if columns is None else columns
         out = [F.col("uid"), F.col("generated"), F.col("cells")]
+        if whole_rows:
+            sentence = self.of_roles(DATA, FILL)
+            sentence += [i for i in wanted if i not in sentence]
+            alts = row_alternatives_of([F.element_at("cells", i + 1) for i in sentence], [sentence.index(i) for i in wanted], lemmas, content_only)
+            return self.rows.select(*out, *(a.alias(f"alts_{i}") for i, a in zip(wanted, alts, strict=True)))
         for i in wanted:
             out.append(alternatives_of(F.element_at("cells", i + 1), lemmas, content_only).alias(f"alts_{i}"))
         return self.rows.select(*out)
@@ -92,11 +100,12 @@ class Table:
 
 
 class Store:
-    """Tables by name, any case; edits replace a table's rows, so earlier DataFrames stay as they were."""
+    """Tables by name, any case; edits replace a table's rows, so earlier DataFrames stay as they were. With whole_rows the cells
+    that patterns read are tagged as parts of their rows."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, whole_rows: bool = False) -> None:
         ship(spark)
-        self.spark, self.tables = spark, {}
+        self.spark, self.tables, self.whole_rows = spark, {}, whole_rows
         self.version = 0  # counts edits
         self.located: dict[str, str | None] = {}
 
@@ -166,7 +175,7 @@ class Store:
 
     def with_rows(self, rows: dict[str, DataFrame]) -> Store:
         """A store of these tables alone, with other rows."""
-        out = Store(self.spark)
+        out = Store(self.spark, self.whole_rows)
         for name, df in rows.items():
             t = self[name]
             out.add(Table(t.name, t.header, df, t.roles))
@@ -235,9 +244,9 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
-def load_store(spark: SparkSession, index: str, two_line_header: bool = False, in_tables: bool = True) -> Store:
+def load_store(spark: SparkSession, index: str, two_line_header: bool = False, in_tables: bool = True, whole_rows: bool = False) -> Store:
     """The tables that an index file names, one a line, from `tables/` beside it; missing and invalid ones are left out."""
-    store, base = Store(spark), (index.rsplit("/", 1)[0] if "/" in index else ".") + "/tables" * in_tables
+    store, base = Store(spark, whole_rows), (index.rsplit("/", 1)[0] if "/" in index else ".") + "/tables" * in_tables
     for r in spark.read.text(index).collect():
         file = f"{base}/{r.value.strip()}"
         if r.value.strip() and is_file(spark, file):
