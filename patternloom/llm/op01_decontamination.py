@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ BLOCK_BYTES = 8 << 20
 #: Word ids are packed three to a 64-bit key; two where one item alone has more different words than fit.
 BITS, PER_KEY = 21, 3
 WIDE_BITS, WIDE_PER_KEY = 31, 2
+#: Pairs of a place and an origin that are followed at once.
+PAIRS = 1 << 18
 FOUND = "__words long, __spans array<int>, __items array<string>, __longest struct<length:int,item_id:string,item_start:int,doc_start:int>"
 
 
@@ -43,9 +46,11 @@ class Suffixes:
         at = self.off[owner] + place
         grid = self.words[at[:, None] + np.arange(window)]
         grid[np.arange(window) >= left[:, None]] = 0
-        order = np.lexsort(grid.T[::-1]) if len(grid) else np.zeros(0, np.int64)
-        grid, self.owner, self.at = grid[order], owner[order], at[order]
-        self.first = runs(grid)  # origins of distinct window q: first[q] to first[q + 1]
+        before = np.where(place > 0, self.words[at - 1], 0)
+        order = np.lexsort((before, *grid.T[::-1])) if len(grid) else np.zeros(0, np.int64)
+        grid, self.owner, self.at, before = grid[order], owner[order], at[order], before[order]
+        self.first = runs(grid)  # origins of distinct window q: first[q] to first[q + 1], by the word before them
+        self.behind = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)) * (len(self.ids) + 1) + before
         self.grid = grid[self.first[:-1]]
         self.size = (self.grid > 0).sum(axis=1)
         top = np.where(self.grid > 0, self.grid, (1 << self.bits) - 1)
@@ -113,24 +118,34 @@ def search(s: Suffixes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return array[np.repeat(edges[0], n) + np.arange(len(which)) - np.repeat(offsets(n)[:-1], n)], which
 
 
-def longest(s: Suffixes, words: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Every found place with each origin, followed as far as document and item agree: place, origin, length."""
-    n = np.diff(s.first)[which]
-    place = np.repeat(at, n)
-    row = np.repeat(s.first[which], n) + np.arange(len(place)) - np.repeat(offsets(n)[:-1], n)
-    origin = s.at[row]
-    # a match that also extends to the left is part of a longer one
-    before = (place > 0) & (origin > 0)
-    start = ~(before & (words[np.maximum(place - 1, 0)] == s.words[np.maximum(origin - 1, 0)]) & (s.words[np.maximum(origin - 1, 0)] > 0))
-    place, origin, row = place[start], origin[start], row[start]
-    length, going = np.zeros(len(place), np.int64), np.arange(len(place))
-    while len(going):
-        p, o = place[going] + length[going], origin[going] + length[going]
-        w = s.words[np.minimum(o, len(s.words) - 1)]
-        same = (p < len(words)) & (w > 0) & (words[np.minimum(p, len(words) - 1)] == w)
-        going = going[same]
-        length[going] += 1
-    return place, row, length
+def longest(s: Suffixes, words: np.ndarray, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Found places with those of their origins where a match begins, followed as far as document and item agree: place, origin,
+    length, about PAIRS pairs at a time.
+
+    Where the words before agree too, a match that begins further left holds this one: such origins are a run of the window's,
+    which is left out unseen.
+    """
+    word = np.where(at > 0, words[at - 1], 0)
+    low, high = s.first[which], s.first[which + 1]
+    key = which * (len(s.ids) + 1) + word
+    a, b = np.searchsorted(s.behind, key, "left"), np.searchsorted(s.behind, key, "right")
+    a, b = np.where(word > 0, a, low), np.where(word > 0, b, low)
+    n = (a - low) + (high - b)
+    blocks = np.cumsum(n) // PAIRS
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(blocks)) + 1):
+        k = n[part]
+        within = np.arange(int(k.sum())) - np.repeat(offsets(k)[:-1], k)
+        row = np.repeat(low[part], k) + within
+        row += np.repeat(b[part] - a[part], k) * (row >= np.repeat(a[part], k))
+        place = np.repeat(at[part], k)
+        origin, length, going = s.at[row], np.repeat(s.size[which[part]], k), np.arange(len(place))
+        while len(going):
+            p, o = place[going] + length[going], origin[going] + length[going]
+            w = s.words[np.minimum(o, len(s.words) - 1)]
+            same = (p < len(words)) & (w > 0) & (words[np.minimum(p, len(words) - 1)] == w)
+            going = going[same]
+            length[going] += 1
+        yield place, row, length
 
 
 def scan(s: Suffixes, texts: list[bytes], before: dict | None) -> dict[str, list]:
@@ -160,14 +175,19 @@ def scan(s: Suffixes, texts: list[bytes], before: dict | None) -> dict[str, list
     for d, q in zip((pairs // max(len(s.grid), 1)).tolist(), (pairs % max(len(s.grid), 1)).tolist(), strict=True):
         items.setdefault(d, set()).update(s.owner[s.first[q] : s.first[q + 1]].tolist())
     best: dict[int, dict] = {}
-    if len(at):
-        place, row, length = longest(s, words, at, which)
-        d = np.searchsorted(off, place, "right") - 1
-        item = s.owner[row]
+
+    def first_of_each(place: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Each document's longest match; of equal ones the first in it, by item and within the item."""
+        d, item = np.searchsorted(off, place, "right") - 1, s.owner[row]
         order = np.lexsort((s.at[row] - s.off[item], s.rank[item], place, -length, d))
-        for i in order[runs(d[order])[:-1]].tolist():
-            k, o = int(d[i]), int(item[i])
-            best[k] = {"length": int(length[i]), "item_id": s.names[o], "item_start": int(s.at[row[i]] - s.off[o]), "doc_start": int(place[i] - off[k])}
+        top = order[runs(d[order])[:-1]]
+        return place[top], row[top], length[top]
+
+    if len(at):
+        tops = [first_of_each(*found) for found in longest(s, words, at, which)]
+        for p, r, n in zip(*first_of_each(*(np.concatenate(x) for x in zip(*tops, strict=True))), strict=True):
+            k, o = int(np.searchsorted(off, p, "right") - 1), int(s.owner[r])
+            best[k] = {"length": int(n), "item_id": s.names[o], "item_start": int(s.at[r] - s.off[o]), "doc_start": int(p - off[k])}
     for k in range(len(texts)):
         mine, names, top = spans.get(k, []), {s.names[i] for i in items.get(k, ())}, best.get(k)
         if before:

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from patternloom.llm import op01_decontamination as op1
 from patternloom.llm import op04_toxicity as op4
 from patternloom.llm import op09_sharding as op9
 
@@ -34,3 +35,30 @@ def test_labels_of_other_documents_take_no_places_in_the_sample(spark):
     labels = spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
     got = op4.score(docs, op4.fit(docs, labels, sample=100)).collect()
     assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_equal_words_are_matched_without_their_product(monkeypatch):
+    """Documents and items of one word repeated, and a passage that many items share, in bounded memory."""
+    import tracemalloc
+
+    def scanned(items, texts):
+        s = op1.Suffixes(items, 13)
+        tracemalloc.start()
+        out = op1.scan(s, texts, None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
+    out, peak = scanned([("a", b"w " * 5_000)], [b"w " * 20_000])
+    assert out["__spans"] == [[0, 20_000]] and out["__longest"] == [{"length": 5_000, "item_id": "a", "item_start": 0, "doc_start": 0}]
+    assert peak < 100 << 20
+    shared = b"one two three four five six seven eight nine ten eleven twelve thirteen fourteen "
+    items = [(f"i{k:04}", b"x%d " % k + shared + b"y%d" % k) for k in range(2_000)]
+    text = b"".join(b"z%d " % (k % 7) + shared for k in range(2_000)) + items[1234][1]
+    plain, peak = scanned(items, [text])
+    assert plain["__longest"] == [{"length": 16, "item_id": "i1234", "item_start": 0, "doc_start": 30_000}] and len(plain["__items"][0]) == 2_000
+    assert peak < 200 << 20
+    monkeypatch.setattr(op1, "PAIRS", 7)
+    few = [(n, t) for n, t in items[:20]]
+    small = b"".join(b"z%d " % (k % 7) + shared for k in range(20)) + few[12][1]
+    assert scanned(few, [small, b"", small])[0]["__longest"] == [{"length": 16, "item_id": "i0012", "item_start": 0, "doc_start": 300}, None, {"length": 16, "item_id": "i0012", "item_start": 0, "doc_start": 300}]
