@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -57,44 +58,68 @@ def lowered(slot: Slot, constants: dict[str, str]) -> Slot:
 LASTING_UID = "^.{4}-.{4}-.{4}-.{4}"
 
 
+def wanted_cells(store: Store, name: str, slot: Slot) -> list[tuple[int, tuple[tuple[Element, ...], ...]]]:
+    return [(store[name].column(c), options) for c, options in slot.ref.cells]
+
+
+def constraint(name: str, slot: Slot, wanted: list) -> tuple:
+    """What decides which rows fit a slot, and how: whatever its variables are called."""
+    said = lambda e: (e.kind, e.text.lower() if e.kind == "literal" else "", e.optional, e.relaxable)
+    return name.upper(), slot.ref.uuid, tuple((c, tuple(tuple(map(said, o)) for o in options)) for c, options in wanted)
+
+
+def fitting(store: Store, name: str, slot: Slot, wanted: list, lemmas: Column | None) -> DataFrame:
+    """uid, hash, relaxed and v0, v1 ... (the variables' values in order): every way in which a table's row fits a slot."""
+    rows = store.annotated(name, [c for c, _ in wanted], lemmas)
+    content = F.lower(store[name].text(data_only=True))
+    if slot.ref.uuid is not None:
+        rows = rows.where(F.col("uid") == slot.ref.uuid)
+    out = [F.col("uid"), row_hash(F.when(F.col("uid").rlike(LASTING_UID), F.col("uid")).otherwise(content)).alias("hash")]
+    relaxed, k = F.lit(0), 0
+    for i, (c, options) in enumerate(wanted):
+        rows = rows.withColumn(f"_seg{i}", F.explode(segments(F.col(f"alts_{c}"), options)))
+        relaxed = relaxed + F.col(f"_seg{i}.relaxed")
+        for at in range(max(sum(e.kind == "variable" for e in o) for o in options)):
+            out.append(F.try_element_at(F.col(f"_seg{i}.values"), F.lit(at + 1)).alias(f"v{k}"))
+            k += 1
+    return rows.select(*out, relaxed.cast("int").alias("relaxed"))
+
+
 def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, str] | None = None, lemmas: Column | None = None) -> Candidates:
     """uid, relaxed and a value column for each variable occurrence: every way in which a row fits the slot."""
     ref, p = slot.ref, f"s{number}_"
     name = ref.table
     if name is None:
         name = (tables_of_uid if tables_of_uid is not None else store.locate([ref.uuid]))[ref.uuid]
-    occurrences: list[Occurrence] = []
-    wanted = [(store[name].column(c), options) for c, options in ref.cells] if name is not None else []
     if name is None:  # a static row that no table holds
-        rows = store.rows().where("1 = 0").select("uid")
-        alts, content = {}, F.lit("")
-    else:
-        rows = store[name].annotated([c for c, _ in wanted], lemmas, whole_rows=store.whole_rows)
-        content = F.lower(store[name].text(data_only=True))
-        alts = {c: f"alts_{c}" for c, _ in wanted}
-    if ref.uuid is not None:
-        rows = rows.where(F.col("uid") == ref.uuid)
-    out = [F.col("uid").alias(f"{p}uid"), row_hash(F.when(F.col("uid").rlike(LASTING_UID), F.col("uid")).otherwise(content)).alias(f"{p}hash")]
-    relaxed = F.lit(0)
-    k = 0
-    keep = []
-    for i, (c, options) in enumerate(wanted):
-        rows = rows.withColumn(f"_seg{i}", F.explode(segments(F.col(alts[c]), options)))
-        relaxed = relaxed + F.col(f"_seg{i}.relaxed")
+        none = store.rows().where("1 = 0").select(F.col("uid").alias(f"{p}uid"), F.lit(0).alias(f"{p}hash"), F.lit(0).alias(f"{p}relaxed"))
+        return Candidates(slot, none, [], True)
+    wanted = wanted_cells(store, name, slot)
+    keep: list[Occurrence] = []
+    for _, options in wanted:
         names = [[e for e in o if e.kind == "variable"] for o in options]
         for at in range(max(map(len, names))):
             # options may bind different variables at the same place: each is an occurrence of its own
-            same = {o[at].text for o in names if len(o) > at}
-            if len(same) > 1:
+            if len({o[at].text for o in names if len(o) > at}) > 1:
                 raise ValueError(f"slot {slot.name}: the options of a cell must name the same variables in the same order")
             e = next(o[at] for o in names if len(o) > at)
-            column = f"{p}v{k}"
-            k += 1
-            out.append(F.try_element_at(F.col(f"_seg{i}.values"), F.lit(at + 1)).alias(column))
-            keep.append(Occurrence(e.text, number, column, e, any(len(o) <= at or o[at].optional for o in names)))
-    out.append(relaxed.cast("int").alias(f"{p}relaxed"))
-    occurrences += keep
-    return Candidates(slot, rows.select(*out), occurrences, ref.uuid is not None, store[name].planned_bytes() if name is not None else 0)
+            keep.append(Occurrence(e.text, number, f"{p}v{len(keep)}", e, any(len(o) <= at or o[at].optional for o in names)))
+    rows = store.once(constraint(name, slot, wanted), lambda: fitting(store, name, slot, wanted, lemmas))
+    return Candidates(slot, rows.select(*(F.col(c).alias(p + c) for c in rows.columns)), keep, ref.uuid is not None, store[name].planned_bytes())
+
+
+def share(store: Store, patterns: list[Pattern]) -> None:
+    """Until a table changes: annotate each table of these patterns once, and solve slots once whose constraints several have."""
+    where = store.locate([u for p in patterns for u in static_uids(p)])
+    seen, columns = Counter(), {}
+    for p in patterns:
+        for slot in (lowered(s, p.constants) for s in p.slots):
+            name = slot.ref.table or where[slot.ref.uuid]
+            if name is not None:
+                wanted = wanted_cells(store, name, slot)
+                columns.setdefault(name.upper(), set()).update(c for c, _ in wanted)
+                seen[constraint(name, slot, wanted)] += 1
+    store.share({name: sorted(c) for name, c in columns.items()}, {k for k, n in seen.items() if n > 1})
 
 
 def occurrences(cands: list[Candidates]) -> dict[str, list[Occurrence]]:

@@ -25,7 +25,7 @@ from patternloom.functions.annotate import namings
 from patternloom.functions.omni import omni_text
 from patternloom.operators.closure import complete_taxonomy, words_of
 from patternloom.plans.ast import Expr, Pattern, Program, Slot, Statement
-from patternloom.plans.compile import MAX_MATCHES, solve, static_uids
+from patternloom.plans.compile import MAX_MATCHES, share, solve, static_uids
 from patternloom.plans.conditions import Scope, evaluate
 from patternloom.plans.conditions import value as expression
 from patternloom.sources import sinks
@@ -232,7 +232,7 @@ class Runtime:
 
     def populate(self, names: list[str] | None = None) -> None:
         """Solve all patterns, or those named with their components."""
-        order = list(dict.fromkeys(x for n in (names or self.patterns) for x in self.required(n)))
+        order = list(dict.fromkeys(x for n in (self.patterns if names is None else names) for x in self.required(n)))
         self.store.locate([u for n in order for u in static_uids(self.patterns[n])])
         for n in order:
             self.tick()
@@ -769,7 +769,7 @@ class Runtime:
         sinks.write_store_html(self.path(name, "tables.html"), self.store)
 
     def do_exportStateSpaceHTML(self, name: str | None) -> None:
-        sinks.write_states_html(self.path(name, "states.html"), [{"name": s.name, "instances": {n: i.props for n, i in s.instances.items()}, "explanation": s.explanation} for s in self.states])
+        sinks.write_states_html(self.spark, self.path(name, "states.html"), [{"name": s.name, "instances": {n: i.props for n, i in s.instances.items()}, "explanation": s.explanation} for s in self.states])
 
     def states_frame(self) -> DataFrame:
         """(state_idx, state, instance, kind, property, value, is_numeric)."""
@@ -800,10 +800,12 @@ def unpivot_properties(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
 
 
 def enumerate_patterns(spark: SparkSession, store: Store, program: Program, max_matches: int = MAX_MATCHES, threads: int = 4) -> tuple[list[tuple[Pattern, DataFrame]], dict[str, float]]:
-    """Solve every pattern after the automatic ones, `threads` at a time; the solutions and a summary of them."""
+    """Solve every pattern after the automatic ones, `threads` at a time; the solutions and a summary of them. Each table is
+    annotated once for all patterns, and slots with equal constraints are solved once."""
     run = Runtime(spark, store, program)
     run.max_matches = max_matches
     run.auto()
+    share(store, program.patterns)
     run.populate()
     with ThreadPoolExecutor(max(1, threads)) as pool:  # each count is a job of its own, which fills the pattern's cache
         counts = dict(zip(run.matches, pool.map(lambda m: m.count(), run.matches.values()), strict=True))
@@ -819,16 +821,15 @@ def run_properties(spark: SparkSession, config: Config) -> dict[str, dict[str, f
     from patternloom.plans.parser import load
     from patternloom.sources.tablestore import load_store
 
-    given, out, told = Path(config.input_path), Path(config.output_path), {}
-    out.mkdir(parents=True, exist_ok=True)
+    given, out, told = Path(config.input_path), config.output_path.rstrip("/"), {}
     for file in [given] if given.suffix == ".iml" else sorted(given.glob("*.iml")):
         store = load_store(spark, config.store_index, whole_rows=config.whole_rows)  # automatic patterns of one file add nothing to the next
         found, told[file.name] = enumerate_patterns(spark, store, load(file), config.max_matches, config.threads)
-        sinks.write_matches_json(str(out / f"{file.name}.json"), found, store)
+        sinks.write_matches_json(f"{out}/{file.name}.json", found, store)
         if config.export_html:
-            sinks.write_matches_html(str(out / f"{file.name}.html"), found, store)
+            sinks.write_matches_html(f"{out}/{file.name}.html", found, store)
         if config.export_store_html:
-            sinks.write_store_html(str(out / f"{file.name}.tables.html"), store)
+            sinks.write_store_html(f"{out}/{file.name}.tables.html", store)
         for _, m in found:
             m.unpersist()
     return told

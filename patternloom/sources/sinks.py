@@ -4,15 +4,45 @@ from __future__ import annotations
 
 import html
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.functions.omni import omni_text
 from patternloom.plans.ast import Pattern
 from patternloom.sources.tablestore import DATA, FILL, Store, sanitise
 
+#: Text that is sent to a file at once.
+CHARS = 1 << 20
+
+
+class TextFile:
+    """A text file to be written on any file system that Spark writes to; its folder is made."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.setWriteChecksum(False)
+        self.out, self.held, self.size = fs.create(at, True), [], 0
+
+    def write(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size >= CHARS:
+            self.flush()
+
+    def flush(self) -> None:
+        self.out.write(bytearray("".join(self.held).encode()))
+        self.held, self.size = [], 0
+
+    def __enter__(self) -> TextFile:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        self.flush()
+        self.out.close()
+
+
 #: Solutions of a pattern on a page.
 HTML_ROWS = 200
 
@@ -49,7 +79,7 @@ def match_documents(pattern: Pattern, matches: DataFrame, store: Store) -> DataF
 
 def write_matches_json(path: str, found: list[tuple[Pattern, DataFrame]], store: Store) -> None:
     """{"patternMatches": [{"patternName", "matches"}]}, one solution after another into the file."""
-    with Path(path).open("w", encoding="utf-8") as out:
+    with TextFile(store.spark, path) as out:
         out.write('{"patternMatches": [')
         for k, (p, m) in enumerate(found):
             out.write(", " * (k > 0) + f'{{"patternName": {json.dumps(p.name, ensure_ascii=False)}, "matches": ')
@@ -88,7 +118,7 @@ def write_store_json(path: str, store: Store) -> None:
 
 def write_store_document(path: str, store: Store) -> None:
     """One JSON document with the list of each table's rows, written row by row; for a store of any size, write_store_json."""
-    with Path(path).open("w", encoding="utf-8") as out:
+    with TextFile(store.spark, path) as out:
         out.write("{")
         for k, t in enumerate(store.tables.values()):
             one = Store(store.spark)
@@ -115,7 +145,8 @@ def solutions(pattern: Pattern, matches: DataFrame, store: Store, limit: int) ->
 def write_matches_html(path: str, found: list[tuple[Pattern, DataFrame]], store: Store, limit: int = HTML_ROWS) -> None:
     """The first solutions of each pattern as tables of slots and variables."""
     body = [f"<h2>{html.escape(p.name)}</h2><p>{html.escape(p.description)}</p>" + solutions(p, m, store, limit) for p, m in found]
-    Path(path).write_text(page("Solutions", "".join(body)), encoding="utf-8")
+    with TextFile(store.spark, path) as out:
+        out.write(page("Solutions", "".join(body)))
 
 
 def stream_table(out, header: list[str], rows: DataFrame) -> None:
@@ -133,7 +164,7 @@ def write_candidates_html(path: str, found: list[tuple[Pattern, DataFrame]], sto
 
     start, end = page("Candidates", "\0").split("\0")
     text = store.rows().select("uid", "row_text")
-    with Path(path).open("w", encoding="utf-8") as out:
+    with TextFile(store.spark, path) as out:
         out.write(start)
         for p, m in found:
             out.write(f"<h2>{html.escape(p.name)}</h2>")
@@ -153,7 +184,7 @@ def write_store_html(path: str, store: Store, mode: str = "RAW") -> None:
     name = {"WORDS": "word", "LEMMAS": "lemma", "TWORDS": "tword", "TLEMMAS": "tlemma"}.get(mode.upper())
     shown = lambda i: F.element_at("cells", i + 1) if name is None else F.array_join(F.transform(annotate(F.element_at("cells", i + 1), content_only=False), lambda ts: F.array_join(F.transform(ts, lambda x: x[name]), " ")), " ; ")
     start, end = page("Tables", "\0").split("\0")
-    with Path(path).open("w", encoding="utf-8") as out:
+    with TextFile(store.spark, path) as out:
         out.write(start)
         for t in store.tables.values():
             out.write(f"<h2>{html.escape(t.name)}</h2>")
@@ -161,7 +192,7 @@ def write_store_html(path: str, store: Store, mode: str = "RAW") -> None:
         out.write(end)
 
 
-def write_states_html(path: str, states: list[dict]) -> None:
+def write_states_html(spark: SparkSession, path: str, states: list[dict]) -> None:
     """Each state's instances and what changed since the one before."""
     body, last = [], {}
     for k, s in enumerate(states):
@@ -169,7 +200,8 @@ def write_states_html(path: str, states: list[dict]) -> None:
         rows = [[i, p, v, "" if last.get((i, p)) == v else "changed"] for (i, p), v in sorted(now.items())]
         body.append(f"<h2>State {k} {html.escape(s.get('name') or '')}</h2>" + html_table(["instance", "property", "value", ""], rows) + "".join(f"<p>{html.escape(x)}</p>" for x in s.get("explanation", [])))
         last = now
-    Path(path).write_text(page("States", "".join(body)), encoding="utf-8")
+    with TextFile(spark, path) as out:
+        out.write(page("States", "".join(body)))
 
 
 def write_training_pairs(path: str, pairs: DataFrame) -> None:

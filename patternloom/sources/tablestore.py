@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternloom.checkpoints import checkpoint
 from patternloom.functions.annotate import alternatives_of, annotate, row_alternatives_of
 from patternloom.shipping import ship
 
@@ -99,6 +102,16 @@ class Table:
         return F.concat_ws("\x1f", *[F.regexp_replace(c, " +", " ") for c in cells])
 
 
+@dataclass
+class Shared:
+    """What several patterns have in common: annotated tables by name, fitting rows by constraint."""
+
+    columns: dict[str, list[int]]
+    often: set
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    slots: dict[Any, DataFrame] = field(default_factory=dict)
+
+
 class Store:
     """Tables by name, any case; edits replace a table's rows, so earlier DataFrames stay as they were. With whole_rows the cells
     that patterns read are tagged as parts of their rows."""
@@ -107,12 +120,35 @@ class Store:
         ship(spark)
         self.spark, self.tables, self.whole_rows = spark, {}, whole_rows
         self.version = 0  # counts edits
+        self.shared: Shared | None = None
         self.located: dict[str, str | None] = {}
 
     def add(self, table: Table) -> None:
         self.tables[table.name.upper()] = table
         self.version += 1
         self.located.clear()
+        self.shared = None
+
+    def share(self, columns: dict[str, list[int]], often: set) -> None:
+        """From now on, until a table is edited: annotate these columns of each table once, and compute what once() is asked
+        for under one of these keys once. Both are written down."""
+        self.shared = Shared(columns, often)
+
+    def annotated(self, name: str, columns: list[int], lemmas: F.Column | None = None) -> DataFrame:
+        """A table's wanted columns as alternatives (see Table.annotated)."""
+        t, key = self[name], name.upper()
+        if self.shared is None or not set(columns) <= set(self.shared.columns.get(key, ())):
+            return t.annotated(columns, lemmas, whole_rows=self.whole_rows)
+        if key not in self.shared.tables:
+            self.shared.tables[key] = checkpoint(t.annotated(self.shared.columns[key], lemmas, whole_rows=self.whole_rows))
+        return self.shared.tables[key]
+
+    def once(self, key: Any, make: Callable[[], DataFrame]) -> DataFrame:
+        if self.shared is None or key not in self.shared.often:
+            return make()
+        if key not in self.shared.slots:
+            self.shared.slots[key] = checkpoint(make())
+        return self.shared.slots[key]
 
     def locate(self, uids: list[str]) -> dict[str, str | None]:
         """The table of each uid, None where no table holds it; one job for all that are not known yet."""

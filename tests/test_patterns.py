@@ -440,3 +440,29 @@ def test_a_closure_that_is_not_done_fails(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(20)], "src int, dst int")
     with pytest.raises(RuntimeError, match="not complete"):
         transitive_closure(e, rounds=2)
+
+
+def test_patterns_share_tables_and_slots(spark, monkeypatch):
+    """Each table is annotated once, equal slots are solved once, and the solutions are those of patterns alone."""
+    from patternloom.plans import compile as plans
+    from patternloom.sources.tablestore import Table
+
+    text = """inferencepattern p row a=[TABLE:"KINDOF", HYPONYM:<x>, HYPERNYM:<w>] row b=[TABLE:"PARTOF", PART:<y>, WHOLE:<x>] endinferencepattern
+      inferencepattern q row k=[TABLE:"KINDOF", HYPONYM:<n>, HYPERNYM:<m>] row *b=[TABLE:"PARTOF", WHOLE:<n>] endinferencepattern
+      inferencepattern r row k=[UUID:"k1", HYPONYM:<n>] row c=[TABLE:"PARTOF", PART:<y>, WHOLE:<n>] endinferencepattern"""
+    program, calls, solved = parse(text), [], []
+    annotated, fitting = Table.annotated, plans.fitting
+    monkeypatch.setattr(Table, "annotated", lambda t, *a, **k: calls.append(t.name) or annotated(t, *a, **k))
+    monkeypatch.setattr(plans, "fitting", lambda store, name, *a: solved.append(name) or fitting(store, name, *a))
+    key = lambda rows: sorted(repr(r) for r in rows)
+    s = store_of(spark)
+    found, told = enumerate_patterns(spark, s, program, 100)
+    assert sorted(calls) == ["KINDOF", "PARTOF"] and sorted(solved) == ["KINDOF", "KINDOF", "PARTOF", "PARTOF"] and told["patterns"] == 3
+    alone = s.with_rows({name: t.rows for name, t in s.tables.items()})
+    for p, m in found:
+        assert key(m.collect()) == key(solve(alone, p, 100).collect())
+    s = store_of(spark)
+    plans.share(s, program.patterns)
+    solve(s, program.patterns[0])
+    s.remove(spark.createDataFrame([("k1",)], "uid string"))  # an edit ends what is shared
+    assert {r.uid_a for r in solve(s, program.patterns[0]).collect()} == {"k3"}
