@@ -116,11 +116,25 @@ def loose_keys(value: Column, open_: Column | None, salt: Column, mine: str, oth
     return keys if other is None else F.concat(keys, F.array(named(other, F.pmod(salt, F.lit(COPIES)).cast("int"))))
 
 
+#: The most frequent words whose counts order a row's words; they are broadcast.
+FREQUENT = 10_000
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, least: int = 1) -> DataFrame:
-    """(left_id, right_id, shared): pairs of rows whose word sets have at least `least` words in common.
+    """(left_id, right_id, shared): pairs of rows whose word sets have at least `least` words in common; rows of one id are one.
 
-    An equi-join on single words, counted; words that stand in very many rows dominate its cost, so give content words.
+    Each row's words are put in one order, rare ones first. Two sets of which `least` words agree also agree in one of the words
+    that are left when each loses its last `least` - 1: only these are joined, so the words that most rows have stay out of the
+    join from two words on. A pair is told at its rarest common word alone, and its words are counted then.
     """
-    a = left.select(left_id, F.explode(F.array_distinct(left_words)).alias("_w"))
-    b = right.select(right_id, F.explode(F.array_distinct(right_words)).alias("_w"))
-    return a.join(b, "_w").groupBy(left_id, right_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    sides = [left.select(F.col(left_id).alias("_id"), F.explode(F.array_distinct(left_words)).alias("_w")), right.select(F.col(right_id).alias("_id"), F.explode(F.array_distinct(right_words)).alias("_w"))]
+    counts = sides[0].unionByName(sides[1]).groupBy("_w").agg(F.count("*").alias("_n")).where("_n > 1").orderBy(F.desc("_n"), "_w").limit(FREQUENT)
+
+    def ordered(side: DataFrame, id: str) -> DataFrame:
+        named = side.where("_w is not null").distinct().join(F.broadcast(counts), "_w", "left").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_w").alias("w")))).alias("_o"))
+        out = named.where(F.size("_o") >= least).select(F.col("_id").alias(id), "_o", F.slice("_o", F.lit(1), F.size("_o") - (least - 1)).alias("_p"))
+        return out.withColumn("_k", F.explode("_p"))
+
+    a, b = ordered(sides[0], "_a"), ordered(sides[1], "_b").withColumnsRenamed({"_o": "_q", "_p": "_r", "_k": "_m"})
+    both = a.join(b, (F.col("_k") == F.col("_m")) & (F.col("_k") == F.array_min(F.array_intersect("_p", "_r"))))
+    return both.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), F.size(F.array_intersect("_o", "_q")).cast("long").alias("shared")).where(F.col("shared") >= least)

@@ -184,6 +184,7 @@ class Runtime:
         self.states, self.matches, self.printed = [State()], {}, []
         self.solved_at: dict[str, tuple[int, int]] = {}
         self.grown: dict[str, int] = {}
+        self.due: list[str] = []  # patterns that were run, but whose solutions nobody has asked for
         self.kinds_known: dict[tuple[int, str, str], bool] = {}
         self.scope: ChainMap = ChainMap({})
         self.remap: dict[str, str] = {}
@@ -281,7 +282,7 @@ class Runtime:
                             added[name] = new
                             before[name] = t.rows.join(new.select("uid"), "uid", "left_anti").select(*new.columns)
             if not added:
-                self.populate([p.name for p in autos])
+                self.due = [p.name for p in autos]
                 return k
         raise ScriptError(f"rules still add rows after {AUTO_ROUNDS} rounds")
 
@@ -754,6 +755,7 @@ class Runtime:
         return name or f"{self.output}/{default}"
 
     def found(self) -> list[tuple[Pattern, DataFrame]]:
+        self.populate(self.due)
         return [(self.patterns[n], m) for n, m in self.matches.items()]
 
     def do_exportInfPatJSON(self, name: str | None) -> None:

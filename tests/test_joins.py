@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from patternloom.functions.omni import keyed_join, omni_eq, omni_join, omni_keys
+from patternloom.functions.omni import keyed_join, omni_eq, omni_join, omni_keys, overlap_join
 from patternloom.plans.compile import solve
 from patternloom.plans.parser import parse
 from patternloom.sources.tablestore import Store, from_rows
@@ -158,3 +158,20 @@ def test_dealt_patterns_equal_brute_force(spark):
     for k in (0, 3, 8, 10):
         s, rows = tables(spark, 50 + k, 5)
         assert uids(solve(s, one(text_of(SHAPES[k])), None, tasks=3), len(SHAPES[k])) == brute(rows, SHAPES[k])
+
+
+def test_overlap_join_equals_brute_force(spark):
+    rng = random.Random(5)
+    sets = lambda n: [(k, rng.choices(["the", "of", "the", *"abcdefgh"], k=rng.randrange(6)) + [None] * (k % 7 == 0)) for k in range(n)]
+    a, b = sets(40), sets(30)
+    left, right = (spark.createDataFrame(x, "k int, w array<string>") for x in (a, b))
+    for least in (1, 2, 3):
+        got = {tuple(r) for r in overlap_join(left.toDF("i", "v"), right.toDF("j", "w"), "i", "j", "v", "w", least).collect()}
+        shared = {(i, j): len((set(v) & set(w)) - {None}) for i, v in a for j, w in b}
+        assert got == {(i, j, n) for (i, j), n in shared.items() if n >= least}
+
+
+def test_words_that_all_rows_have_are_not_joined(spark):
+    rows = lambda p: spark.range(4_000).select("id", F.array(F.lit("the"), F.concat(F.lit(p), "id"), F.when(F.col("id") < 5, "rare")).alias("w"))
+    got = overlap_join(rows("a").toDF("i", "v"), rows("b").toDF("j", "w"), "i", "j", "v", "w", 2)
+    assert got.count() == 25
