@@ -14,8 +14,8 @@ def overlap(solutions: DataFrame, gold: DataFrame, question: str = "question", r
 
 
 def best_combination(solutions: DataFrame, gold: DataFrame, k: int = 2, question: str = "question", solution: str = "solution", rows: str = "uids", by_score: str | None = None) -> DataFrame:
-    """The best union of up to k solutions of a question that have a gold row: most hits, then fewest extras (or the
-    highest sum of by_score), then the smallest solution ids."""
+    """The best union of up to k solutions of a question that have a gold row, with its rows: most hits, then fewest extras (or
+    the highest sum of by_score), then the smallest solution ids."""
     short = overlap(solutions, gold, question, rows).where("hits > 0")
     extra = [F.col(by_score).alias("score")] if by_score else [F.lit(0.0).alias("score")]
     short = short.select(question, F.col(solution).alias("id"), F.col(rows).alias("rows"), "gold", *extra)
@@ -27,7 +27,7 @@ def best_combination(solutions: DataFrame, gold: DataFrame, k: int = 2, question
         out = out.select(question, "gold", F.array_distinct(F.concat("ids", F.array("_id"))).alias("ids"), F.col("_id").alias("last"), F.array_union("rows", "_rows").alias("rows"), (F.col("score") + F.when(same, 0.0).otherwise(F.col("_score"))).alias("score"))
     out = out.withColumns({"hits": F.size(F.array_intersect("rows", "gold")), "extras": F.size(F.array_except("rows", "gold"))})
     order = [F.desc("hits"), F.desc("score") if by_score else F.asc("extras"), F.asc("extras"), F.asc("ids")]
-    return out.withColumn("_n", F.row_number().over(Window.partitionBy(question).orderBy(*order))).where("_n = 1").select(question, "ids", "hits", "extras", "score")
+    return out.withColumn("_n", F.row_number().over(Window.partitionBy(question).orderBy(*order))).where("_n = 1").select(question, "ids", "hits", "extras", "score", "rows")
 
 
 def ranked(scores: DataFrame, question: str = "question", uid: str = "uid", score: str = "score") -> DataFrame:
@@ -198,6 +198,48 @@ def coverage_averages(overlaps: DataFrame, gold: DataFrame, question: str = "que
     return c.agg(F.count("*").alias("questions"), F.count_if(F.col("coverage") > 0).alias("answered"), F.avg("coverage").alias("mean_coverage"), F.avg(F.when(F.col("coverage") > 0, F.col("coverage"))).alias("mean_answered"), F.count_if(F.col("coverage") >= 1).alias("complete"))
 
 
+#: The counts of gold rows for which the histogram of overlaps has a line.
+OVERLAPS = range(15)
+
+
+def overlap_histogram(best: dict[int, DataFrame], gold: DataFrame, question: str = "question") -> DataFrame:
+    """k, overlap (0 to 14), n: the questions of which the best combination of k solutions holds so many gold rows; those without
+    a solution have none. best: best_combination() by k."""
+    out = None
+    for k, b in best.items():
+        hits = gold.select(question).join(b.select(question, "hits"), question, "left").select(F.coalesce("hits", F.lit(0)).alias("overlap"))
+        lines = gold.sparkSession.range(len(OVERLAPS)).select(F.lit(k).alias("k"), F.col("id").cast("int").alias("overlap"))
+        part = lines.join(hits.groupBy("overlap").agg(F.count("*").alias("n")), "overlap", "left").select("k", "overlap", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def combination_averages(best: dict[int, DataFrame], gold: DataFrame, question: str = "question") -> DataFrame:
+    """k, mean_overlap (part of the gold rows) and mean_extra (rows that aren't gold) of the best combinations over all questions,
+    those without one counting 0."""
+    out = None
+    for k, b in best.items():
+        each = gold.select(question, F.size("gold").alias("g")).join(b.select(question, "hits", "extras"), question, "left")
+        part = each.agg(F.avg(F.coalesce("hits", F.lit(0)) / F.greatest("g", F.lit(1))).alias("mean_overlap"), F.avg(F.coalesce("extras", F.lit(0))).alias("mean_extra"))
+        part = part.select(F.lit(k).alias("k"), "mean_overlap", "mean_extra")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def leftover_by_topic(best: DataFrame, gold: DataFrame, topics: DataFrame, levels: int = 5, question: str = "question") -> DataFrame:
+    """level, topic, band, uid, n: the gold rows that the best combinations lack, counted for each depth of the topic label and
+    band of coverage (low < 0.33, mid < 0.66, high). topics(question, topic): a question with several counts for each."""
+    from patternloom.functions.scalar import topic_prefix
+
+    each = gold.join(best.select(question, "hits", "rows"), question, "left")
+    part = F.coalesce("hits", F.lit(0)) / F.greatest(F.size("gold"), F.lit(1))
+    band = F.when(part < 0.33, "low").when(part < 0.66, "mid").otherwise("high")
+    rest = F.array_except("gold", F.coalesce("rows", F.slice("gold", 1, 0)))
+    each = each.select(question, band.alias("band"), F.explode(rest).alias("uid")).join(topics.select(question, "topic"), question)
+    each = each.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels)))).withColumn("topic", topic_prefix(F.col("topic"), F.col("level")))
+    return each.groupBy("level", "topic", "band", "uid").agg(F.count("*").alias("n"))
+
+
 def leftover_rows(solutions: DataFrame, gold: DataFrame, question: str = "question", rows: str = "uids") -> DataFrame:
     """uid, n: gold rows that no solution of their question holds, and for how many questions."""
     held = solutions.select(question, F.explode(rows).alias("uid")).distinct()

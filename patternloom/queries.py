@@ -1053,3 +1053,44 @@ def row_annotation(spark, d):
     token = F.col("alts_1")[0]["slots"][0]
     rows = store["T"].annotated([1], content_only=False, whole_rows=True)
     return rows.select("uid", token[0].alias("word"), F.upper(F.replace(F.element_at(token, -1), F.lit("pos:"), F.lit(""))).alias("tag"))
+
+
+_BEST = f"""
+s AS (SELECT s.q, s.sol, s.uids, g.gold FROM ({_SETS}) s JOIN ({_GOLD}) g ON s.q = g.q WHERE len(list_intersect(uids, gold)) > 0),
+p AS (SELECT 1 AS k, q, gold, uids AS u, [sol] AS ids FROM s UNION ALL SELECT 2, a.q, a.gold, list_distinct(list_concat(a.uids, b.uids)), CASE WHEN a.sol = b.sol THEN [a.sol] ELSE [a.sol, b.sol] END FROM s a JOIN s b ON a.q = b.q AND a.sol <= b.sol),
+c AS (SELECT k, q, u, ids, len(list_intersect(u, gold)) AS hits, len(u) - len(list_intersect(u, gold)) AS extras FROM p),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, q ORDER BY hits DESC, extras, ids) AS n FROM c) WHERE n = 1),
+every AS (SELECT k, g.q, g.gold, coalesce(hits, 0) AS hits, coalesce(extras, 0) AS extras, u FROM ({_GOLD}) g CROSS JOIN (SELECT unnest([1, 2]) AS k) LEFT JOIN best USING (k, q))"""
+
+
+def best_by_k(spark, d) -> tuple[dict[int, DataFrame], DataFrame]:
+    sols, gold = order_sets(spark, d)
+    return {k: evaluation.best_combination(sols, gold, k=k) for k in (1, 2)}, gold
+
+
+@query("overlap_histogram", f"""
+WITH {_BEST}
+SELECT CAST(k AS INTEGER) AS k, CAST(overlap AS INTEGER) AS overlap, count(q) AS n FROM (SELECT unnest(range(15)) AS overlap) JOIN every ON hits = overlap GROUP BY ALL
+UNION ALL SELECT CAST(k AS INTEGER), CAST(overlap AS INTEGER), 0 FROM (SELECT unnest([1, 2]) AS k), (SELECT unnest(range(15)) AS overlap) WHERE (k, overlap) NOT IN (SELECT (k, hits) FROM every)""")
+def overlap_histogram(spark, d):
+    """How many questions have 0 to 14 gold rows in their best solution, or their best two."""
+    return evaluation.overlap_histogram(*best_by_k(spark, d))
+
+
+@query("combination_averages", f"WITH {_BEST} SELECT CAST(k AS INTEGER) AS k, round(avg(hits / len(gold)), 6) AS mean_overlap, round(avg(extras), 6) AS mean_extra FROM every GROUP BY k")
+def combination_averages(spark, d):
+    got = evaluation.combination_averages(*best_by_k(spark, d))
+    return got.select("k", F.round("mean_overlap", 6).alias("mean_overlap"), F.round("mean_extra", 6).alias("mean_extra"))
+
+
+@query("leftover_by_topic", f"""
+WITH {_BEST},
+t AS (SELECT o_orderkey AS q, string_split(replace(o_orderpriority, '-', '_'), '_') AS topic FROM orders),
+r AS (SELECT q, CASE WHEN hits / len(gold) < 0.33 THEN 'low' WHEN hits / len(gold) < 0.66 THEN 'mid' ELSE 'high' END AS band, unnest(list_filter(gold, lambda x: u IS NULL OR NOT list_contains(u, x))) AS uid FROM every WHERE k = 1),
+l AS (SELECT q, topic, unnest([1, 2]) AS level FROM t)
+SELECT CAST(level AS INTEGER) AS level, array_to_string(topic[1:level], '_') AS topic, band, uid, count(*) AS n FROM r JOIN l USING (q) GROUP BY ALL""")
+def leftover_by_topic(spark, d):
+    """Gold rows that the best solutions lack, by topic and band of coverage."""
+    best, gold = best_by_k(spark, d)
+    topics = read(spark, d, "orders").select(F.col("o_orderkey").alias("question"), F.replace("o_orderpriority", F.lit("-"), F.lit("_")).alias("topic"))
+    return evaluation.leftover_by_topic(best[1], gold, topics, 2)
