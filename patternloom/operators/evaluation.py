@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +15,12 @@ def overlap(solutions: DataFrame, gold: DataFrame, question: str = "question", r
 
 def best_combination(solutions: DataFrame, gold: DataFrame, k: int = 2, question: str = "question", solution: str = "solution", rows: str = "uids", by_score: str | None = None) -> DataFrame:
     """The best union of up to k solutions of a question that have a gold row, with its rows: most hits, then fewest extras (or
-    the highest sum of by_score), then the smallest solution ids."""
+    the highest sum of by_score), then the smallest solution ids.
+
+    Up to two, and scored ones, are joined; three and more are looked for question by question, with a bound (see chosen())."""
     short = overlap(solutions, gold, question, rows).where("hits > 0")
+    if k > 2 and by_score is None:
+        return searched(short.select(question, F.col(solution).alias("id"), F.col(rows).alias("rows"), "gold"), k, question)
     extra = [F.col(by_score).alias("score")] if by_score else [F.lit(0.0).alias("score")]
     short = short.select(question, F.col(solution).alias("id"), F.col(rows).alias("rows"), "gold", *extra)
     out = short.select(question, "gold", F.array("id").alias("ids"), F.col("id").alias("last"), "rows", "score")
@@ -30,6 +34,65 @@ def best_combination(solutions: DataFrame, gold: DataFrame, k: int = 2, question
     return out.withColumn("_n", F.row_number().over(Window.partitionBy(question).orderBy(*order))).where("_n = 1").select(question, "ids", "hits", "extras", "score", "rows")
 
 
+def searched(short: DataFrame, k: int, question: str) -> DataFrame:
+    """best_combination() of more than two; of solutions with the same rows only the one with the smallest id is looked at."""
+    plain = short.withColumn("rows", F.array_sort(F.array_distinct("rows"))).groupBy(question, "rows", "gold").agg(F.min("id").alias("id"))
+    kind = {f.name: f.dataType.simpleString() for f in plain.schema}
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        gold = set(group["gold"].iloc[0])
+        number: dict = {}
+        bits = lambda rows, inside: sum({1 << number.setdefault(r, len(number)) for r in rows if (r in gold) == inside})
+        held = [(bits(r, True), bits(r, False)) for r in group["rows"]]
+        best, hits, extras = chosen(held, k)
+        return pd.DataFrame({question: [group[question].iloc[0]], "ids": [[group["id"].iloc[i] for i in best]], "hits": [hits], "extras": [extras], "score": [0.0], "rows": [sorted({r for i in best for r in group["rows"].iloc[i]})]})
+
+    return plain.groupBy(question).applyInPandas(run, f"`{question}` {kind[question]}, ids array<{kind['id']}>, hits int, extras int, score double, rows {kind['rows']}")
+
+
+def chosen(held: list[tuple[int, int]], k: int) -> tuple[list[int], int, int]:
+    """Which of the solutions, given as bitmaps of their gold and other rows, are best together, with hits and extras.
+
+    The first pass finds the best figures: solutions with many new gold rows first, no further where the largest ones left
+    can't reach what was found. The second takes the first combination in order that has these figures.
+    """
+    size = [g.bit_count() for g, _ in held]
+
+    def search(order: list[int], best: tuple[int, int], strictly: bool) -> tuple[list[int], tuple[int, int]]:
+        """Combinations along an order that are better than best, or at least as good, where the first such one ends it."""
+        most = [0] * (len(order) + 1)  # the largest solution from a place on
+        for i in range(len(order) - 1, -1, -1):
+            most[i] = max(most[i + 1], size[order[i]])
+        found: list[int] = []
+
+        def visit(at: int, taken: list[int], gold: int, other: int) -> bool:
+            nonlocal best, found
+            for i in range(at, len(order)):
+                left = k - len(taken)
+                if not hopeful(gold.bit_count() + left * most[i], other.bit_count()):
+                    return False
+                g, o = gold | held[order[i]][0], other | held[order[i]][1]
+                now = (g.bit_count(), -o.bit_count())
+                if hopeful(*(now[0], -now[1])):
+                    best, found = now, [*taken, order[i]]
+                    if not strictly:
+                        return True
+                if left > 1 and visit(i + 1, [*taken, order[i]], g, o):
+                    return True
+            return False
+
+        def hopeful(hits: int, extras: int) -> bool:
+            return (hits, -extras) > best if strictly else (hits, -extras) >= best
+
+        visit(0, [], 0, 0)
+        return found, best
+
+    _, figures = search(sorted(range(len(held)), key=lambda i: (-size[i], held[i][1].bit_count())), (-1, 0), True)
+    ids, _ = search(list(range(len(held))), figures, False)
+    return ids, figures[0], -figures[1]
+
+
 def ranked(scores: DataFrame, question: str = "question", uid: str = "uid", score: str = "score") -> DataFrame:
     """scores with rank: 1 for the highest score of a question, ties by uid."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(question).orderBy(F.desc(score), F.asc(uid))))

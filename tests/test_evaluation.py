@@ -99,3 +99,38 @@ def test_streaming_feed(spark, tmp_path):
     rows = spark.readStream.schema("cells array<string>").parquet(str(tmp_path / "in"))
     feed(rows, s, "T", checkpoint=str(tmp_path / "cp")).awaitTermination()
     assert s["T"].rows.count() == 2
+
+
+def test_search_of_combinations_equals_all_of_them(spark):
+    import itertools
+    import random
+
+    from patternloom.operators.evaluation import best_combination, chosen
+
+    rng = random.Random(6)
+    for _ in range(60):
+        held = [(rng.getrandbits(7) | 1 << rng.randrange(7), rng.getrandbits(4)) for _ in range(rng.randrange(1, 9))]
+        for k in (1, 2, 3, 4):
+            every = [c for n in range(1, k + 1) for c in itertools.combinations(range(len(held)), n)]
+            union = lambda c, x: __import__("functools").reduce(int.__or__, (held[i][x] for i in c)).bit_count()  # noqa: B023, E731
+            best = min(every, key=lambda c: (-union(c, 0), union(c, 1), c))
+            assert chosen(held, k) == (list(best), union(best, 0), union(best, 1))
+    rows = [(q, s, rng.sample(range(12), rng.randrange(1, 5))) for q in range(5) for s in range(8)]
+    df, gold = spark.createDataFrame(rows, "question int, solution int, uids array<int>"), spark.createDataFrame([(q, list(range(6))) for q in range(5)], "question int, gold array<int>")
+    got = {r.question: (r.ids, r.hits, r.extras) for r in best_combination(df, gold, k=3).collect()}
+    for q in range(5):
+        mine = {s: set(u) for p, s, u in rows if p == q and set(u) & set(range(6))}
+        figures = lambda c: (-len(set().union(*(mine[i] for i in c)) & set(range(6))), len(set().union(*(mine[i] for i in c)) - set(range(6))), c)  # noqa: B023, E731
+        best = min((c for n in (1, 2, 3) for c in itertools.combinations(sorted(mine), n)), key=figures)
+        assert got[q] == (list(best), -figures(best)[0], figures(best)[1])
+
+
+def test_four_of_a_thousand_solutions_end():
+    import random
+
+    from patternloom.operators.evaluation import chosen
+
+    rng = random.Random(7)
+    held = [(sum(1 << b for b in rng.sample(range(14), rng.randrange(1, 4))), rng.getrandbits(40) & rng.getrandbits(40) & rng.getrandbits(40)) for _ in range(1_000)]
+    ids, hits, extras = chosen(held, 4)
+    assert len(ids) == 4 and hits == 12 and extras == (held[ids[0]][1] | held[ids[1]][1] | held[ids[2]][1] | held[ids[3]][1]).bit_count()
