@@ -1,7 +1,9 @@
-"""License scans: each template's rarest key word looks up its places, all words around vote by relative position; key phrases decide."""
+"""License scans: a file's rarest licence words look up the templates' postings, which meet by relative position; key phrases decide."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,19 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("spdx", "spdx license identifier", "spdx license identifier"),
+    ("apache-2.0", "licensed under the apache 2 0 license", "apache 2 0"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial license", "creative commons attribution noncommercial"),
+    ("cc-by-nc", "attribution noncommercial", "attribution noncommercial"),
 )
-#: Places of a template that are compared at once.
-PLACES = 1_000
+#: Labels by the identifiers that stand behind `SPDX` or `SPDX-License-Identifier`: templates are made of them.
+IDENTIFIERS = {"mit": "mit", "apache 2 0": "apache-2.0", "bsd": "bsd", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "mpl 2 0": "mpl-2.0", "isc": "isc", "cc0": "cc0", "unlicense": "unlicense", "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc"}
+ALL = (*TEMPLATES, *((label, f"{front} {name}", f"{front.split()[-1]} {name}") for name, label in IDENTIFIERS.items() for front in ("spdx license identifier", "spdx")))
+#: Words that turn a mention around, where one stands at most so many words before a key phrase.
+NEGATIONS, REACH = ("not", "never", "nor"), 3
+#: Distinct licence words of a file that are looked up, the rarest ones, besides each possible template's two rarest key words.
+RAREST = 8
+#: Postings that are brought together at once.
+POSTINGS = 1 << 20
 
 
 class Rules:
@@ -39,10 +51,17 @@ class Rules:
         self.ids: dict[bytes, int] = {}
         number = lambda s: np.array([self.ids.setdefault(w.encode(), len(self.ids) + 1) for w in s.split()])
         self.base = [(number(p), label) for p, label in PHRASES]
-        self.templates = [(label, number(t), number(key)) for label, t, key in TEMPLATES]
+        self.templates = [(label, number(t), number(key)) for label, t, key in ALL]
         keys = [tuple(key.tolist()) for _, _, key in self.templates]
         #: For each template the longer key phrases that begin with its own: a place of one of these is none of its own.
         self.longer = [sorted({k for k in keys if len(k) > len(key) and k[: len(key)] == key}) for key in keys]
+        self.key_at = [next(i for i in range(len(t)) if tuple(t[i : i + len(key)]) == tuple(key)) for _, t, key in self.templates]
+        self.negations = number(" ".join(NEGATIONS))
+        self.size = len(self.ids) + 1
+        rows = sorted((int(w), k, o) for k, (_, t, _) in enumerate(self.templates) for o, w in enumerate(t))
+        #: The postings: for each word the templates and offsets where it stands.
+        self.first = np.searchsorted([w for w, _, _ in rows], np.arange(self.size + 1))
+        self.template, self.offset = np.array([k for _, k, _ in rows]), np.array([o for _, _, o in rows])
 
 
 def numbered(rules: Rules, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,36 +108,60 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, dict[i
     return df.pop(0, 0), df
 
 
+def aligned(rules: Rules, idf: np.ndarray, words: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(templates, places): where a template may begin, as at least two of a file's looked-up words agree in it.
+
+    A file looks up its RAREST licence words by inverse document frequency, and of each template whose key phrase's words it all
+    has the two rarest of these: so no place of a key phrase is missed, however many licences a file names. A file that has no
+    template's key words looks up none.
+    """
+    at = np.flatnonzero(words[: len(words) - 64])
+    if not len(at):
+        return
+    doc = np.searchsorted(off, at, "right") - 1
+    present = np.zeros((len(off) - 1, rules.size), bool)
+    present[doc, words[at]] = True
+    order = np.argsort(-idf, kind="stable")
+    asked = np.zeros_like(present)
+    asked[:, order] = present[:, order] & (np.cumsum(present[:, order], axis=1) <= RAREST)
+    possible = np.zeros(len(present), bool)
+    for _, _, key in rules.templates:
+        has = present[:, key].all(axis=1)
+        possible |= has
+        rare = np.unique(key)[np.argsort(-idf[np.unique(key)], kind="stable")[:2]]
+        asked[np.ix_(has, rare)] = True
+    asked[~possible] = False
+    at = at[asked[doc, words[at]]]
+    n = rules.first[words[at] + 1] - rules.first[words[at]]
+    parts = np.cumsum(n) // POSTINGS
+    margin, found = 256, []
+    for part in np.split(at, np.flatnonzero(np.diff(parts)) + 1):
+        k = rules.first[words[part] + 1] - rules.first[words[part]]
+        row = np.repeat(rules.first[words[part]], k) + np.arange(int(k.sum())) - np.repeat(offsets(k)[:-1], k)
+        found.append(rules.template[row] * (len(words) + 2 * margin) + np.repeat(part, k) - rules.offset[row] + margin)
+        found = [np.sort(np.concatenate(found))] if len(found) > 8 else found
+    keys, count = np.unique(np.concatenate(found), return_counts=True)
+    keys = keys[count >= 2]
+    yield keys // (len(words) + 2 * margin), keys % (len(words) + 2 * margin) - margin
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __words, __base (places of base phrases), __first, __last, __base_labels, __labels and __score.
 
-    A null or empty text has no words and no labels. Every place of a template's key phrase in the whole text, looked up by
-    the phrase's word with the highest inverse document frequency, tells its label, but for places where another template's
-    longer phrase begins with it. All words around vote for the places of
-    the template that hold the phrase; it scores the part of its words that agree at the best of them.
+    A null or empty text has no words and no labels. Where the looked-up words of a file agree on a template's place (see
+    aligned()) and its key phrase stands there, the template's label is told, unless another template's longer phrase begins
+    with that one or a negation stands up to REACH words before it; the score is the part of the template's words that agree.
+    Columns of docs that begin with two underscores are left out.
     """
     count, df = document_frequency(docs, text)
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema if not f.name.startswith("__")]
 
     def once():
         rules = Rules()
-        idf = np.zeros(len(rules.ids) + 1)
-        for w in range(1, len(idf)):
+        idf = np.zeros(rules.size)
+        for w in range(1, rules.size):
             idf[w] = np.log((count + 1) / (df.get(w, 0) + 1))
 
-        rarest = [int(np.argmax(idf[key])) for _, _, key in rules.templates]
-
-        def scores_of(words: np.ndarray, off: np.ndarray, doc: np.ndarray, at: np.ndarray, t: np.ndarray, key: np.ndarray) -> np.ndarray:
-            """The best part of t's words that agree where the key phrase at each place is within t; texts end at their bounds."""
-            out = np.empty(len(at))
-            shift = np.arange(len(key) - len(t), 1)[:, None] + np.arange(len(t))
-            for k in range(0, len(at), PLACES):
-                d = doc[k : k + PLACES]
-                p = at[k : k + PLACES, None, None] + shift
-                inside = (p >= off[d][:, None, None]) & (p < off[d + 1][:, None, None])
-                out[k : k + PLACES] = ((words[np.clip(p, 0, len(words) - 1)] == t) & inside).sum(axis=2).max(axis=1) / len(t)
-            return out
-
         def step(t: pa.Table, texts: list[bytes]) -> pa.Table:
             words, lens = numbered(rules, texts)
             off = offsets(lens + 1)
@@ -134,14 +177,24 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 for d in set(doc.tolist()):
                     base[d].add(label)
             labels, scores = [set(x) for x in base], np.array([1.0 if x else 0.0 for x in base])
-            for (label, t_words, key), r, longer in zip(rules.templates, rarest, rules.longer, strict=True):
-                at = places(words, key, r)
-                for k in longer:
-                    at = at[(words[at[:, None] + np.arange(len(k))] != k).any(axis=1)]
-                doc = np.searchsorted(off, at, "right") - 1
-                np.maximum.at(scores, doc, scores_of(words, off, doc, at, t_words, key))
-                for d in np.unique(doc).tolist():
-                    labels[d].add(label)
+            for which, begin in aligned(rules, idf, words, off):
+                for k in np.unique(which).tolist():
+                    label, t_words, key = rules.templates[k]
+                    at = begin[which == k]
+                    at = at[at + rules.key_at[k] >= 0] + rules.key_at[k]
+                    for j, w in enumerate(key):
+                        at = at[words[np.minimum(at + j, len(words) - 1)] == w]
+                    for longer in rules.longer[k]:
+                        at = at[(words[at[:, None] + np.arange(len(longer))] != longer).any(axis=1)]
+                    doc = np.searchsorted(off, at, "right") - 1
+                    before = at[:, None] - np.arange(1, REACH + 1)
+                    denied = np.isin(words[np.maximum(before, 0)], rules.negations) & (before >= off[doc][:, None])
+                    at, doc = at[~denied.any(axis=1)], doc[~denied.any(axis=1)]
+                    p = at[:, None] - rules.key_at[k] + np.arange(len(t_words))
+                    inside = (p >= off[doc][:, None]) & (p < off[doc + 1][:, None])
+                    np.maximum.at(scores, doc, ((words[np.clip(p, 0, len(words) - 1)] == t_words) & inside).mean(axis=1))
+                    for d in np.unique(doc).tolist():
+                        labels[d].add(label)
             none = total == 0
             for name, column in (("__words", pa.array(lens)), ("__base", pa.array(total)), ("__first", pa.array(first, mask=none)), ("__last", pa.array(last, mask=none)), ("__base_labels", pa.array([",".join(sorted(x)) for x in base])), ("__labels", pa.array([",".join(sorted(x)) for x in labels])), ("__score", pa.array(np.clip(scores, 0, 1)))):
                 t = t.append_column(name, column)
@@ -164,6 +217,7 @@ def brute(text: str | None) -> tuple[int, int, str, str]:
     at = lambda p: [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
     found = [(label, len(at(p.split()))) for p, label in PHRASES]
     base = {label for label, n in found if n}
-    keys = [key.split() for _, _, key in TEMPLATES]
-    more = {label for label, _, key in TEMPLATES for i in at(key.split()) if not any(len(k) > len(key.split()) and w[i : i + len(k)] == k and k[: len(key.split())] == key.split() for k in keys)}
+    keys = [key.split() for _, _, key in ALL]
+    denied = lambda i: any(x in NEGATIONS for x in w[max(0, i - REACH) : i])
+    more = {label for label, _, key in ALL for i in at(key.split()) if not denied(i) and not any(len(k) > len(key.split()) and w[i : i + len(k)] == k and k[: len(key.split())] == key.split() for k in keys)}
     return len(w), sum(n for _, n in found), ",".join(sorted(base)), ",".join(sorted(base | more))

@@ -4,6 +4,7 @@ from collections import Counter
 
 from patternloom.llm import op01_decontamination as op1
 from patternloom.llm import op04_toxicity as op4
+from patternloom.llm import op06_licenses as op6
 from patternloom.llm import op09_sharding as op9
 
 
@@ -62,3 +63,16 @@ def test_equal_words_are_matched_without_their_product(monkeypatch):
     few = [(n, t) for n, t in items[:20]]
     small = b"".join(b"z%d " % (k % 7) + shared for k in range(20)) + few[12][1]
     assert scanned(few, [small, b"", small])[0]["__longest"] == [{"length": 16, "item_id": "i0012", "item_start": 0, "doc_start": 300}, None, {"length": 16, "item_id": "i0012", "item_start": 0, "doc_start": 300}]
+
+
+def test_licences_are_told_by_aligned_words(spark):
+    """Identifiers, denied mentions, and a notice that names every licence."""
+    texts = {
+        1: "This is not under the MIT license.", 2: "SPDX-License-Identifier: GPL-3.0-only", 3: "SPDX: Apache-2.0", 4: "Apache-2.0 license", 5: "Creative Commons Attribution-NonCommercial 4.0",
+        6: "released under the MIT license, not the Apache License, Version 2.0", 7: " filler ".join(f"{t} x" for _, t, _ in op6.ALL), 8: "license mit spdx attribution creative identifier", 9: "the " * 5_000 + "MIT License " * 3_000,
+    }
+    got = {r.doc_id: (r["__labels"], r["__score"]) for r in op6.scan(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert [got[k][0] for k in (1, 2, 3, 4, 5, 6, 8)] == ["", "gpl,spdx", "apache-2.0", "apache-2.0", "cc-by-nc", "mit", ""]
+    assert set(got[7][0].split(",")) >= {label for label, _, _ in op6.ALL} and got[7][1] == 1.0
+    assert got[9][0] == "mit" and 0.3 < got[9][1] < 0.7
+    assert all(got[k][0] == op6.brute(t)[3] for k, t in texts.items())
