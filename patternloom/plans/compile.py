@@ -343,7 +343,7 @@ def filter_early(cands: list[Candidates], cond: Expr) -> None:
             c.rows = c.rows.where(F.coalesce(evaluate(cond, Scope({n: omni_text(F.col(bound[n].column)) for n in names})), F.lit(True)))
 
 
-def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None, tasks: int | None = None, sources: list[Store] | None = None) -> DataFrame:
+def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None, tasks: int | None = None, sources: list[Store] | None = None, distinct: bool = True) -> DataFrame:
     """The solutions of a pattern: uid_<slot>, relax_<slot>, v_<variable>, o_<variable> (its words as they stand in the cells),
     n_opt_unfilled, relaxed_dyn, relaxed_total, executable, should_score, hash; without duplicates (same rows and same lemma text
     of all bindings; of such the least relaxed one is kept), and ordered where there is a limit.
@@ -353,7 +353,8 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
 
     Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x. Hot keys are dealt out over
     `tasks` where it is given, or where the slots' tables are planned to have more than LARGE bytes; counting keys takes a job for
-    each join, which small tables don't need. With `sources` each slot reads a store of its own.
+    each join, which small tables don't need. With `sources` each slot reads a store of its own. Where
+    duplicates don't matter, distinct=False leaves them in and spares a shuffle.
     """
     slots = [lowered(s, pattern.constants) for s in pattern.slots]
     where = store.locate(static_uids(pattern))
@@ -398,7 +399,7 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     rest = ["n_opt_unfilled", "relaxed_dyn", "relaxed_total", *loosened, *words, *values, "executable", "should_score", "hash"]
     texts = {f"_t{i}": F.coalesce(omni_text(F.col(v)), F.lit("\x00")) for i, v in enumerate(values)}
     out = out.select(*uids, *rest).withColumns(texts)
-    if uids or texts:
+    if distinct and (uids or texts):
         out = out.groupBy(*uids, *texts).agg(F.min(F.struct(*rest)).alias("_s")).select(*uids, *(F.col(f"_s.{c}").alias(c) for c in rest), *texts)
     if max_matches is not None:
         out = out.orderBy("n_opt_unfilled", "relaxed_dyn", "relaxed_total", *uids, *texts).limit(max_matches)

@@ -290,7 +290,7 @@ class Runtime:
         """(table, kind, cells) that a pattern's code generates for its executable solutions, of which at least one row is new."""
         kind = "TEMPGEN" if p.mode == "AUTOREGEN" else "GEN"
         if added is None:
-            found = [solve(self.store, p, None, self.lemmas)]
+            found = [solve(self.store, p, None, self.lemmas, distinct=False)]
         else:
             held = {name: before.get(name, t.rows) if name in added else t.rows for name, t in self.store.tables.items()}
             old, new, every = self.store.with_rows(held), self.store.with_rows(added), self.store
@@ -299,7 +299,7 @@ class Runtime:
                 if slot.ref.table.upper() in added:
                     filled = copy.copy(p)
                     filled.slots = [*p.slots[:j], Slot(slot.name, slot.ref), *p.slots[j + 1 :]]
-                    found.append(solve(every, filled, None, self.lemmas, sources=[old] * j + [new] + [every] * (len(p.slots) - j - 1)))
+                    found.append(solve(every, filled, None, self.lemmas, sources=[old] * j + [new] + [every] * (len(p.slots) - j - 1), distinct=False))
         for m in found:
             rows = self.texts_of(m).where("executable")
             names = {c.replace("__", "."): F.col(f"`{c}`") for c in rows.columns if c not in ("hash", "executable", "n_opt_unfilled")}

@@ -214,21 +214,20 @@ class Store:
         out = Store(self.spark, self.whole_rows)
         for name, df in rows.items():
             t = self[name]
-            out.add(Table(t.name, t.header, df, t.roles))
+            table = Table(t.name, t.header, df, t.roles)
+            table.planned = 1 << 62  # not worth planning for
+            out.add(table)
         return out
 
     def fresh(self, name: str, cells: DataFrame, kind: str = "GEN") -> DataFrame:
         """The rows that insert() would add."""
-        return self._given(name, cells, kind).where("old is null").select(F.col("_made").alias("uid"), "cells", F.lit(kind).alias("generated"))
+        have = self[name].rows.select(self[name].duplicates_key().alias("_key"))
+        return self._given(name, cells, kind).join(have, "_key", "left_anti").select(F.col("_made").alias("uid"), "cells", F.lit(kind).alias("generated"))
 
     def _given(self, name: str, cells: DataFrame, kind: str) -> DataFrame:
-        """cells, each once, with _made (a uid of its content) and old (that of the table's row with the same DATA words)."""
-        t = self[name]
-        key = t.duplicates_key()
-        given = cells.select("cells").withColumn("_key", key).dropDuplicates(["_key"])
-        made = F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(t.name), "_key"), 256), 1, 16))
-        have = t.rows.withColumn("_key", key).groupBy("_key").agg(F.min("uid").alias("old"))
-        return given.withColumn("_made", made).join(have, "_key", "left")
+        """cells, each once, with _key (its DATA words) and _made (a uid of them)."""
+        given = cells.select("cells").withColumn("_key", self[name].duplicates_key()).dropDuplicates(["_key"])
+        return given.withColumn("_made", F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("\x1f", F.lit(self[name].name), "_key"), 256), 1, 16)))
 
     def insert(self, name: str, cells: DataFrame, kind: str = "GEN") -> DataFrame:
         """Add rows given as cells ARRAY<STRING>; those whose DATA words the table already has are left out.
@@ -236,8 +235,10 @@ class Store:
         A new row's uid is made of its content, so a repeated step adds nothing. Returns uid for every given row: its own or
         that of the row it repeats.
         """
-        t, given = self[name], self._given(name, cells, kind)
-        self.add(Table(t.name, t.header, t.rows.unionByName(self.fresh(name, cells, kind)), t.roles))
+        t, fresh = self[name], self.fresh(name, cells, kind)
+        have = t.rows.withColumn("_key", t.duplicates_key()).groupBy("_key").agg(F.min("uid").alias("old"))
+        given = self._given(name, cells, kind).join(have, "_key", "left")
+        self.add(Table(t.name, t.header, t.rows.unionByName(fresh), t.roles))
         return given.select(F.coalesce("old", "_made").alias("uid"), "cells", F.col("old").isNull().alias("added"))
 
 
