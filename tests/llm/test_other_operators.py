@@ -147,6 +147,15 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in op10.filter_urls(df, redirects=redirects).collect()}[13] == "block"
 
 
+def test_each_rule_has_the_word_of_the_contract(spark):
+    """A page for each rule, on its host and on a subdomain; an alias of a page that net/de/ allows is allowed."""
+    said = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
+    want = [(f"http://{sub}{h}{p}z", h + p, v) for (h, p), v in said.items() for sub in ("", "x.")]
+    rows = [(k, u, "") for k, (u, _, _) in enumerate(want)] + [(90, "http://free.test/z", '<link rel="canonical" href="http://y.net/de/1"><link rel="canonical" href="http://y.org/es/1">')]
+    got = {r.page_id: (r.rule, r.verdict) for r in op10.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: (rule, v) for k, (_, rule, v) in enumerate(want)} | {90: (None, "allow")}
+
+
 def test_spellings_of_a_url_are_one(spark):
     link = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [
