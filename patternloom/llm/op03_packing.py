@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternloom.llm.common import Lexicon, binaries, chunks, offsets, prepare, read, runs, save, tidy
+from patternloom.llm.common import CHUNK_BYTES, binaries, chunks, offsets, prepare, read, runs, save, tidy
 
 CONTEXT = 4096
 #: Tokens of one shard: its index is built and used in one task.
@@ -24,7 +27,9 @@ K1, B = 1.2, 0.75
 DIMS, SAMPLED, LEAST = 64, 24, 2_000
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces between spaces whose ids a worker remembers.
-PIECES = 600_000
+PIECES = 1_000_000
+#: Text whose pieces are looked up at once, in bytes.
+BLOCK_BYTES = 16 << 20
 
 
 #: What no plain piece holds: other than visible ASCII and precomposed Latin-1 letters, or the start of a special token. A
@@ -58,11 +63,35 @@ class Ids:
         return self.ids[np.repeat(self.off[index] - at[:-1], n) + np.arange(at[-1])], at
 
 
+def lined(pieces: pa.Array) -> str:
+    """The pieces, one on each line."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces.cast(pa.string())), "\n")[0].as_py()
+
+
+class Known:
+    """Texts that have numbers, in order of first sight, and the ids of each."""
+
+    def __init__(self, kind: type) -> None:
+        self.texts, self.ids = pa.array([], pa.large_string()), Ids(kind)
+
+    def index(self, texts: pa.Array, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The numbers of distinct texts; learn gives the ids of new ones, one after another, and how many each has."""
+        at = pc.index_in(texts, value_set=self.texts)
+        new = at.is_null()
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = texts.filter(new)
+        if len(fresh):
+            at[new.to_numpy(zero_copy_only=False)] = len(self.texts) + np.arange(len(fresh))
+            self.ids.add(*learn(fresh))
+            self.texts = pa.concat_arrays([self.texts, fresh])
+        return at
+
+
 class Encoder:
     """The tokenizer's ids, computed once for each distinct piece between ASCII spaces: no token reaches over a space.
 
     Plain pieces are cut here, all new ones at once, and their parts, which many pieces share, go to the tokenizer's model;
-    any other piece goes through the whole tokenizer.
+    any other piece goes through the whole tokenizer. Pieces and parts are told apart by Arrow, a block of texts at a time.
     """
 
     def __init__(self, name: str) -> None:
@@ -78,47 +107,63 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.ids = Lexicon(), Ids(self.kind)
-        self.parts, self.part_ids = Lexicon(), Ids(self.kind)
-        self.parts["\n"] = 0  # the end of a piece has no ids
-        self.part_ids.add(np.empty(0), np.zeros(1, np.int64))
-
-    def whole(self, pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-
-    def learn(self, pieces: list[bytes]) -> None:
+        self.pieces, self.parts = Known(self.kind), Known(self.kind)
+        self.parts.index(pa.array(["\n"], pa.large_string()), lambda end: (np.empty(0), np.zeros(1, np.int64)))  # the end of a piece has no ids
+
+    def flat(self, got: Iterable[list[int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = [], np.empty(size, np.int64)
+        for k, x in enumerate(got):
+            ids.extend(x)
+            n[k] = len(x)
+        return np.array(ids, self.kind), n
+
+    def learn_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new parts."""
+        shown = lined(parts).encode().decode("latin-1").translate(self.shown).split("\n")
+        return self.flat(([t.id for t in toks] for toks in map(self.tokenizer.model.tokenize, shown)), len(parts))
+
+    def learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces."""
-        lines = b"\n".join(pieces).decode() + "\n"
-        ends = np.cumsum(np.fromiter((len(x) + 1 for x in lines.split("\n")[:-1]), np.int64, len(pieces)))
-        hard = np.unique(np.searchsorted(ends, [m.start() for m in HARD.finditer(lines)], "right")) if self.plain else np.arange(len(pieces))
-        flat = CUTS.findall(lines.lower()) if self.plain else ["\n"] * len(pieces)
-        index = np.fromiter(map(self.parts.__getitem__, flat), np.int64, len(flat))
-        if self.parts.fresh:
-            shown = "\n".join(self.parts.fresh).encode().decode("latin-1").translate(self.shown).split("\n")
-            got = [[t.id for t in toks] for toks in map(self.tokenizer.model.tokenize, shown)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            self.part_ids.add(np.fromiter(itertools.chain.from_iterable(got), self.kind, int(n.sum())), n)
-            self.parts.fresh = []
-        ids, at = self.part_ids.of(index)
+        if not self.plain:
+            return self.whole(pieces.to_pylist())
+        lines = lined(pieces) + "\n"
+        hard = [m.start() for m in HARD.finditer(lines)]
+        cuts = pa.array(CUTS.findall(lines.lower()), pa.large_string()).dictionary_encode()
+        index = self.parts.index(cuts.dictionary, self.learn_parts)[cuts.indices.to_numpy()]
+        ids, at = self.parts.ids.of(index)
         cut = np.concatenate([[0], at[1:][index == 0]])
-        if len(hard):
+        if hard:
+            ends = np.cumsum(pc.utf8_length(pieces).to_numpy() + 1)
             each = np.split(ids, cut[1:-1])
-            for k, got in zip(hard.tolist(), self.whole([pieces[k] for k in hard]), strict=True):
-                each[k] = np.array(got, self.kind)
+            hard = np.unique(np.searchsorted(ends, hard, "right"))
+            got, n = self.whole(pieces.take(pa.array(hard)).to_pylist())
+            for k, x in zip(hard.tolist(), np.split(got, np.cumsum(n)[:-1]), strict=True):
+                each[k] = x
             ids, cut = np.concatenate(each), offsets(np.fromiter(map(len, each), np.int64, len(each)))
-        self.ids.add(ids, np.diff(cut))
+        return ids, np.diff(cut)
+
+    def whole(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.flat((e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)), len(pieces))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array and the number of each text's."""
-        if len(self.words) > PIECES:
+    def encode(self, texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of texts of about CHUNK_BYTES, first to end: the ids of a run's texts in one array and the number of each text's."""
+        if len(self.pieces.texts) > PIECES:
             self.reset()
+        whole = pa.array(texts, pa.large_binary()).cast(pa.large_string())
         # normal forms are lower case, but a special token is not
-        index, lens = self.words.index([(t if b"<|" in t else t.lower()).split() for t in texts])
-        if self.words.fresh:
-            self.learn(self.words.fresh)
-            self.words.fresh = []
-        ids, at = self.ids.of(index)
-        return ids, np.diff(at[offsets(lens)])
+        cut = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole)))
+        found = cut.flatten().dictionary_encode()
+        gc.disable()  # of the many small lists made here none is part of a cycle
+        try:
+            numbers = self.pieces.index(found.dictionary, self.learn)
+        finally:
+            gc.enable()
+        at, each = cut.offsets.to_numpy(), found.indices.to_numpy()
+        del whole, cut, found
+        size = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        for a, b in itertools.pairwise(runs(size // CHUNK_BYTES).tolist()):
+            ids, end = self.pieces.ids.of(numbers[each[at[a] : at[b]]])
+            yield a, b, ids, np.diff(end[at[a : b + 1] - at[a]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -293,16 +338,17 @@ def tokenize(docs: DataFrame, id: str, text: str, name: str) -> DataFrame:
         enc = encoder(name)
         total = np.zeros(enc.size, np.int64)
         end = np.array([END], enc.kind).tobytes()
-        for t, texts in chunks(batches, "text"):
-            ids, n = enc.encode(texts)
-            off = offsets(n)
-            key = np.sort((np.repeat(np.arange(len(n)), n) << 32) | ids)
-            total += np.bincount(key[runs(key)[:-1]] & 0xFFFFFFFF, minlength=enc.size)
-            total[END] += len(n)
-            raw, w = ids.tobytes(), ids.itemsize
-            tokens = binaries([raw[w * a : w * b] + end for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
-            yield from pa.table({"id": t["id"], "n": pa.array(n + 1), "tokens": tokens, "kind": pa.array(np.zeros(len(n), np.int32))}).to_batches()
-            t = texts = ids = key = raw = tokens = None
+        for t, texts in chunks(batches, "text", BLOCK_BYTES):
+            for a, b, ids, n in enc.encode(texts):
+                off = offsets(n)
+                key = np.sort((np.repeat(np.arange(len(n)), n) << 32) | ids)
+                total += np.bincount(key[runs(key)[:-1]] & 0xFFFFFFFF, minlength=enc.size)
+                total[END] += len(n)
+                raw, w = ids.tobytes(), ids.itemsize
+                tokens = binaries([raw[w * i : w * j] + end for i, j in itertools.pairwise(off.tolist())])
+                yield from pa.table({"id": t["id"].slice(a, b - a), "n": pa.array(n + 1), "tokens": tokens, "kind": pa.array(np.zeros(len(n), np.int32))}).to_batches()
+                ids = key = raw = tokens = None
+            t = texts = None
         used = np.flatnonzero(total)
         tidy()
         yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(total[used]), "tokens": pa.nulls(len(used), pa.binary()), "kind": pa.array(np.ones(len(used), np.int32))})

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -217,6 +218,38 @@ def test_packing_is_an_exact_round_trip(spark):
     assert op3.pack(frame(spark, []), context=256).count() == 0
 
 
+def test_a_block_looks_up_each_distinct_piece_once(monkeypatch):
+    """12,000 words and fewer than 300 lookups of pieces (in two cases) and parts; pieces once learned are not learned again, and a
+    reset changes no ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    words = [f"Word{k}," for k in range(40)] + ["<|endoftext|>X", "<|ENDOFTEXT|>", "</w>", "don'T", "\u0130stanbul", "\u03a3\u03b1\u03c2", "\u00c9\u00df", "a\x1cb", "\u65e5\u672c", "x\u0301"]
+    texts = ["", " ", *("\n " + rng.choice(" \t\v\f\r").join(rng.choices(words, k=60)) + "\r\n" for _ in range(200))]
+    blocks = [x.encode() for x in texts]
+    t = Tokenizer.from_file(public_tokenizers.path(op3.TOKENIZER))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    enc, asked, index = op3.Encoder(op3.TOKENIZER), [], op3.Known.index
+    monkeypatch.setattr(op3.Known, "index", lambda self, found, learn: asked.append(len(found)) or index(self, found, learn))
+    monkeypatch.setattr(op3, "CHUNK_BYTES", 4_000)  # some texts a run
+
+    def ids():
+        runs = list(enc.encode(blocks))
+        assert len(runs) > 10 and [a for a, *_ in runs] == [0, *(b for _, b, *_ in runs[:-1])] and runs[-1][1] == len(texts)
+        n = [k for *_, each in runs for k in each.tolist()]
+        flat = iter([k for _, _, ids, _ in runs for k in ids.tolist()])
+        return [list(itertools.islice(flat, k)) for k in n]
+
+    assert ids() == want and asked[0] <= 2 * len(words) and sum(asked) < 300
+    monkeypatch.setattr(op3.Encoder, "learn", None)
+    assert ids() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(op3, "CHUNK_BYTES", 4_000)
+    monkeypatch.setattr(op3, "PIECES", 10)
+    assert ids() == want
+
+
 def test_retrieval_fills_windows_with_neighbours():
     import numpy as np
 
