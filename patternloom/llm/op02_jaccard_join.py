@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternloom.llm.blocks import forest, grouped, map_blocks, neighbour_blocks
-from patternloom.llm.common import WordHashes, binaries, forget, grams, join_counted, map_chunks, mix, neutral, neutral_name, offsets, prepare, read, runs, save, tidy
+from patternloom.llm.common import WordHashes, binaries, chunks, forget, grams, join_counted, map_chunks, mix, neutral, neutral_name, offsets, prepare, read, runs, save, tidy
 from patternloom.llm.components import components
 
 #: Bits of one part of a sketch. Only its fingerprint is kept, so that width costs nothing.
@@ -26,8 +26,14 @@ BITMAP_BITS = 27
 SMALL = 8
 #: Clusters of candidates up to this size are verified in one block.
 WHOLE = 256
-#: Keys that a task sorts at once before they are dealt.
+#: Keys that a task sorts at once before they are dealt, and pairs that it holds to leave out repeated ones.
 HELD = 1_000_000
+#: A key is dealt by its first BUCKET bits; beside these it goes by its last REST bits.
+BUCKET, REST = 12, 36
+#: What is dealt by bucket: rows, pairs of classes (u, v, hub), and packed keys.
+DEALT = "bucket int, id long, cls long, n long, th long, sketch binary, u long, v long, hub boolean, keys binary"
+#: What buckets give: rows and pairs.
+MET = DEALT.removeprefix("bucket int, ").removesuffix(", keys binary")
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -108,7 +114,8 @@ def joined_rows(docs: DataFrame, id: str, text: str, k: int, threshold: float) -
     def digest_once():
         hashes, seen = WordHashes(), set()
 
-        def step(t: pa.Table, texts: list[bytes]):
+        def step(t: pa.Table, texts: list[bytes]) -> tuple[pa.Table, pa.RecordBatch | None]:
+            """The rows of a chunk, and one value in which its keys are."""
             s, sizes, digest = shingle_sets([x.lower() for x in texts], hashes, k)
             off = offsets(sizes)
             cls = digest[:, 0].view(np.int64)
@@ -125,22 +132,41 @@ def joined_rows(docs: DataFrame, id: str, text: str, k: int, threshold: float) -
                     got = sketch_keys(mine, band, threshold)
                     keys.append(got)
                     rows.append(c)
-            whole = pa.array(cls, mask=sizes == 0)
-            yield pa.table({"id": t["id"], "cls": whole, "n": pa.array(sizes.astype(np.int64)), "th": t["th"], "sketch": binaries([parity_sketch(s[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]), "keys": pa.nulls(len(texts), pa.binary())})
-            if keys:  # a chunk's in one value, which is read apart from the rows
-                held = b"".join([np.array([len(keys)], np.int64).tobytes(), np.array(rows, np.int64).tobytes(), np.array([len(x) for x in keys], np.int64).tobytes(), *(x.tobytes() for x in keys)])
-                none = pa.nulls(1, pa.int64())
-                yield pa.table({"id": none, "cls": none, "n": none, "th": none, "sketch": pa.nulls(1, pa.binary()), "keys": binaries([held])})
+            whole, ids = pa.array(cls, mask=sizes == 0), t["id"].to_pylist()
+            spread = mix(np.array([i if x is None else x for i, x in enumerate(ids)], np.int64).view(np.uint64)) >> np.uint64(64 - BUCKET)
+            told = dealt_rows(bucket=pa.array(spread.astype(np.int32)), id=t["id"], cls=whole, n=pa.array(sizes.astype(np.int64)), th=t["th"], sketch=binaries([parity_sketch(s[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]))
+            if not keys:
+                return told, None
+            held = b"".join([np.array([len(keys)], np.int64).tobytes(), np.array(rows, np.int64).tobytes(), np.array([len(x) for x in keys], np.int64).tobytes(), *(x.tobytes() for x in keys)])
+            return told, pa.RecordBatch.from_pydict({"keys": binaries([held])})
 
         return step
 
+    def digest(batches):
+        step, aside = digest_once(), []
+
+        def folded():
+            for t, texts in chunks(batches, "text"):
+                told, keys = step(t, texts)
+                aside.append(told)
+                if keys is not None:
+                    yield keys
+
+        for b in packed(unfolded(folded())):
+            while aside:
+                yield from aside.pop().to_batches(max_chunksize=20_000)
+            yield b
+        for told in aside:
+            yield from told.to_batches(max_chunksize=20_000)
+        tidy()
+
     hashed = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    both = save(map_chunks(hashed, "text", None, "id long, cls long, n long, th long, sketch binary, keys binary", once=digest_once), "jaccard")
-    rows = both.where("n is not null").drop("keys")  # each use reads the columns that it needs
-    keys = both.where("n is null").select("keys").mapInArrow(unfolded, "key long, cls long, hub long")
+    # keys, of which there are about as many bytes as of texts, are shuffled once and never written to the shared folder
+    both = save(met(hashed.mapInArrow(digest, DEALT)), "jaccard")
+    rows = both.where("n is not null").select("id", "cls", "n", "th", "sketch")  # each use reads the columns that it needs
     classes = rows.where("cls is not null").groupBy(F.col("cls").alias("node")).agg(F.min("id").alias("low"), F.min("th").alias("th"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = save(classes, "jaccard-classes")
-    pairs = save(candidate_pairs(keys), "jaccard-pairs")
+    pairs = save(once_each(both), "jaccard-pairs")
     cluster = save(components(likely(pairs, classes, threshold)), "jaccard-clusters")
     forget(pairs)
     members = save(cluster.join(classes.select("node", "th", "n", "copies"), "node").select(F.col("node").alias("id"), F.col("component").alias("grp"), "th", "n", "copies"), "jaccard-members")
@@ -231,69 +257,115 @@ def unfolded(batches):
     tidy()
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """keys(key, cls, hub) -> (u, v, hub): pairs of classes with an equal key. Rows that have a hub are such pairs already.
+def dealt_rows(**columns: pa.Array) -> pa.Table:
+    """A table as DEALT has it; columns that aren't given are null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    n = len(next(iter(columns.values())))
+    return pa.table({c: columns.get(c, pa.nulls(n, kinds[kind])) for c, kind in (x.split() for x in DEALT.split(", "))})
+
 
-    A run of up to SMALL classes gives all its pairs. A longer one links each class to its first (hub true), which keeps
+def packed(batches):
+    """(key, cls, hub) rows as DEALT has them: for each bucket of a batch one value, which holds its keys in about four bytes
+    each and their classes in eight. Rows that have a hub are pairs."""
+    for batch in batches:
+        key, cls, tied = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+        if tied.any():
+            links = np.unique(np.stack([cls[tied], batch.column(2).filter(batch.column(2).is_valid()).to_numpy()], axis=1), axis=0)
+            spread = mix(links[:, 0].view(np.uint64)) >> np.uint64(64 - BUCKET)
+            yield from dealt_rows(bucket=pa.array(spread.astype(np.int32)), u=pa.array(links[:, 0].copy()), v=pa.array(links[:, 1].copy()), hub=pa.array(np.ones(len(links), bool))).to_batches()
+            key, cls = key[~tied], cls[~tied]
+        if not len(key):
+            continue
+        bucket = (key.view(np.uint64) >> np.uint64(64 - BUCKET)).astype(np.int32)
+        rest = key & ((1 << REST) - 1)
+        order = np.lexsort((cls, rest, bucket))
+        bucket, rest, cls = bucket[order], rest[order], cls[order]
+        edge = runs(bucket)
+        step = np.diff(rest, prepend=0)
+        step[edge[:-1]] = rest[edge[:-1]]
+        width = [(x.bit_length() + 7) // 8 for x in np.maximum.reduceat(step, edge[:-1]).tolist()]
+        low = step.view(np.uint8).reshape(-1, 8)
+        values = [bytes([w]) + low[a:b, :w].tobytes() + cls[a:b].tobytes() for w, a, b in zip(width, edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        yield from dealt_rows(bucket=pa.array(bucket[edge[:-1]]), keys=binaries(values)).to_batches()
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    """The (key, cls) rows of a value of packed(), without the key's bucket."""
+    w = value[0]
+    n = (len(value) - 1) // (w + 8)
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :w] = np.frombuffer(value, np.uint8, n * w, 1).reshape(n, w)
+    return np.stack([np.cumsum(low.view(np.int64).ravel()), np.frombuffer(value, np.int64, n, 1 + n * w)], axis=1)
+
+
+def pairs_of(rows: np.ndarray) -> np.ndarray:
+    """(u, v, hub) of the (key, cls) rows of a bucket: pairs of classes with an equal key.
+
+    A run of up to SMALL classes gives all its pairs. A longer one links each class to its first (hub 1), which keeps
     the run together: such a link stands for pairs that it doesn't name, so it mustn't be dropped.
     """
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(n, F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.col("cls"))).sortWithinPartitions("key", "cls")
-
-    def pairs(k: np.ndarray, c: np.ndarray, long: np.ndarray | None):
-        """Of whole runs; long, the key of a run whose former part was long."""
-        edge = runs(k)
-        size = np.diff(edge)
-        first = edge[:-1]
-        many = size > SMALL
-        if long is not None and len(first) and k[0] == long[0]:
-            many[0] = True
-        u, v, hub = [], [], []
-        for g in range(2, SMALL + 1):
-            at = first[~many & (size == g)]
-            if len(at):
-                x, y = np.triu_indices(g, 1)
-                u.append(c[(at[:, None] + y).ravel()])
-                v.append(c[(at[:, None] + x).ravel()])
-                hub.append(np.zeros(len(u[-1]), bool))
-        for a, n in zip(first[many].tolist(), size[many].tolist(), strict=True):
-            u.append(c[a + 1 : a + n])
-            v.append(np.full(n - 1, c[a]))
-            hub.append(np.ones(n - 1, bool))
-        if u:
-            rows = np.stack([np.concatenate(u), np.concatenate(v), np.concatenate(hub).astype(np.int64)], axis=1)
-            rows = rows[np.lexsort(rows.T[::-1])]
-            rows = rows[runs(rows)[:-1]]
-            yield pa.RecordBatch.from_pydict({"u": rows[:, 0].copy(), "v": rows[:, 1].copy(), "hub": rows[:, 2] > 0})
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    rows = rows[runs(rows)[:-1]]  # a class may stand in a run more than once
+    edge, c = runs(rows[:, 0]), rows[:, 1]
+    size, first = np.diff(edge), edge[:-1]
+    out = [np.empty((0, 3), np.int64)]
+    for g in range(2, SMALL + 1):
+        at = first[size == g]
+        if len(at):
+            x, y = np.triu_indices(g, 1)
+            out.append(np.stack([c[(at[:, None] + y).ravel()], c[(at[:, None] + x).ravel()], np.zeros(len(at) * len(x), np.int64)], axis=1))
+    for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        out.append(np.stack([c[a + 1 : a + n], np.full(n - 1, c[a]), np.ones(n - 1, np.int64)], axis=1))
+    return np.concatenate(out)
+
+
+def met(dealt: DataFrame) -> DataFrame:
+    """The rows of DEALT as MET has them: keys become the pairs of classes that share one, other rows stay."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        held, long = np.empty((0, 2), np.int64), None
+        found, size, held, last = [], 0, [], None
+
+        def told():
+            rows = np.concatenate(found)
+            rows = rows[np.lexsort((-rows[:, 2], rows[:, 1], rows[:, 0]))]
+            rows = rows[runs(rows[:, :2])[:-1]]
+            t = dealt_rows(bucket=pa.nulls(len(rows), pa.int32()), u=pa.array(rows[:, 0].copy()), v=pa.array(rows[:, 1].copy()), hub=pa.array(rows[:, 2] > 0))
+            yield from t.drop_columns(["bucket", "keys"]).to_batches(max_chunksize=50_000)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tied = batch.filter(batch.column(2).is_valid())
-            if tied.num_rows:
-                links = np.unique(np.stack([tied.column(1).to_numpy(), tied.column(2).to_numpy()], axis=1), axis=0)
-                yield pa.RecordBatch.from_pydict({"u": links[:, 0].copy(), "v": links[:, 1].copy(), "hub": np.ones(len(links), bool)})
-                batch = batch.filter(batch.column(2).is_null())
-            if not batch.num_rows:
-                continue
-            rows = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
-            rows = rows[runs(rows)[:-1]]  # a class may stand in a run more than once
-            last = np.searchsorted(rows[:, 0], rows[-1, 0])
-            yield from pairs(rows[:last, 0], rows[:last, 1], long)
-            held = rows[last:]
-            if len(held) > SMALL:  # the run goes on by its first class
-                yield from pairs(held[:, 0], held[:, 1], held[0])
-                held, long = held[:1], held[0]
-            elif long is not None and held[0, 0] != long[0]:
-                long = None
-        if len(held):
-            yield from pairs(held[:, 0], held[:, 1], long)
+            packs = batch.column(batch.num_columns - 1)
+            other = batch.filter(packs.is_null())
+            if other.num_rows:
+                yield other.select(other.schema.names[1:-1])
+            for bucket, value in zip(batch.column(0).to_pylist(), packs.to_pylist(), strict=True):
+                if value is None:
+                    continue
+                if bucket != last and held:
+                    found.append(pairs_of(np.concatenate(held)))
+                    size, held = size + len(found[-1]), []
+                    if size > HELD:
+                        yield from told()
+                        found, size = [], 0
+                held.append(unpacked(value))
+                last = bucket
+        if held:
+            found.append(pairs_of(np.concatenate(held)))
+        if found:
+            yield from told()
         tidy()
 
-    found = dealt.mapInArrow(run, "u long, v long, hub boolean")
-    return found.groupBy("u", "v").agg(F.max("hub").alias("hub"))
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MET)
+
+
+def once_each(found: DataFrame) -> DataFrame:
+    """found(u, v, hub) -> each pair once."""
+    return found.where("u is not null").groupBy("u", "v").agg(F.max("hub").alias("hub"))
+
+
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """keys(key, cls, hub) -> (u, v, hub): pairs of classes with an equal key. Rows that have a hub are such pairs already."""
+    return once_each(met(keys.mapInArrow(packed, DEALT)))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
