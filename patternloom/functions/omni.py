@@ -6,9 +6,12 @@ are equal if they have as many positions and every position's sets meet. The rel
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patternloom.checkpoints import checkpoint
 from patternloom.functions.scalar import applied
 
 VALUE = "array<array<string>>"
@@ -99,6 +102,39 @@ def dealt(a: DataFrame, b: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]
     return spread(a, "_k", "_i", "_j", "_m", "_n"), spread(b, "_kr", "_jr", "_ir", "_n", "_m")
 
 
+#: Pairs up to which a cell of a class's grid isn't divided, and pairs of classes up to which they are broadcast.
+CELL, FEW = 1 << 20, 10_000
+
+
+def class_join(left: DataFrame, right: DataFrame, left_on: list[Column], right_on: list[Column], meet: Callable[[DataFrame, DataFrame], DataFrame], tasks: int) -> DataFrame:
+    """Pairs of rows whose values meet. Rows with equal values are a class; only the classes are compared, and their rows are
+    joined by numbers.
+
+    meet joins two saved tables of classes, (_l, _nl) and (_r, _nr): a struct of values and how many rows have it; it gives each
+    pair of classes once. A pair of classes is a grid of cells by its numbers of rows, as near to squares as copies the fewest rows.
+    """
+    a = left.withColumn("_l", F.struct(*(x.alias(f"v{k}") for k, x in enumerate(left_on))))
+    b = right.withColumn("_r", F.struct(*(x.alias(f"v{k}") for k, x in enumerate(right_on))))
+    own, other = (checkpoint(x) for x in (a.groupBy("_l").agg(F.count("*").cast("double").alias("_nl")), b.groupBy("_r").agg(F.count("*").cast("double").alias("_nr"))))
+    met = checkpoint(meet(own, other).select("_l", "_r", "_nl", "_nr", F.monotonically_increasing_id().alias("_p")))
+    n, total, nl, nr = (x or 0 for x in met.agg(F.count("*"), F.sum(F.col("_nl") * F.col("_nr")), F.sum("_nl"), F.sum("_nr")).first())
+    parts = int(max(1, min(4 * tasks, total / CELL + (nl + nr) / 100_000)))
+    cells = F.ceil(F.col("_nl") * F.col("_nr") / F.lit(float(max(CELL, total / (16 * tasks)))))
+    high = F.least(F.col("_nl"), F.greatest(F.lit(1.0), F.round(F.sqrt(cells * F.col("_nl") / F.col("_nr"))))).cast("long")
+    grid = met.withColumn("_m", high).withColumn("_n", F.least(F.col("_nr"), F.ceil(cells / F.col("_m"))).cast("long"))
+
+    def spread(side: DataFrame, own: str, i: str, j: str, mine: str, other: str) -> DataFrame:
+        here = grid.select(own, "_p", "_m", "_n")
+        out = side.join(F.broadcast(here) if n <= FEW else here, own)
+        ids = [c for c in side.columns if c.startswith("uid_") or c.endswith("_uid")] or side.columns
+        out = out.withColumn(i, F.pmod(F.xxhash64(*ids), F.col(mine)))  # by content: a task that runs again deals alike
+        return out.withColumn(j, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop(own, "_m", "_n").repartition(parts, "_p", "_i", "_j")
+
+    x, y = spread(a, "_l", "_i", "_j", "_m", "_n"), spread(b, "_r", "_j", "_i", "_n", "_m")
+    both = x.join(y, ["_p", "_i", "_j"]) if nl >= nr else y.join(x, ["_p", "_i", "_j"])
+    return both.select(*left.columns, *right.columns)
+
+
 #: Rows that fit whatever the other side holds are copied so many times, the other side's rows dealt over the copies.
 COPIES = 16
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patternloom.functions.omni import VALUE, keyed_join, loose_keys, omni_eq, omni_keys, omni_merge, omni_text
+from patternloom.functions.omni import FEW, VALUE, class_join, keyed_join, loose_keys, omni_eq, omni_keys, omni_merge, omni_text
 from patternloom.functions.scalar import applied, match_hash, row_hash
 from patternloom.operators.segment import segments
 from patternloom.plans.ast import Element, Expr, Pattern, Slot
@@ -276,6 +276,14 @@ def connect(left: DataFrame, right: DataFrame, links: list[Link], tasks: int | N
             fits = x.left.isNull() | fits
         residual = residual & fits
     hard = [x for x in links if not x.left_open and not x.right_open]
+    if hard and tasks is not None:
+        values = lambda side: [F.col(f"{side}.v{k}") for k in range(len(hard))]
+        equal = F.lit(True)
+        for a, b in zip(values("_l"), values("_r"), strict=True):
+            equal = equal & omni_eq(a, b)
+        meet = lambda a, b: keyed_join(a, b, omni_keys(*values("_l")), omni_keys(*values("_r")), equal, tasks if a.count() + b.count() > FEW else None)
+        both = class_join(left, right, [x.left for x in hard], [F.col(x.right) for x in hard], meet, tasks)
+        return both if len(hard) == len(links) else both.where(residual)
     if hard:
         return keyed_join(left, right, omni_keys(*(x.left for x in hard)), omni_keys(*(F.col(x.right) for x in hard)), residual, tasks)
     x = min(links, key=lambda x: x.left_open + x.right_open)
@@ -343,6 +351,15 @@ def filter_early(cands: list[Candidates], cond: Expr) -> None:
             c.rows = c.rows.where(F.coalesce(evaluate(cond, Scope({n: omni_text(F.col(bound[n].column)) for n in names})), F.lit(True)))
 
 
+def one_way_each(cands: list[Candidates]) -> bool:
+    """Whether no row fits its slot in two ways: then solutions differ in their rows, and none comes twice. One job."""
+    ways = None
+    for i, c in enumerate(cands):
+        rows = c.rows.select(F.lit(i).alias("slot"), F.col(f"s{i}_uid").alias("uid"))
+        ways = rows if ways is None else ways.unionByName(rows)
+    return ways is None or ways.groupBy("slot", "uid").count().where("count > 1").isEmpty()
+
+
 def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES, lemmas: Column | None = None, solved: dict[str, DataFrame] | None = None, tasks: int | None = None, sources: list[Store] | None = None, distinct: bool = True) -> DataFrame:
     """The solutions of a pattern: uid_<slot>, relax_<slot>, v_<variable>, o_<variable> (its words as they stand in the cells),
     n_opt_unfilled, relaxed_dyn, relaxed_total, executable, should_score, hash; without duplicates (same rows and same lemma text
@@ -351,19 +368,24 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     be evaluated here, but once instances are mapped. The hash adds up those of the filled rows, by their ids where these last,
     else by their DATA text, and those of the components' solutions.
 
-    Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x. Hot keys are dealt out over
-    `tasks` where it is given, or where the slots' tables are planned to have more than LARGE bytes; counting keys takes a job for
-    each join, which small tables don't need. With `sources` each slot reads a store of its own. Where
-    duplicates don't matter, distinct=False leaves them in and spares a shuffle.
+    Components (`infpat a = P`) are taken from solved[P]; their slots and variables appear as a.x. Where `tasks` is given, or
+    the slots' tables are planned to have more than LARGE bytes, equal texts are annotated once and joins compare classes of
+    equal values, whose rows are dealt over the tasks; counting these takes jobs for each join, which small tables don't need.
+    With `sources` each slot reads a store of its own. Where duplicates don't matter, distinct=False leaves them in and spares a
+    shuffle; large tables also spare it where no row fits its slot in two ways, composites where their components are distinct.
     """
     slots = [lowered(s, pattern.constants) for s in pattern.slots]
     where = store.locate(static_uids(pattern))
-    cands = [candidates(sources[i] if sources else store, s, i, where, lemmas) for i, s in enumerate(slots)]
+    stores = sources or [store] * len(slots)
+    if tasks is None and len(slots) > 1:
+        names = [s.ref.table or where[s.ref.uuid] for s in slots]
+        if LARGE < sum(st[n].planned_bytes() for st, n in zip(stores, names, strict=True) if n is not None) < UNKNOWN:
+            tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    cands = [candidates(st, s, i, where, lemmas) for i, (st, s) in enumerate(zip(stores, slots, strict=True))]
     for kind, cond in pattern.constraints:
         if kind == "musthaveoromit":
             filter_early(cands, cond)
-    if tasks is None and len(cands) > 1 and LARGE < sum(c.bytes for c in cands) < UNKNOWN:
-        tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    once = distinct
     out = bind(joined(cands, tasks), cands) if cands else None
     if out is not None:
         for c, i in zip(cands, range(len(cands)), strict=True):
@@ -371,7 +393,12 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
     if pattern.components:
         from patternloom.operators.composite import compose
 
-        out = compose(out, pattern, solved or {})
+        parts = [(solved or {})[of] for _, of in pattern.components]
+        tasks = max([tasks or 0, *(getattr(p, "_tasks", None) or 0 for p in parts)]) or None
+        out = compose(out, pattern, solved or {}, tasks)
+        distinct = distinct and not (all(getattr(p, "_distinct", False) for p in parts) and (not cands or tasks is not None and one_way_each(cands)))
+    elif distinct and cands and tasks is not None:
+        distinct = not one_way_each(cands)
     if out is None:
         out = store.spark.range(1).select(F.lit(0).alias("_one"))
     uids = [c for c in out.columns if c.startswith("uid_")]
@@ -403,4 +430,6 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
         out = out.groupBy(*uids, *texts).agg(F.min(F.struct(*rest)).alias("_s")).select(*uids, *(F.col(f"_s.{c}").alias(c) for c in rest), *texts)
     if max_matches is not None:
         out = out.orderBy("n_opt_unfilled", "relaxed_dyn", "relaxed_total", *uids, *texts).limit(max_matches)
-    return out.drop(*texts)
+    out = out.drop(*texts)
+    out._distinct, out._tasks = once, tasks  # what a composite of these solutions needs to know
+    return out
