@@ -68,12 +68,19 @@ def constraint(name: str, slot: Slot, wanted: list) -> tuple:
     return name.upper(), slot.ref.uuid, tuple((c, tuple(tuple(map(said, o)) for o in options)) for c, options in wanted)
 
 
-def fitting(store: Store, name: str, slot: Slot, wanted: list, lemmas: Column | None) -> DataFrame:
-    """uid, hash, relaxed and v0, v1 ... (the variables' values in order): every way in which a table's row fits a slot."""
-    rows = store.annotated(name, [c for c, _ in wanted], lemmas)
+def fitting(store: Store, name: str, slot: Slot, wanted: list, lemmas: Column | None, large: bool = False) -> DataFrame:
+    """uid, hash, relaxed and v0, v1 ... (the variables' values in order): every way in which a table's row fits a slot.
+
+    Of a large table each combination of the wanted cells' texts is annotated and segmented once.
+    """
+    columns = [c for c, _ in wanted]
+    by_text = large and columns and store.shared is None and not store.whole_rows
+    rows = every = store[name].rows if by_text else store.annotated(name, columns, lemmas)
     content = F.lower(store[name].text(data_only=True))
     if slot.ref.uuid is not None:
-        rows = rows.where(F.col("uid") == slot.ref.uuid)
+        rows = every = rows.where(F.col("uid") == slot.ref.uuid)
+    if by_text:
+        rows = store[name].annotated_texts(every, columns, lemmas)
     out = [F.col("uid"), row_hash(F.when(F.col("uid").rlike(LASTING_UID), F.col("uid")).otherwise(content)).alias("hash")]
     relaxed, k = F.lit(0), 0
     for i, (c, options) in enumerate(wanted):
@@ -82,10 +89,14 @@ def fitting(store: Store, name: str, slot: Slot, wanted: list, lemmas: Column |
         for at in range(max(sum(e.kind == "variable" for e in o) for o in options)):
             out.append(F.try_element_at(F.col(f"_seg{i}.values"), F.lit(at + 1)).alias(f"v{k}"))
             k += 1
-    return rows.select(*out, relaxed.cast("int").alias("relaxed"))
+    out.append(relaxed.cast("int").alias("relaxed"))
+    if by_text:
+        ways = rows.select("_x", *out[2:])
+        return every.withColumn("_x", store[name].cell_texts(columns)).join(ways, "_x").select(*out[:2], *ways.columns[1:])
+    return rows.select(*out)
 
 
-def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, str] | None = None, lemmas: Column | None = None) -> Candidates:
+def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, str] | None = None, lemmas: Column | None = None, large: bool = False) -> Candidates:
     """uid, relaxed and a value column for each variable occurrence: every way in which a row fits the slot."""
     ref, p = slot.ref, f"s{number}_"
     name = ref.table
@@ -104,7 +115,7 @@ def candidates(store: Store, slot: Slot, number: int, tables_of_uid: dict[str, s
                 raise ValueError(f"slot {slot.name}: the options of a cell must name the same variables in the same order")
             e = next(o[at] for o in names if len(o) > at)
             keep.append(Occurrence(e.text, number, f"{p}v{len(keep)}", e, any(len(o) <= at or o[at].optional for o in names)))
-    rows = store.once(constraint(name, slot, wanted), lambda: fitting(store, name, slot, wanted, lemmas))
+    rows = store.once(constraint(name, slot, wanted), lambda: fitting(store, name, slot, wanted, lemmas, large))
     return Candidates(slot, rows.select(*(F.col(c).alias(p + c) for c in rows.columns)), keep, ref.uuid is not None, store[name].planned_bytes())
 
 
@@ -294,9 +305,16 @@ def connect(left: DataFrame, right: DataFrame, links: list[Link], tasks: int | N
 
 
 def bind(out: DataFrame, cands: list[Candidates]) -> DataFrame:
-    """v_<name> for each variable, the fold over its occurrences in declared order, and o_<name>; rows that disagree go."""
-    places = occurrences(cands)
+    """v_<name> for each variable, the fold over its occurrences in declared order, and o_<name>; rows that disagree go.
+
+    Where the first place always has a value and none is relaxable, the joins have compared all places with it already.
+    """
+    places, firm = occurrences(cands), Links(cands).firm
     for var in places:
+        if var in firm and not any(o.element.relaxable for o in places[var][1:]):
+            bound = F.col(places[var][0].column)
+            out = out.withColumns({f"v_{var}": bound, f"o_{var}": as_written(bound, [F.col(o.column) for o in places[var]])})
+            continue
         bound, good = F.lit(None).cast(VALUE), F.lit(True)
         for o in places[var]:
             v = F.col(o.column)
@@ -381,7 +399,7 @@ def solve(store: Store, pattern: Pattern, max_matches: int | None = MAX_MATCHES,
         names = [s.ref.table or where[s.ref.uuid] for s in slots]
         if LARGE < sum(st[n].planned_bytes() for st, n in zip(stores, names, strict=True) if n is not None) < UNKNOWN:
             tasks = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
-    cands = [candidates(st, s, i, where, lemmas) for i, (st, s) in enumerate(zip(stores, slots, strict=True))]
+    cands = [candidates(st, s, i, where, lemmas, tasks is not None) for i, (st, s) in enumerate(zip(stores, slots, strict=True))]
     for kind, cond in pattern.constraints:
         if kind == "musthaveoromit":
             filter_early(cands, cond)

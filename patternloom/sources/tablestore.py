@@ -96,6 +96,15 @@ class Table:
             out.append(alternatives_of(F.element_at("cells", i + 1), lemmas, content_only).alias(f"alts_{i}"))
         return self.rows.select(*out)
 
+    def cell_texts(self, columns: list[int]) -> F.Column:
+        """The texts of a row's cells in these columns, as a struct."""
+        return F.struct(*(F.element_at("cells", i + 1).alias(f"c{i}") for i in dict.fromkeys(columns)))
+
+    def annotated_texts(self, rows: DataFrame, columns: list[int], lemmas: F.Column | None = None) -> DataFrame:
+        """_x and the alternatives of each wanted column for the distinct cell_texts() of rows: equal texts are annotated once."""
+        alts = [alternatives_of(F.col(f"_x.c{i}"), lemmas, True).alias(f"alts_{i}") for i in dict.fromkeys(columns)]
+        return rows.select(self.cell_texts(columns).alias("_x")).distinct().select("_x", *alts)
+
     def duplicates_key(self) -> F.Column:
         """Rows are duplicates if the lower-cased words of all their DATA columns are equal, first alternatives."""
         cells = [F.lower(F.trim(F.split_part(F.element_at("cells", i + 1), F.lit(";"), F.lit(1)))) for i in self.of_roles(DATA)]

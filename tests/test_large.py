@@ -62,6 +62,16 @@ def test_large_tables_give_the_same_solutions(spark, monkeypatch, ways, cell):
             assert want and told(large[name]) == want and max(want.values()) == 1
 
 
+def test_large_joins_compare_no_values_of_pairs_and_compare_no_solutions(spark):
+    store = store_of(spark)
+    for text, name in ((SHARED, "ab"), (THREE, "p")):
+        df = solved_all(store, text, 3)[name]
+        shown = plan(df.select(*(c for c in df.columns if c.startswith("uid_"))))
+        assert "arrays_overlap" not in shown
+        above = shown[: shown.index("Join")]
+        assert "Aggregate" not in above and "Filter" not in above
+
+
 def test_composites_of_solutions_that_may_come_twice_are_distinct(spark):
     store = store_of(spark)
     a, b, ab = parse(SHARED).patterns
